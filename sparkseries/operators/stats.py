@@ -70,7 +70,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
         if i == j:
             return F.when(F.col(f"s_{i}_{j}") > 0, F.lit(1.0))
         r = F.try_divide(F.col(f"c_{i}_{j}"), F.col(f"sa_{i}_{j}") * F.col(f"sb_{i}_{j}"))
-        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+        # clamp rounding overshoot; least/greatest would turn NULL into a bound
+        return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
     structs = [F.struct(F.lit(c).alias("column"), *[cell(i, j).cast("double").alias(cols[j])
                                                    for j in range(len(cols))])

@@ -69,6 +69,8 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
     try:
         df = spark.read.parquet(path)
         df.schema  # noqa: B018 - forces footer inference now
+        if spark.conf.get(NANOS_CONF, "false") == "true":
+            return _read_nanos(spark, path)
         return df
     except AnalysisException as e:
         msg = str(e)
@@ -108,7 +110,7 @@ def _read_nanos(spark: SparkSession, path: str) -> DataFrame:
     ns_cols = _nanos_columns(path)
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return df.select(*[
-        F.timestamp_add("MICROSECOND", F.floor(F.col(c) / 1000).cast("bigint"), epoch).alias(c)
+        F.timestamp_add("MICROSECOND", F.expr(f"`{c}` div 1000"), epoch).alias(c)
         if c in ns_cols else F.col(c) for c in df.columns])
 
 
