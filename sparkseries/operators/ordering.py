@@ -238,11 +238,14 @@ def apply_carry(c: Chunked, df: DataFrame, forward: dict[str, Column], backward:
     from the current row on is wanted.  ``combine(prev, next)`` builds the
     output columns from the completed running values.
     """
-    wl = c.local_window()
-    fwd_w = wl.rowsBetween(Window.unboundedPreceding, 0)
-    bwd_w = wl.rowsBetween(0, Window.unboundedFollowing)
+    fwd_w = c.local_window().rowsBetween(Window.unboundedPreceding, 0)
+    # "first non-null from here on" as a growing frame over the reversed order:
+    # Spark re-aggregates an unbounded-following frame for every row (O(n^2)),
+    # a growing frame incrementally (O(n))
+    rev = [F.col(c.ts).desc_nulls_last()] + [F.col(t).desc_nulls_last() for t in c.tie]
+    bwd_w = Window.partitionBy(CHUNK).orderBy(*rev).rowsBetween(Window.unboundedPreceding, 0)
     loc = {f"__ss_p{i}": F.last(e, ignorenulls=True).over(fwd_w) for i, e in enumerate(forward.values())}
-    loc.update({f"__ss_n{i}": F.first(e, ignorenulls=True).over(bwd_w) for i, e in enumerate(backward.values())})
+    loc.update({f"__ss_n{i}": F.last(e, ignorenulls=True).over(bwd_w) for i, e in enumerate(backward.values())})
     y = df.select("*", *[v.alias(k) for k, v in loc.items()])
     pnames = {name: f"__ss_p{i}" for i, name in enumerate(forward)}
     nnames = {name: f"__ss_n{i}" for i, name in enumerate(backward)}

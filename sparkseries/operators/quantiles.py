@@ -1,14 +1,16 @@
 """Exact linear-interpolated quantiles with bounded memory.
 
 ``percentile`` is exact but its buffer holds every distinct value of a
-column in one map, which does not fit at table scale.  Here each wanted rank
-is first bracketed by ``percentile_approx`` (value bounds whose rank error is
-at most ``n / accuracy``), the rows below and inside each bracket are counted,
-and the bracket is narrowed again on its own rows until it holds at most
-``max_select`` rows.  Only then are the rows inside a bracket sorted -- by a
-window partitioned per bracket -- to pick the two order statistics around
-``h = (n - 1) * q`` and interpolate between them.  The answer equals
-``percentile`` / ``numpy.quantile`` / DuckDB ``quantile_cont``.
+column in one map, which does not fit at table scale.  Here the two order
+statistics around each wanted rank ``h = (n - 1) * q`` are found by
+narrowing: the rows inside a value bracket are counted per equal-width
+bucket (``BUCKETS`` per bracket, a partial aggregate whose output is at most
+``BUCKETS`` rows per bracket), the bucket(s) holding the wanted ranks become
+the next bracket, and this repeats until a bracket holds at most
+``max_select`` rows or a single value.  Only then are the rows inside a
+bracket sorted -- by a window partitioned per bracket -- to pick the order
+statistics and interpolate.  The answer equals ``percentile`` /
+``numpy.quantile`` / DuckDB ``quantile_cont``.
 
 Every job collects scalars only (counts, bounds, two values per bracket).
 """
@@ -22,8 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_SELECT = 2_000_000
-ACCURACY = 10_000
+DEFAULT_MAX_SELECT = 50_000
+BUCKETS = 4096
 
 
 @dataclass
@@ -41,16 +43,20 @@ class _Target:
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], *,
-                    max_select: int = DEFAULT_MAX_SELECT, counts: dict[str, int] | None = None
+                    max_select: int = DEFAULT_MAX_SELECT, known: dict | None = None
                     ) -> dict[tuple[str, float], float | None]:
-    """``{(column, q): value}``; NULLs are skipped, an all-NULL column gives None."""
+    """``{(column, q): value}``; NULLs are skipped, an all-NULL column gives None.
+
+    ``known`` may carry ``n{i}``, ``lo{i}``, ``hi{i}`` (count, min, max of the
+    i-th column) from an aggregate the caller runs anyway.
+    """
     cols = list(columns)
     if not cols:
         return {}
     d = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    row = d.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
-                *[F.min(c).alias(f"lo{i}") for i, c in enumerate(cols)],
-                *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)]).first()
+    row = known or d.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
+                         *[F.min(c).alias(f"lo{i}") for i, c in enumerate(cols)],
+                         *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)]).first().asDict()
     targets: list[_Target] = []
     for i, c in enumerate(cols):
         n = row[f"n{i}"]
@@ -71,38 +77,47 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
 
 
 def _narrow(d: DataFrame, todo: list[_Target], max_select: int) -> None:
-    """Shrink brackets until each holds at most ``max_select`` rows."""
+    """Shrink brackets until each holds at most ``max_select`` rows (or one value)."""
     while todo:
-        aggs = []
-        for k, t in enumerate(todo):
-            # where inside the current bracket the wanted ranks sit, as fractions
-            span = max(t.inside - 1, 1)
-            p_lo = (t.lo_rank - t.below) / span
-            p_hi = (t.hi_rank - t.below) / span
-            pad = 3.0 / ACCURACY
-            ps = [max(0.0, p_lo - pad), min(1.0, p_hi + pad)]
-            inside = F.when(F.col(t.col).between(t.low, t.high), F.col(t.col))
-            aggs.append(F.percentile_approx(inside, ps, ACCURACY).alias(f"b{k}"))
-        r = d.agg(*aggs).first()
-        cand = [(float(r[f"b{k}"][0]), float(r[f"b{k}"][1])) for k in range(len(todo))]
-        cnt = []
-        for k, t in enumerate(todo):
-            lo, hi = cand[k]
-            cnt += [F.count_if(F.col(t.col) < lo).alias(f"below{k}"),
-                    F.count_if(F.col(t.col).between(lo, hi)).alias(f"in{k}")]
-        r = d.agg(*cnt).first()
+        groups: dict[tuple, list[_Target]] = {}
+        for t in todo:
+            groups.setdefault((t.col, t.low, t.high, t.below), []).append(t)
+        keys = list(groups)
+        entries = []
+        for g, (col, lo, hi, _) in enumerate(keys):
+            v = F.col(col)
+            width = (hi - lo) or 1.0
+            b = F.least(((v - F.lit(lo)) / F.lit(width) * F.lit(float(BUCKETS))).cast("int"), F.lit(BUCKETS - 1))
+            entries.append(F.when(v.between(lo, hi), F.struct(F.lit(g).alias("g"), b.alias("b"), v.alias("v"))))
+        any_inside = None
+        for col, lo, hi, _ in keys:
+            c = F.col(col).between(lo, hi)
+            any_inside = c if any_inside is None else any_inside | c
+        hist = (d.filter(any_inside).select(F.explode(F.array(*entries)).alias("e"))
+                .filter(F.col("e").isNotNull())
+                .groupBy("e.g", "e.b").agg(F.count(F.lit(1)).alias("n"), F.min("e.v").alias("lo"),
+                                           F.max("e.v").alias("hi"))
+                .collect())
+        per: dict[int, list] = {}
+        for r in hist:
+            per.setdefault(r["g"], []).append((r["b"], r["n"], r["lo"], r["hi"]))
         nxt = []
-        for k, t in enumerate(todo):
-            lo, hi = cand[k]
-            below, inside = r[f"below{k}"], r[f"in{k}"]
-            if below <= t.lo_rank and t.hi_rank < below + inside and inside < t.inside:
-                t.low, t.high, t.below, t.inside = lo, hi, below, inside
-            else:
-                # the sketch missed (should not happen within its error bound):
-                # keep the old bracket but do not loop forever on it
-                t.inside = min(t.inside, max_select)
-            if t.inside > max_select:
-                nxt.append(t)
+        for g, key in enumerate(keys):
+            buckets = sorted(per.get(g, []))
+            for t in groups[key]:
+                cum, first, last = t.below, None, None
+                for b, n, lo, hi in buckets:
+                    if first is None and cum + n > t.lo_rank:
+                        first = (cum, lo)
+                    if cum + n > t.hi_rank:
+                        last = hi
+                        break
+                    cum += n
+                start_below, lo = first
+                inside = sum(n for b, n, l, h in buckets if lo <= l and h <= last)
+                t.low, t.high, t.below, t.inside = lo, last, start_below, inside
+                if t.low != t.high and t.inside > max_select:
+                    nxt.append(t)
         todo = nxt
 
 
@@ -117,7 +132,12 @@ def _select(d: DataFrame, targets: list[_Target]) -> dict[tuple[int, int], float
     # one (group, value) row per value inside a group's bracket
     entries = [F.when(F.col(col).between(lo, hi), F.struct(F.lit(g).alias("g"), F.col(col).alias("v")))
                for g, (col, lo, hi, _) in enumerate(keys)]
-    rows = d.select(F.explode(F.array(*entries)).alias("e")).filter(F.col("e").isNotNull()).select("e.g", "e.v")
+    any_inside = None
+    for col, lo, hi, _ in keys:
+        c = F.col(col).between(lo, hi)
+        any_inside = c if any_inside is None else any_inside | c
+    rows = (d.filter(any_inside).select(F.explode(F.array(*entries)).alias("e"))
+            .filter(F.col("e").isNotNull()).select("e.g", "e.v"))
     wanted = F.create_map(*[x for g, (_, _, _, below) in enumerate(keys)
                             for x in (F.lit(g), F.array(*[F.lit(r - below + 1)
                                                          for t in groups[keys[g]]

@@ -27,56 +27,98 @@ def _rows(agg_row: DataFrame, structs: list[Column]) -> DataFrame:
 def basic_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows ``statistic`` x one double column per numeric input column."""
     cols = resolve_columns(df, columns)
-    qs = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        aggs += [F.count(c).cast("double").alias(f"count{i}"), F.avg(x).alias(f"mean{i}"),
-                 F.stddev_samp(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
-    one = df.agg(*aggs) if aggs else df.agg(F.count(F.lit(1)).alias("n"))
-
-    def cell(stat: str, i: int, c: str) -> Column:
-        if stat in ("q25", "q50", "q75"):
-            v = qs[(c, {"q25": 0.25, "q50": 0.5, "q75": 0.75}[stat])]
-            return F.lit(v).cast("double").alias(c)
-        return F.col(f"{stat}{i}").alias(c)
-
-    structs = [F.struct(F.lit(s).alias("statistic"), *[cell(s, i, c) for i, c in enumerate(cols)])
-               for s in BASIC_STATS]
-    return _rows(one, structs)
+        aggs += [F.count(c).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"),
+                 F.stddev_samp(x).alias(f"std{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    if not aggs:
+        return df.sparkSession.createDataFrame([(s,) for s in BASIC_STATS], "statistic string")
+    # one scalar row of count/mean/std/min/max for all columns; the quantile
+    # search reuses its counts and bounds
+    moments = df.agg(*aggs).first().asDict()
+    qs = exact_quantiles(df, cols, [0.25, 0.5, 0.75], known=moments)
+    names = {"count": "n", "mean": "mean", "std": "std", "min": "lo", "max": "hi"}
+    quant = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+    def value(stat: str, i: int, c: str):
+        if stat in quant:
+            return qs[(c, quant[stat])]
+        v = moments[f"{names[stat]}{i}"]
+        return None if v is None else float(v)
+
+    rows = [tuple([s] + [value(s, i, c) for i, c in enumerate(cols)]) for s in BASIC_STATS]
+    schema = ", ".join(["statistic string"] + [f"`{c}` double" for c in cols])
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def _batched_agg(df: DataFrame, exprs: list[Column], batch: int = 80) -> dict:
+    """Evaluate many aggregates as a few one-row jobs.
+
+    Batches keep each aggregate under Spark's whole-stage-codegen field limit,
+    so every job stays compiled instead of falling back to interpretation.
+    """
+    out: dict = {}
+    for i in range(0, len(exprs), batch):
+        out.update(df.agg(*exprs[i:i + batch]).first().asDict())
+    return out
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation, pairwise-complete; rows ``column`` x columns.
 
     A constant (or all-NULL) column gives NULL, also on its own diagonal.
+    One pass finds each column's mean; a second accumulates sums of
+    mean-shifted values and products over the rows where both values are
+    present (shifting first avoids the cancellation of raw moment sums).
     """
     cols = resolve_columns(df, columns)
-    aggs = []
+    spark = df.sparkSession
+    if not cols:
+        return spark.createDataFrame([], "column string")
+    first = _batched_agg(df, [F.count(F.lit(1)).alias("n")]
+                         + [F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]
+                         + [F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)])
+    shift = {i: float(first[f"m{i}"] or 0.0) for i in range(len(cols))}
+    dense = all(first[f"n{i}"] == first["n"] for i in range(len(cols)))
+    x = {i: F.col(c).cast("double") - F.lit(shift[i]) for i, c in enumerate(cols)}
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    exprs = []
     for i, j in pairs:
-        a, b = F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")
-        both = a.isNotNull() & b.isNotNull()
-        a2, b2 = F.when(both, a), F.when(both, b)
-        if i == j:
-            aggs += [F.stddev_samp(a).alias(f"s_{i}_{j}")]
+        if dense:
+            # no NULLs anywhere: every pair is complete, share the per-column sums
+            if i == j:
+                exprs += [F.sum(x[i]).alias(f"s_{i}")]
+            exprs += [F.sum(x[i] * x[j]).alias(f"p_{i}_{j}")]
         else:
-            aggs += [F.covar_samp(a2, b2).alias(f"c_{i}_{j}"), F.stddev_samp(a2).alias(f"sa_{i}_{j}"),
-                     F.stddev_samp(b2).alias(f"sb_{i}_{j}")]
-    one = df.agg(*aggs) if aggs else df.agg(F.count(F.lit(1)).alias("n"))
-
-    def cell(i: int, j: int) -> Column:
-        i, j = min(i, j), max(i, j)
+            both = F.col(cols[i]).isNotNull() & F.col(cols[j]).isNotNull()
+            exprs += [F.count_if(both).alias(f"n_{i}_{j}"),
+                      F.sum(F.when(both, x[i])).alias(f"a_{i}_{j}"), F.sum(F.when(both, x[j])).alias(f"b_{i}_{j}"),
+                      F.sum(F.when(both, x[i] * x[i])).alias(f"aa_{i}_{j}"),
+                      F.sum(F.when(both, x[j] * x[j])).alias(f"bb_{i}_{j}"),
+                      F.sum(F.when(both, x[i] * x[j])).alias(f"ab_{i}_{j}")]
+    sums = _batched_agg(df, exprs)
+
+    def moments(i: int, j: int):
+        if dense:
+            n = first["n"]
+            return (n, sums[f"s_{i}"], sums[f"s_{j}"], sums[f"p_{i}_{i}"], sums[f"p_{j}_{j}"], sums[f"p_{i}_{j}"])
+        return tuple(sums[f"{k}_{i}_{j}"] for k in ("n", "a", "b", "aa", "bb", "ab"))
+
+    def corr(i: int, j: int):
+        n, a, b, aa, bb, ab = moments(min(i, j), max(i, j))
+        if not n or n < 2 or a is None:
+            return None
+        saa, sbb, sab = aa - a * a / n, bb - b * b / n, ab - a * b / n
+        if saa <= 0 or sbb <= 0:
+            return None
         if i == j:
-            return F.when(F.col(f"s_{i}_{j}") > 0, F.lit(1.0))
-        r = F.try_divide(F.col(f"c_{i}_{j}"), F.col(f"sa_{i}_{j}") * F.col(f"sb_{i}_{j}"))
-        # clamp rounding overshoot; least/greatest would turn NULL into a bound
-        return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+            return 1.0
+        return max(-1.0, min(1.0, sab / (saa * sbb) ** 0.5))
 
-    structs = [F.struct(F.lit(c).alias("column"), *[cell(i, j).cast("double").alias(cols[j])
-                                                   for j in range(len(cols))])
-               for i, c in enumerate(cols)]
-    return _rows(one, structs)
+    rows = [tuple([c] + [corr(i, j) for j in range(len(cols))]) for i, c in enumerate(cols)]
+    schema = ", ".join(["`column` string"] + [f"`{c}` double" for c in cols])
+    return spark.createDataFrame(rows, schema)
 
 
 def outlier_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
