@@ -44,6 +44,7 @@ HOME = internal("home")
 RN = internal("rn")
 CNT = internal("cnt")
 IDX = internal("idx")
+HASH = internal("hash")
 
 SUB_BITS = 20
 SUB_LAST = (1 << SUB_BITS) - 1
@@ -63,10 +64,22 @@ class Chunked:
     n_rows: int
     n_chunks: int
     bounds: list[int] = field(default_factory=list)  # distinct key bounds, ascending
+    heavy: list[int] = field(default_factory=list)  # keys holding more than a chunk of rows
 
     @property
     def order(self) -> list[Column]:
-        return [F.col(self.ts).asc_nulls_first()] + [F.col(t).asc_nulls_first() for t in self.tie]
+        # the row hash makes the order total: rows that still tie are identical,
+        # so recomputing a lost task (or the edge branch) cannot swap distinct rows
+        return ([F.col(self.ts).asc_nulls_first()] + [F.col(t).asc_nulls_first() for t in self.tie]
+                + [F.col(HASH)])
+
+    @property
+    def reverse_order(self) -> list[Column]:
+        return ([F.col(self.ts).desc_nulls_last()] + [F.col(t).desc_nulls_last() for t in self.tie]
+                + [F.col(HASH).desc()])
+
+    def order_struct(self) -> Column:
+        return F.struct(*[F.col(self.ts)] + [F.col(t) for t in self.tie] + [F.col(HASH)])
 
     def local_window(self) -> WindowSpec:
         return Window.partitionBy(CHUNK).orderBy(*self.order)
@@ -111,7 +124,7 @@ def chunk(df: DataFrame, ts: str, tie: Sequence[str] = (), *, rows_per_chunk: in
     tie-break quantiles of those timestamps).
     """
     tie = tuple(tie)
-    x = df.withColumn(KEY, epoch_us(df, ts))
+    x = df.withColumn(KEY, epoch_us(df, ts)).withColumn(HASH, F.xxhash64(*[F.col(c) for c in df.columns]))
     n_rows = x.count()
     n_chunks = _target_chunks(df.sparkSession, n_rows, rows_per_chunk)
     if n_chunks <= 1:
@@ -135,7 +148,7 @@ def chunk(df: DataFrame, ts: str, tie: Sequence[str] = (), *, rows_per_chunk: in
             splits = sorted(set(r["q"] or []))
             sub = F.when(F.col(KEY) == F.lit(r[KEY]), _bsearch(F.col(tie[0]), splits)).otherwise(sub)
     cid = F.coalesce(base * F.lit(1 << SUB_BITS) + sub, F.lit(-1).cast("bigint"))
-    return Chunked(x.withColumn(CHUNK, cid), ts, tie, n_rows, len(bounds) + 1, bounds)
+    return Chunked(x.withColumn(CHUNK, cid), ts, tie, n_rows, len(bounds) + 1, bounds, heavy)
 
 
 # --------------------------------------------------------------------------
@@ -210,6 +223,67 @@ def apply_time_frames(c: Chunked, outputs: dict[str, Callable[[WindowSpec], Colu
     return y.select(*[F.col(tmp[k]).alias(k) if k in tmp else F.col(k) for k in order_out])
 
 
+# Time-frame aggregations that decompose into per-timestamp
+# partial states (count, sum, shifted sum of squares, min, max).
+DECOMPOSABLE = ("count", "sum", "mean", "min", "max", "std", "var")
+
+
+def apply_time_frames_preaggregated(c: Chunked, cols: Sequence[str], agg: str, width_us: int,
+                                    keep: Sequence[str]) -> DataFrame:
+    """Time frames when single timestamps hold large shares of the rows.
+
+    Rows that share a timestamp are all inside each other's frame, so the frame
+    value depends only on the timestamp.  Partial states are combined per
+    distinct timestamp first (map-side, so a hot timestamp is pre-aggregated in
+    every task), the frames run over that tie-free table with the usual halo,
+    and the values are joined back by timestamp (AQE splits a skewed join
+    partition).  Sums of squares are taken around each column's mean to avoid
+    cancellation.
+    """
+    if agg not in DECOMPOSABLE:
+        raise ValueError(agg)
+    shift = {}
+    if agg in ("std", "var"):
+        row = c.df.agg(*[F.avg(F.col(x).cast("double")).alias(x) for x in cols]).first()
+        shift = {x: float(row[x] or 0.0) for x in cols}
+    parts = []
+    for i, x in enumerate(cols):
+        v = F.col(x).cast("double")
+        parts += [F.count(x).alias(f"__ss_n{i}"), F.sum(v).alias(f"__ss_s{i}"),
+                  F.min(x).alias(f"__ss_lo{i}"), F.max(x).alias(f"__ss_hi{i}")]
+        if agg in ("std", "var"):
+            y = v - F.lit(shift[x])
+            parts += [F.sum(y).alias(f"__ss_y{i}"), F.sum(y * y).alias(f"__ss_yy{i}")]
+    per_key = c.df.groupBy(KEY).agg(*parts)
+    home = F.coalesce(bucket_of(F.col(KEY), c.bounds), F.lit(-1).cast("bigint"))
+    last = F.coalesce(bucket_of(F.col(KEY) + F.lit(width_us - 1), c.bounds), home)
+    x = per_key.withColumn(HOME, home).withColumn(DST, F.explode(F.sequence(F.col(HOME), F.greatest(F.col(HOME), last))))
+    w = Window.partitionBy(DST).orderBy(F.col(KEY)).rangeBetween(-(width_us - 1), 0)
+    outs = []
+    for i, name in enumerate(cols):
+        n = F.sum(f"__ss_n{i}").over(w)
+        if agg == "count":
+            e = n
+        elif agg == "sum":
+            e = F.when(n >= 1, F.sum(f"__ss_s{i}").over(w))
+        elif agg == "mean":
+            e = F.when(n >= 1, F.sum(f"__ss_s{i}").over(w) / n)
+        elif agg == "min":
+            e = F.min(f"__ss_lo{i}").over(w)
+        elif agg == "max":
+            e = F.max(f"__ss_hi{i}").over(w)
+        else:
+            sy, syy = F.sum(f"__ss_y{i}").over(w), F.sum(f"__ss_yy{i}").over(w)
+            var = F.greatest(F.lit(0.0), syy - sy * sy / n) / (n - 1)
+            e = F.when(n >= 2, var if agg == "var" else F.sqrt(var))
+        outs.append(e.alias(f"__ss_v{i}"))
+    values = x.select(KEY, HOME, DST, *outs).filter(F.col(DST) == F.col(HOME)).drop(HOME, DST)
+    joined = c.df.select(*[k for k in keep if k not in cols], KEY).join(values, KEY, "left")
+    order_out = list(keep) + [k for k in cols if k not in keep]
+    return joined.select(*[F.col(f"__ss_v{cols.index(k)}").alias(k) if k in cols else F.col(k)
+                           for k in order_out])
+
+
 # --------------------------------------------------------------------------
 # unbounded carries (ffill / bfill / interpolate)
 
@@ -242,8 +316,7 @@ def apply_carry(c: Chunked, df: DataFrame, forward: dict[str, Column], backward:
     # "first non-null from here on" as a growing frame over the reversed order:
     # Spark re-aggregates an unbounded-following frame for every row (O(n^2)),
     # a growing frame incrementally (O(n))
-    rev = [F.col(c.ts).desc_nulls_last()] + [F.col(t).desc_nulls_last() for t in c.tie]
-    bwd_w = Window.partitionBy(CHUNK).orderBy(*rev).rowsBetween(Window.unboundedPreceding, 0)
+    bwd_w = Window.partitionBy(CHUNK).orderBy(*c.reverse_order).rowsBetween(Window.unboundedPreceding, 0)
     loc = {f"__ss_p{i}": F.last(e, ignorenulls=True).over(fwd_w) for i, e in enumerate(forward.values())}
     loc.update({f"__ss_n{i}": F.last(e, ignorenulls=True).over(bwd_w) for i, e in enumerate(backward.values())})
     y = df.select("*", *[v.alias(k) for k, v in loc.items()])
@@ -252,7 +325,7 @@ def apply_carry(c: Chunked, df: DataFrame, forward: dict[str, Column], backward:
     if c.n_chunks > 1:
         # per chunk: last non-null of each forward expr, first non-null of each
         # backward expr -> one row per chunk
-        order_key = F.struct(*[F.col(c.ts)] + [F.col(t) for t in c.tie])
+        order_key = c.order_struct()
         aggs = [F.max_by(e, F.when(e.isNotNull(), order_key)).alias(pnames[k]) for k, e in forward.items()]
         aggs += [F.min_by(e, F.when(e.isNotNull(), order_key)).alias(nnames[k]) for k, e in backward.items()]
         per_chunk = df.groupBy(CHUNK).agg(*aggs)

@@ -71,6 +71,8 @@ def rolling_window(df: DataFrame, columns: Sequence[str] | None = None, window:
     if isinstance(window, str):
         width = parse_freq(window)
         chunked = O.chunk(base, ts, tie, rows_per_chunk=rows_per_chunk, split_ties=False)
+        if chunked.heavy and isinstance(agg_func, str) and agg_func in O.DECOMPOSABLE:
+            return O.apply_time_frames_preaggregated(chunked, cols, agg_func, width, keep)
 
         def out(col):
             def fn(w: WindowSpec) -> Column:

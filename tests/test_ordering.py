@@ -120,3 +120,22 @@ def test_heavy_timestamp_is_split(spark):
     w = Window.orderBy("ts", "id").rowsBetween(-4, 0)
     ref = df.select("ts", "id", F.when(F.count("v").over(w) >= 5, F.sum("v").over(w)).alias("v"))
     same(got, ref, key=("ts", "id"))
+
+
+@pytest.mark.parametrize("agg", ["sum", "count", "mean", "std", "min"])
+def test_heavy_timestamp_time_frames(spark, agg):
+    # one timestamp holds half the rows: frames are computed per distinct
+    # timestamp and joined back instead of copying the hot rows around
+    t0 = datetime(2024, 1, 1)
+    rows = [(t0 + timedelta(seconds=i), i, float(i % 23) if i % 5 else None) for i in range(2000)]
+    rows += [(t0 + timedelta(seconds=700), 10_000 + i, float(i % 13)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, id bigint, v double")
+    c = O.chunk(df, "ts", ["id"], rows_per_chunk=400, split_ties=False)
+    assert c.heavy
+    got = rolling_window(df, ["v"], "90s", agg, ts="ts", tie=["id"], rows_per_chunk=400)
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+    w = Window.orderBy(us).rangeBetween(-(90 * 10**6 - 1), 0)
+    fn = {"sum": F.sum, "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min}[agg]
+    val = fn("v").over(w) if agg == "count" else F.when(F.count("v").over(w) >= 1, fn("v").over(w))
+    ref = df.select("ts", "id", val.alias("v"))
+    same(got, ref, key=("ts", "id"))
