@@ -51,7 +51,10 @@ def epoch_us(df: DataFrame, name: str) -> Column:
     dt = field_type(df, name)
     col = F.col(name)
     if isinstance(dt, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", epoch_ntz(), col)
+        # NTZ - NTZ is a day-time interval computed on the wall clock alone;
+        # timestamp_diff would pass through the session time zone (DST gaps)
+        seconds = (col - epoch_ntz()).cast("interval second").cast("decimal(24,6)")
+        return (seconds * F.lit(1_000_000)).cast("bigint")
     if isinstance(dt, T.TimestampType):
         return F.unix_micros(col)
     if isinstance(dt, T.DateType):
@@ -64,7 +67,8 @@ def epoch_us(df: DataFrame, name: str) -> Column:
 def from_epoch_us(us: Column, like: T.DataType) -> Column:
     """Inverse of :func:`epoch_us` for a timestamp type."""
     if isinstance(like, T.TimestampNTZType):
-        return F.timestamp_add("MICROSECOND", us, epoch_ntz())
+        seconds = us.cast("decimal(24,0)") / F.lit(1_000_000)
+        return epoch_ntz() + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
     if isinstance(like, T.TimestampType):
         return F.timestamp_micros(us)
     raise TypeError(f"not a timestamp type: {like.simpleString()}")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
-from sparkseries.functions.columns import epoch_us, nan_to_null
+from sparkseries.functions.columns import epoch_us, from_epoch_us, nan_to_null
 from sparkseries.session import scratch_path
 
 # Formats tried, in order, when a string column is probed for
@@ -108,9 +108,8 @@ def _read_nanos(spark: SparkSession, path: str) -> DataFrame:
     spark.conf.set(NANOS_CONF, "true")
     df = spark.read.parquet(path)
     ns_cols = _nanos_columns(path)
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return df.select(*[
-        F.timestamp_add("MICROSECOND", F.expr(f"`{c}` div 1000"), epoch).alias(c)
+        from_epoch_us(F.expr(f"`{c}` div 1000"), T.TimestampNTZType()).alias(c)
         if c in ns_cols else F.col(c) for c in df.columns])
 
 
