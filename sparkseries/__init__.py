@@ -1,5 +1,13 @@
 """sparkseries: time-series analysis of Parquet tables as lazy Spark DataFrame plans."""
 
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Ship this package's Python code inside the pickled UDFs, so executors need
+# not have it installed (or on their path) for the few pandas UDFs it uses.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 from sparkseries.functions import spark_agg
 from sparkseries.operators import *  # noqa: F403
 from sparkseries.operators import __all__ as _ops

@@ -158,43 +158,57 @@ def chunk(df: DataFrame, ts: str, tie: Sequence[str] = (), *, rows_per_chunk: in
 @dataclass
 class RowOutput:
     """One output column: ``fn(window)`` over a row frame looking back ``pre``
-    rows and ahead ``post`` rows (at most)."""
+    rows and ahead ``post`` rows (at most).  ``python`` marks a pandas UDF."""
 
     name: str
     fn: Callable[[WindowSpec], Column]
     pre: int = 0
     post: int = 0
+    python: bool = False
 
 
 def apply_row_frames(c: Chunked, outputs: Sequence[RowOutput], keep: Sequence[str]) -> DataFrame:
-    """Evaluate row-frame outputs per chunk and fix up rows near chunk edges."""
-    tmp = {o.name: internal("out_" + str(i)) for i, o in enumerate(outputs)}
+    """Evaluate row-frame outputs per chunk and fix up rows near chunk edges.
+
+    With ``P`` = the longest look-back and ``Q`` = the longest look-ahead, a
+    row whose frame may leave its chunk is one of the first ``P`` or last
+    ``Q`` rows of the chunk (the *zone*).  The *edge set* -- the first and
+    last ``P + Q`` rows of every chunk -- contains every zone row's whole
+    frame, also across small chunks, so evaluating the outputs over the edge
+    set in global order is exact for zone rows.  Rows outside the zone keep
+    their chunk-local values.  The edge set has at most ``2 (P + Q)`` rows per
+    chunk, so its global window is over a bounded table.
+    """
     wl = c.local_window()
-    x = c.df.withColumn(RN, F.row_number().over(wl)).withColumn(
-        CNT, F.count(F.lit(1)).over(Window.partitionBy(CHUNK)))
-    src = list(dict.fromkeys(c.user_columns()))
-    y = x.select(*src, CHUNK, RN, CNT, *[o.fn(wl).alias(tmp[o.name]) for o in outputs])
+    x = c.df
+    if c.n_chunks > 1 and any(o.python for o in outputs):
+        # Python windows are the slow part: one chunk per task, and AQE must
+        # not merge them (an explicit range repartition is never coalesced)
+        x = x.repartitionByRange(c.n_chunks, CHUNK)
+    x = x.withColumn(RN, F.row_number().over(wl)).withColumn(CNT, F.count(F.lit(1)).over(Window.partitionBy(CHUNK)))
+    src = c.user_columns()
     order_out = list(keep) + [o.name for o in outputs if o.name not in keep]
+    tmp = {o.name: internal("out_" + str(i)) for i, o in enumerate(outputs)}
+
+    def evaluate(d: DataFrame, w: WindowSpec) -> DataFrame:
+        got = d.select(*src, RN, CNT, *[o.fn(w).alias(tmp[o.name]) for o in outputs])
+        return got
 
     def project(d: DataFrame) -> DataFrame:
         cols = {o.name: F.col(tmp[o.name]).alias(o.name) for o in outputs}
         return d.select(*[cols.get(k, F.col(k)) for k in order_out])
 
-    if c.n_chunks <= 1:
-        return project(y)
-    h = max([o.pre for o in outputs] + [o.post for o in outputs] + [0])
-    if h == 0:
-        return project(y)
-    edge_cond = (F.col(RN) <= h) | (F.col(RN) > F.col(CNT) - h)
-    # The edge set holds at most 2*h rows per chunk: a bounded table, so a
-    # global window over it is cheap.
+    pre = max([o.pre for o in outputs] + [0])
+    post = max([o.post for o in outputs] + [0])
+    if c.n_chunks <= 1 or pre + post == 0:
+        return project(evaluate(x, wl))
+    zone = (F.col(RN) <= pre) | (F.col(RN) > F.col(CNT) - post)
+    reach = pre + post
+    edge = x.filter((F.col(RN) <= reach) | (F.col(RN) > F.col(CNT) - reach))
     wg = Window.orderBy(F.col(CHUNK), F.col(RN))
-    edge = y.filter(edge_cond)
-    fixed = edge.select(
-        *src, CHUNK, RN, CNT,
-        *[F.when((F.col(RN) <= o.pre) | (F.col(RN) > F.col(CNT) - o.post), o.fn(wg))
-          .otherwise(F.col(tmp[o.name])).alias(tmp[o.name]) for o in outputs])
-    return project(y.filter(~edge_cond)).unionByName(project(fixed))
+    inner = project(evaluate(x, wl).filter(~zone))
+    fixed = project(evaluate(edge.select(*src, CHUNK, RN, CNT), wg).filter(zone))
+    return inner.unionByName(fixed)
 
 
 # --------------------------------------------------------------------------

@@ -95,5 +95,6 @@ def rolling_window(df: DataFrame, columns: Sequence[str] | None = None, window:
                 return F.when(rows >= n, F.count(F.col(col)).over(frame))
             return _frame_value(agg_func, col, frame, F.count(F.col(col)).over(frame) >= n)
         return fn
-    outs = [O.RowOutput(c, row_out(c), pre=n - 1) for c in cols]
+    python = callable(agg_func) and not isinstance(agg_func, (str, spark_agg))
+    outs = [O.RowOutput(c, row_out(c), pre=n - 1, python=python) for c in cols]
     return O.apply_row_frames(chunked, outs, keep)
