@@ -40,11 +40,12 @@ def timed(fn) -> float:
 
 
 def replicated(spark, sf: str, copies: int):
-    e = events(spark, sf)
+    # spread the (small) source first so the copies are generated by every core
+    e = events(spark, sf).repartition(spark.sparkContext.defaultParallelism * 2)
     k = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("__copy")
     x = e.select("*", k)
     return x.select(
-        (F.col("event_id") + F.col("__copy") * F.lit(10**9)).alias("event_id"),
+        (F.col("event_id") + F.col("__copy").cast("bigint") * F.lit(10**9)).alias("event_id"),
         F.timestamp_add("DAY", F.col("__copy") * 30, F.col("ts")).alias("ts"),
         "user_id", "event_type", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
 

@@ -52,6 +52,7 @@ SUB_LAST = (1 << SUB_BITS) - 1
 DEFAULT_ROWS_PER_CHUNK = 1_000_000
 MIN_ROWS_PER_CHUNK = 1_000
 MAX_CHUNKS = 100_000
+RANGE_PARTITION = True
 
 
 @dataclass
@@ -181,9 +182,10 @@ def apply_row_frames(c: Chunked, outputs: Sequence[RowOutput], keep: Sequence[st
     """
     wl = c.local_window()
     x = c.df
-    if c.n_chunks > 1 and any(o.python for o in outputs):
-        # Python windows are the slow part: one chunk per task, and AQE must
-        # not merge them (an explicit range repartition is never coalesced)
+    if c.n_chunks > 1 and (RANGE_PARTITION or any(o.python for o in outputs)):
+        # one chunk per task: hashing a few chunk ids into partitions puts two
+        # chunks into some tasks, and AQE must not merge Python-heavy tasks
+        # (an explicit range repartition is never coalesced)
         x = x.repartitionByRange(c.n_chunks, CHUNK)
     x = x.withColumn(RN, F.row_number().over(wl)).withColumn(CNT, F.count(F.lit(1)).over(Window.partitionBy(CHUNK)))
     src = c.user_columns()
