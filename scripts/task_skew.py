@@ -59,6 +59,7 @@ def main() -> None:
     spark.stop()
     # stage -> task durations, grouped by job group
     stages: dict[int, list[int]] = {}
+    records: dict[int, list[int]] = {}
     group_of: dict[int, str] = {}
     files = [p for p in glob.glob(os.path.join(logdir, "**", "*"), recursive=True) if os.path.isfile(p)]
     for path in sorted(files):
@@ -75,14 +76,21 @@ def main() -> None:
                         group_of[sid] = g
                 elif kind == "SparkListenerTaskEnd":
                     info = ev["Task Info"]
+                    m = ev.get("Task Metrics") or {}
+                    recs = ((m.get("Shuffle Read Metrics") or {}).get("Total Records Read", 0)
+                            + (m.get("Input Metrics") or {}).get("Records Read", 0))
                     stages.setdefault(ev["Stage ID"], []).append(info["Finish Time"] - info["Launch Time"])
+                    records.setdefault(ev["Stage ID"], []).append(recs)
     for sid, times in sorted(stages.items()):
         g = group_of.get(sid)
         if g in report and len(times) > 1:
             worst = report[g].setdefault("worst_stage", {"tasks": 0, "max_ms": 0, "median_ms": 0})
             if max(times) > worst["max_ms"]:
+                recs = records.get(sid, [0])
                 report[g]["worst_stage"] = {"stage": sid, "tasks": len(times), "max_ms": max(times),
-                                            "median_ms": int(statistics.median(times))}
+                                            "median_ms": int(statistics.median(times)),
+                                            "max_records": max(recs),
+                                            "median_records": int(statistics.median(recs))}
     print(json.dumps({"rows": copies * spark_rows(sf), "copies": copies, "ops": report}, indent=1))
 
 

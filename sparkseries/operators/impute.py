@@ -64,7 +64,7 @@ def _interpolate(df: DataFrame, ts: str, tie: Sequence[str], limit: int | None,
     by_time = is_time_type(df.schema[ts].dataType)
     chunked = O.chunk(df, ts, tie, rows_per_chunk=rows_per_chunk)
     need_idx = (not by_time) or limit is not None
-    base = O.with_row_index(chunked) if need_idx else chunked.df
+    base, placed_by = O.with_row_index(chunked) if need_idx else (chunked.df, None)
     pos = F.col(O.KEY) if by_time else F.col(O.IDX)
     idx = F.col(O.IDX) if need_idx else F.lit(0)
 
@@ -92,6 +92,6 @@ def _interpolate(df: DataFrame, ts: str, tie: Sequence[str], limit: int | None,
                 value = F.when(F.col(col).isNotNull() | (idx - p0["i"] <= limit), value)
             out.append(value.alias(col))
         return out
-    return O.apply_carry(chunked, base, forward, backward, combine)
+    return O.apply_carry(chunked, base, forward, backward, combine, placed_by)
 
 

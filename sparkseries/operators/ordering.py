@@ -45,6 +45,7 @@ RN = internal("rn")
 CNT = internal("cnt")
 IDX = internal("idx")
 HASH = internal("hash")
+PART = internal("part")
 
 SUB_BITS = 20
 SUB_LAST = (1 << SUB_BITS) - 1
@@ -52,7 +53,6 @@ SUB_LAST = (1 << SUB_BITS) - 1
 DEFAULT_ROWS_PER_CHUNK = 1_000_000
 MIN_ROWS_PER_CHUNK = 1_000
 MAX_CHUNKS = 100_000
-RANGE_PARTITION = True
 
 
 @dataclass
@@ -66,6 +66,9 @@ class Chunked:
     n_chunks: int
     bounds: list[int] = field(default_factory=list)  # distinct key bounds, ascending
     heavy: list[int] = field(default_factory=list)  # keys holding more than a chunk of rows
+    # slots[i]: a bigint whose Spark hash lands in partition i of n_chunks;
+    # None when heavy timestamps were split into sub-chunks
+    slots: list[int] | None = None
 
     @property
     def order(self) -> list[Column]:
@@ -82,8 +85,28 @@ class Chunked:
     def order_struct(self) -> Column:
         return F.struct(*[F.col(self.ts)] + [F.col(t) for t in self.tie] + [F.col(HASH)])
 
-    def local_window(self) -> WindowSpec:
-        return Window.partitionBy(CHUNK).orderBy(*self.order)
+    def local_window(self, key: str = CHUNK) -> WindowSpec:
+        return Window.partitionBy(key).orderBy(*self.order)
+
+    def place(self, df: DataFrame, index: Column | None = None, by: str = CHUNK) -> tuple[DataFrame, str]:
+        """Put chunk ``index`` (0..n_chunks-1) into partition ``index``: one chunk per task.
+
+        Returns the frame and the column to partition windows by.  Hashing a
+        few chunk ids would put two chunks into some tasks; instead each chunk
+        gets a partition value whose hash is its own index.  An explicit
+        repartition is never coalesced by AQE.  Without slots (sub-chunks of
+        hot timestamps) a range repartition on the chunk id is used.
+        """
+        if self.n_chunks <= 1:
+            return df, by
+        if self.slots is None:
+            return df.repartitionByRange(self.n_chunks, by), by
+        if index is None:
+            index = F.shiftright(F.col(CHUNK), SUB_BITS)
+        # bigint like the ids the slots were hashed as (an int hashes differently)
+        slots = F.array(*[F.lit(v) for v in self.slots]).cast("array<bigint>")
+        part = F.element_at(slots, F.greatest(index, F.lit(0)).cast("int") + 1)
+        return df.withColumn(PART, part).repartition(len(self.slots), PART), PART
 
     def user_columns(self) -> list[str]:
         return [c for c in self.df.columns if not c.startswith("__ss_")]
@@ -111,8 +134,12 @@ def _target_chunks(spark, n_rows: int, rows_per_chunk: int | None) -> int:
     per = rows_per_chunk or DEFAULT_ROWS_PER_CHUNK
     n = math.ceil(n_rows / per)
     if rows_per_chunk is None:
+        cores = spark.sparkContext.defaultParallelism
         # use every core on small inputs too, but keep chunks meaningful
-        n = max(n, min(spark.sparkContext.defaultParallelism, n_rows // MIN_ROWS_PER_CHUNK))
+        n = max(n, min(cores, n_rows // MIN_ROWS_PER_CHUNK))
+        if cores < n < 8 * cores:
+            # few chunks per core: a whole number of waves avoids a lone tail
+            n = min(math.ceil(n / cores) * cores, max(1, n_rows // MIN_ROWS_PER_CHUNK))
     return int(max(1, min(n, MAX_CHUNKS)))
 
 
@@ -139,7 +166,8 @@ def chunk(df: DataFrame, ts: str, tie: Sequence[str] = (), *, rows_per_chunk: in
     heavy = sorted({v for v in raw if raw.count(v) >= 2})
     sub = F.lit(SUB_LAST)
     tie_type = df.schema[tie[0]].dataType if tie else None
-    if split_ties and heavy and isinstance(tie_type, T.NumericType):
+    split = split_ties and heavy and isinstance(tie_type, T.NumericType)
+    if split:
         reps = max(raw.count(v) for v in heavy) + 1
         sub_probs = [i / reps for i in range(1, reps)]
         rows = (x.filter(F.col(KEY).isin(heavy)).groupBy(KEY)
@@ -149,7 +177,17 @@ def chunk(df: DataFrame, ts: str, tie: Sequence[str] = (), *, rows_per_chunk: in
             splits = sorted(set(r["q"] or []))
             sub = F.when(F.col(KEY) == F.lit(r[KEY]), _bsearch(F.col(tie[0]), splits)).otherwise(sub)
     cid = F.coalesce(base * F.lit(1 << SUB_BITS) + sub, F.lit(-1).cast("bigint"))
-    return Chunked(x.withColumn(CHUNK, cid), ts, tie, n_rows, len(bounds) + 1, bounds, heavy)
+    n = len(bounds) + 1
+    slots = None if split else _slots(df.sparkSession, n)
+    return Chunked(x.withColumn(CHUNK, cid), ts, tie, n_rows, n, bounds, heavy, slots)
+
+
+def _slots(spark, n: int) -> list[int] | None:
+    """For each partition index i < n, a bigint whose Spark hash lands in partition i."""
+    rows = (spark.range(0, 64 * n).select("id", F.pmod(F.hash(F.col("id")), F.lit(n)).alias("p"))
+            .groupBy("p").agg(F.min("id").alias("v")).collect())
+    got = {r["p"]: r["v"] for r in rows}
+    return [got[i] for i in range(n)] if len(got) == n else None
 
 
 # --------------------------------------------------------------------------
@@ -180,14 +218,9 @@ def apply_row_frames(c: Chunked, outputs: Sequence[RowOutput], keep: Sequence[st
     their chunk-local values.  The edge set has at most ``2 (P + Q)`` rows per
     chunk, so its global window is over a bounded table.
     """
-    wl = c.local_window()
-    x = c.df
-    if c.n_chunks > 1 and (RANGE_PARTITION or any(o.python for o in outputs)):
-        # one chunk per task: hashing a few chunk ids into partitions puts two
-        # chunks into some tasks, and AQE must not merge Python-heavy tasks
-        # (an explicit range repartition is never coalesced)
-        x = x.repartitionByRange(c.n_chunks, CHUNK)
-    x = x.withColumn(RN, F.row_number().over(wl)).withColumn(CNT, F.count(F.lit(1)).over(Window.partitionBy(CHUNK)))
+    x, key = c.place(c.df)
+    wl = c.local_window(key)
+    x = x.withColumn(RN, F.row_number().over(wl)).withColumn(CNT, F.count(F.lit(1)).over(Window.partitionBy(key)))
     src = c.user_columns()
     order_out = list(keep) + [o.name for o in outputs if o.name not in keep]
     tmp = {o.name: internal("out_" + str(i)) for i, o in enumerate(outputs)}
@@ -220,9 +253,9 @@ def apply_row_frames(c: Chunked, outputs: Sequence[RowOutput], keep: Sequence[st
 def apply_time_frames(c: Chunked, outputs: dict[str, Callable[[WindowSpec], Column]],
                       width_us: int, keep: Sequence[str]) -> DataFrame:
     """Evaluate outputs over the frame ``(t - width, t]`` of every row."""
-    w = Window.partitionBy(DST).orderBy(F.col(KEY)).rangeBetween(-(width_us - 1), 0)
     # time frames use the plain key bounds: rows sharing a timestamp stay together
     home = F.coalesce(bucket_of(F.col(KEY), c.bounds), F.lit(-1).cast("bigint"))
+    key = DST
     if c.n_chunks <= 1:
         x = c.df.withColumn(HOME, home).withColumn(DST, F.col(HOME))
     else:
@@ -231,6 +264,8 @@ def apply_time_frames(c: Chunked, outputs: dict[str, Callable[[WindowSpec], Colu
         last = F.coalesce(bucket_of(F.col(KEY) + F.lit(width_us - 1), c.bounds), home)
         x = c.df.withColumn(HOME, home).withColumn(
             DST, F.explode(F.sequence(F.col(HOME), F.greatest(F.col(HOME), last))))
+        x, key = c.place(x, F.col(DST), by=DST)
+    w = Window.partitionBy(key).orderBy(F.col(KEY)).rangeBetween(-(width_us - 1), 0)
     tmp = {k: internal("out_" + str(i)) for i, k in enumerate(outputs)}
     y = x.select(*[F.col(k) for k in c.user_columns()], HOME, DST,
                  *[fn(w).alias(tmp[k]) for k, fn in outputs.items()])
@@ -304,8 +339,9 @@ def apply_time_frames_preaggregated(c: Chunked, cols: Sequence[str], agg: str, w
 # unbounded carries (ffill / bfill / interpolate)
 
 
-def with_row_index(c: Chunked) -> DataFrame:
-    """``c.df`` plus ``IDX``: the 0-based global position in ``(ts, *tie)`` order.
+def with_row_index(c: Chunked) -> tuple[DataFrame, str]:
+    """``c.df`` placed one chunk per task, plus ``IDX``: the 0-based global
+    position in ``(ts, *tie)`` order.  Returns the frame and its window key.
 
     Positions come from per-chunk counts (one row per chunk, prefix-summed on
     that tiny table and broadcast) plus the row number inside the chunk.
@@ -314,13 +350,14 @@ def with_row_index(c: Chunked) -> DataFrame:
     offsets = counts.select(
         CHUNK, (F.sum(CNT).over(Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)))
         .alias("__ss_off"))
-    x = c.df.join(F.broadcast(offsets), CHUNK, "left")
-    rn = F.row_number().over(c.local_window())
-    return x.withColumn(IDX, F.coalesce(F.col("__ss_off"), F.lit(0)) + rn - 1).drop("__ss_off")
+    placed, key = c.place(c.df.join(F.broadcast(offsets), CHUNK, "left"))
+    rn = F.row_number().over(c.local_window(key))
+    return placed.withColumn(IDX, F.coalesce(F.col("__ss_off"), F.lit(0)) + rn - 1).drop("__ss_off"), key
 
 
 def apply_carry(c: Chunked, df: DataFrame, forward: dict[str, Column], backward: dict[str, Column],
-                combine: Callable[[dict[str, Column], dict[str, Column]], list[Column]]) -> DataFrame:
+                combine: Callable[[dict[str, Column], dict[str, Column]], list[Column]],
+                placed_by: str | None = None) -> DataFrame:
     """Chunk-local running values completed with carries from other chunks.
 
     ``forward[name]`` is an expression whose last non-null value up to the
@@ -328,14 +365,16 @@ def apply_carry(c: Chunked, df: DataFrame, forward: dict[str, Column], backward:
     from the current row on is wanted.  ``combine(prev, next)`` builds the
     output columns from the completed running values.
     """
-    fwd_w = c.local_window().rowsBetween(Window.unboundedPreceding, 0)
+    # ``placed_by``: df is already placed one chunk per task (with_row_index)
+    placed, key = (df, placed_by) if placed_by else c.place(df)
+    fwd_w = c.local_window(key).rowsBetween(Window.unboundedPreceding, 0)
     # "first non-null from here on" as a growing frame over the reversed order:
     # Spark re-aggregates an unbounded-following frame for every row (O(n^2)),
     # a growing frame incrementally (O(n))
-    bwd_w = Window.partitionBy(CHUNK).orderBy(*c.reverse_order).rowsBetween(Window.unboundedPreceding, 0)
+    bwd_w = Window.partitionBy(key).orderBy(*c.reverse_order).rowsBetween(Window.unboundedPreceding, 0)
     loc = {f"__ss_p{i}": F.last(e, ignorenulls=True).over(fwd_w) for i, e in enumerate(forward.values())}
     loc.update({f"__ss_n{i}": F.last(e, ignorenulls=True).over(bwd_w) for i, e in enumerate(backward.values())})
-    y = df.select("*", *[v.alias(k) for k, v in loc.items()])
+    y = placed.select("*", *[v.alias(k) for k, v in loc.items()])
     pnames = {name: f"__ss_p{i}" for i, name in enumerate(forward)}
     nnames = {name: f"__ss_n{i}" for i, name in enumerate(backward)}
     if c.n_chunks > 1:

@@ -139,3 +139,12 @@ def test_heavy_timestamp_time_frames(spark, agg):
     val = fn("v").over(w) if agg == "count" else F.when(F.count("v").over(w) >= 1, fn("v").over(w))
     ref = df.select("ts", "id", val.alias("v"))
     same(got, ref, key=("ts", "id"))
+
+
+def test_one_chunk_per_task(spark):
+    df = spark.read.parquet(EVENTS)
+    c = O.chunk(df, "ts", ["event_id"], rows_per_chunk=1000)
+    placed, key = c.place(c.df)
+    assert key == O.PART
+    per_task = placed.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct(O.CHUNK).alias("k")).collect()
+    assert len(per_task) == c.n_chunks and all(r["k"] == 1 for r in per_task)
