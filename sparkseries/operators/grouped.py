@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkseries.functions.aggs import agg_expr, normalize
+from sparkseries.operators.quantiles import grouped_quantile
 
 
 def custom_aggregate(df: DataFrame, groupby: str | Sequence[str], agg_dict: dict, *,
@@ -26,4 +27,20 @@ def custom_aggregate(df: DataFrame, groupby: str | Sequence[str], agg_dict: dict
     for k in keys:
         cond = F.col(k).isNotNull() if cond is None else cond & F.col(k).isNotNull()
     src = df.filter(cond) if cond is not None else df
-    return src.groupBy(*keys).agg(*[agg_expr(s, ordering) for s in specs])
+    return aggregate_groups(src, keys, specs, ordering)
+
+
+def aggregate_groups(src: DataFrame, keys: list[str], specs, ordering=None) -> DataFrame:
+    """``groupBy(keys)`` with every spec; medians take the bounded-memory path.
+
+    Spark's exact ``percentile`` would merge all distinct values of a group in
+    one task, so each median is computed by :func:`grouped_quantile` and joined
+    on the keys (both sides have one row per group).
+    """
+    med = [s for s in specs if s.func == "median"]
+    rest = [s for s in specs if s.func != "median"]
+    out = (src.groupBy(*keys).agg(*[agg_expr(s, ordering) for s in rest]) if rest
+           else src.select(*keys).distinct())
+    for s in med:
+        out = out.join(grouped_quantile(src, keys, s.column, 0.5, s.out), keys, "left")
+    return out.select(*keys, *[s.out for s in specs])

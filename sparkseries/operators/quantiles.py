@@ -153,3 +153,66 @@ def _select(d: DataFrame, targets: list[_Target]) -> dict[tuple[int, int], float
             for rank in (t.lo_rank, t.hi_rank):
                 out[(id(t), rank)] = found[(g, rank - below + 1)]
     return out
+
+
+def grouped_quantile(df: DataFrame, keys: Sequence[str], column: str, q: float, out: str, *,
+                     max_select: int = DEFAULT_MAX_SELECT) -> DataFrame:
+    """Exact linear-interpolated quantile of ``column`` per group: ``keys..., out``.
+
+    The per-group form of :func:`exact_quantiles`, without ever holding a
+    group in one task: every group's bracket lives in a table (one row per
+    group), each round joins it to the rows, counts values per (group, bucket)
+    with map-side partial aggregation -- so a hot group is spread over
+    ``BUCKETS`` buckets -- and narrows every bracket with a window over at most
+    ``BUCKETS`` rows per group.  When each open bracket holds at most
+    ``max_select`` rows, those rows are ranked per group and the two order
+    statistics interpolated.  The bracket table is checkpointed to the shared
+    folder between rounds.  Groups whose values are all NULL get NULL.
+    """
+    from sparkseries.session import shared_dir
+
+    spark = df.sparkSession
+    shared_dir(spark)  # make sure checkpoint() has a shared folder
+    keys = list(keys)
+    d = df.select(*keys, F.col(column).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    h = (F.col("n") - 1) * F.lit(float(q))
+    g = (d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+         .select(*keys, "n", "lo", "hi", F.floor(h).cast("bigint").alias("r_lo"), F.ceil(h).cast("bigint").alias("r_hi"),
+                 (h - F.floor(h)).alias("frac"), F.lit(0).cast("bigint").alias("below"),
+                 F.col("n").alias("inside")))
+    open_ = (F.col("lo") < F.col("hi")) & (F.col("inside") > max_select)
+    while g.filter(open_).limit(1).count():
+        act = g.filter(open_)
+        j = d.join(act.select(*keys, "lo", "hi"), keys).filter(F.col("__v").between(F.col("lo"), F.col("hi")))
+        b = F.least(((F.col("__v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(float(BUCKETS)))
+                    .cast("int"), F.lit(BUCKETS - 1))
+        hist = j.groupBy(*keys, b.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("__v").alias("mn"),
+                                                  F.max("__v").alias("mx"))
+        w = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        hist = (hist.join(act.select(*keys, "below", "r_lo", "r_hi"), keys)
+                .withColumn("start", F.col("below") + F.coalesce(F.sum("c").over(w), F.lit(0)))
+                .withColumn("end", F.col("start") + F.col("c")))
+        at_lo, at_hi = F.col("end") > F.col("r_lo"), F.col("end") > F.col("r_hi")
+        step = hist.groupBy(*keys).agg(
+            F.min_by("mn", F.when(at_lo, F.col("b"))).alias("lo2"),
+            F.min_by("start", F.when(at_lo, F.col("b"))).alias("below2"),
+            F.min_by("mx", F.when(at_hi, F.col("b"))).alias("hi2"),
+            F.min_by("end", F.when(at_hi, F.col("b"))).alias("end2"))
+        g = (g.join(step, keys, "left")
+             .select(*keys, "n", F.coalesce("lo2", "lo").alias("lo"), F.coalesce("hi2", "hi").alias("hi"),
+                     "r_lo", "r_hi", "frac", F.coalesce("below2", "below").alias("below"),
+                     F.coalesce(F.col("end2") - F.col("below2"), F.col("inside")).alias("inside"))
+             .checkpoint())
+    # rank the few rows left inside each open bracket
+    rest = g.filter(F.col("lo") < F.col("hi"))
+    j = d.join(rest.select(*keys, "lo", "hi", "below", "r_lo", "r_hi"), keys).filter(
+        F.col("__v").between(F.col("lo"), F.col("hi")))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__v")) + F.col("below") - 1
+    picks = (j.withColumn("rank", rank).filter((F.col("rank") == F.col("r_lo")) | (F.col("rank") == F.col("r_hi")))
+             .groupBy(*keys).agg(F.min_by("__v", F.when(F.col("rank") == F.col("r_lo"), F.col("rank"))).alias("a"),
+                                 F.min_by("__v", F.when(F.col("rank") == F.col("r_hi"), F.col("rank"))).alias("z")))
+    res = g.join(picks, keys, "left").select(
+        *keys, F.when(F.col("lo") == F.col("hi"), F.col("lo"))
+        .otherwise(F.col("a") + (F.col("z") - F.col("a")) * F.col("frac")).alias(out))
+    # groups without any non-NULL value
+    return df.select(*keys).distinct().join(res, keys, "left")

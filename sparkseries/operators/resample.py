@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sparkseries.functions.aggs import AggSpec, agg_expr, is_not_null_on_empty, normalize
 from sparkseries.functions.columns import epoch_us, from_epoch_us, internal, resolve_columns
 from sparkseries.functions.freq import DAY_US, divides_day, parse_freq
+from sparkseries.operators.grouped import aggregate_groups
 
 BUCKET = internal("bucket")
 
@@ -73,7 +74,7 @@ def resample(df: DataFrame, freq, agg_func="mean", *, ts: str, columns: Sequence
     specs = normalize(agg_func, cols)
     order = F.struct(*[F.col(ts)] + [F.col(t) for t in tie])
     b, step = _bucketed(df, ts, freq)
-    agg = b.groupBy(BUCKET).agg(*[agg_expr(s, order) for s in specs])
+    agg = aggregate_groups(b, [BUCKET], specs, order)
     outs = [s.out for s in specs]
     if specs and all(is_not_null_on_empty(s) for s in specs):
         agg = spine(agg, step).join(agg, BUCKET, "left").select(
