@@ -12,10 +12,11 @@ Three execution patterns are built on the chunks, each with exactly one
 shuffle of the row data (by chunk):
 
 * bounded row frames (rolling by rows, lag/lead, diff, limited fill):
-  ``apply_row_frames``.  Rows whose frame crosses a chunk boundary are the
-  first/last ``h`` rows of a chunk; only those are re-evaluated over the
-  small *edge set* (at most ``2*h`` rows per chunk) in global order and unioned
-  back.  No join, no broadcast of row data.
+  ``apply_row_frames``.  Rows whose frame may cross a chunk boundary are the
+  first ``P`` / last ``Q`` rows of a chunk (longest look-back / look-ahead);
+  only those are re-evaluated over the small *edge set* (the first and last
+  ``P + Q`` rows of every chunk) in global order and unioned back.  No join,
+  no broadcast of row data.
 * bounded time frames (rolling by a time offset): ``apply_time_frames``.  A
   row is also sent to the following chunks whose first timestamps lie within
   the window after it (a halo), then every chunk evaluates its own rows.
