@@ -336,6 +336,72 @@ def apply_time_frames_preaggregated(c: Chunked, cols: Sequence[str], agg: str, w
                            for k in order_out])
 
 
+# Time-frame aggregations computable from prefix sums.
+PREFIX_AGGS = ("count", "sum", "mean")
+
+
+def halo_amplification(c: Chunked, width_us: int) -> float:
+    """Rows copied per input row by the halo plan: 1 + window / typical chunk span."""
+    if c.n_chunks <= 1 or len(c.bounds) < 2:
+        return 1.0
+    spans = sorted(b - a for a, b in zip(c.bounds, c.bounds[1:]))
+    return 1.0 + width_us / max(1, spans[len(spans) // 2])
+
+
+def apply_time_frames_prefix(c: Chunked, cols: Sequence[str], agg: str, width_us: int,
+                             keep: Sequence[str]) -> DataFrame:
+    """Time frames as differences of prefix sums, for windows much wider than a chunk.
+
+    The frame value of a row depends only on its timestamp ``t``:
+    ``C(t) - C(t - w)``, where ``C(x)`` sums the partial states of all rows
+    with key <= x.  Partial states are first combined per distinct key
+    (map-side).  Then one chunked running-sum pass runs over those keys plus one
+    *probe* per key at ``t - w`` (ordered after equal keys, so it sees them),
+    with chunk totals carried across chunks on a one-row-per-chunk table.  Each
+    probe is joined back to its key, and the keys to the rows.  The work does
+    not grow with the window width, unlike the halo plan, which copies every
+    row into all chunks its window reaches.
+    """
+    if agg not in PREFIX_AGGS:
+        raise ValueError(agg)
+    parts = []
+    for i, x in enumerate(cols):
+        parts += [F.count(x).cast("double").alias(f"__ss_n{i}"),
+                  F.coalesce(F.sum(F.col(x).cast("double")), F.lit(0.0)).alias(f"__ss_s{i}")]
+    names = [f"__ss_{k}{i}" for i in range(len(cols)) for k in ("n", "s")]
+    per_key = c.df.groupBy(KEY).agg(*parts)
+    flag = internal("probe")
+    origin = internal("origin")
+    data = per_key.select(KEY, F.lit(0).alias(flag), F.col(KEY).alias(origin), *names)
+    probes = per_key.select((F.col(KEY) - F.lit(width_us)).alias(KEY), F.lit(1).alias(flag),
+                            F.col(KEY).alias(origin), *[F.lit(0.0).alias(n) for n in names])
+    both = data.unionByName(probes)
+    both = both.withColumn(CHUNK, F.coalesce(bucket_of(F.col(KEY), c.bounds), F.lit(-1).cast("bigint")))
+    placed, key = c.place(both, F.col(CHUNK), by=CHUNK)
+    run = Window.partitionBy(key).orderBy(KEY, flag).rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.select(KEY, flag, origin, CHUNK, *[F.sum(n).over(run).alias(n) for n in names])
+    totals = both.groupBy(CHUNK).agg(*[F.sum(n).alias(n) for n in names])
+    before = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per chunk: the broadcast side is bounded by the chunk count
+    carry = totals.select(CHUNK, *[F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias("__ss_c" + n) for n in names])
+    cum = local.join(F.broadcast(carry), CHUNK, "left").select(
+        KEY, flag, origin, *[(F.col(n) + F.coalesce(F.col("__ss_c" + n), F.lit(0.0))).alias(n) for n in names])
+    upto = cum.filter(F.col(flag) == 0).select(KEY, *names)
+    before_w = cum.filter(F.col(flag) == 1).select(F.col(origin).alias(KEY), *[F.col(n).alias("__ss_b" + n) for n in names])
+    values = upto.join(before_w, KEY)
+    outs = []
+    for i in range(len(cols)):
+        n = F.col(f"__ss_n{i}") - F.col(f"__ss_b__ss_n{i}")
+        sm = F.col(f"__ss_s{i}") - F.col(f"__ss_b__ss_s{i}")
+        e = {"count": n.cast("bigint"), "sum": F.when(n >= 1, sm), "mean": F.when(n >= 1, sm / n)}[agg]
+        outs.append(e.alias(f"__ss_v{i}"))
+    per_t = values.select(KEY, *outs)
+    joined = c.df.select(*[k for k in keep if k not in cols], KEY).join(per_t, KEY, "left")
+    order_out = list(keep) + [k for k in cols if k not in keep]
+    return joined.select(*[F.col(f"__ss_v{cols.index(k)}").alias(k) if k in cols else F.col(k)
+                           for k in order_out])
+
+
 # --------------------------------------------------------------------------
 # unbounded carries (ffill / bfill / interpolate)
 

@@ -24,6 +24,9 @@ from sparkseries.functions.columns import resolve_columns
 from sparkseries.functions.freq import parse_freq
 from sparkseries.operators import ordering as O
 
+# Above this many copies per row the halo plan gives way to prefix sums.
+MAX_HALO_AMPLIFICATION = 4.0
+
 # Rolling aggregation names accepted by name.
 ROLLING_NAMES = ("mean", "sum", "std", "var", "min", "max", "count", "median")
 
@@ -61,8 +64,15 @@ def _frame_value(agg_func, col: str, frame: WindowSpec, min_count: Column | None
 
 def rolling_window(df: DataFrame, columns: Sequence[str] | None = None, window: int | str = 10,
                    agg_func="mean", *, ts: str, tie: Sequence[str] = (),
-                   rows_per_chunk: int | None = None) -> DataFrame:
-    """Rolling aggregate of ``columns``; output: the order columns plus those columns."""
+                   rows_per_chunk: int | None = None, time_plan: str | None = None) -> DataFrame:
+    """Rolling aggregate of ``columns``; output: the order columns plus those columns.
+
+    Time windows pick a plan from the data: the halo plan (rows copied into the
+    chunks their window reaches), per-timestamp pre-aggregation when single
+    timestamps are hot, or prefix-sum differences when the window is much wider
+    than a chunk (count, sum, mean).  ``time_plan`` ("halo", "preaggregate",
+    "prefix") forces one, for tests.
+    """
     cols = resolve_columns(df, columns, exclude=[ts, *tie])
     if not cols:
         return df
@@ -71,7 +81,12 @@ def rolling_window(df: DataFrame, columns: Sequence[str] | None = None, window:
     if isinstance(window, str):
         width = parse_freq(window)
         chunked = O.chunk(base, ts, tie, rows_per_chunk=rows_per_chunk, split_ties=False)
-        if chunked.heavy and isinstance(agg_func, str) and agg_func in O.DECOMPOSABLE:
+        named = isinstance(agg_func, str)
+        auto = time_plan is None
+        wide = auto and O.halo_amplification(chunked, width) > MAX_HALO_AMPLIFICATION
+        if named and agg_func in O.PREFIX_AGGS and (wide or time_plan == "prefix"):
+            return O.apply_time_frames_prefix(chunked, cols, agg_func, width, keep)
+        if named and agg_func in O.DECOMPOSABLE and ((auto and chunked.heavy) or time_plan == "preaggregate"):
             return O.apply_time_frames_preaggregated(chunked, cols, agg_func, width, keep)
 
         def out(col):

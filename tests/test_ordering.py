@@ -148,3 +148,22 @@ def test_one_chunk_per_task(spark):
     assert key == O.PART
     per_task = placed.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct(O.CHUNK).alias("k")).collect()
     assert len(per_task) == c.n_chunks and all(r["k"] == 1 for r in per_task)
+
+
+@pytest.mark.parametrize("agg", ["count", "sum", "mean"])
+@pytest.mark.parametrize("plan,width", [("prefix", "2D"), ("prefix", "7min"), ("halo", "2D"), ("preaggregate", "2D")])
+def test_time_plans_agree(gappy, agg, plan, width):
+    got = rolling_window(gappy.select("ts", "event_id", "v"), ["v"], width, agg, ts="ts", tie=["event_id"],
+                         rows_per_chunk=300, time_plan=plan)
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+    wus = {"2D": 2 * 86400 * 10**6, "7min": 7 * 60 * 10**6}[width]
+    w = Window.orderBy(us).rangeBetween(-(wus - 1), 0)
+    fn = {"sum": F.sum, "count": F.count, "mean": F.avg}[agg]
+    val = fn("v").over(w) if agg == "count" else F.when(F.count("v").over(w) >= 1, fn("v").over(w))
+    same(got, gappy.select("ts", "event_id", val.alias("v")), key=("ts", "event_id"))
+
+
+def test_wide_window_picks_prefix_plan(gappy):
+    c = O.chunk(gappy, "ts", ["event_id"], rows_per_chunk=300, split_ties=False)
+    assert O.halo_amplification(c, 5 * 86400 * 10**6) > 4
+    assert O.halo_amplification(c, 60 * 10**6) < 1.1
