@@ -26,6 +26,8 @@ from sparkseries.operators import ordering as O
 
 # Above this many copies per row the halo plan gives way to prefix sums.
 MAX_HALO_AMPLIFICATION = 4.0
+# ... and so it does above this many rows in a typical frame (count, sum, mean).
+MAX_FRAME_ROWS = 256
 
 # Rolling aggregation names accepted by name.
 ROLLING_NAMES = ("mean", "sum", "std", "var", "min", "max", "count", "median")
@@ -83,7 +85,10 @@ def rolling_window(df: DataFrame, columns: Sequence[str] | None = None, window:
         chunked = O.chunk(base, ts, tie, rows_per_chunk=rows_per_chunk, split_ties=False)
         named = isinstance(agg_func, str)
         auto = time_plan is None
-        wide = auto and O.halo_amplification(chunked, width) > MAX_HALO_AMPLIFICATION
+        # Spark re-aggregates a sliding RANGE frame from scratch as it moves, so
+        # the halo plan costs rows x frame rows; prefix sums cost rows
+        wide = auto and (O.halo_amplification(chunked, width) > MAX_HALO_AMPLIFICATION
+                         or O.frame_rows(chunked, width) > MAX_FRAME_ROWS)
         if named and agg_func in O.PREFIX_AGGS and (wide or time_plan == "prefix"):
             return O.apply_time_frames_prefix(chunked, cols, agg_func, width, keep)
         if named and agg_func in O.DECOMPOSABLE and ((auto and chunked.heavy) or time_plan == "preaggregate"):
