@@ -100,7 +100,7 @@ def agg_expr(spec: AggSpec, order: Column | None = None) -> Column:
     if f == "mean":
         e = F.avg(c)
     elif f == "sum":
-        e = F.coalesce(F.sum(c), F.lit(0).cast(_sum_type(c)))
+        e = F.coalesce(F.sum(c), F.lit(0))  # widened to the sum's own type
     elif f == "std":
         e = F.stddev_samp(c)
     elif f == "var":
@@ -114,6 +114,8 @@ def agg_expr(spec: AggSpec, order: Column | None = None) -> Column:
     elif f == "size":
         e = F.count(F.lit(1))
     elif f == "median":
+        # exact, but one group's distinct values meet in one task; grouped and
+        # bucketed aggregations route medians to quantiles.grouped_quantile
         e = F.percentile(c, F.lit(0.5))
     elif f == "nunique":
         e = F.count_distinct(c)
@@ -129,10 +131,5 @@ def agg_expr(spec: AggSpec, order: Column | None = None) -> Column:
     return e.alias(spec.out)
 
 
-def _sum_type(c: Column) -> str:
-    # The zero literal is widened by coalesce to the sum's own type.
-    return "bigint"
-
-
 def agg_columns(agg_func, columns: Sequence[str], order: Column | None = None) -> list[Column]:
     return [agg_expr(s, order) for s in normalize(agg_func, columns)]

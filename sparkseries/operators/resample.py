@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkseries.functions.aggs import AggSpec, agg_expr, is_not_null_on_empty, normalize
+from sparkseries.functions.aggs import AggSpec, is_not_null_on_empty, normalize
 from sparkseries.functions.columns import epoch_us, from_epoch_us, internal, resolve_columns
 from sparkseries.functions.freq import DAY_US, divides_day, parse_freq
 from sparkseries.operators.grouped import aggregate_groups
