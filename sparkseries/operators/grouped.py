@@ -22,7 +22,9 @@ def custom_aggregate(df: DataFrame, groupby: str | Sequence[str], agg_dict: dict
     """
     keys = [groupby] if isinstance(groupby, str) else list(groupby)
     specs = normalize(agg_dict, [])
-    ordering = F.struct(*[F.col(o) for o in order]) if order else None
+    # ties in ``order`` are broken by the row hash, so first/last are deterministic
+    ordering = (F.struct(*[F.col(o) for o in order], F.xxhash64(*[F.col(c) for c in df.columns]))
+                if order else None)
     cond = None
     for k in keys:
         cond = F.col(k).isNotNull() if cond is None else cond & F.col(k).isNotNull()

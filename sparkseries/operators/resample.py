@@ -72,7 +72,8 @@ def resample(df: DataFrame, freq, agg_func="mean", *, ts: str, columns: Sequence
     """
     cols = resolve_columns(df, columns, exclude=[ts])
     specs = normalize(agg_func, cols)
-    order = F.struct(*[F.col(ts)] + [F.col(t) for t in tie])
+    # total order for first/last: ties broken by the row hash (deterministic on recompute)
+    order = F.struct(*[F.col(ts)] + [F.col(t) for t in tie] + [F.xxhash64(*[F.col(c) for c in df.columns])])
     b, step = _bucketed(df, ts, freq)
     agg = aggregate_groups(b, [BUCKET], specs, order)
     outs = [s.out for s in specs]

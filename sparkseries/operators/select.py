@@ -39,4 +39,6 @@ def tail_rows(df: DataFrame, *, ts: str, tie: Sequence[str] = (), columns: Seque
     cols = list(columns) if columns is not None else numeric_columns(df, exclude=[ts, *tie])[:1]
     cols = cols[:max_columns]
     order = [F.col(ts).desc_nulls_last()] + [F.col(t).desc_nulls_last() for t in tie]
-    return df.select(ts, *[t for t in tie if t not in cols], *cols).orderBy(*order).limit(n)
+    last = df.select(ts, *[t for t in tie if t not in cols], *cols).orderBy(*order).limit(n)
+    # back to time order for display: a sort of at most n rows
+    return last.orderBy(*[F.col(ts).asc_nulls_first()] + [F.col(t).asc_nulls_first() for t in tie])
