@@ -115,3 +115,13 @@ def test_nanosecond_timestamps(spark, tmp_path):
     got = [r["ts"] for r in s.df.orderBy("ts").collect()]
     assert got[0] == pd.Timestamp("2024-01-01 00:00:00.000001").to_pydatetime()
     assert got[1] == pd.Timestamp("2024-01-01 00:00:00.5").to_pydatetime()
+
+
+def test_unparseable_time_value_raises(spark, tmp_path):
+    p = str(tmp_path / "bad.parquet")
+    values = [f"2024-01-01 {h:02d}:00:00" for h in range(24)] * 5 + ["not a time"]
+    pd.DataFrame({"when": values, "v": range(len(values))}).to_parquet(p)
+    s = load_series(spark, p)  # the first 100 values parse, so the column is taken
+    assert s.ts == "when"
+    with pytest.raises(Exception, match="unparseable time value"):
+        s.df.collect()
