@@ -7,9 +7,9 @@ narrowing: the rows inside a value bracket are counted per equal-width
 bucket (``BUCKETS`` per bracket, a partial aggregate whose output is at most
 ``BUCKETS`` rows per bracket), the bucket(s) holding the wanted ranks become
 the next bracket, and this repeats until a bracket holds at most
-``max_select`` rows or a single value.  Only then are the rows inside a
-bracket sorted -- by a window partitioned per bracket -- to pick the order
-statistics and interpolate.  The answer equals ``percentile`` /
+``max_select`` rows or a single value.  Only then are the values inside a
+bracket sorted -- inside one task per bracket, a bounded group -- to pick
+the order statistics and interpolate.  The answer equals ``percentile`` /
 ``numpy.quantile`` / DuckDB ``quantile_cont``.
 
 Every job collects scalars only (counts, bounds, two values per bracket).
@@ -142,9 +142,13 @@ def _select(d: DataFrame, targets: list[_Target]) -> dict[tuple[int, int], float
                             for x in (F.lit(g), F.array(*[F.lit(r - below + 1)
                                                          for t in groups[keys[g]]
                                                          for r in (t.lo_rank, t.hi_rank)]))])
-    rn = F.row_number().over(Window.partitionBy("g").orderBy("v"))
-    hits = (rows.withColumn("rn", rn).filter(F.array_contains(F.element_at(wanted, F.col("g")), F.col("rn")))
-            .select("g", "rn", "v").collect())
+    # each bracket holds at most max_select values: sort them inside one task
+    # and pick the wanted ranks there; only the picked values are collected
+    ranked = rows.groupBy("g").agg(F.sort_array(F.collect_list("v")).alias("s"))
+    picks = ranked.select("g", F.element_at(wanted, F.col("g")).alias("pos"), "s").select(
+        "g", F.arrays_zip(F.col("pos").alias("rn"),
+                          F.transform("pos", lambda i: F.element_at(F.col("s"), i)).alias("v")).alias("p"))
+    hits = picks.select("g", F.inline("p")).collect()
     found = {(r["g"], r["rn"]): r["v"] for r in hits}
     out = {}
     for g, key in enumerate(keys):
