@@ -8,8 +8,8 @@ expression and chunks hold about the same number of rows even when the data
 arrives in bursts.  A timestamp value that alone holds several chunks' worth
 of rows is split further by quantiles of the (numeric) tie-break column.
 
-Three execution patterns are built on the chunks, each with exactly one
-shuffle of the row data (by chunk):
+Each chunk is placed in its own partition (``Chunked.place``).  The patterns
+built on the chunks shuffle the row data once, by chunk, unless noted:
 
 * bounded row frames (rolling by rows, lag/lead, diff, limited fill):
   ``apply_row_frames``.  Rows whose frame may cross a chunk boundary are the
@@ -20,6 +20,11 @@ shuffle of the row data (by chunk):
 * bounded time frames (rolling by a time offset): ``apply_time_frames``.  A
   row is also sent to the following chunks whose first timestamps lie within
   the window after it (a halo), then every chunk evaluates its own rows.
+  Two alternatives work on one row per distinct timestamp and join the
+  values back by timestamp (two more shuffles, but no copies and no per-row
+  frame re-aggregation): ``apply_time_frames_preaggregated`` for hot
+  timestamps, and ``apply_time_frames_prefix`` (prefix-sum differences) for
+  windows much wider than a chunk.
 * unbounded fills (ffill/bfill/interpolate): ``apply_carry``.  Fill inside
   the chunk, then take from each chunk its last/first non-null values (one row
   per chunk), carry them across chunks on that tiny table and broadcast-join
