@@ -68,9 +68,13 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                         row[f"lo{i}"], row[f"hi{i}"], 0, n)
             targets.append(t)
     _narrow(d, [t for t in targets if t.inside > max_select], max_select)
-    picked = _select(d, targets)
+    # a bracket narrowed to one value has its answer (and may hold many rows)
+    picked = _select(d, [t for t in targets if t.low != t.high])
     out: dict[tuple[str, float], float | None] = {(c, q): None for c in cols for q in probs}
     for t in targets:
+        if t.low == t.high:
+            out[(t.col, t.q)] = t.low
+            continue
         a, b = picked[(id(t), t.lo_rank)], picked[(id(t), t.hi_rank)]
         out[(t.col, t.q)] = a if t.frac == 0 else a + (b - a) * t.frac
     return out
