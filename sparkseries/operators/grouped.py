@@ -12,13 +12,15 @@ from sparkseries.operators.quantiles import grouped_quantile
 
 
 def custom_aggregate(df: DataFrame, groupby: str | Sequence[str], agg_dict: dict, *,
-                     order: Sequence[str] = ()) -> DataFrame:
+                     order: Sequence[str] = (), sort: bool = False) -> DataFrame:
     """``groupBy(keys).agg(...)``; rows with a NULL key are dropped (pandas default).
 
     Names, lists of names and :func:`spark_agg` expressions are Catalyst
     aggregates with map-side partial aggregation, so a key holding a large
     share of the rows is pre-aggregated in every task before the shuffle.
     ``first``/``last`` need ``order`` (the columns that define row order).
+    ``sort=True`` orders the result by the keys, as pandas does (a range sort
+    of one row per group).
     """
     keys = [groupby] if isinstance(groupby, str) else list(groupby)
     specs = normalize(agg_dict, [])
@@ -29,7 +31,8 @@ def custom_aggregate(df: DataFrame, groupby: str | Sequence[str], agg_dict: dict
     for k in keys:
         cond = F.col(k).isNotNull() if cond is None else cond & F.col(k).isNotNull()
     src = df.filter(cond) if cond is not None else df
-    return aggregate_groups(src, keys, specs, ordering)
+    out = aggregate_groups(src, keys, specs, ordering)
+    return out.orderBy(*keys) if sort else out
 
 
 def aggregate_groups(src: DataFrame, keys: list[str], specs, ordering=None) -> DataFrame:

@@ -63,7 +63,7 @@ def _fill_value(spec: AggSpec):
 
 
 def resample(df: DataFrame, freq, agg_func="mean", *, ts: str, columns: Sequence[str] | None = None,
-             tie: Sequence[str] = ()) -> DataFrame:
+             tie: Sequence[str] = (), sort: bool = False) -> DataFrame:
     """Aggregate into buckets of ``freq``; drop buckets where any output is NULL.
 
     Empty buckets exist only when every aggregate is non-NULL on empty input
@@ -82,10 +82,13 @@ def resample(df: DataFrame, freq, agg_func="mean", *, ts: str, columns: Sequence
             BUCKET, *[F.coalesce(F.col(s.out), F.lit(_fill_value(s))).alias(s.out) for s in specs])
     ts_type = df.schema[ts].dataType
     out = agg.select(from_epoch_us(F.col(BUCKET), ts_type).alias(ts), *outs)
-    return out.na.drop("any", subset=outs) if outs else out
+    out = out.na.drop("any", subset=outs) if outs else out
+    # ``sort=True``: time order like pandas (a range sort of one row per bucket)
+    return out.orderBy(ts) if sort else out
 
 
-def time_bucket_stats(df: DataFrame, freq="H", *, ts: str, columns: Sequence[str] | None = None) -> DataFrame:
+def time_bucket_stats(df: DataFrame, freq="H", *, ts: str, columns: Sequence[str] | None = None,
+                      sort: bool = False) -> DataFrame:
     """``{col}_mean``, ``{col}_std``, ``{col}_count`` per bucket, empty buckets kept."""
     cols = resolve_columns(df, columns, exclude=[ts])
     b, step = _bucketed(df, ts, freq)
@@ -98,4 +101,5 @@ def time_bucket_stats(df: DataFrame, freq="H", *, ts: str, columns: Sequence[str
     sel = [from_epoch_us(F.col(BUCKET), df.schema[ts].dataType).alias(ts)]
     for c in cols:
         sel += [F.col(f"{c}_mean"), F.col(f"{c}_std"), F.coalesce(F.col(f"{c}_count"), F.lit(0)).alias(f"{c}_count")]
-    return filled.select(*sel)
+    out = filled.select(*sel)
+    return out.orderBy(ts) if sort else out
