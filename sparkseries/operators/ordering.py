@@ -136,6 +136,34 @@ def bucket_of(key: Column, bounds: Sequence[int]) -> Column:
     return _bsearch(key, bounds).cast("bigint")
 
 
+# Above this many bounds the chunk search runs as a JVM binary search
+# (ML Bucketizer) instead of a CASE tree, which would grow with the bounds.
+CASE_TREE_MAX = 1024
+
+
+def with_buckets(df: DataFrame, outs: dict[str, Column], bounds: Sequence[int]) -> DataFrame:
+    """Add ``outs[name]`` = how many ``bounds`` are <= the given key (NULL stays NULL).
+
+    Up to ``CASE_TREE_MAX`` bounds this is a balanced CASE tree inside
+    whole-stage codegen.  Beyond it, Spark's ``Bucketizer`` does a binary
+    search in the JVM with the bounds captured once per task, so the plan does
+    not grow with the chunk count (100,000 chunks at ~100 TB).
+    """
+    if len(bounds) <= CASE_TREE_MAX:
+        for name, key in outs.items():
+            df = df.withColumn(name, bucket_of(key, bounds))
+        return df
+    from pyspark.ml.feature import Bucketizer
+
+    splits = [float("-inf")] + [float(b) for b in bounds] + [float("inf")]
+    for name, key in outs.items():
+        src = internal("bucket_src")
+        df = df.withColumn(src, key.cast("double"))
+        df = Bucketizer(splits=splits, inputCol=src, outputCol=name, handleInvalid="keep").transform(df)
+        df = df.withColumn(name, F.when(F.col(src).isNotNull(), F.col(name).cast("bigint"))).drop(src)
+    return df
+
+
 def _target_chunks(spark, n_rows: int, rows_per_chunk: int | None) -> int:
     per = rows_per_chunk or DEFAULT_ROWS_PER_CHUNK
     n = math.ceil(n_rows / per)
@@ -168,7 +196,9 @@ def chunk(df: DataFrame, ts: str, tie: Sequence[str] = (), *, rows_per_chunk: in
     row = x.agg(F.percentile_approx(KEY, probs, accuracy).alias("q")).first()
     raw = [int(v) for v in (row["q"] or [])]
     bounds = sorted(set(raw))
-    base = bucket_of(F.col(KEY), bounds)
+    base_col = internal("base")
+    x = with_buckets(x, {base_col: F.col(KEY)}, bounds)
+    base = F.col(base_col)
     heavy = sorted({v for v in raw if raw.count(v) >= 2})
     sub = F.lit(SUB_LAST)
     tie_type = df.schema[tie[0]].dataType if tie else None
@@ -185,7 +215,7 @@ def chunk(df: DataFrame, ts: str, tie: Sequence[str] = (), *, rows_per_chunk: in
     cid = F.coalesce(base * F.lit(1 << SUB_BITS) + sub, F.lit(-1).cast("bigint"))
     n = len(bounds) + 1
     slots = None if split else _slots(df.sparkSession, n)
-    return Chunked(x.withColumn(CHUNK, cid), ts, tie, n_rows, n, bounds, heavy, slots)
+    return Chunked(x.withColumn(CHUNK, cid).drop(base_col), ts, tie, n_rows, n, bounds, heavy, slots)
 
 
 def _slots(spark, n: int) -> list[int] | None:
@@ -260,16 +290,13 @@ def apply_time_frames(c: Chunked, outputs: dict[str, Callable[[WindowSpec], Colu
                       width_us: int, keep: Sequence[str]) -> DataFrame:
     """Evaluate outputs over the frame ``(t - width, t]`` of every row."""
     # time frames use the plain key bounds: rows sharing a timestamp stay together
-    home = F.coalesce(bucket_of(F.col(KEY), c.bounds), F.lit(-1).cast("bigint"))
     key = DST
     if c.n_chunks <= 1:
-        x = c.df.withColumn(HOME, home).withColumn(DST, F.col(HOME))
+        x = c.df.withColumn(HOME, F.lit(0).cast("bigint")).withColumn(DST, F.col(HOME))
     else:
         # a row is inside the frames of rows up to width-1 µs later: copy it to
         # every chunk that starts within that span
-        last = F.coalesce(bucket_of(F.col(KEY) + F.lit(width_us - 1), c.bounds), home)
-        x = c.df.withColumn(HOME, home).withColumn(
-            DST, F.explode(F.sequence(F.col(HOME), F.greatest(F.col(HOME), last))))
+        x = _home_and_reach(c, c.df, width_us)
         x, key = c.place(x, F.col(DST), by=DST)
     w = Window.partitionBy(key).orderBy(F.col(KEY)).rangeBetween(-(width_us - 1), 0)
     tmp = {k: internal("out_" + str(i)) for i, k in enumerate(outputs)}
@@ -280,6 +307,15 @@ def apply_time_frames(c: Chunked, outputs: dict[str, Callable[[WindowSpec], Colu
     return y.select(*[F.col(tmp[k]).alias(k) if k in tmp else F.col(k) for k in order_out])
 
 
+def _home_and_reach(c: Chunked, df: DataFrame, width_us: int) -> DataFrame:
+    """``HOME`` = chunk of the key; one row per ``DST`` chunk the key's frames reach."""
+    last = internal("last")
+    x = with_buckets(df, {HOME: F.col(KEY), last: F.col(KEY) + F.lit(width_us - 1)}, c.bounds)
+    x = x.withColumn(HOME, F.coalesce(F.col(HOME), F.lit(-1).cast("bigint")))
+    reach = F.greatest(F.col(HOME), F.coalesce(F.col(last), F.col(HOME)))
+    return x.withColumn(DST, F.explode(F.sequence(F.col(HOME), reach))).drop(last)
+
+
 # Time-frame aggregations that decompose into per-timestamp
 # partial states (count, sum, shifted sum of squares, min, max).
 DECOMPOSABLE = ("count", "sum", "mean", "min", "max", "std", "var")
@@ -312,9 +348,7 @@ def apply_time_frames_preaggregated(c: Chunked, cols: Sequence[str], agg: str, w
             y = v - F.lit(shift[x])
             parts += [F.sum(y).alias(f"__ss_y{i}"), F.sum(y * y).alias(f"__ss_yy{i}")]
     per_key = c.df.groupBy(KEY).agg(*parts)
-    home = F.coalesce(bucket_of(F.col(KEY), c.bounds), F.lit(-1).cast("bigint"))
-    last = F.coalesce(bucket_of(F.col(KEY) + F.lit(width_us - 1), c.bounds), home)
-    x = per_key.withColumn(HOME, home).withColumn(DST, F.explode(F.sequence(F.col(HOME), F.greatest(F.col(HOME), last))))
+    x = _home_and_reach(c, per_key, width_us)
     w = Window.partitionBy(DST).orderBy(F.col(KEY)).rangeBetween(-(width_us - 1), 0)
     outs = []
     for i, name in enumerate(cols):
@@ -393,7 +427,8 @@ def apply_time_frames_prefix(c: Chunked, cols: Sequence[str], agg: str, width_us
     probes = per_key.select((F.col(KEY) - F.lit(width_us)).alias(KEY), F.lit(1).alias(flag),
                             F.col(KEY).alias(origin), *[F.lit(0.0).alias(n) for n in names])
     both = data.unionByName(probes)
-    both = both.withColumn(CHUNK, F.coalesce(bucket_of(F.col(KEY), c.bounds), F.lit(-1).cast("bigint")))
+    both = with_buckets(both, {CHUNK: F.col(KEY)}, c.bounds)
+    both = both.withColumn(CHUNK, F.coalesce(F.col(CHUNK), F.lit(-1).cast("bigint")))
     placed, key = c.place(both, F.col(CHUNK), by=CHUNK)
     run = Window.partitionBy(key).orderBy(KEY, flag).rowsBetween(Window.unboundedPreceding, 0)
     local = placed.select(KEY, flag, origin, CHUNK, *[F.sum(n).over(run).alias(n) for n in names])

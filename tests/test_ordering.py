@@ -175,3 +175,19 @@ def test_frame_rows_estimate(gappy):
     # 10,000 rows over 30 days: about 333 rows per day
     assert 200 < O.frame_rows(c, day) < 500
     assert O.frame_rows(c, 5 * 60 * 10**6) < 5
+
+
+def test_binary_search_buckets_match_case_tree(gappy, monkeypatch):
+    # many chunks: the JVM binary search path must give the same chunks and results
+    tree = O.chunk(gappy, "ts", ["event_id"], rows_per_chunk=100)
+    monkeypatch.setattr(O, "CASE_TREE_MAX", 4)
+    search = O.chunk(gappy, "ts", ["event_id"], rows_per_chunk=100)
+    assert tree.bounds == search.bounds and len(search.bounds) > 4
+    a = tree.df.select("event_id", O.CHUNK).orderBy("event_id").collect()
+    b = search.df.select("event_id", O.CHUNK).orderBy("event_id").collect()
+    assert a == b
+    got = rolling_window(gappy.select("ts", "event_id", "v"), ["v"], "30min", "sum", ts="ts", tie=["event_id"],
+                         rows_per_chunk=100)
+    w = Window.orderBy(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+                       ).rangeBetween(-(30 * 60 * 10**6 - 1), 0)
+    same(got, gappy.select("ts", "event_id", F.when(F.count("v").over(w) >= 1, F.sum("v").over(w)).alias("v")))
