@@ -376,7 +376,7 @@ def apply_time_frames_preaggregated(c: Chunked, cols: Sequence[str], agg: str, w
 
 
 # Time-frame aggregations computable from prefix sums.
-PREFIX_AGGS = ("count", "sum", "mean")
+PREFIX_AGGS = ("count", "sum", "mean", "std", "var")
 
 
 def halo_amplification(c: Chunked, width_us: int) -> float:
@@ -404,7 +404,8 @@ def apply_time_frames_prefix(c: Chunked, cols: Sequence[str], agg: str, width_us
     """Time frames as differences of prefix sums, for windows much wider than a chunk.
 
     The frame value of a row depends only on its timestamp ``t``:
-    ``C(t) - C(t - w)``, where ``C(x)`` sums the partial states of all rows
+    ``C(t) - C(t - w)``, where ``C(x)`` sums the partial states (count, sum,
+    and for std/var the sum of squares around the column mean) of all rows
     with key <= x.  Partial states are first combined per distinct key
     (map-side).  Then one chunked running-sum pass runs over those keys plus one
     *probe* per key at ``t - w`` (ordered after equal keys, so it sees them),
@@ -415,11 +416,21 @@ def apply_time_frames_prefix(c: Chunked, cols: Sequence[str], agg: str, width_us
     """
     if agg not in PREFIX_AGGS:
         raise ValueError(agg)
+    moments = agg in ("std", "var")
+    shift = {}
+    if moments:
+        # squares are summed around each column's mean to limit cancellation
+        row = c.df.agg(*[F.avg(F.col(x).cast("double")).alias(x) for x in cols]).first()
+        shift = {x: float(row[x] or 0.0) for x in cols}
     parts = []
     for i, x in enumerate(cols):
+        v = F.col(x).cast("double") - F.lit(shift.get(x, 0.0))
         parts += [F.count(x).cast("double").alias(f"__ss_n{i}"),
-                  F.coalesce(F.sum(F.col(x).cast("double")), F.lit(0.0)).alias(f"__ss_s{i}")]
-    names = [f"__ss_{k}{i}" for i in range(len(cols)) for k in ("n", "s")]
+                  F.coalesce(F.sum(v), F.lit(0.0)).alias(f"__ss_s{i}")]
+        if moments:
+            parts += [F.coalesce(F.sum(v * v), F.lit(0.0)).alias(f"__ss_q{i}")]
+    kinds = ("n", "s", "q") if moments else ("n", "s")
+    names = [f"__ss_{k}{i}" for i in range(len(cols)) for k in kinds]
     per_key = c.df.groupBy(KEY).agg(*parts)
     flag = internal("probe")
     origin = internal("origin")
@@ -445,7 +456,14 @@ def apply_time_frames_prefix(c: Chunked, cols: Sequence[str], agg: str, width_us
     for i in range(len(cols)):
         n = F.col(f"__ss_n{i}") - F.col(f"__ss_b__ss_n{i}")
         sm = F.col(f"__ss_s{i}") - F.col(f"__ss_b__ss_s{i}")
-        e = {"count": n.cast("bigint"), "sum": F.when(n >= 1, sm), "mean": F.when(n >= 1, sm / n)}[agg]
+        if moments:
+            sq = F.col(f"__ss_q{i}") - F.col(f"__ss_b__ss_q{i}")
+            var = F.greatest(F.lit(0.0), sq - sm * sm / n) / (n - 1)
+            e = F.when(n >= 2, var if agg == "var" else F.sqrt(var))
+        else:
+            shifted_back = sm + F.lit(shift.get(cols[i], 0.0)) * n
+            e = {"count": n.cast("bigint"), "sum": F.when(n >= 1, shifted_back),
+                 "mean": F.when(n >= 1, shifted_back / n)}[agg]
         outs.append(e.alias(f"__ss_v{i}"))
     per_t = values.select(KEY, *outs)
     joined = c.df.select(*[k for k in keep if k not in cols], KEY).join(per_t, KEY, "left")

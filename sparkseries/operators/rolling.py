@@ -26,7 +26,7 @@ from sparkseries.operators import ordering as O
 
 # Above this many copies per row the halo plan gives way to prefix sums.
 MAX_HALO_AMPLIFICATION = 4.0
-# ... and so it does above this many rows in a typical frame (count, sum, mean).
+# ... and so it does above this many rows in a typical frame (count, sum, mean, std, var).
 MAX_FRAME_ROWS = 256
 
 # Rolling aggregation names accepted by name.
@@ -72,7 +72,7 @@ def rolling_window(df: DataFrame, columns: Sequence[str] | None = None, window:
     Time windows pick a plan from the data: the halo plan (rows copied into the
     chunks their window reaches), per-timestamp pre-aggregation when single
     timestamps are hot, or prefix-sum differences when the window is much wider
-    than a chunk (count, sum, mean).  ``time_plan`` ("halo", "preaggregate",
+    than a chunk (count, sum, mean, std, var).  ``time_plan`` ("halo", "preaggregate",
     "prefix") forces one, for tests.
     """
     cols = resolve_columns(df, columns, exclude=[ts, *tie])

@@ -191,3 +191,14 @@ def test_binary_search_buckets_match_case_tree(gappy, monkeypatch):
     w = Window.orderBy(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
                        ).rangeBetween(-(30 * 60 * 10**6 - 1), 0)
     same(got, gappy.select("ts", "event_id", F.when(F.count("v").over(w) >= 1, F.sum("v").over(w)).alias("v")))
+
+
+@pytest.mark.parametrize("agg", ["std", "var"])
+def test_prefix_plan_moments(gappy, agg):
+    got = rolling_window(gappy.select("ts", "event_id", "v"), ["v"], "2D", agg, ts="ts", tie=["event_id"],
+                         rows_per_chunk=300, time_plan="prefix")
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+    w = Window.orderBy(us).rangeBetween(-(2 * 86400 * 10**6 - 1), 0)
+    fn = {"std": F.stddev_samp, "var": F.var_samp}[agg]
+    ref = gappy.select("ts", "event_id", F.when(F.count("v").over(w) >= 2, fn("v").over(w)).alias("v"))
+    same(got, ref, key=("ts", "event_id"))
