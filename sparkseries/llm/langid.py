@@ -188,15 +188,16 @@ def train(docs: DataFrame, bits: int = BITS, sample: int = SAMPLE, epochs: int =
             "bits": bits}
 
 
-def predict(docs: DataFrame, model: dict | None, keep: list[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns plus lang_pred and score of every row."""
+def predict(docs: DataFrame, model: dict | None, keep: list[str] = ("doc_id",),
+            out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns plus the predicted language and its score, named ``out``, of every row."""
     import pyarrow as pa
     from pyspark.sql import types as T
 
     keep = list(keep)
     x = docs.select(*keep, F.col("text").alias("__text"))
-    schema = T.StructType([*x.schema.fields[:-1], T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*x.schema.fields[:-1], T.StructField(out[0], T.StringType()),
+                           T.StructField(out[1], T.DoubleType())])
 
     def run(batches):
         if model is not None:
@@ -215,8 +216,7 @@ def predict(docs: DataFrame, model: dict | None, keep: list[str] = ("doc_id",))
                 lang.append(model["langs"][int(np.argmax(p))])
                 score.append(float(p.max()))
             yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(lang, pa.string()),
-                                              pa.array(score, pa.float64())],
-                                             names=[*keep, "lang_pred", "score"])
+                                              pa.array(score, pa.float64())], names=[*keep, *out])
 
     return x.mapInArrow(run, schema)
 

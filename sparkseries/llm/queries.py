@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkseries.llm import bpe, chat, langid, licenses, sharding, token_counts, toxicity
+from sparkseries.llm import (
+    bpe, chat, decontaminate, langid, licenses, near_dedup, sharding, token_counts, topk, toxicity)
 from sparkseries.llm.tables import table
 
 
@@ -20,6 +22,10 @@ def word_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -33,10 +39,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                              word_pattern())
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.trap(table(spark, sf_dir, "conversations")))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,19 +63,36 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_language, op4_token_counts, op6_chat, op8_toxicity, op9_licenses,
-                                   op10_sharding)}
-SQL: dict[str, str] = {}
-
+# Stages of the corpus pipeline: each takes the documents its predecessor kept.
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose language is recognised (any but ``und``)."""
-    pred = langid.predict(docs, langid.train(docs), docs.columns)
-    return pred.where(pred["lang_pred"] != langid.UNKNOWN).select(*docs.columns)
+    """Documents whose language is recognised: any but ``und``."""
+    pred = langid.predict(docs, langid.train(docs), docs.columns, out=("__lang", "__score"))
+    return pred.where(F.col("__lang") != langid.UNKNOWN).drop("__lang", "__score")
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that score below the toxicity threshold."""
-    labels = table(spark, sf_dir, "labels")
-    scored = toxicity.score(docs, toxicity.train(docs, labels), [*docs.columns])
-    return scored.where(scored["score"] < toxicity.THRESHOLD).select(*docs.columns)
+    """Documents that score below the toxicity threshold."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, docs.columns, out="__score").where(F.col("__score") < toxicity.THRESHOLD).drop("__score")
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return near_dedup.keep_one(docs)
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontaminate.clean_rows(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining documents' token counts and digests."""
+    return bpe.encode_digests(docs, vocabulary("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_bpe, op3_language, op4_token_counts, op5_top_k, op6_chat,
+                                   op7_decontamination, op8_toxicity, op9_licenses,
+                                   op10_sharding)}
+SQL: dict[str, str] = {}

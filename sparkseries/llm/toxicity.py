@@ -8,13 +8,15 @@ A text is toxic if one of its words is: its margin is the largest margin of its
 
 Training, on at most ``SAMPLE`` labelled texts (evenly over the labels, by a hash of the id):
 
-1. Half of the sample gives word counts by label.  Words of toxic texts that hardly occur in clean ones
-   are the positive examples; the negative ones are common words of clean texts.
-2. Landmarks are positive and negative words chosen farthest-first under the kernel.  The Nyström map
-   sends a word to ``K(word, landmarks) K(landmarks, landmarks)^(-1/2)``, where a linear machine with squared
-   hinge loss is trained.  Clean words of the sample that it scores highest become further negatives and
-   it is trained again (hard negatives).
-3. The other half of the sample calibrates the text margin to a probability.
+1. Half of the sample gives word counts by label, and from them the log odds of every subsequence.  Words of
+   toxic texts only whose subsequences lean to toxic are the first positive examples; clean words that lean
+   that way and common clean words are the negative ones.
+2. Landmarks are words of these three kinds chosen farthest-first under the kernel.  The Nyström map sends a
+   word to ``K(word, landmarks) K(landmarks, landmarks)^(-1/2)``; a linear machine with squared hinge loss is
+   trained there.
+3. The clean words that the machine scores highest become further negative examples and it is trained again,
+   twice.
+4. The other half of the sample calibrates the text margin to a probability.
 
 Because the machine is linear in the landmarks, it folds into one weight per subsequence; scoring a
 word is a sum over its subsequences, divided by its own norm.
@@ -33,12 +35,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseries.llm.tables import arrow_map, fold, held_out
+from sparkseries.llm.tables import arrow_map, dropped, fold, held_out, written
 from sparkseries.llm.text import mix
 
 #: Bound of the labelled texts the classifier is fitted on.
 SAMPLE = 9000
-LANDMARKS = 160
+#: Bound of the words of either kind that the machine is fitted on.
+WORDS = 8000
+LANDMARKS = 512
+RIDGE = 1.0
+#: Mean log odds from which a word of toxic texts is a first positive example, and their shrinkage.
+LEAN, SHRINK = 1.0, 8.0
 SPAN, DECAY = 6, 0.7
 THRESHOLD = 0.7
 SLICE = 1 << 19  # symbols handled at a time
@@ -187,20 +194,29 @@ class Kernel:
 
 
 def squared_hinge(z: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float, steps: int = 60) -> np.ndarray:
-    """Linear machine with bias by Newton steps on the primal: min reg/2 |w|^2 + sum weight * max(0, 1 - y f)^2 / 2."""
+    """Linear machine with bias, by Newton steps with backtracking on the primal:
+    min reg/2 |w|^2 + sum weight * max(0, 1 - y f)^2 / 2."""
     x = np.hstack([z, np.ones((len(z), 1), z.dtype)]).astype(np.float64)
-    w = np.zeros(x.shape[1])
-    ridge = np.full(len(w), reg)
+    ridge = np.full(x.shape[1], reg)
     ridge[-1] = 1e-6
-    active = None
+
+    def loss(w):
+        gap = np.maximum(0, 1 - y * (x @ w))
+        return (ridge * w * w).sum() / 2 + (weight * gap * gap).sum() / 2
+
+    w = np.zeros(x.shape[1])
+    now = loss(w)
     for _ in range(steps):
-        now = y * (x @ w) < 1
-        if active is not None and (now == active).all():
+        active = y * (x @ w) < 1
+        s = weight[active][:, None] * x[active]
+        step = np.linalg.solve(x[active].T @ s + np.diag(ridge), s.T @ y[active]) - w
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > now:
+            size /= 2
+        w = w + size * step
+        before, now = now, loss(w)
+        if before - now <= 1e-9 * before:
             break
-        active = now
-        a = x[active]
-        s = weight[active][:, None] * a
-        w = np.linalg.solve(a.T @ s + np.diag(ridge), s.T @ y[active])
     return w
 
 
@@ -340,51 +356,57 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, landmarks: int
     sample = labelled_sample(docs, labels, size)
     if sample is None:
         return None
-    counts = word_counts(sample.where("half = 0"))
-    odds = (F.col("toxic") + 0.1) / (F.col("clean") * F.col("clean") + 0.5)
-    least = F.col("toxic") >= 3
-    positive = [r for r in counts.where(least & (F.col("clean") * 20 <= F.col("toxic")) & (F.length("word") >= 2))
-                .orderBy(F.desc(odds), "word").limit(400).collect()]
-    negative = [r for r in counts.where((F.col("clean") >= 2) & (F.col("clean") * 2 >= F.col("toxic")))
-                .orderBy(F.desc("clean"), "word").limit(3000).collect()]
-    if not positive or not negative:
+    counts = written(word_counts(sample.where("half = 0")), "toxicity-words")
+    sums = subsequence_counts(counts)
+    only = F.col("clean") * 20 <= F.col("toxic")
+    rated = written(rate_words(counts, *sums), "toxicity-rated")
+    dropped(counts)
+    # first positive examples: words that toxic texts repeat, or that lean to toxic
+    telling = F.greatest(F.log(F.col("toxic") / 2), F.col("lean") - LEAN)
+    best = rated.where(only & (telling > 0)).orderBy(F.desc(telling), "word").limit(WORDS // 2).collect()
+    telling = [r["word"] for r in best]
+    near = rated.where(~only).orderBy(F.desc("lean"), "word").limit(WORDS // 2).collect()
+    common = rated.where(~only).orderBy(F.desc("clean"), "word").limit(WORDS // 2).collect()
+    plain = [r["word"] for r in common]
+    if not telling or not plain:
         return None
-    words = Words()
-    kernel = Kernel(words)
-    pos, neg = [r["word"] for r in positive], [r["word"] for r in negative]
+    kernel = Kernel(Words())
 
     def landmarks_of(names: list[str], count: int) -> list[str]:
         m, _ = kernel.dense(names)
         return [names[i] for i in farthest_first(m @ m.T, count)]
 
-    marks = landmarks_of(pos, landmarks // 2) + landmarks_of(neg[:600], landmarks - landmarks // 2)
+    marks = (landmarks_of(telling[:1500], landmarks // 2) + landmarks_of([r["word"] for r in near[:600]], landmarks // 4)
+             + landmarks_of(plain[:600], landmarks // 4))
     lm, columns = kernel.dense(marks)
     values, vectors = np.linalg.eigh((lm @ lm.T).astype(np.float64))
     keep = values > 1e-6
     whiten = (vectors[:, keep] / np.sqrt(values[keep]))  # K(landmarks, landmarks)^(-1/2)
 
-    def nystrom(names: list[str]) -> np.ndarray:
-        out = [kernel.dense(names[i:i + 2000], columns)[0] @ lm.T for i in range(0, len(names), 2000)]
-        return np.concatenate(out) @ whiten
-
-    weight_of = {r["word"]: r["toxic"] for r in positive}
-
-    def fit(negatives: list[str]):
-        z = np.concatenate([nystrom(pos), nystrom(negatives)])
-        y = np.concatenate([np.ones(len(pos)), -np.ones(len(negatives))])
-        up = np.array([np.sqrt(weight_of[w]) for w in pos])
-        c = np.concatenate([up / up.sum() * len(negatives) / 2, np.ones(len(negatives))])
-        w = squared_hinge(z, y, c, reg=1.0)
+    def fit(names: list[str], pos: np.ndarray, neg: np.ndarray) -> tuple[np.ndarray, float]:
+        """The machine on words with a weight for either side, folded into subsequence weights."""
+        z = np.concatenate([kernel.dense(names[i:i + 2000], columns)[0] @ lm.T for i in range(0, len(names), 2000)])
+        z = z @ whiten
+        p, n = np.flatnonzero(pos), np.flatnonzero(neg)
+        y = np.concatenate([np.ones(len(p)), -np.ones(len(n))])
+        w = squared_hinge(np.concatenate([z[p], z[n]]), y, np.concatenate([pos[p], neg[n]]), reg=RIDGE)
         folded = np.zeros(1 << 3 * _SYMBOL_BITS)
         folded[columns] = (whiten @ w[:-1]) @ lm
         return folded, float(w[-1])
 
-    beta, bias = fit(neg)
-    clean = counts.where((F.col("clean") >= 1) & (F.col("clean") * 2 >= F.col("toxic")))
-    hard = score_words(clean.select("word"), beta, bias).where("margin > -0.9").orderBy(F.desc("margin"), "word").limit(3000)
-    more = sorted({r["word"] for r in hard.collect()} - set(neg) - set(pos))
-    if more:
-        beta, bias = fit(neg + more)
+    def refit(pos: list) -> tuple[np.ndarray, float]:
+        rows = list({r["word"]: r for r in pos + near + common}.values())
+        is_pos = np.arange(len(rows)) < len(pos)
+        up = np.array([np.sqrt(r["toxic"]) for r in rows]) * is_pos
+        down = np.array([np.sqrt(max(r["clean"], 1)) for r in rows]) * ~is_pos
+        return fit([r["word"] for r in rows], up / up.sum() * down.sum() / 3, down)
+
+    beta, bias = refit(best)
+    for _ in range(2):  # clean words that it scores highest are further negative examples
+        hard = score_words(rated.where(~only).select("word", "toxic", "clean"), beta, bias)
+        near += hard.orderBy(F.desc("margin"), "word").limit(WORDS // 2).collect()
+        beta, bias = refit(best)
+    dropped(rated)
     pairs = text_margins(sample.where("half = 1").select("text", "toxic"), beta, bias).select("toxic", "margin").collect()
     y = np.array([p["toxic"] for p in pairs], float)
     m = np.array([p["margin"] for p in pairs], float)
@@ -393,17 +415,62 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, landmarks: int
     return {"used": used, "beta": beta[used].astype(np.float32), "bias": bias, "slope": slope, "offset": offset}
 
 
-def score_words(words: DataFrame, beta: np.ndarray, bias: float) -> DataFrame:
+def subsequence_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How often each subsequence stands in words of toxic and of clean texts, over all counted words."""
+
+    def make():
+        words = Words()
+
+        def run(batch):
+            names, toxic, clean = (c.to_pylist() for c in batch.columns)
+            t, c = np.zeros(1 << 3 * _SYMBOL_BITS), np.zeros(1 << 3 * _SYMBOL_BITS)
+            for i in range(0, len(names), 20_000):
+                part = slice(i, i + 20_000)
+                sym, first, _, _ = words.split(names[part])
+                w, code, _ = features(sym, first)
+                t += np.bincount(code, np.asarray(toxic[part], float)[w], len(t))
+                c += np.bincount(code, np.asarray(clean[part], float)[w], len(c))
+            k = np.flatnonzero(t + c)
+            yield {"code": k, "toxic": t[k], "clean": c[k]}
+
+        return run
+
+    sums = arrow_map(counts.select("word", "toxic", "clean"), make, "code int, toxic double, clean double")
+    rows = sums.groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
+    t, c = np.zeros(1 << 3 * _SYMBOL_BITS), np.zeros(1 << 3 * _SYMBOL_BITS)
+    for r in rows:  # at most 2**18 codes
+        t[r["code"]], c[r["code"]] = r["toxic"], r["clean"]
+    return t, c
+
+
+def rate_words(counts: DataFrame, t: np.ndarray, c: np.ndarray) -> DataFrame:
+    """The counted words with the mean log odds of their subsequences (weighted by squared features), as
+    the *other* words show them, shrunk to 0."""
+    share = max(t.sum() / max(c.sum(), 1.0), 1e-9)
+    t, c = t.astype(np.float32), c.astype(np.float32)
+
     def make():
-        scorer = Scorer(beta, bias)
+        words = Words()
 
         def run(batch):
-            names = batch.column(0).to_pylist()
-            yield {"word": names, "margin": scorer.margins(names)}
+            names, toxic, clean = (x.to_pylist() for x in batch.columns)
+            for i in range(0, len(names), 20_000):
+                part = slice(i, i + 20_000)
+                sym, first, _, _ = words.split(names[part])
+                w, code, v = features(sym, first)
+                others = t[code] - np.asarray(toxic[part], np.float32)[w], c[code] - np.asarray(clean[part], np.float32)[w]
+                lean = np.log((others[0] + SHRINK * share) / (others[1] + SHRINK) / share)
+                yield {"word": names[part], "toxic": toxic[part], "clean": clean[part],
+                       "lean": np.bincount(w, v * v * lean, len(names[part]))}
 
         return run
 
-    return arrow_map(words, make, "word string, margin double")
+    return arrow_map(counts.select("word", "toxic", "clean"), make, "word string, toxic long, clean long, lean double")
+
+
+def score_words(words: DataFrame, beta: np.ndarray, bias: float) -> DataFrame:
+    """The counted words with their margins."""
+    return text_margins(words.withColumn("text", F.col("word")), beta, bias)
 
 
 def text_margins(texts: DataFrame, beta: np.ndarray, bias: float) -> DataFrame:
@@ -427,18 +494,18 @@ def text_margins(texts: DataFrame, beta: np.ndarray, bias: float) -> DataFrame:
     return texts.select(*keep, "text").mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, model: dict | None, keep: list[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns plus score (0 to 1) of every row."""
+def score(docs: DataFrame, model: dict | None, keep: list[str] = ("doc_id",), out: str = "score") -> DataFrame:
+    """``keep`` columns plus the score (0 to 1), named ``out``, of every row."""
     keep = list(keep)
     if model is None:
-        return docs.select(*keep, F.lit(0.0).alias("score"))
+        return docs.select(*keep, F.lit(0.0).alias(out))
     beta = np.zeros(1 << 3 * _SYMBOL_BITS, np.float32)
     beta[model["used"]] = model["beta"]
     names = [f"__{i}" for i in range(len(keep))]  # the caller's columns may be called anything
-    x = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col("text").alias("text"))
-    out = text_margins(x, beta, model["bias"])
+    x = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col("text"))
+    x = text_margins(x, beta, model["bias"])
     p = 1 / (1 + F.exp(-(F.lit(model["slope"]) * F.col("margin") + F.lit(model["offset"]))))
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], p.alias("score"))
+    return x.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], p.alias(out))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
