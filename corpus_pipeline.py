@@ -1,4 +1,8 @@
-"""A training corpus from raw documents: five stages, each written as Parquet and read by the next."""
+"""A training corpus from raw documents: five stages, each written as Parquet and read by the next.
+
+Each stage works on all rows its predecessor kept and, but for the last, returns the columns of its
+input.  Null and empty texts are rejected by the first stage (no language); later stages still accept them.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +12,12 @@ from sparkseries.llm.tables import written
 STAGES = [
     ("language", q.keep_identified),
     ("toxicity", q.keep_civil),
+    ("near_duplicates", q.keep_distinct),
+    ("decontamination", q.keep_uncontaminated),
+    ("bpe", q.tokenised),
 ]
 
-#: The stages are trained models, signatures and tokenizers: beyond SQL (tests hold them against plain versions).
+#: The stages are trained models, signatures and a tokenizer: beyond SQL (tests hold them against plain versions).
 ORACLE_SQL = None
 
 
