@@ -25,7 +25,7 @@ METHODS = ("ffill", "bfill", "interpolate")
 def impute_missing(df: DataFrame, method: str = "ffill", limit: int | None = None, *, ts: str,
                    tie: Sequence[str] = (), rows_per_chunk: int | None = None) -> DataFrame:
     if method not in METHODS:
-        raise ValueError(f"Unknown method: {method}")
+        raise ValueError(f"method is one of {METHODS}, not {method!r}")
     if limit is not None and limit < 1:
         raise ValueError("limit must be >= 1")
     targets = [c for c in df.columns if c != ts and c not in tie]

@@ -379,26 +379,6 @@ def apply_time_frames_preaggregated(c: Chunked, cols: Sequence[str], agg: str, w
 PREFIX_AGGS = ("count", "sum", "mean", "std", "var")
 
 
-def halo_amplification(c: Chunked, width_us: int) -> float:
-    """Rows copied per input row by the halo plan: 1 + window / typical chunk span."""
-    if c.n_chunks <= 1 or len(c.bounds) < 2:
-        return 1.0
-    spans = sorted(b - a for a, b in zip(c.bounds, c.bounds[1:]))
-    return 1.0 + width_us / max(1, spans[len(spans) // 2])
-
-
-def frame_rows(c: Chunked, width_us: int) -> float:
-    """Estimated rows inside one time frame (rows per µs of a typical chunk x width)."""
-    if c.n_chunks <= 1 or len(c.bounds) < 2:
-        span = None
-    else:
-        spans = sorted(b - a for a, b in zip(c.bounds, c.bounds[1:]))
-        span = spans[len(spans) // 2]
-    if not span:
-        return float(c.n_rows)
-    return width_us * (c.n_rows / c.n_chunks) / span
-
-
 def apply_time_frames_prefix(c: Chunked, cols: Sequence[str], agg: str, width_us: int,
                              keep: Sequence[str]) -> DataFrame:
     """Time frames as differences of prefix sums, for windows much wider than a chunk.

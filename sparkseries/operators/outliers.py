@@ -22,7 +22,7 @@ def outlier_conditions(df: DataFrame, columns: Sequence[str], method: str = "zsc
                        threshold: float = 3.0) -> dict[str, Column]:
     """``{column: boolean Column}`` -- NULL values and degenerate columns give False."""
     if method not in METHODS:
-        raise ValueError(f"Unknown method: {method}")
+        raise ValueError(f"method is one of {METHODS}, not {method!r}")
     cols = list(columns)
     if not cols:
         return {}

@@ -5,8 +5,8 @@ column in one map, which does not fit at table scale.  Here the two order
 statistics around each wanted rank ``h = (n - 1) * q`` are found by
 narrowing: the rows inside a value bracket are counted per equal-width
 bucket (``BUCKETS`` per bracket, a partial aggregate whose output is at most
-``BUCKETS`` rows per bracket), the bucket(s) holding the wanted ranks become
-the next bracket, and this repeats until a bracket holds at most
+``BUCKETS`` rows per bracket), the bucket holding the wanted rank becomes
+the next bracket (each rank has its own), and this repeats until a bracket holds at most
 ``max_select`` rows or a single value.  Only then are the values inside a
 bracket sorted -- inside one task per bracket, a bounded group -- to pick
 the order statistics and interpolate.  The answer equals ``percentile`` /
@@ -18,10 +18,11 @@ Every job collects scalars only (counts, bounds, two values per bracket).
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_SELECT = 50_000
@@ -31,11 +32,7 @@ BUCKETS = 4096
 @dataclass
 class _Target:
     col: str
-    q: float
-    n: int
-    lo_rank: int  # 0-based ranks around h
-    hi_rank: int
-    frac: float
+    rank: int  # 0-based
     low: float | None = None  # bracket [low, high] on values
     high: float | None = None
     below: int = 0  # rows with value < low
@@ -57,29 +54,37 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     row = known or d.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
                          *[F.min(c).alias(f"lo{i}") for i, c in enumerate(cols)],
                          *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)]).first().asDict()
-    targets: list[_Target] = []
+    # one bracket per wanted rank: two ranks in different heavy values never share one
+    at: dict[tuple[str, int], _Target] = {}
+    wanted: dict[tuple[str, float], tuple[int, int, float]] = {}
     for i, c in enumerate(cols):
         n = row[f"n{i}"]
-        for q in probs:
-            if n == 0:
-                continue
+        for q in probs if n else ():
             h = (n - 1) * q
-            t = _Target(c, q, n, math.floor(h), math.ceil(h), h - math.floor(h),
-                        row[f"lo{i}"], row[f"hi{i}"], 0, n)
-            targets.append(t)
-    _narrow(d, [t for t in targets if t.inside > max_select], max_select)
+            wanted[(c, q)] = math.floor(h), math.ceil(h), h - math.floor(h)
+            for rank in wanted[(c, q)][:2]:
+                at.setdefault((c, rank), _Target(c, rank, row[f"lo{i}"], row[f"hi{i}"], 0, n))
+    targets = list(at.values())
+    _narrow(d, [t for t in targets if t.low != t.high and t.inside > max_select], max_select)
     # a bracket narrowed to one value has its answer (and may hold many rows)
     picked = _select(d, [t for t in targets if t.low != t.high])
+    value = {k: t.low if t.low == t.high else picked[id(t)] for k, t in at.items()}
     out: dict[tuple[str, float], float | None] = {(c, q): None for c in cols for q in probs}
-    for t in targets:
-        if t.low == t.high:
-            out[(t.col, t.q)] = t.low
-            continue
-        a, b = picked[(id(t), t.lo_rank)], picked[(id(t), t.hi_rank)]
-        out[(t.col, t.q)] = a if t.frac == 0 else a + (b - a) * t.frac
+    for (c, q), (lo, hi, frac) in wanted.items():
+        a, b = value[(c, lo)], value[(c, hi)]
+        out[(c, q)] = a if frac == 0 or a == b else a + (b - a) * frac
     return out
 
 
+def _bucket(v: Column, lo: Column, hi: Column) -> Column:
+    """Bucket of ``v`` in its bracket: infinite values have buckets of their own, finite ones are spread over
+    equal widths (halved, so that the width of the widest bracket is finite too)."""
+    top = F.lit(sys.float_info.max)
+    a, b = F.greatest(lo, -top) / 2, F.least(hi, top) / 2
+    inner = F.when(a < b, F.least(((v / 2 - a) / (b - a) * F.lit(float(BUCKETS))).cast("int"), F.lit(BUCKETS - 1)))
+    return F.when(v == float("inf"), BUCKETS).when(v == float("-inf"), -1).otherwise(F.coalesce(inner, F.lit(0)))
+
+
 def _narrow(d: DataFrame, todo: list[_Target], max_select: int) -> None:
     """Shrink brackets until each holds at most ``max_select`` rows (or one value)."""
     while todo:
@@ -90,8 +95,7 @@ def _narrow(d: DataFrame, todo: list[_Target], max_select: int) -> None:
         entries = []
         for g, (col, lo, hi, _) in enumerate(keys):
             v = F.col(col)
-            width = (hi - lo) or 1.0
-            b = F.least(((v - F.lit(lo)) / F.lit(width) * F.lit(float(BUCKETS))).cast("int"), F.lit(BUCKETS - 1))
+            b = _bucket(v, F.lit(lo), F.lit(hi))
             entries.append(F.when(v.between(lo, hi), F.struct(F.lit(g).alias("g"), b.alias("b"), v.alias("v"))))
         any_inside = None
         for col, lo, hi, _ in keys:
@@ -109,23 +113,18 @@ def _narrow(d: DataFrame, todo: list[_Target], max_select: int) -> None:
         for g, key in enumerate(keys):
             buckets = sorted(per.get(g, []))
             for t in groups[key]:
-                cum, first, last = t.below, None, None
-                for b, n, lo, hi in buckets:
-                    if first is None and cum + n > t.lo_rank:
-                        first = (cum, lo)
-                    if cum + n > t.hi_rank:
-                        last = hi
+                cum = t.below
+                for _, n, lo, hi in buckets:  # the one bucket that holds the rank
+                    if cum + n > t.rank:
+                        t.low, t.high, t.below, t.inside = lo, hi, cum, n
                         break
                     cum += n
-                start_below, lo = first
-                inside = sum(n for b, n, l, h in buckets if lo <= l and h <= last)
-                t.low, t.high, t.below, t.inside = lo, last, start_below, inside
                 if t.low != t.high and t.inside > max_select:
                     nxt.append(t)
         todo = nxt
 
 
-def _select(d: DataFrame, targets: list[_Target]) -> dict[tuple[int, int], float]:
+def _select(d: DataFrame, targets: list[_Target]) -> dict[int, float]:
     """Order statistics inside each bracket (targets sharing a bracket share a group)."""
     groups: dict[tuple, list[_Target]] = {}
     for t in targets:
@@ -143,9 +142,7 @@ def _select(d: DataFrame, targets: list[_Target]) -> dict[tuple[int, int], float
     rows = (d.filter(any_inside).select(F.explode(F.array(*entries)).alias("e"))
             .filter(F.col("e").isNotNull()).select("e.g", "e.v"))
     wanted = F.create_map(*[x for g, (_, _, _, below) in enumerate(keys)
-                            for x in (F.lit(g), F.array(*[F.lit(r - below + 1)
-                                                         for t in groups[keys[g]]
-                                                         for r in (t.lo_rank, t.hi_rank)]))])
+                            for x in (F.lit(g), F.array(*[F.lit(t.rank - below + 1) for t in groups[keys[g]]]))])
     # each bracket holds at most max_select values: sort them inside one task
     # and pick the wanted ranks there; only the picked values are collected
     ranked = rows.groupBy("g").agg(F.sort_array(F.collect_list("v")).alias("s"))
@@ -158,8 +155,7 @@ def _select(d: DataFrame, targets: list[_Target]) -> dict[tuple[int, int], float
     for g, key in enumerate(keys):
         below = key[3]
         for t in groups[key]:
-            for rank in (t.lo_rank, t.hi_rank):
-                out[(id(t), rank)] = found[(g, rank - below + 1)]
+            out[id(t)] = found[(g, t.rank - below + 1)]
     return out
 
 
@@ -184,43 +180,36 @@ def grouped_quantile(df: DataFrame, keys: Sequence[str], column: str, q: float,
     keys = list(keys)
     d = df.select(*keys, F.col(column).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
     h = (F.col("n") - 1) * F.lit(float(q))
-    g = (d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
-         .select(*keys, "n", "lo", "hi", F.floor(h).cast("bigint").alias("r_lo"), F.ceil(h).cast("bigint").alias("r_hi"),
-                 (h - F.floor(h)).alias("frac"), F.lit(0).cast("bigint").alias("below"),
-                 F.col("n").alias("inside")))
+    stats = (d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+             .withColumn("frac", h - F.floor(h)))
+    # one bracket per group and wanted rank (one or two of them)
+    ranks = F.array_distinct(F.array(F.floor(h).cast("bigint"), F.ceil(h).cast("bigint")))
+    g = stats.select(*keys, F.posexplode(ranks).alias("__t", "r"), "frac", "lo", "hi",
+                     F.lit(0).cast("bigint").alias("below"), F.col("n").alias("inside"))
+    by = [*keys, "__t"]
     open_ = (F.col("lo") < F.col("hi")) & (F.col("inside") > max_select)
     while g.filter(open_).limit(1).count():
         act = g.filter(open_)
-        j = d.join(act.select(*keys, "lo", "hi"), keys).filter(F.col("__v").between(F.col("lo"), F.col("hi")))
-        b = F.least(((F.col("__v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(float(BUCKETS)))
-                    .cast("int"), F.lit(BUCKETS - 1))
-        hist = j.groupBy(*keys, b.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("__v").alias("mn"),
-                                                  F.max("__v").alias("mx"))
-        w = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-        hist = (hist.join(act.select(*keys, "below", "r_lo", "r_hi"), keys)
+        j = d.join(act.select(*by, "lo", "hi"), keys).filter(F.col("__v").between(F.col("lo"), F.col("hi")))
+        hist = j.groupBy(*by, _bucket(F.col("__v"), F.col("lo"), F.col("hi")).alias("b")).agg(
+            F.count(F.lit(1)).alias("c"), F.min("__v").alias("mn"), F.max("__v").alias("mx"))
+        w = Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        hist = (hist.join(act.select(*by, "below", "r"), by)
                 .withColumn("start", F.col("below") + F.coalesce(F.sum("c").over(w), F.lit(0)))
-                .withColumn("end", F.col("start") + F.col("c")))
-        at_lo, at_hi = F.col("end") > F.col("r_lo"), F.col("end") > F.col("r_hi")
-        step = hist.groupBy(*keys).agg(
-            F.min_by("mn", F.when(at_lo, F.col("b"))).alias("lo2"),
-            F.min_by("start", F.when(at_lo, F.col("b"))).alias("below2"),
-            F.min_by("mx", F.when(at_hi, F.col("b"))).alias("hi2"),
-            F.min_by("end", F.when(at_hi, F.col("b"))).alias("end2"))
-        g = (g.join(step, keys, "left")
-             .select(*keys, "n", F.coalesce("lo2", "lo").alias("lo"), F.coalesce("hi2", "hi").alias("hi"),
-                     "r_lo", "r_hi", "frac", F.coalesce("below2", "below").alias("below"),
-                     F.coalesce(F.col("end2") - F.col("below2"), F.col("inside")).alias("inside"))
+                .filter((F.col("start") <= F.col("r")) & (F.col("r") < F.col("start") + F.col("c"))))
+        step = hist.select(*by, F.col("mn").alias("lo2"), F.col("mx").alias("hi2"), F.col("start").alias("below2"),
+                           F.col("c").alias("inside2"))
+        g = (g.join(step, by, "left")
+             .select(*by, "r", "frac", *[F.coalesce(f"{c}2", c).alias(c) for c in ("lo", "hi", "below", "inside")])
              .checkpoint())
     # rank the few rows left inside each open bracket
     rest = g.filter(F.col("lo") < F.col("hi"))
-    j = d.join(rest.select(*keys, "lo", "hi", "below", "r_lo", "r_hi"), keys).filter(
-        F.col("__v").between(F.col("lo"), F.col("hi")))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__v")) + F.col("below") - 1
-    picks = (j.withColumn("rank", rank).filter((F.col("rank") == F.col("r_lo")) | (F.col("rank") == F.col("r_hi")))
-             .groupBy(*keys).agg(F.min_by("__v", F.when(F.col("rank") == F.col("r_lo"), F.col("rank"))).alias("a"),
-                                 F.min_by("__v", F.when(F.col("rank") == F.col("r_hi"), F.col("rank"))).alias("z")))
-    res = g.join(picks, keys, "left").select(
-        *keys, F.when(F.col("lo") == F.col("hi"), F.col("lo"))
-        .otherwise(F.col("a") + (F.col("z") - F.col("a")) * F.col("frac")).alias(out))
+    j = d.join(rest.select(*by, "lo", "hi", "below", "r"), keys).filter(F.col("__v").between(F.col("lo"), F.col("hi")))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("__v")) + F.col("below") - 1
+    picks = j.withColumn("rank", rank).filter(F.col("rank") == F.col("r")).select(*by, F.col("__v").alias("p"))
+    found = g.join(picks, by, "left").withColumn("x", F.coalesce("p", "lo"))
+    ends = found.groupBy(*keys).agg(F.first("frac").alias("frac"), F.min_by("x", "r").alias("a"), F.max_by("x", "r").alias("z"))
+    same = (F.col("frac") == 0) | (F.col("a") == F.col("z"))
+    res = ends.select(*keys, F.when(same, F.col("a")).otherwise(F.col("a") + (F.col("z") - F.col("a")) * F.col("frac")).alias(out))
     # groups without any non-NULL value
     return df.select(*keys).distinct().join(res, keys, "left")

@@ -24,11 +24,6 @@ from sparkseries.functions.columns import resolve_columns
 from sparkseries.functions.freq import parse_freq
 from sparkseries.operators import ordering as O
 
-# Above this many copies per row the halo plan gives way to prefix sums.
-MAX_HALO_AMPLIFICATION = 4.0
-# ... and so it does above this many rows in a typical frame (count, sum, mean, std, var).
-MAX_FRAME_ROWS = 256
-
 # Rolling aggregation names accepted by name.
 ROLLING_NAMES = ("mean", "sum", "std", "var", "min", "max", "count", "median")
 
@@ -69,11 +64,13 @@ def rolling_window(df: DataFrame, columns: Sequence[str] | None = None, window:
                    rows_per_chunk: int | None = None, time_plan: str | None = None) -> DataFrame:
     """Rolling aggregate of ``columns``; output: the order columns plus those columns.
 
-    Time windows pick a plan from the data: the halo plan (rows copied into the
-    chunks their window reaches), per-timestamp pre-aggregation when single
-    timestamps are hot, or prefix-sum differences when the window is much wider
-    than a chunk (count, sum, mean, std, var).  ``time_plan`` ("halo", "preaggregate",
-    "prefix") forces one, for tests.
+    Time windows use the halo plan (rows copied into the chunks their window
+    reaches) or, when single timestamps are hot, per-timestamp pre-aggregation;
+    both give the values of a plain window.  ``time_plan`` forces "halo" or
+    "preaggregate", or asks for "prefix": differences of running totals (count,
+    sum, mean, std, var), whose cost does not grow with the width but whose rounding
+    error grows with the running total, and which infinite values spoil.  It is
+    never chosen by itself.  Callables need a bounded frame: a number of rows.
     """
     cols = resolve_columns(df, columns, exclude=[ts, *tie])
     if not cols:
@@ -81,15 +78,13 @@ def rolling_window(df: DataFrame, columns: Sequence[str] | None = None, window:
     keep = [ts, *[t for t in tie if t not in cols], *cols]
     base = df.select(*dict.fromkeys(keep))
     if isinstance(window, str):
+        if callable(agg_func) and not isinstance(agg_func, spark_agg):
+            raise TypeError("a pandas callable needs a window of rows; a time window may hold any number of them")
         width = parse_freq(window)
         chunked = O.chunk(base, ts, tie, rows_per_chunk=rows_per_chunk, split_ties=False)
         named = isinstance(agg_func, str)
         auto = time_plan is None
-        # Spark re-aggregates a sliding RANGE frame from scratch as it moves, so
-        # the halo plan costs rows x frame rows; prefix sums cost rows
-        wide = auto and (O.halo_amplification(chunked, width) > MAX_HALO_AMPLIFICATION
-                         or O.frame_rows(chunked, width) > MAX_FRAME_ROWS)
-        if named and agg_func in O.PREFIX_AGGS and (wide or time_plan == "prefix"):
+        if named and agg_func in O.PREFIX_AGGS and time_plan == "prefix":
             return O.apply_time_frames_prefix(chunked, cols, agg_func, width, keep)
         if named and agg_func in O.DECOMPOSABLE and ((auto and chunked.heavy) or time_plan == "preaggregate"):
             return O.apply_time_frames_preaggregated(chunked, cols, agg_func, width, keep)

@@ -30,14 +30,13 @@ def filter_time_range(df: DataFrame, start, end, *, ts: str) -> DataFrame:
 
 
 def tail_rows(df: DataFrame, *, ts: str, tie: Sequence[str] = (), columns: Sequence[str] | None = None,
-              n: int = 10_000, max_columns: int = 3) -> DataFrame:
-    """The last ``n`` rows of the first ``max_columns`` chosen columns.
+              n: int) -> DataFrame:
+    """The last ``n`` rows of the chosen columns (default: the first numeric one).
 
     Planned as a top-k (``TakeOrderedAndProject``): each task keeps its own
     best ``n`` rows, so no task ever holds more than ``n`` rows per partition.
     """
     cols = list(columns) if columns is not None else numeric_columns(df, exclude=[ts, *tie])[:1]
-    cols = cols[:max_columns]
     order = [F.col(ts).desc_nulls_last()] + [F.col(t).desc_nulls_last() for t in tie]
     last = df.select(ts, *[t for t in tie if t not in cols], *cols).orderBy(*order).limit(n)
     # back to time order for display: a sort of at most n rows

@@ -197,7 +197,7 @@ SQL: dict[str, str] = {
         "AS n_columns, t0 AS start_ts, t1 AS end_ts, hi - lo AS duration_us, "
         "CASE WHEN step IS NOT NULL AND nd = n AND (SELECT k FROM o) = 0 THEN step END AS frequency_us FROM s"),
     "export_roundtrip": "SELECT * FROM events",
-    "tail_rows": "SELECT ts, event_id, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 10000",
+    "tail_rows": "SELECT ts, event_id, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000",
     "resample_mean": (
         f"SELECT {_bucket(HOUR_US)} AS ts, round(avg(event_id), 6) AS event_id, "
         "round(avg(user_id), 6) AS user_id, round(avg(value), 6) AS value FROM events GROUP BY 1"),
@@ -218,10 +218,15 @@ SQL: dict[str, str] = {
         "round(first(value ORDER BY ts, event_id), 6) AS value_first, "
         "round(last(value ORDER BY ts, event_id), 6) AS value_last, count(value) AS value_count "
         "FROM events GROUP BY 1"),
-    "resample_udf": (
+    "resample_expr": (
         f"SELECT {_bucket(HOUR_US)} AS ts, round(max(value) - min(value), 6) AS value FROM events GROUP BY 1"),
     "time_bucket_stats": _time_bucket_stats(),
     "basic_stats": _basic_stats("lineitem", LINEITEM_NUM, ""),
+    "two_valued_quantiles": _basic_stats("(SELECT CAST(event_id % 2 AS DOUBLE) AS v FROM events)", ["v"], ""),
+    "column_info": (
+        "SELECT CAST(ordinal_position AS INTEGER) AS position, column_name AS \"column\", "
+        "CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' "
+        "ELSE lower(data_type) END AS dtype FROM information_schema.columns WHERE table_name = 'events'"),
     "correlation_matrix": _corr(),
     "outlier_flags_zscore": (
         f"WITH {_zscore_stats(EVENTS_NUM)} SELECT ts, "
@@ -244,7 +249,7 @@ SQL: dict[str, str] = {
         "round(first(o_totalprice ORDER BY o_orderdate, o_orderkey), 6) AS o_totalprice_first, "
         "round(last(o_totalprice ORDER BY o_orderdate, o_orderkey), 6) AS o_totalprice_last, "
         "count(DISTINCT o_custkey) AS o_custkey FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 1"),
-    "custom_aggregate_udf": (
+    "custom_aggregate_expr": (
         "SELECT event_type, round(max(value) - min(value), 6) AS value FROM events "
         "WHERE event_type IS NOT NULL GROUP BY 1"),
     "rolling_rows_mean": _rows_window("value", 10, "avg(value) OVER w", "events"),

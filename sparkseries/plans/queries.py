@@ -38,6 +38,7 @@ from sparkseries.operators import (
     time_bucket_stats,
 )
 from sparkseries.sources import (
+    column_info,
     data_info,
     detect_time_column,
     export_roundtrip,
@@ -118,7 +119,7 @@ def q_export_roundtrip(spark, sf):
 
 
 def q_tail_rows(spark, sf):
-    return tail_rows(events(spark, sf), ts=TS, tie=TIE, columns=["value"], n=10_000)
+    return tail_rows(events(spark, sf), ts=TS, tie=TIE, columns=["value"], n=1000)
 
 
 def q_resample_mean(spark, sf):
@@ -143,7 +144,7 @@ def q_time_bucket_stats(spark, sf):
     return rounded(time_bucket_stats(events(spark, sf), "6H", ts=TS))
 
 
-def q_resample_udf(spark, sf):
+def q_resample_expr(spark, sf):
     return rounded(resample(events(spark, sf), "1H", {"value": _range_expr()}, ts=TS))
 
 
@@ -187,10 +188,20 @@ def q_custom_aggregate_multi(spark, sf):
                                     order=["o_orderdate", "o_orderkey"]))
 
 
-def q_custom_aggregate_udf(spark, sf):
+def q_custom_aggregate_expr(spark, sf):
     return rounded(custom_aggregate(events(spark, sf), "event_type", {"value": _range_expr()}))
 
 
+def q_column_info(spark, sf):
+    return column_info(events(spark, sf))
+
+
+def q_two_valued_quantiles(spark, sf):
+    # half the rows 0, half 1: the ranks around the median stand in two heavy values
+    e = events(spark, sf).select((F.col("event_id") % 2).cast("double").alias("v"))
+    return rounded(basic_stats(e))
+
+
 def q_rolling_rows_mean(spark, sf):
     return rounded(rolling_window(events(spark, sf), ["value"], 10, "mean", ts=TS, tie=TIE))
 
@@ -257,11 +268,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "data_info": q_data_info,
     "export_roundtrip": q_export_roundtrip,
     "tail_rows": q_tail_rows,
+    "column_info": q_column_info,
+    "two_valued_quantiles": q_two_valued_quantiles,
     "resample_mean": q_resample_mean,
     "resample_sum_gapfill": q_resample_sum_gapfill,
     "resample_multi": q_resample_multi,
     "resample_median_first": q_resample_median_first,
-    "resample_udf": q_resample_udf,
+    "resample_expr": q_resample_expr,
     "time_bucket_stats": q_time_bucket_stats,
     "basic_stats": q_basic_stats,
     "correlation_matrix": q_correlation_matrix,
@@ -272,7 +285,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "distributions": q_distributions,
     "custom_aggregate": q_custom_aggregate,
     "custom_aggregate_multi": q_custom_aggregate_multi,
-    "custom_aggregate_udf": q_custom_aggregate_udf,
+    "custom_aggregate_expr": q_custom_aggregate_expr,
     "rolling_rows_mean": q_rolling_rows_mean,
     "rolling_rows_std": q_rolling_rows_std,
     "rolling_rows_count": q_rolling_rows_count,

@@ -44,7 +44,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    # Unset: only happens in tests and local runs, where a local folder is shared.
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    # Unset on a local master (tests): driver and executors are one process.
     path = tempfile.mkdtemp(prefix="sparkseries-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext.getCheckpointDir().rstrip("/")

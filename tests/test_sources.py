@@ -1,13 +1,13 @@
 """Loader, detection, schema, info, export (reference fixtures L1-L3, X8, X9)."""
 
 import tempfile
+from datetime import datetime, timedelta
 
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from conftest import hourly
 from sparkseries.sources import (
     data_info,
     detect_time_column,
@@ -18,19 +18,21 @@ from sparkseries.sources import (
 
 
 @pytest.fixture
-def l1_path(tmp_path):
-    df = pd.DataFrame({"timestamp": hourly(1000), "value1": range(1000), "value2": range(1000, 2000),
-                       "category": ["A", "B", "C"] * 333 + ["A"]})
-    p = str(tmp_path / "l1.parquet")
+def readings(tmp_path):
+    """One day of readings at ten-minute steps from two meters."""
+    n = 144
+    at = [datetime(2023, 5, 4) + timedelta(minutes=10 * i) for i in range(n)]
+    df = pd.DataFrame({"taken": at, "kwh": [0.25 * (i % 7) for i in range(n)], "meter": ["north", "south"] * (n // 2)})
+    p = str(tmp_path / "readings.parquet")
     df.to_parquet(p, engine="pyarrow")
     return p
 
 
-def test_load_success(spark, l1_path):
-    s = load_series(spark, l1_path)
-    assert s.ts == "timestamp"
-    assert s.df.count() == 1000
-    assert {"value1", "value2"} <= set(s.df.columns)
+def test_load_success(spark, readings):
+    s = load_series(spark, readings)
+    assert s.ts == "taken"
+    assert s.df.count() == 144
+    assert s.df.columns == ["taken", "kwh", "meter"]
 
 
 def test_load_missing(spark):
@@ -40,26 +42,25 @@ def test_load_missing(spark):
 
 def test_load_empty(spark, tmp_path):
     p = str(tmp_path / "empty.parquet")
-    pd.DataFrame({"timestamp": pd.Series([], dtype="datetime64[us]"), "v": pd.Series([], dtype="float64")}).to_parquet(p)
+    pd.DataFrame({"taken": pd.Series([], dtype="datetime64[us]"), "kwh": pd.Series([], dtype="float64")}).to_parquet(p)
     with pytest.raises(ValueError):
         load_series(spark, p)
 
 
 def test_load_no_time_column(spark, tmp_path):
-    p = str(tmp_path / "l3.parquet")
-    pd.DataFrame({"col1": [1, 2, 3], "col2": ["a", "b", "c"]}).to_parquet(p)
+    p = str(tmp_path / "untimed.parquet")
+    pd.DataFrame({"meter": ["north", "south"], "kwh": [0.5, 0.75]}).to_parquet(p)
     with pytest.raises(ValueError):
         load_series(spark, p)
 
 
 def test_detect_datetime(spark):
-    df = spark.createDataFrame(pd.DataFrame({"timestamp": pd.to_datetime(["2024-01-01", "2024-01-02"]),
-                                             "value": [1, 2]}))
-    assert detect_time_column(df) == "timestamp"
+    df = spark.createDataFrame([("north", datetime(2023, 5, 4), 0.5)], "meter string, taken timestamp_ntz, kwh double")
+    assert detect_time_column(df) == "taken"
 
 
 def test_detect_none(spark):
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "col1 bigint, col2 string")
+    df = spark.createDataFrame([("north", 0.5), ("south", 0.75)], "meter string, kwh double")
     assert detect_time_column(df) is None
 
 
@@ -79,19 +80,19 @@ def test_string_time_column_parsed(spark, tmp_path):
     assert s.df.filter("v IS NULL").count() == 1
 
 
-def test_parquet_schema(spark, l1_path):
-    rows = parquet_schema(spark, l1_path).orderBy("position").collect()
-    assert [r["column"] for r in rows] == ["timestamp", "value1", "value2", "category"]
+def test_parquet_schema(spark, readings):
+    rows = parquet_schema(spark, readings).orderBy("position").collect()
+    assert [r["column"] for r in rows] == ["taken", "kwh", "meter"]
     assert rows[0]["type"].startswith("timestamp")
-    assert rows[1]["type"] == "int64"
+    assert rows[1]["type"] == "double"
 
 
-def test_data_info(spark, l1_path):
-    s = load_series(spark, l1_path)
+def test_data_info(spark, readings):
+    s = load_series(spark, readings)
     r = data_info(s.df, s.ts).first()
-    assert r["n_rows"] == 1000 and r["n_columns"] == 4
-    assert r["duration_us"] == 999 * 3_600_000_000
-    assert r["frequency_us"] == 3_600_000_000  # evenly spaced hourly grid
+    assert r["n_rows"] == 144 and r["n_columns"] == 3
+    assert r["duration_us"] == 143 * 600_000_000
+    assert r["frequency_us"] == 600_000_000  # evenly spaced ten-minute grid
 
 
 def test_data_info_irregular(spark):
@@ -99,10 +100,10 @@ def test_data_info_irregular(spark):
     assert data_info(df, "ts").first()["frequency_us"] is None
 
 
-def test_export_roundtrip(spark, l1_path):
-    s = load_series(spark, l1_path)
+def test_export_roundtrip(spark, readings):
+    s = load_series(spark, readings)
     back = export_roundtrip(spark, s.df)
-    assert back.ts == "timestamp"
+    assert back.ts == "taken"
     assert back.df.exceptAll(s.df).count() == 0 and s.df.exceptAll(back.df).count() == 0
 
 
