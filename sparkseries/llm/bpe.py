@@ -168,6 +168,10 @@ class TrieEncoder:
                 shared += 1
             del states[shared + 1:]
             states += [None] * (n - len(states))
+            if n > 256:  # from the root down, so that no chain of unknown states is followed deep
+                for end in range(shared + 1, n):
+                    if states[end] is None:
+                        states[end] = self.last_token(self.inner, path, end, states)
             t, at, out = self.last_token(self.closing, path, n, states), n, []
             while True:
                 out.append(t)

@@ -46,7 +46,7 @@ class Feistel:
         return (right << self.half) | left
 
     def _walk(self, x, keys) -> np.ndarray:
-        y = self._pass(np.asarray(x, np.uint64), keys)
+        y = self._pass(np.atleast_1d(np.asarray(x, np.uint64)), keys)
         out = np.flatnonzero(y >= self.n)
         while len(out):
             y[out] = self._pass(y[out], keys)
