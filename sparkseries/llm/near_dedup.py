@@ -11,11 +11,13 @@ similarity ``sum min / sum max`` of counts is at least 0.8, and classes are the
    Points come in order of arrival, so a process stops at the largest value still needed.
 2. *Banding.*  ``BANDS`` bands of ``ROWS`` components are the keys of candidate buckets: two texts of similarity
    0.8 miss each other in all of them with probability below 1e-4.
-3. *Verification.*  In each bucket the smallest text is compared with all members of other classes
-   (exact multiset overlap), the classes are joined along the links, and the compared text
-   leaves the bucket; the number of compared texts per bucket doubles from round to round, until the texts left
-   in every bucket are of one class.  All pairs of a bucket are thus decided without listing them: a bucket of
-   n copies needs about n comparisons.  There is no cap on buckets, candidates or rounds.
+3. *Verification.*  In every bucket a hash deals the texts to rounds: about ``FIRST`` of them (all, in a small bucket)
+   to the first, ``GROWTH`` times as many to each further one.  In its round a text is compared with all members of
+   other classes in the bucket, the classes are joined along the links, and the text leaves the bucket.  Buckets whose
+   remaining texts are of one class are closed.  So every pair of a bucket is decided, most of them by already being in one class:
+   a bucket of n copies needs about n comparisons, and nothing lists its pairs.  There is no cap on buckets,
+   candidates or rounds.  A comparison first looks at the sizes (exact) and at the agreement of 2-bit codes of the signatures
+   (a link of exactly 0.8 fails this with probability below 6e-4); what remains is verified by exact multiset overlap.
 
 Equal texts are one node from the start (by MD5), so a group of exact copies costs one signature's worth
 of rows.  Nothing of this is collected on the driver.
@@ -28,6 +30,8 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +42,10 @@ from sparkseries.llm.text import Hasher, mix, numbered, pieces, shingles
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
-M = BANDS * ROWS
+#: Signature components: the first BANDS * ROWS make the bands, all of them the estimate.
+M = 384
+CODES = M // 32  # 2-bit codes in longs
+FIRST, GROWTH = 1, 8
 
 
 def bag(texts: list, hasher: Hasher, k: int = SHINGLE):
@@ -86,18 +93,25 @@ def signatures(doc: np.ndarray, key: np.ndarray, count: np.ndarray, texts: int,
     return out.reshape(texts, m)
 
 
-def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """64-bit key of every band of every signature."""
-    bits = sig.view(np.uint64)
-    bands = sig.shape[1] // rows
+def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """32-bit key of every band of every signature."""
+    bits = np.ascontiguousarray(sig).view(np.uint64)
     out = np.zeros((len(sig), bands), np.uint64)
     for r in range(rows):
         out = mix(out + bits[:, r:bands * rows:rows] + np.uint64(r + 1))
-    return mix(out + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(0xD1342543DE82EF95)).view(np.int64)
+    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def codes(sig: np.ndarray) -> list[np.ndarray]:
+    """2 bits of every component, 32 to a long."""
+    bits = mix(np.ascontiguousarray(sig).view(np.uint64)) >> np.uint64(62)
+    shift = np.arange(0, 64, 2, dtype=np.uint64)
+    return [np.bitwise_or.reduce(bits[:, 32 * i:32 * i + 32] << shift, axis=1).view(np.int64) for i in range(CODES)]
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, keys): node is the MD5 of a text (null for null), keys the band keys (null without words)."""
+    """(doc_id, node, size, keys, c0, c1 ...): node is the MD5 of a text (null for null); the rest describes its
+    shingles (null without words)."""
     x = docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
 
     def make():
@@ -107,15 +121,17 @@ def signed(docs: DataFrame) -> DataFrame:
             ids, nodes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, texts in pieces(batch.column(2).to_pylist()):
                 doc, key, count = bag(texts, hasher)
-                keys = band_keys(signatures(doc, key, count, len(texts)))
-                some = np.bincount(doc, minlength=len(texts)) > 0
+                sig = signatures(doc, key, count, len(texts))
+                size = np.bincount(doc, count, len(texts)).astype(np.int64)
                 part = slice(i, i + len(texts))
-                yield {"doc_id": ids[part], "node": nodes[part],
-                       "keys": [k if s else None for k, s in zip(keys, some)]}
+                some = lambda rows: [r if n else None for r, n in zip(rows, size)]
+                yield {"doc_id": ids[part], "node": nodes[part], "size": size, "keys": some(band_keys(sig))} | {
+                    f"c{j}": c for j, c in enumerate(codes(sig))}
 
         return run
 
-    return arrow_map(x, make, "doc_id long, node binary, keys array<long>")
+    return arrow_map(x, make, "doc_id long, node binary, size long, keys array<int>, "
+                     + ", ".join(f"c{j} long" for j in range(CODES)))
 
 
 def bags(texts: DataFrame) -> DataFrame:
@@ -139,6 +155,28 @@ def bags(texts: DataFrame) -> DataFrame:
     return arrow_map(texts, make, "node binary, bag array<long>")
 
 
+def candidates(members: DataFrame, due, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a bucket with a text whose turn it is, of different classes, that sizes and codes allow
+    to be links; each pair comes from the first bucket it shares."""
+    x = members.withColumn("due", due)
+    codes = [f"c{i}" for i in range(CODES)]
+    a = x.where("due").select("band", "key", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "size", "keys", *codes)])
+    b = x.select("band", "key", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "size", "keys", *codes, "due")])
+    differ = F.lit(0)
+    for c in codes:  # a component differs if either of its two bits does
+        d = F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))
+        differ = differ + F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    p = similarity + (1 - similarity) / 4
+    most = M - math.floor(M * p - 3.3 * math.sqrt(M * p * (1 - p)))
+    earlier = F.exists(F.sequence(F.lit(0), F.lit(BANDS - 1)),
+                       lambda i: (i < a["band"]) & (F.get("keys_a", i) == F.get("keys_b", i)))
+    ok = ((F.col("label_a") != F.col("label_b")) & (~F.col("due_b") | (F.col("node_a") < F.col("node_b")))
+          & (F.least("size_a", "size_b") >= F.lit(similarity - 1e-9) * F.greatest("size_a", "size_b"))
+          & (differ <= most) & ~earlier)
+    pairs = a.join(b, [a["band"] == b["band"], a["key"] == b["key"], ok])
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+
 def links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose multiset overlap reaches the similarity."""
     x = pairs.join(sets.withColumnsRenamed({"node": "a", "bag": "bag_a"}), "a")
@@ -152,35 +190,37 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     (doc_id, node) of the class."""
     rows = written(signed(docs), "signed")
     nodes = rows.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"))
-    members = nodes.where("keys is not null").select("node", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    left = written(members.join(shared, "key"), "members")
+        F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in rows.columns[2:]])
+    nodes = written(nodes, "nodes")
+    members = nodes.where("keys is not null").select("node", F.posexplode("keys").alias("band", "key"))
+    shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    left = members.join(shared, ["band", "key"])
+    largest = shared.agg(F.max("n")).first()[0] or 1
+    left = written(left.join(nodes.drop("first_id"), "node"), "members")
     labels = written(left.select("node").distinct().withColumn("label", F.col("node")), "labels")
     # the shingles of candidate texts, each text once
-    named = labels.select("node").join(rows, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    wanted = nodes.select("node", "first_id").join(labels.select("node"), "node")
+    wanted = wanted.withColumnRenamed("node", "__node")
     texts = docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
-    texts = texts.join(named, [texts["node"] == named["node"], texts["doc_id"].eqNullSafe(named["doc_id"])], "left_semi")
+    texts = texts.join(wanted, [F.col("node") == F.col("__node"), F.col("doc_id").eqNullSafe(F.col("first_id"))], "left_semi")
     sets = written(bags(texts.select("node", "text")).dropDuplicates(["node"]), "bags")
-    round_ = 0
+    # a text's turn in a bucket of n: the round in which FIRST * GROWTH**round / n exceeds its hash
+    place = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / (1 << 40) * F.col("n")
+    reach = FIRST
     while True:
+        due = place < reach
         tagged = left.join(labels, "node")
-        open_ = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        tagged = written(tagged.join(open_, "key"), "open")
+        open_ = tagged.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        tagged = written(tagged.join(open_.where("lo <> hi").drop("lo", "hi"), ["band", "key"]), "open")
+        dropped(left)
         if tagged.isEmpty():
             break
-        part = F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(1 << round_))
-        chosen = tagged.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "label")).alias("p"))
-        chosen = chosen.select("key", F.col("p.node").alias("a"), F.col("p.label").alias("la"))
-        pairs = tagged.withColumnRenamed("node", "b").join(chosen, "key").where("la <> label")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = written(links(pairs, sets, similarity), "links")
+        found = written(links(candidates(tagged, due, similarity), sets, similarity), "links")
         labels = relabel(labels, found)
-        gone = chosen.select("key", F.col("a").alias("node"))
-        after = written(tagged.select("key", "node").join(gone, ["key", "node"], "left_anti"), "members")
-        for old in (left, tagged, found):
-            dropped(old)
-        left, round_ = after, round_ + 1
+        dropped(found)
+        if reach >= largest:
+            break
+        left, reach = tagged.where(~due).drop("label"), reach * GROWTH
     # every node's class is named by the smallest id among the class's texts
     first = nodes.select("node", "first_id").join(labels, "node", "left")
     first = first.select("node", "first_id", F.coalesce("label", "node").alias("label"))
