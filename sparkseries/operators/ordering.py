@@ -2,21 +2,23 @@
 
 ``Window.orderBy(ts)`` with no partition key moves the whole table into one
 task.  Instead every ordered operator here runs on *chunks*: contiguous
-ranges of the order key ``(ts, *tie)`` whose bounds are literal values taken
-from approximate quantiles, so the chunk of a row is a deterministic
-expression and chunks hold about the same number of rows even when the data
-arrives in bursts.  A timestamp value that alone holds several chunks' worth
-of rows is split further by quantiles of the (numeric) tie-break column.
+ranges of the order key ``(ts, *tie)``.  The bounds are cut from row counts per
+key range (map-side partial counts; ranges with too many rows are counted
+again in pieces), so chunks hold about the same number of rows even when the
+data arrives in bursts, and the chunk of a row is a deterministic expression.
+A timestamp that alone holds more than a chunk of rows, NULL included, is split
+further along the tie columns and the row hash.
 
 Each chunk is placed in its own partition (``Chunked.place``).  The patterns
-built on the chunks shuffle the row data once, by chunk, unless noted:
+built on the chunks:
 
 * bounded row frames (rolling by rows, lag/lead, diff, limited fill):
   ``apply_row_frames``.  Rows whose frame may cross a chunk boundary are the
   first ``P`` / last ``Q`` rows of a chunk (longest look-back / look-ahead);
-  only those are re-evaluated over the small *edge set* (the first and last
-  ``P + Q`` rows of every chunk) in global order and unioned back.  No join,
-  no broadcast of row data.
+  only those are re-evaluated over the *edge set* (the first and last
+  ``P + Q`` rows of every chunk), which is numbered, cut into blocks with a halo
+  of ``P`` and ``Q`` rows, and unioned back.  The row data is shuffled once for
+  each of the two parts; nothing is gathered in one task.
 * bounded time frames (rolling by a time offset): ``apply_time_frames``.  A
   row is also sent to the following chunks whose first timestamps lie within
   the window after it (a halo), then every chunk evaluates its own rows.
@@ -37,6 +39,7 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,13 +55,20 @@ CNT = internal("cnt")
 IDX = internal("idx")
 HASH = internal("hash")
 PART = internal("part")
+START = internal("start")
+SPLITS = internal("splits")
+POS = internal("pos")
+BLOCK = internal("block")
 
 SUB_BITS = 20
 SUB_LAST = (1 << SUB_BITS) - 1
 
 DEFAULT_ROWS_PER_CHUNK = 1_000_000
 MIN_ROWS_PER_CHUNK = 1_000
-MAX_CHUNKS = 100_000
+# Key ranges counted at first (besides four per chunk), pieces of a range that holds too many rows.
+GRID, PIECES = 4096, 64
+# Rows of the edge set that one task evaluates (more if a frame is longer).
+EDGE_BLOCK = 100_000
 
 
 @dataclass
@@ -72,6 +82,7 @@ class Chunked:
     n_chunks: int
     bounds: list[int] = field(default_factory=list)  # distinct key bounds, ascending
     heavy: list[int] = field(default_factory=list)  # keys holding more than a chunk of rows
+    n_split: int = 0  # further chunks that their rows are dealt to
     # slots[i]: a bigint whose Spark hash lands in partition i of n_chunks;
     # None when heavy timestamps were split into sub-chunks
     slots: list[int] | None = None
@@ -106,12 +117,11 @@ class Chunked:
         if self.n_chunks <= 1:
             return df, by
         if self.slots is None:
-            return df.repartitionByRange(self.n_chunks, by), by
+            return df.repartitionByRange(self.n_chunks + self.n_split, by), by
         if index is None:
             index = F.shiftright(F.col(CHUNK), SUB_BITS)
         # bigint like the ids the slots were hashed as (an int hashes differently)
-        slots = F.array(*[F.lit(v) for v in self.slots]).cast("array<bigint>")
-        part = F.element_at(slots, F.greatest(index, F.lit(0)).cast("int") + 1)
+        part = F.element_at(longs(self.slots), F.greatest(index, F.lit(0)).cast("int") + 1)
         return df.withColumn(PART, part).repartition(len(self.slots), PART), PART
 
     def user_columns(self) -> list[str]:
@@ -136,31 +146,32 @@ def bucket_of(key: Column, bounds: Sequence[int]) -> Column:
     return _bsearch(key, bounds).cast("bigint")
 
 
-# Above this many bounds the chunk search runs as a JVM binary search
-# (ML Bucketizer) instead of a CASE tree, which would grow with the bounds.
+def longs(values: Sequence[int]) -> Column:
+    """A constant bigint array: one text literal, folded by the optimizer."""
+    return F.split(F.lit(",".join(str(int(v)) for v in values)), ",").cast("array<bigint>")
+
+
+# Above this many bounds the chunk search is a loop over a constant array instead
+# of a CASE tree, whose code would grow with the bounds.
 CASE_TREE_MAX = 1024
 
 
 def with_buckets(df: DataFrame, outs: dict[str, Column], bounds: Sequence[int]) -> DataFrame:
     """Add ``outs[name]`` = how many ``bounds`` are <= the given key (NULL stays NULL).
 
-    Up to ``CASE_TREE_MAX`` bounds this is a balanced CASE tree inside
-    whole-stage codegen.  Beyond it, Spark's ``Bucketizer`` does a binary
-    search in the JVM with the bounds captured once per task, so the plan does
-    not grow with the chunk count (100,000 chunks at ~100 TB).
+    Both forms are a binary search on bigints: a balanced CASE tree inside
+    whole-stage codegen up to ``CASE_TREE_MAX`` bounds, beyond it ``aggregate``
+    over the step sizes, so the expression does not grow with the chunk count.
     """
-    if len(bounds) <= CASE_TREE_MAX:
-        for name, key in outs.items():
-            df = df.withColumn(name, bucket_of(key, bounds))
-        return df
-    from pyspark.ml.feature import Bucketizer
-
-    splits = [float("-inf")] + [float(b) for b in bounds] + [float("inf")]
     for name, key in outs.items():
-        src = internal("bucket_src")
-        df = df.withColumn(src, key.cast("double"))
-        df = Bucketizer(splits=splits, inputCol=src, outputCol=name, handleInvalid="keep").transform(df)
-        df = df.withColumn(name, F.when(F.col(src).isNotNull(), F.col(name).cast("bigint"))).drop(src)
+        if len(bounds) <= CASE_TREE_MAX:
+            df = df.withColumn(name, F.when(key.isNotNull(), bucket_of(key, bounds)))
+            continue
+        steps = longs([1 << i for i in reversed(range(len(bounds).bit_length()))])
+        table, src = longs(bounds), internal("search")
+        found = F.aggregate(steps, F.lit(0).cast("bigint"), lambda at, step: F.when(
+            F.get(table, (at + step - 1).cast("int")) <= F.col(src), at + step).otherwise(at))
+        df = df.withColumn(src, key).withColumn(name, F.when(F.col(src).isNotNull(), found)).drop(src)
     return df
 
 
@@ -174,48 +185,134 @@ def _target_chunks(spark, n_rows: int, rows_per_chunk: int | None) -> int:
         if cores < n < 8 * cores:
             # few chunks per core: a whole number of waves avoids a lone tail
             n = min(math.ceil(n / cores) * cores, max(1, n_rows // MIN_ROWS_PER_CHUNK))
-    return int(max(1, min(n, MAX_CHUNKS)))
+    return int(max(1, n))
+
+
+def _ranges(x: DataFrame, lo: int, hi: int, n_chunks: int, per: int) -> tuple[np.ndarray, np.ndarray]:
+    """First keys and row counts of ascending key ranges; more than ``per`` rows are in single keys only.
+
+    The driver holds one entry per counted range, a multiple of the chunk count.
+    """
+    def start(origin: Column, width: int) -> Column:
+        # a start below the smallest bigint is that of the smallest key
+        return F.coalesce(F.try_subtract(F.col(KEY), F.pmod(origin, F.lit(width))), F.lit(lo))
+
+    width = (hi - lo) // (GRID + 4 * n_chunks) + 1
+    d = x.select(KEY).where(F.col(KEY).isNotNull())
+    d = d.withColumn(START, start(F.col(KEY), width))
+    starts, counts = [], []
+    while True:
+        got = d.groupBy(START).agg(F.count(F.lit(1)).alias(CNT)).toPandas()
+        at, n = got[START].to_numpy(np.int64), got[CNT].to_numpy(np.int64)
+        again = (n > per) & (width > 1)
+        starts.append(at[~again])
+        counts.append(n[~again])
+        if not again.any():
+            break
+        # ranges with more than a chunk of rows: fewer than there are chunks
+        heavy = x.sparkSession.createDataFrame([(int(v),) for v in at[again]], f"{START} bigint")
+        width = -(-width // PIECES)
+        d = d.join(F.broadcast(heavy), START).withColumn(START, start(F.col(KEY) - F.col(START), width))
+    starts, counts = np.concatenate(starts), np.concatenate(counts)
+    order = np.argsort(starts)
+    return starts[order], counts[order]
+
+
+def _ordinal(df: DataFrame, name: str) -> Column | None:
+    """A double that grows (not strictly) with the column in sort order; None for types without one."""
+    t, c = df.schema[name].dataType, F.col(name)
+    if isinstance(t, (T.NumericType, T.BooleanType)):
+        return c.cast("double")
+    if isinstance(t, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        return epoch_us(df, name).cast("double")
+    if isinstance(t, (T.StringType, T.BinaryType)):
+        head = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    return None
+
+
+def _split_table(x: DataFrame, tie: Sequence[str], heavy: list, per: int, most: int) -> tuple[DataFrame, Column] | None:
+    """For every heavy key, the first order column that varies in it (``level``) and the values that split
+    its rows into chunks; and the sub-chunk of a row joined to that table.
+
+    The quantiles have a fixed accuracy and are merged per key from partial sketches; the table has about
+    as many values as chunks.
+    """
+    levels = []
+    for name in [*tie, HASH]:
+        o = _ordinal(x, name)
+        if o is None:
+            break
+        levels.append((name, o))
+    if not levels:
+        return None
+    keys = x.sparkSession.createDataFrame([(k,) for k in heavy], f"{KEY} bigint").withColumnRenamed(KEY, START)
+    rows = x.join(F.broadcast(keys), F.col(KEY).eqNullSafe(F.col(START))).drop(START)
+    probs = [i / most for i in range(1, most)]
+    n = F.count(F.lit(1))
+    varies = [(F.min(c) != F.max(c)) | (F.count(c).between(1, n - 1)) for c, _ in levels]
+    quantiles = [F.percentile_approx(o, probs, max(10_000, 8 * most)) for _, o in levels]
+    level, splits = F.lit(len(levels) - 1), quantiles[-1]
+    for i in reversed(range(len(levels) - 1)):
+        level, splits = F.when(varies[i], F.lit(i)).otherwise(level), F.when(varies[i], quantiles[i]).otherwise(splits)
+    stride = F.greatest(F.lit(1), F.floor(F.lit(most * per) / n))
+    got = rows.groupBy(KEY).agg(level.alias("level"), splits.alias("s"), stride.alias("stride"))
+    got = got.select(F.col(KEY).alias(START), "level", F.array_distinct(F.filter(
+        "s", lambda v, i: (i + 1) % F.col("stride") == 0)).alias(SPLITS))
+    # collected, since a sketch merged again in another order could split elsewhere
+    table = x.sparkSession.createDataFrame(got.collect(), got.schema).withColumnRenamed("level", internal("level"))
+    at = F.lit(None).cast("double")
+    for i, (_, o) in enumerate(levels):
+        at = F.when(F.col(internal("level")) == i, o).otherwise(at)
+    sub = F.when(F.col(SPLITS).isNotNull(), F.size(F.filter(SPLITS, lambda v: v <= at))).otherwise(F.lit(SUB_LAST))
+    return table, sub
 
 
 def chunk(df: DataFrame, ts: str, tie: Sequence[str] = (), *, rows_per_chunk: int | None = None,
           split_ties: bool = True) -> Chunked:
     """Assign every row a chunk id; chunks are contiguous in ``(ts, *tie)`` order.
 
-    Two small jobs collect scalars: the row count and the quantile bounds
-    (plus, only when one timestamp holds more than a chunk of rows, the
-    tie-break quantiles of those timestamps).
+    Two small jobs: counts and extremes of the key, then counts per key range
+    (again for ranges with too many rows; and, only when one timestamp holds
+    more than a chunk of rows, quantiles of the tie columns in it).
     """
     tie = tuple(tie)
     x = df.withColumn(KEY, epoch_us(df, ts)).withColumn(HASH, F.xxhash64(*[F.col(c) for c in df.columns]))
-    n_rows = x.count()
+    n_rows, keyed, lo, hi = x.agg(F.count(F.lit(1)), F.count(KEY), F.min(KEY), F.max(KEY)).first()
     n_chunks = _target_chunks(df.sparkSession, n_rows, rows_per_chunk)
     if n_chunks <= 1:
         return Chunked(x.withColumn(CHUNK, F.lit(0).cast("bigint")), ts, tie, n_rows, 1, [])
-    probs = [i / n_chunks for i in range(1, n_chunks)]
-    accuracy = max(10_000, 50 * n_chunks)
-    row = x.agg(F.percentile_approx(KEY, probs, accuracy).alias("q")).first()
-    raw = [int(v) for v in (row["q"] or [])]
-    bounds = sorted(set(raw))
-    base_col = internal("base")
-    x = with_buckets(x, {base_col: F.col(KEY)}, bounds)
-    base = F.col(base_col)
-    heavy = sorted({v for v in raw if raw.count(v) >= 2})
-    sub = F.lit(SUB_LAST)
-    tie_type = df.schema[tie[0]].dataType if tie else None
-    split = split_ties and heavy and isinstance(tie_type, T.NumericType)
-    if split:
-        reps = max(raw.count(v) for v in heavy) + 1
-        sub_probs = [i / reps for i in range(1, reps)]
-        rows = (x.filter(F.col(KEY).isin(heavy)).groupBy(KEY)
-                .agg(F.percentile_approx(F.col(tie[0]), sub_probs, accuracy).alias("q"))
-                .collect())
-        for r in rows:
-            splits = sorted(set(r["q"] or []))
-            sub = F.when(F.col(KEY) == F.lit(r[KEY]), _bsearch(F.col(tie[0]), splits)).otherwise(sub)
-    cid = F.coalesce(base * F.lit(1 << SUB_BITS) + sub, F.lit(-1).cast("bigint"))
+    per = math.ceil(n_rows / n_chunks)
+    bounds, heavy, most, extra = [], [], 1, 0
+    if keyed:
+        starts, counts = _ranges(x, lo, hi, n_chunks, per)
+        large = counts > per
+        # a range belongs to the chunk of its middle row; a heavy key has a chunk to itself
+        index = ((np.cumsum(counts) - counts / 2) / per).astype(np.int64)
+        cut = (np.diff(index) > 0) | large[1:] | large[:-1]
+        bounds = [int(v) for v in starts[1:][cut]]
+        heavy = [int(v) for v in starts[large]]
+        if heavy:
+            most, extra = math.ceil(counts[large].max() / per), int((counts[large] // per).sum())
+    nulls = n_rows - keyed
+    hot = heavy + ([None] if nulls > per else [])
+    most, extra = max(most, math.ceil(nulls / per)), extra + nulls // per
+    split = _split_table(x, tie, hot, per, most) if split_ties and hot else None
     n = len(bounds) + 1
-    slots = None if split else _slots(df.sparkSession, n)
-    return Chunked(x.withColumn(CHUNK, cid).drop(base_col), ts, tie, n_rows, n, bounds, heavy, slots)
+    base = internal("base")
+    if split is None:  # NULL sorts first: it is part of the first chunk
+        x = with_buckets(x, {base: F.col(KEY)}, bounds)
+        cid = F.coalesce(F.col(base), F.lit(0)).cast("bigint") * F.lit(1 << SUB_BITS) + F.lit(SUB_LAST)
+        return Chunked(x.withColumn(CHUNK, cid).drop(base), ts, tie, n_rows, n, bounds, heavy,
+                       slots=_slots(df.sparkSession, n))
+    table, sub = split
+    x = x.join(F.broadcast(table), F.col(KEY).eqNullSafe(F.col(START)), "left")
+    x = with_buckets(x, {base: F.col(KEY)}, bounds)
+    cid = F.coalesce(F.col(base), F.lit(-1)).cast("bigint") * F.lit(1 << SUB_BITS) + sub
+    x = x.withColumn(CHUNK, cid).drop(base, START, SPLITS, internal("level"))
+    return Chunked(x, ts, tie, n_rows, n, bounds, heavy, extra)
 
 
 def _slots(spark, n: int) -> list[int] | None:
@@ -233,13 +330,12 @@ def _slots(spark, n: int) -> list[int] | None:
 @dataclass
 class RowOutput:
     """One output column: ``fn(window)`` over a row frame looking back ``pre``
-    rows and ahead ``post`` rows (at most).  ``python`` marks a pandas UDF."""
+    rows and ahead ``post`` rows (at most)."""
 
     name: str
     fn: Callable[[WindowSpec], Column]
     pre: int = 0
     post: int = 0
-    python: bool = False
 
 
 def apply_row_frames(c: Chunked, outputs: Sequence[RowOutput], keep: Sequence[str]) -> DataFrame:
@@ -251,8 +347,9 @@ def apply_row_frames(c: Chunked, outputs: Sequence[RowOutput], keep: Sequence[st
     last ``P + Q`` rows of every chunk -- contains every zone row's whole
     frame, also across small chunks, so evaluating the outputs over the edge
     set in global order is exact for zone rows.  Rows outside the zone keep
-    their chunk-local values.  The edge set has at most ``2 (P + Q)`` rows per
-    chunk, so its global window is over a bounded table.
+    their chunk-local values.  Edge rows are numbered through their chunks'
+    counts and evaluated in blocks of at least ``P + Q`` numbers; the last ``P``
+    and first ``Q`` rows of a block are copied to its neighbours.
     """
     x, key = c.place(c.df)
     wl = c.local_window(key)
@@ -276,10 +373,20 @@ def apply_row_frames(c: Chunked, outputs: Sequence[RowOutput], keep: Sequence[st
     zone = (F.col(RN) <= pre) | (F.col(RN) > F.col(CNT) - post)
     reach = pre + post
     edge = x.filter((F.col(RN) <= reach) | (F.col(RN) > F.col(CNT) - reach))
-    wg = Window.orderBy(F.col(CHUNK), F.col(RN))
+    # one row per chunk: the broadcast is bounded by the chunk count
+    kept = c.df.groupBy(CHUNK).agg(F.least(F.count(F.lit(1)), F.lit(2 * reach)).alias(CNT))
+    earlier = F.sum(CNT).over(Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1))
+    edge = edge.join(F.broadcast(kept.select(CHUNK, earlier.alias("__ss_off"))), CHUNK, "left")
+    left_out = F.when(F.col(RN) > reach, F.greatest(F.lit(0), F.col(CNT) - 2 * reach)).otherwise(0)
+    edge = edge.withColumn(POS, F.coalesce("__ss_off", F.lit(0)) + F.col(RN) - 1 - left_out)
+    size = max(EDGE_BLOCK, reach)
+    home, at = F.floor(F.col(POS) / size), F.col(POS) % size
+    edge = edge.withColumn(HOME, home).withColumn(BLOCK, F.explode(F.sequence(
+        home - (at < post).cast("bigint"), home + (at >= size - pre).cast("bigint"))))
+    wg = Window.partitionBy(BLOCK).orderBy(POS)
     inner = project(evaluate(x, wl).filter(~zone))
-    fixed = project(evaluate(edge.select(*src, CHUNK, RN, CNT), wg).filter(zone))
-    return inner.unionByName(fixed)
+    fixed = edge.select(*src, RN, CNT, HOME, BLOCK, *[o.fn(wg).alias(tmp[o.name]) for o in outputs])
+    return inner.unionByName(project(fixed.filter(zone & (F.col(BLOCK) == F.col(HOME)))))
 
 
 # --------------------------------------------------------------------------
