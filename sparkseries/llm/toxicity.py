@@ -3,8 +3,11 @@
 The kernel compares two words by the subsequences of three symbols they share, contiguous or not: a
 subsequence that spans ``s`` symbols weighs ``DECAY**s``, spans up to ``SPAN`` count, a mark stands before the
 word's first letter, and the kernel is normalised, so inserted characters and gaps lower it only gradually.
+One or two inserted letters still take most words below the threshold, so a word that becomes a repeated
+positive word of the training when they are left out has at least that word's margin; three or more do not count.
 A text is toxic if one of its words is: its margin is the largest margin of its words (those below
--1 count as -1).
+-1 count as -1).  The machine learns from single words, with labels inferred from the labelled texts, and not from
+sentences: a text that is toxic only by several harmless words together is not found.
 
 Training, on at most ``SAMPLE`` labelled texts (evenly over the labels, by a hash of the id):
 
@@ -48,6 +51,9 @@ RIDGE = 1.0
 LEAN, SHRINK = 1.0, 8.0
 SPAN, DECAY = 6, 0.7
 THRESHOLD = 0.7
+#: Positive words that are also found with one or two inserted letters: those that so many toxic texts repeat, of
+#: so many symbols (two letters are looked past from one symbol more).
+REPEATED, SHORTEST, LONGEST = 3, 4, 32
 SLICE = 1 << 19  # symbols handled at a time
 _OFFSETS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 _SYMBOL_BITS = 6
@@ -238,10 +244,20 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class Scorer:
-    """Margins of texts under a folded model: one weight per subsequence and a bias."""
+    """Margins of texts under a folded model: one weight per subsequence and a bias.  Words that become one of
+    the ``known`` words when one or two letters are left out have at least its margin."""
 
-    def __init__(self, beta: np.ndarray, bias: float):
+    def __init__(self, beta: np.ndarray, bias: float, known: list[str] = ()):
         self.words, self.beta, self.bias = Words(), beta, bias
+        self.known = [w for w in known if SHORTEST <= len(w) <= LONGEST]
+        self.longest = max(map(len, self.known), default=0)
+        h = self.words.split(self.known)[3] if self.known else np.zeros(0, np.uint64)
+        self.order = np.argsort(h)
+        self.hashes = h[self.order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(h & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        self.own = np.zeros(0)
+        self.own = self.margins(self.known)[self.order] if self.known else self.own
 
     def margins(self, texts: list) -> np.ndarray:
         out = np.full(len(texts), -1.0)
@@ -250,7 +266,10 @@ class Scorer:
             if not len(h):
                 continue
             _, one, inverse = np.unique(h, return_index=True, return_inverse=True)
-            m = self.word_margins(sym, first, one)[inverse]
+            m = self.word_margins(sym, first, one)
+            if self.longest and len(self.own):
+                m = np.maximum(m, self.inserted(*_pick(sym, first, one)))
+            m = m[inverse]
             new = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
             best = np.maximum.reduceat(m, new)
             np.maximum.at(out, np.asarray(idx)[text[new]], best)
@@ -274,6 +293,34 @@ class Scorer:
         return out
 
 
+    def inserted(self, sym: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The largest margin of the known words that each word becomes without one or two letters, else -1."""
+        power, inverse = self.words.power, self.words.inverse
+        total = np.concatenate([[np.uint64(0)], np.cumsum(sym.astype(np.uint64) * power[:len(sym)])])
+        n = np.diff(first)
+        out = np.full(len(n), -1.0)
+        for size in range(SHORTEST + 1, self.longest + 3):
+            which = np.flatnonzero(n == size)
+            cuts = [(1, *(np.tile(np.arange(size), (2, 1))))]
+            if size - 2 > SHORTEST:
+                cuts.append((2, *np.triu_indices(size, 1)))
+            for drop, i, j in cuts:
+                step = max(1, SLICE // len(i))
+                for part in np.split(which, np.arange(step, len(which), step)):
+                    lo = first[part][:, None]
+                    raw = (total[lo + i] - total[lo]) * inverse[lo]
+                    if drop == 2:
+                        raw = raw + (total[lo + j] - total[lo + i + 1]) * inverse[lo + 1]
+                    raw = raw + (total[lo + size] - total[lo + j + 1]) * inverse[lo + drop]
+                    h = mix(raw + np.uint64(size - drop))
+                    row, col = np.nonzero(self.maybe[(h & np.uint64(0xFFFFF)).astype(np.int64)])
+                    h = h[row, col]
+                    at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                    hit = np.flatnonzero(self.hashes[at] == h)
+                    np.maximum.at(out, part[row[hit]], self.own[at[hit]])
+        return out
+
+
 def _pick(sym: np.ndarray, first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(first)[which]
     start = np.cumsum(n) - n
@@ -407,12 +454,13 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, landmarks: int
         near += hard.orderBy(F.desc("margin"), "word").limit(WORDS // 2).collect()
         beta, bias = refit(best)
     dropped(rated)
-    pairs = text_margins(sample.where("half = 1").select("text", "toxic"), beta, bias).select("toxic", "margin").collect()
+    known = [r["word"] for r in best if r["toxic"] >= REPEATED]
+    pairs = text_margins(sample.where("half = 1").select("text", "toxic"), beta, bias, known).select("toxic", "margin").collect()
     y = np.array([p["toxic"] for p in pairs], float)
     m = np.array([p["margin"] for p in pairs], float)
     slope, offset = platt(m, y) if len(set(y)) == 2 else (4.0, 0.0)
     used = np.flatnonzero(beta)
-    return {"used": used, "beta": beta[used].astype(np.float32), "bias": bias, "slope": slope, "offset": offset}
+    return {"used": used, "beta": beta[used].astype(np.float32), "bias": bias, "known": known, "slope": slope, "offset": offset}
 
 
 def subsequence_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -473,7 +521,7 @@ def score_words(words: DataFrame, beta: np.ndarray, bias: float) -> DataFrame:
     return text_margins(words.withColumn("text", F.col("word")), beta, bias)
 
 
-def text_margins(texts: DataFrame, beta: np.ndarray, bias: float) -> DataFrame:
+def text_margins(texts: DataFrame, beta: np.ndarray, bias: float, known: list[str] = ()) -> DataFrame:
     """All columns of ``texts`` but ``text``, with ``margin``."""
     import pyarrow as pa
     from pyspark.sql import types as T
@@ -486,7 +534,7 @@ def text_margins(texts: DataFrame, beta: np.ndarray, bias: float) -> DataFrame:
     def run(batches):
         full = np.zeros(1 << 3 * _SYMBOL_BITS, np.float32)
         full[used] = vals
-        scorer = Scorer(full, bias)
+        scorer = Scorer(full, bias, known)
         for b in batches:
             m = scorer.margins(b.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(m, pa.float64())], names=[*keep, "margin"])
@@ -503,7 +551,7 @@ def score(docs: DataFrame, model: dict | None, keep: list[str] = ("doc_id",), ou
     beta[model["used"]] = model["beta"]
     names = [f"__{i}" for i in range(len(keep))]  # the caller's columns may be called anything
     x = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col("text"))
-    x = text_margins(x, beta, model["bias"])
+    x = text_margins(x, beta, model["bias"], model["known"])
     p = 1 / (1 + F.exp(-(F.lit(model["slope"]) * F.col("margin") + F.lit(model["offset"]))))
     return x.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], p.alias(out))
 

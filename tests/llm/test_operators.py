@@ -175,6 +175,50 @@ def test_toxicity(spark, docs):
     assert {r["score"] for r in toxicity.classify(docs.select("doc_id", "text"), lab.where("toxic = 0")).collect()} == {0.0}
 
 
+def test_toxicity_with_inserted_letters(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("bdgklmnprst"), 2)[i] + rng.choice(list("aeiou")) for i in range(2)) for _ in range(300)]
+    data, labels = [], []
+    for i in range(600):
+        t = list(rng.choice(words, 30))
+        if i % 4 == 0:
+            t[5:5] = list(rng.choice(["zwyrx", "quozhj"], 2))
+        data.append((i, " ".join(t)))
+        labels.append((i, int(i % 4 == 0)))
+    odd = []
+    for w in ("zwyrx", "quozhj"):
+        for k in (1, 2):
+            for _ in range(8):
+                x = w
+                for _ in range(k):
+                    at = int(rng.integers(0, len(x) + 1))
+                    x = x[:at] + "abcdefghijklmnopqrstuvwxyz"[rng.integers(26)] + x[at:]
+                odd.append(x)
+    data += [(1000 + i, " ".join([*rng.choice(words, 20), w])) for i, w in enumerate(odd)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = rows(toxicity.classify(df, spark.createDataFrame(labels, "doc_id long, toxic int")))
+    assert [w for i, w in enumerate(odd) if not got[1000 + i]["predicted"]] == []
+    assert np.mean([got[i]["predicted"] for i in range(600) if i % 4]) < 0.03
+
+
+def test_inserted_letters_against_a_brute_force():
+    rng = np.random.default_rng(8)
+    known = ["".join(rng.choice(list("abc"), n)) for n in (4, 5, 5, 6, 7, 9)]
+    s = toxicity.Scorer(rng.normal(size=1 << 18), 0.0, known)
+    words = ["".join(rng.choice(list("abc"), rng.integers(1, 12))) for _ in range(3000)]
+    sym, first, _, _ = s.words.split(words)
+    own = dict(zip(known, toxicity.Scorer(s.beta, 0.0).margins(known)))
+
+    def best(w):
+        one = {w[:i] + w[i + 1:] for i in range(len(w))}
+        two = {x[:i] + x[i + 1:] for x in one for i in range(len(x))}
+        return max([own[k] for k in known if k in one or len(k) > toxicity.SHORTEST and k in two], default=-1.0)
+
+    # single letters in a row are joined by the splitter: compare the words as it read them
+    read = [toxicity.spell(sym[a:b]) for a, b in zip(first[:-1], first[1:])]
+    assert np.allclose(s.inserted(sym, first), [best(w) for w in read]) and any(best(w) > -1 for w in read)
+
+
 def test_licenses(docs, none):
     got = rows(licenses.scan_licenses(docs))
     r = got[9]
