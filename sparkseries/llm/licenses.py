@@ -2,10 +2,14 @@
 
 The notices are fixed, so the automaton has a fixed size and travels with the tasks.  Every text is
 streamed through it once: at each word the automaton gives the *matching statistic*, the length of
-the longest run of words ending there that occurs in some notice, and the notices it occurs in.
-Maximal matches of at least ``MIN_MATCH`` words are chained per notice (ascending in text and
-notice) into the notice span they cover; coverage of at least ``MIN_COVER`` adds the notice's label.
-Words outside the notices' vocabulary reset the automaton, so only runs of known words are walked.
+the longest run of words ending there that occurs in some notice; the suffix links below its state give the longest
+run of every other notice.  A match is maximal in its notice: neither neighbour carries it further there.  Maximal
+matches of at least ``MIN_MATCH`` words are chained per notice by dynamic programming, ascending in text and notice,
+with at most ``MAX_GAP`` text words between two of them, each of which counts against one matched word.  No chain
+links two matches where another notice runs on across the link with at least ``MIN_COVER`` of its words in one
+match: the text there is that notice's.  The best chain's words, less its gaps, over the notice's words are its coverage;
+coverage of at least ``MIN_COVER`` adds the notice's label, unless another notice of larger coverage spans the same
+place or more.  Words outside the notices' vocabulary reset the automaton, so only runs of known words are walked.
 
 Base labels do not depend on the chains: they mark every place where the words of a base phrase stand
 consecutively.  Words: ``A-Z`` lower-cased, then maximal runs of digits, ``a-z`` and non-ASCII.
@@ -16,6 +20,9 @@ texts are read whole in pieces; equal rows give equal results; other columns are
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -24,6 +31,8 @@ from sparkseries.llm.text import Hasher, pieces
 
 MIN_MATCH = 4
 MIN_COVER = 0.6
+#: Largest number of text words between two matches of a chain.
+MAX_GAP = 8
 #: Base phrases with their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Well-known license notices (label, text).
@@ -47,10 +56,13 @@ NOTICES = [
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2"),
     ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    *((f"cc-by{short}", f"This work is licensed under a Creative Commons Attribution{long} 4.0 International License")
+      for short, long in (("", ""), ("-sa", "-ShareAlike"), ("-nd", "-NoDerivatives"), ("-nc", "-NonCommercial"),
+                          ("-nc-sa", "-NonCommercial-ShareAlike"), ("-nc-nd", "-NonCommercial-NoDerivatives"))),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 
@@ -138,6 +150,12 @@ class Scanner:
         for name, r in enumerate(runs):
             self.automaton.add(ids(r), name)
         self.automaton.settle()
+        self.runs = [ids(r) for r in runs]
+        self.starts: list[dict[tuple, list[int]]] = []  # notice -> its first ``min_match`` words -> places
+        for r in self.runs:
+            self.starts.append({})
+            for p in range(len(r) - min_match + 1):
+                self.starts[-1].setdefault(tuple(r[p:p + min_match]), []).append(p)
         self.base = [(ids(b), label) for b, label in zip(base, phrases.values())]
         self.hasher = hasher
 
@@ -146,35 +164,75 @@ class Scanner:
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == h, at, -1)
 
-    def chains(self, ids: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
-        """For each notice, the chain of maximal matches (first text word, first notice word, length)."""
+    def matches(self, ids: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+        """For each notice, its maximal matches (first text word, first notice word, length), at every place of it."""
         found: dict[int, list[tuple[int, int, int]]] = {}
         inside = np.concatenate([[False], ids >= 0, [False]])
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         a = self.automaton
-        for lo, hi in zip(edge[::2], edge[1::2]):
+        for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist()):
             if hi - lo < self.min_match:
                 continue
-            stats = [*a.matches(ids[lo:hi].tolist()), (0, 0)]
-            for i in range(hi - lo):
-                n, s = stats[i]
-                if n >= self.min_match and stats[i + 1][0] <= n:  # cannot be carried further
-                    for name, end in a.ends[s].items():
-                        found.setdefault(name, []).append((lo + i - n + 1, end - n + 1, n))
-        return {name: self.chain(m) for name, m in found.items()}
+            words = ids[lo:hi].tolist()
+            before: dict[int, int] = {}  # longest run of each notice that ends at the word before
+            for i, (n, s) in enumerate([*a.matches(words), (0, 0)]):
+                now: dict[int, int] = {}
+                while s > 0 and n >= self.min_match:
+                    for name in a.ends[s]:
+                        now.setdefault(name, n)
+                    s = a.link[s]
+                    n = a.length[s]
+                for name, n in before.items():
+                    if now.get(name, 0) <= n:
+                        run = words[i - n:i]
+                        found.setdefault(name, []).extend((lo + i - n, p, n) for p in self.places(name, run))
+                before = now
+        return found
+
+    def places(self, name: int, run: list[int]) -> list[int]:
+        """Every place of a notice where the run of words stands."""
+        notice, k = self.runs[name], self.min_match
+        return [p for p in self.starts[name].get(tuple(run[:k]), ()) if notice[p:p + len(run)] == run]
+
+    def chains(self, ids: np.ndarray) -> dict[int, tuple[float, list[tuple[int, int, int]]]]:
+        """For each notice, the value of its best chain (matched words less gaps) and the chain."""
+        found = self.matches(ids)
+        # matches that hold most of their notice by themselves: no other notice's chain leaps inside them
+        strong = [(t, t + n, name) for name, m in found.items() for t, _, n in m if n >= self.min_cover * self.sizes[name]]
+        strong.sort()
+        return {name: self.chain(m, [(a, b) for a, b, other in strong if other != name]) for name, m in found.items()}
 
     @staticmethod
-    def chain(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Matches that ascend in the notice within one pass of the text: the pass that covers most."""
-        best, now, reach = [], [], -1
-        for m in sorted(found):
-            if m[1] <= reach:  # the notice begins again
-                now = []
-            now = [*now, m]
-            reach = m[1] + m[2] - 1
-            if sum(x[2] for x in now) > sum(x[2] for x in best):
-                best = now
-        return best
+    def chain(found: list[tuple[int, int, int]], strong: list[tuple[int, int]] = ()) -> tuple[float, list[tuple[int, int, int]]]:
+        """The best chain of matches that ascend in text and notice; where two overlap, the second is cut."""
+        found = sorted(set(found))
+        begins = [a for a, _ in strong]
+        reach = list(accumulate((b for _, b in strong), max))
+        value = [float(n) for _, _, n in found]
+        back = [-1] * len(found)
+        low = 0
+        longest = max(n for _, _, n in found)
+        for j, (t, p, n) in enumerate(found):
+            while found[low][0] + longest + MAX_GAP < t:
+                low += 1
+            for i in range(low, j):
+                ti, pi, ni = found[i]
+                shared = max(0, ti + ni - t, pi + ni - p)
+                gap = t + shared - ti - ni
+                if ti >= t or pi >= p or gap > MAX_GAP or shared >= n:
+                    continue
+                more = value[i] + n - shared - gap
+                if more <= value[j]:
+                    continue
+                k = bisect_right(begins, ti + ni - 1) - 1
+                if k < 0 or reach[k] <= t + shared:
+                    value[j], back[j] = more, i
+        j = max(range(len(found)), key=lambda j: (value[j], -j))
+        out, total = [], value[j]
+        while j >= 0:
+            out.append(found[j])
+            j = back[j]
+        return total, out[::-1]
 
     def scan(self, ids: np.ndarray) -> tuple[int, int | None, int | None, str, str, float, list[tuple[str, int, int]]]:
         places, base = [], set()
@@ -186,16 +244,16 @@ class Scanner:
             if len(at):
                 base.add(label)
                 places.append(at)
-        score, spans = 0.0, []
-        for name, chain in self.chains(ids).items():
-            cover = min(1.0, sum(m[2] for m in chain) / self.sizes[name])
-            score = max(score, cover)
-            if cover >= self.min_cover:
-                spans.append((self.labels[name], int(chain[0][0]), int(chain[-1][0] + chain[-1][2])))
+        chains = [(min(1.0, max(0.0, value) / self.sizes[name]), int(c[0][0]), int(c[-1][0] + c[-1][2]), self.labels[name])
+                  for name, (value, c) in self.chains(ids).items()]
+        score = max((c[0] for c in chains), default=0.0)
+        chains = [c for c in chains if c[0] >= self.min_cover]
+        spans = sorted({(label, a, b) for cover, a, b, label in chains
+                        if not any(c > cover and x <= a and b <= y for c, x, y, _ in chains)})
         first = int(min(p[0] for p in places)) if places else None
         last = int(max(p[-1] for p in places)) if places else None
         labels = sorted(base | {s[0] for s in spans})
-        return sum(map(len, places)), first, last, ",".join(sorted(base)), ",".join(labels), score, sorted(spans)
+        return sum(map(len, places)), first, last, ",".join(sorted(base)), ",".join(labels), score, spans
 
 
 def scan_licenses(docs: DataFrame, notices=NOTICES, phrases=PHRASES, min_match: int = MIN_MATCH,

@@ -245,6 +245,61 @@ def test_matching_statistics():
             assert a.ends[state] == {j: has(s, x)[0] for j, s in enumerate(seqs) if has(s, x)}
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_license_matches_and_chains_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    runs = [rng.integers(0, 5, n).tolist() for n in (12, 14, 9, 20)]
+    word = lambda xs: " ".join("abcdefg"[x] for x in xs)
+    text = rng.integers(0, 6, 60).tolist() + runs[0] + [5] + runs[3][:9] + [5, 5] + runs[3][10:] + runs[1]
+    s = licenses.Scanner([(f"n{i}", word(r)) for i, r in enumerate(runs)], {}, 2, 0.6)
+    h, _ = s.hasher.words([word(text).encode()])
+    ids = s.known(h)
+    got = s.matches(ids)
+    want = {}
+    for name, r in enumerate(runs):
+        runs_of = {(t, n) for t in range(len(text)) for n in range(2, len(r) + 1) if t + n <= len(text)
+                   and any(r[p:p + n] == text[t:t + n] for p in range(len(r) - n + 1))}
+        most = {(t, n) for t, n in runs_of if (t, n + 1) not in runs_of and (t - 1, n + 1) not in runs_of}
+        want[name] = {(t, p, n) for t, n in most for p in range(len(r) - n + 1) if r[p:p + n] == text[t:t + n]}
+    assert {k: set(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    strong = [(t, t + n, k) for k, v in want.items() for t, _, n in v if n >= 0.6 * len(runs[k])]
+
+    def best(name):
+        value = {}
+        for t, p, n in sorted(want[name]):  # ascending, so all that may stand before have their value
+            value[t, p, n] = n
+            for (a, b, m), v in list(value.items()):
+                cut = max(0, a + m - t, b + m - p)
+                gap = t + cut - a - m
+                crossed = any(x <= a + m - 1 and y > t + cut for x, y, k in strong if k != name)
+                if a < t and b < p and cut < n and gap <= licenses.MAX_GAP and not crossed:
+                    value[t, p, n] = max(value[t, p, n], v + n - cut - gap)
+        return max(value.values())
+
+    assert {k: v for k, (v, _) in s.chains(ids).items()} == {k: best(k) for k, v in want.items() if v}
+
+
+def test_license_variants():
+    notice = {label: text for label, text in reversed(licenses.NOTICES)}
+    gnu = ("This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License "
+           "as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version.")
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    want = {notice["apache"]: "apache,apache-2.0", notice["apache-2.0"]: "apache,apache-2.0", gnu.format("program", "", 3): "gpl",
+            gnu.format("program", "", 2): "gpl", gnu.format("library", "Lesser ", "2.1"): "lgpl", gnu.format("program", "Lesser ", 3): "lgpl",
+            gnu.format("program", "Affero ", 3): "agpl", notice["gpl-3.0"]: "gpl,gpl-3.0", notice["gpl-2.0"]: "gpl,gpl-2.0",
+            cc.format(""): "cc-by", cc.format("-ShareAlike"): "cc-by-sa", cc.format("-NoDerivatives"): "cc-by-nd",
+            cc.format("-NonCommercial"): "cc-by-nc", cc.format("-NonCommercial-ShareAlike"): "cc-by-nc-sa",
+            cc.format("-NonCommercial-NoDerivatives"): "cc-by-nc-nd"}
+    s = licenses.Scanner()
+    for text, labels in want.items():
+        h, _ = s.hasher.words([("Some words before. " + text + " And some behind.").encode()])
+        assert s.scan(s.known(h))[4] == labels, text
+    far = notice["mit"].split()
+    far = " ".join(far[:30] + ["zzz"] * 200 + far[30:])  # parts far from each other are not one notice
+    h, _ = s.hasher.words([far.encode()])
+    assert s.scan(s.known(h))[5] < 1
+
+
 def test_sharding(docs, none):
     got = sharding.shard_documents(docs, 4).collect()
     assert len(got) == len(TEXTS) + 1
