@@ -8,8 +8,12 @@ matches of at least ``MIN_MATCH`` words are chained per notice by dynamic progra
 with at most ``MAX_GAP`` text words between two of them, each of which counts against one matched word.  No chain
 links two matches where another notice runs on across the link with at least ``MIN_COVER`` of its words in one
 match: the text there is that notice's.  The best chain's words, less its gaps, over the notice's words are its coverage;
-coverage of at least ``MIN_COVER`` adds the notice's label, unless another notice of larger coverage spans the same
-place or more.  Words outside the notices' vocabulary reset the automaton, so only runs of known words are walked.
+coverage of at least ``MIN_COVER`` adds the notice's label, unless notices of larger coverage span ``MOSTLY`` of the
+same place (for paragraphs of license texts also longer ones of the same coverage).  Words outside the notices' vocabulary reset the automaton, so only runs of known words are walked.
+
+The notices are short notices and headers, and every paragraph of ``PARAGRAPH`` words or more of the license texts in
+``notices``, so a document that holds any paragraph of a text gets its label; coverage is that of one notice or paragraph,
+not of the whole text.  Of the AGPL and the Creative Commons licenses only the notices above are known, not the terms.
 
 Base labels do not depend on the chains: they mark every place where the words of a base phrase stand
 consecutively.  Words: ``A-Z`` lower-cased, then maximal runs of digits, ``a-z`` and non-ASCII.
@@ -20,7 +24,9 @@ texts are read whole in pieces; equal rows give equal results; other columns are
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
+from importlib.resources import files
 from itertools import accumulate
 
 import numpy as np
@@ -33,8 +39,15 @@ MIN_MATCH = 4
 MIN_COVER = 0.6
 #: Largest number of text words between two matches of a chain.
 MAX_GAP = 8
+#: Share of a span that notices of larger coverage must span to displace it.
+MOSTLY = 0.9
 #: Base phrases with their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+#: Whole license texts shipped in ``notices`` (file name) with their labels.
+BODIES = {"mit": "mit", "isc": "isc", "bsd": "bsd", "unlicense": "unlicense", "apache-2.0": "apache-2.0", "gpl-2.0": "gpl-2.0",
+          "gpl-3.0": "gpl-3.0", "lgpl-2.1": "lgpl", "lgpl-3.0": "lgpl", "mpl-2.0": "mpl"}
+#: Fewest words of a paragraph of a license text that stands for the license by itself.
+PARAGRAPH = 16
 #: Well-known license notices (label, text).
 NOTICES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
@@ -67,6 +80,30 @@ NOTICES = [
 ]
 
 
+def paragraphs(bodies: dict[str, str] = BODIES, least: int = PARAGRAPH) -> list[tuple[str, str]]:
+    """(label, text) of the paragraphs of the shipped license texts, without those that stand word for word in
+    texts of several labels: they tell nothing.  Read on the driver; the texts travel with the tasks."""
+    of: dict[tuple, dict[str, str]] = {}
+    for name, label in bodies.items():
+        text = files("sparkseries.llm").joinpath("notices", f"{name}.txt").read_text("utf-8")
+        text = text.split("END OF TERMS AND CONDITIONS")[0]  # how to apply them is not part of them
+        for part in re.split(r"\n\s*\n", text):
+            words = tuple(re.findall(r"[0-9a-z]+", part.lower()))
+            if len(words) >= least:
+                of.setdefault(words, {})[label] = " ".join(part.split())
+    return [next(iter(labels.items())) for labels in of.values() if len(labels) == 1]
+
+
+def overlap(a: int, b: int, spans: list[tuple[int, int]]) -> int:
+    """How many places from ``a`` up to ``b`` lie in a span."""
+    n = 0
+    for x, y in sorted(spans):
+        a = max(a, x)
+        n += max(0, min(b, y) - a)
+        a = max(a, min(b, y))
+    return n
+
+
 class SuffixAutomaton:
     """Suffix automaton of several word sequences; each state knows where its strings end first in each."""
 
@@ -136,9 +173,15 @@ class SuffixAutomaton:
             yield n, s
 
 
+#: The paragraphs of whole license texts (label, text).
+TERMS = paragraphs()
+
+
 class Scanner:
-    def __init__(self, notices=NOTICES, phrases=PHRASES, min_match=MIN_MATCH, min_cover=MIN_COVER):
+    def __init__(self, notices=NOTICES, phrases=PHRASES, min_match=MIN_MATCH, min_cover=MIN_COVER, terms=TERMS):
         self.min_match, self.min_cover = min_match, min_cover
+        self.short = len(notices)  # terms are numbered behind the notices
+        notices = [*notices, *terms]
         hasher = Hasher()
         runs = [hasher.words([t.encode()])[0] for _, t in notices]
         base = [hasher.words([p.encode()])[0] for p in phrases]
@@ -244,12 +287,14 @@ class Scanner:
             if len(at):
                 base.add(label)
                 places.append(at)
-        chains = [(min(1.0, max(0.0, value) / self.sizes[name]), int(c[0][0]), int(c[-1][0] + c[-1][2]), self.labels[name])
+        # of terms that are covered alike the longer ones win; a short notice inside a longer one stays
+        chains = [((min(1.0, max(0.0, value) / self.sizes[name]), value if name >= self.short else np.inf),
+                   int(c[0][0]), int(c[-1][0] + c[-1][2]), self.labels[name])
                   for name, (value, c) in self.chains(ids).items()]
-        score = max((c[0] for c in chains), default=0.0)
-        chains = [c for c in chains if c[0] >= self.min_cover]
+        score = max((c[0][0] for c in chains), default=0.0)
+        chains = [c for c in chains if c[0][0] >= self.min_cover]
         spans = sorted({(label, a, b) for cover, a, b, label in chains
-                        if not any(c > cover and x <= a and b <= y for c, x, y, _ in chains)})
+                        if overlap(a, b, [(x, y) for c, x, y, _ in chains if c > cover]) < MOSTLY * (b - a)})
         first = int(min(p[0] for p in places)) if places else None
         last = int(max(p[-1] for p in places)) if places else None
         labels = sorted(base | {s[0] for s in spans})
@@ -257,11 +302,11 @@ class Scanner:
 
 
 def scan_licenses(docs: DataFrame, notices=NOTICES, phrases=PHRASES, min_match: int = MIN_MATCH,
-                  min_cover: float = MIN_COVER) -> DataFrame:
+                  min_cover: float = MIN_COVER, terms=TERMS) -> DataFrame:
     """One row per document: words, base places, labels, score, and the covered spans (label:from-to)."""
 
     def make():
-        scanner = Scanner(notices, phrases, min_match, min_cover)
+        scanner = Scanner(notices, phrases, min_match, min_cover, terms)
 
         def run(batch):
             doc_ids = batch.column(0).to_pylist()

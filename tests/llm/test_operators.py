@@ -251,7 +251,7 @@ def test_license_matches_and_chains_against_brute_force(seed):
     runs = [rng.integers(0, 5, n).tolist() for n in (12, 14, 9, 20)]
     word = lambda xs: " ".join("abcdefg"[x] for x in xs)
     text = rng.integers(0, 6, 60).tolist() + runs[0] + [5] + runs[3][:9] + [5, 5] + runs[3][10:] + runs[1]
-    s = licenses.Scanner([(f"n{i}", word(r)) for i, r in enumerate(runs)], {}, 2, 0.6)
+    s = licenses.Scanner([(f"n{i}", word(r)) for i, r in enumerate(runs)], {}, 2, 0.6, [])
     h, _ = s.hasher.words([word(text).encode()])
     ids = s.known(h)
     got = s.matches(ids)
@@ -300,6 +300,29 @@ def test_license_variants():
     assert s.scan(s.known(h))[5] < 1
 
 
+def test_license_bodies_without_their_opening():
+    from importlib.resources import files
+
+    s = licenses.Scanner()
+    text = {n: files("sparkseries.llm").joinpath("notices", f"{n}.txt").read_text() for n in licenses.BODIES}
+
+    def labels(t):
+        h, _ = s.hasher.words([t.encode()])
+        out = s.scan(s.known(h))
+        return {x[0] for x in out[6]}
+
+    for name, t in text.items():
+        want = licenses.BODIES[name]
+        words = t.split()
+        assert want in labels(" ".join(words[len(words) // 2:])), name  # the second half alone
+    assert labels(text["mit"]) == {"mit"} and labels(text["isc"]) == {"isc"} and labels(text["bsd"]) == {"bsd"}
+    assert labels(text["unlicense"]) == {"unlicense"}
+    assert labels("redistribution is fine. THE SOFTWARE IS PROVIDED" + text["mit"].split("THE SOFTWARE IS PROVIDED")[1]) == {"mit"}
+    for name, own in (("apache-2.0", {"apache", "apache-2.0"}), ("mpl-2.0", {"mpl"}), ("gpl-3.0", {"gpl", "gpl-3.0"}),
+                      ("gpl-2.0", {"gpl", "gpl-2.0"}), ("lgpl-2.1", {"lgpl"}), ("lgpl-3.0", {"lgpl"})):
+        assert labels(text[name]) == own, name
+
+
 def test_sharding(docs, none):
     got = sharding.shard_documents(docs, 4).collect()
     assert len(got) == len(TEXTS) + 1
