@@ -1,7 +1,7 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read by the next.
 
 Each stage works on all rows its predecessor kept and, but for the last, returns the columns of its
-input.  Null and empty texts are rejected by the first stage (no language); later stages still accept them.
+input.  Null and empty texts and those in no learned language are rejected by the first stage; later stages still accept them.
 """
 
 from __future__ import annotations

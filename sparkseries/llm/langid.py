@@ -28,6 +28,11 @@ SAMPLE = 4000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.01, 0.01
 UNKNOWN = "und"
+#: Share of the way from an even guess to the lowest score of the held-back rows that a score must reach for
+#: a language to count as recognised.
+CONFIDENT = 0.5
+#: A character that counts as a letter, as a regular expression of Spark.
+LETTER = r"\p{L}|[\x{10000}-\x{10FFFF}]"
 
 
 class Grams:
@@ -183,9 +188,10 @@ def train(docs: DataFrame, bits: int = BITS, sample: int = SAMPLE, epochs: int =
     w = model.weights()
     z = np.array([x @ w[at] for _, _, at, x in kept])
     t = temperature(z, np.array([langs.index(r[1]) for r in kept]))
+    lowest = float(softmax(z / t).max(axis=1).min())
     used = np.flatnonzero(np.abs(w).sum(axis=1))
     return {"langs": langs, "idf": idf.astype(np.float32), "used": used, "w": w[used].astype(np.float32), "t": t,
-            "bits": bits}
+            "bits": bits, "lowest": lowest}
 
 
 def predict(docs: DataFrame, model: dict | None, keep: list[str] = ("doc_id",),
@@ -221,6 +227,12 @@ def predict(docs: DataFrame, model: dict | None, keep: list[str] = ("doc_id",),
     return x.mapInArrow(run, schema)
 
 
+def least_score(model: dict) -> float:
+    """The smallest calibrated score with which a language counts as recognised."""
+    even = 1 / len(model["langs"])
+    return even + CONFIDENT * (model["lowest"] - even)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document, learned from the rows not held out."""
     return predict(docs, train(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

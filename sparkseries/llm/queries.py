@@ -66,9 +66,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Stages of the corpus pipeline: each takes the documents its predecessor kept.
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised: any but ``und``."""
-    pred = langid.predict(docs, langid.train(docs), docs.columns, out=("__lang", "__score"))
-    return pred.where(F.col("__lang") != langid.UNKNOWN).drop("__lang", "__score")
+    """Documents whose language is recognised: any but ``und``, with a calibrated score above that of text in no
+    learned language (``langid.least_score``).  Where no language could be learned, documents with a letter."""
+    model = langid.train(docs)
+    if model is None:
+        return docs.where(F.coalesce(F.col("text").rlike(langid.LETTER), F.lit(False)))
+    pred = langid.predict(docs, model, docs.columns, out=("__lang", "__score"))
+    known = (F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= langid.least_score(model))
+    return pred.where(known).drop("__lang", "__score")
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkseries.llm import bpe, chat, decontaminate, langid, licenses, near_dedup, sharding, token_counts, topk, toxicity
+from sparkseries.llm import bpe, chat, decontaminate, langid, licenses, near_dedup, queries, sharding, token_counts, topk, toxicity
 from sparkseries.llm.queries import vocabulary, word_pattern
 
 BASE = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix green potions behind an old barn"
@@ -89,6 +89,20 @@ def test_language(spark, docs, none):
     assert {r["lang_pred"] for r in langid.identify(docs.withColumn("lang", docs["lang"].substr(9, 1)).replace("", None, ["lang"])).collect()} == {"und"}
 
 
+def test_language_stage(spark):
+    rng = np.random.default_rng(0)
+    odd = [" ".join("".join(rng.choice(list(alphabet), rng.integers(2, 9))) for _ in range(60))
+           for alphabet in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрст", "αβγδεζηθικ")] + ["漢字仮名" * 20, "12 !!", "", None]
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    extra = spark.createDataFrame([(-1 - i, None, t) for i, t in enumerate(odd)], "doc_id long, lang string, text string")
+    many = given.unionByName(extra)
+    ids = sorted(r["doc_id"] for r in given.collect())
+    kept = queries.keep_identified(spark, many, None)
+    assert kept.columns == many.columns and sorted(r["doc_id"] for r in kept.collect()) == ids
+    none = many.withColumn("lang", F.lit(None).cast("string"))  # nothing to learn: whatever has a letter stays
+    assert sorted(r["doc_id"] for r in queries.keep_identified(spark, none, None).collect()) == [-4, -3, -2, -1, *ids]
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(docs, rule):
     import tiktoken
