@@ -17,7 +17,7 @@ similarity ``sum min / sum max`` of counts is at least 0.8, and classes are the
    remaining texts are of one class are closed.  So every pair of a bucket is decided, most of them by already being in one class:
    a bucket of n copies needs about n comparisons, and nothing lists its pairs.  There is no cap on buckets,
    candidates or rounds.  A comparison first looks at the sizes (exact) and at the agreement of 2-bit codes of the signatures
-   (a link of exactly 0.8 fails this with probability below 6e-4); what remains is verified by exact multiset overlap.
+   (a link of exactly 0.8 fails this with probability below 1e-8, at six standard deviations); what remains is verified by exact multiset overlap.
 
 Equal texts are one node from the start (by MD5), so a group of exact copies costs one signature's worth
 of rows.  Nothing of this is collected on the driver.
@@ -167,7 +167,7 @@ def candidates(members: DataFrame, due, similarity: float) -> DataFrame:
         d = F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))
         differ = differ + F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     p = similarity + (1 - similarity) / 4
-    most = M - math.floor(M * p - 3.3 * math.sqrt(M * p * (1 - p)))
+    most = M - math.floor(M * p - 6 * math.sqrt(M * p * (1 - p)))
     earlier = F.exists(F.sequence(F.lit(0), F.lit(BANDS - 1)),
                        lambda i: (i < a["band"]) & (F.get("keys_a", i) == F.get("keys_b", i)))
     ok = ((F.col("label_a") != F.col("label_b")) & (~F.col("due_b") | (F.col("node_a") < F.col("node_b")))

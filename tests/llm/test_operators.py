@@ -62,6 +62,22 @@ def test_bagminhash_estimates_weighted_jaccard():
     assert abs((sig[0] == sig[1]).mean() - true) < 0.03
 
 
+def test_codes_far_below_expectation_do_not_lose_a_link(spark):
+    def member(node, differing):
+        bits = np.zeros(near_dedup.M, np.uint64)
+        bits[:differing] = 1
+        shift = np.arange(0, 64, 2, dtype=np.uint64)
+        c = np.bitwise_or.reduce(bits.reshape(-1, 32) << shift, axis=1).view(np.int64).tolist()
+        return (0, 7, bytearray(node), bytearray(node), 100, [7] + [node[0] * 100 + i for i in range(1, near_dedup.BANDS)], *c)
+
+    q, p, m = 0.15, 0.85, near_dedup.M  # at a similarity of 0.8 a component's code differs with probability 0.15
+    five = int(m * q + 5 * np.sqrt(m * q * p))
+    rows_ = [member(b"a", 0), member(b"b", five)]
+    members = spark.createDataFrame(rows_, "band int, key int, node binary, label binary, size long, keys array<int>, "
+                                    + ", ".join(f"c{i} long" for i in range(near_dedup.CODES)))
+    assert near_dedup.candidates(members, F.lit(True), 0.8).count() == 1
+
+
 def test_bpe_equals_the_tokenizers_library(docs, none):
     from tokenizers import Tokenizer
 
