@@ -13,7 +13,7 @@ stand in the passage.  The question ends at the item's last question mark; witho
 last quarter of its words is the answer.
 
 The index is sent with the tasks, so its size is checked: a benchmark of more than ``PART_BYTES`` of text
-is searched in several parts (document frequencies always come from all items).
+is searched in several parts, one at a time (document frequencies always come from all items).
 
 Cases: null or empty items and texts match nothing; repeated items are items of their own; repeated documents
 give repeated rows; an empty table gives no rows; texts are searched whole, in pieces; ids may be null.
@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseries.llm.tables import arrow_map
+from sparkseries.llm.tables import arrow_map, written
 from sparkseries.llm.text import Hasher, mix, pieces
 
 K1, B = 1.2, 0.75
@@ -65,10 +65,10 @@ class Index:
     """Inverted index of a bounded set of items with block maxima."""
 
     def __init__(self, items: list[tuple[int, np.ndarray, int]], frequency: dict[int, int], total: int,
-                 mean_length: float, threshold: float = THRESHOLD, overlap: float = OVERLAP):
+                 mean_length: float, threshold: float = THRESHOLD, overlap: float = OVERLAP, stride: int | None = None):
         items = sorted(items, key=lambda x: (-1 if x[0] is None else x[0]))
         self.items, self.threshold, self.overlap = items, threshold, overlap
-        self.stride = max((len(w) for _, w, _ in items), default=1)
+        self.stride = stride or max((len(w) for _, w, _ in items), default=1)
         self.terms = np.unique(np.concatenate([w for _, w, _ in items])) if items else np.zeros(0, np.uint64)
         term, item, impact = [], [], []
         for i, (_, words, _) in enumerate(items):
@@ -142,24 +142,24 @@ class Index:
 
 
 def build_indexes(benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP,
-                  part_bytes: int = PART_BYTES) -> list[Index]:
-    """The index of all items, in as many parts as its size asks for."""
+                  part_bytes: int = PART_BYTES):
+    """Yield (index, whether it is the only one): the index of all items, in as many parts as its size asks for, one
+    at a time.  The passages are those of the longest of all items, so results do not depend on the parts."""
     items = item_words(benchmark).where(F.size("words") > 0)
-    s = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("words")).alias("words")).first()
+    s = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("words")).alias("words"),
+                  F.max(F.size("words")).alias("longest")).first()
     if not s["n"]:
-        return []
+        return
     parts = max(1, math.ceil(8 * s["words"] / part_bytes))
     items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "words"), F.lit(parts)))
     terms = items.select("part", F.explode(F.array_distinct("words")).alias("term"))
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    out = []
     for k in range(parts):  # one part of bounded size at a time
         rows = items.where(F.col("part") == k).select("item_id", "words", "asked").collect()
         here = terms.where(F.col("part") == k).select("term").distinct()
         frequency = {r["term"]: r["df"] for r in df.join(here, "term").collect()}
         packed = [(r["item_id"], np.array(r["words"], np.int64).view(np.uint64), r["asked"]) for r in rows]
-        out.append(Index(packed, frequency, s["n"], s["words"] / s["n"], threshold, overlap))
-    return out
+        yield Index(packed, frequency, s["n"], s["words"] / s["n"], threshold, overlap, s["longest"]), parts == 1
 
 
 def matches(docs: DataFrame, index: Index) -> DataFrame:
@@ -187,21 +187,20 @@ def matches(docs: DataFrame, index: Index) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Every (document, benchmark item) match."""
-    found = [matches(docs, x) for x in build_indexes(benchmark, **options)]
-    if not found:
-        return matches(docs, Index([], {}, 0, 1.0))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    """Every (document, benchmark item) match; those of each part are written before the next part is read."""
+    out = None
+    for index, alone in build_indexes(benchmark, **options):
+        found = matches(docs, index) if alone else written(matches(docs, index), "matches")
+        out = found if out is None else out.unionByName(found)
+    return matches(docs, Index([], {}, 0, 1.0)) if out is None else out
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, in one pass for each part of the index."""
+    """The rows of ``docs`` in which no item is found, in one pass for each part of the index, written
+    before the next part is read."""
     import pyarrow as pa
 
-    for index in build_indexes(benchmark, **options):
+    for index, alone in build_indexes(benchmark, **options):
         def run(batches, index=index):
             hasher = Hasher()
             for b in batches:
@@ -214,4 +213,5 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
 
         docs = docs.select("*", F.col("text").alias("__text")).mapInArrow(run, docs.schema)
+        docs = docs if alone else written(docs, "clean")
     return docs

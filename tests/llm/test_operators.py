@@ -186,6 +186,20 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(df, bench.where("item_id < 0")).count() == 0
 
 
+def test_decontamination_in_parts_gives_the_same_rows(spark):
+    rng = np.random.default_rng(4)
+    items = [" ".join(f"w{x}" for x in rng.integers(0, 60, n)) for n in (8, 12, 20, 35, 50, 90)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [" ".join(f"z{x}" for x in rng.integers(0, 99, n)) + " " + t + " " + " ".join(f"w{x}" for x in rng.integers(0, 60, 200))
+             for t in items for n in (3, 37, 160)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = lambda size: sorted((r["doc_id"], r["item_id"], round(r["score"], 9), r["question_overlap"], r["answer_overlap"],
+                                 r["first_word"]) for r in decontaminate.contaminated(df, bench, part_bytes=size).collect())
+    assert found(1 << 20) == found(256) == found(64) != []
+    kept = lambda size: sorted(r["doc_id"] for r in decontaminate.clean_rows(df, bench, part_bytes=size).collect())
+    assert kept(1 << 20) == kept(64)
+
+
 def test_toxicity(spark, docs):
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("bdgklmnprst"), 2)[i] + rng.choice(list("aeiou")) for i in range(2)) for _ in range(300)]
