@@ -15,7 +15,8 @@ bounds prune (with slack for rounding), so results are exact, ties included.
 
 Cases: vectors that are null or hold null or non-finite components take no part, nor do rows without an id;
 shorter vectors are read as padded with zeros; equal scores go to the smaller id; rows with the query's
-own id are not its candidates; fewer candidates than k give fewer rows; scores are exact integers within
+own id are not its candidates; an id is one query and one candidate, however many rows have it: the score of two ids
+is the largest of any of their rows, and ranks hold distinct ids; fewer candidates than k give fewer rows; scores are exact integers within
 64 bits; an empty table gives no rows; other columns are ignored.
 """
 
@@ -101,6 +102,7 @@ class Search:
             return
         tree = CoverTree(x)
         cand, exact = ids[tree.order], x[tree.order].astype(np.int64)
+        repeats = len(np.unique(ids)) < len(ids)
         big = float(np.abs(x).max(initial=0)) * float(np.abs(self.exact).max(initial=0)) * x.shape[1] >= 2**53
         center = np.array(tree.center)
         norm = np.sqrt((center ** 2).sum(axis=1))
@@ -116,14 +118,14 @@ class Search:
             kids_q, kids_c = self.tree.children[q], tree.children[c]
             if not kids_q and not kids_c:
                 a, b = tree.span[c]
-                self._base(lo, hi, cand[a:b], exact[a:b] if big else tree.x[a:b], big)
+                self._base(lo, hi, cand[a:b], exact[a:b] if big else tree.x[a:b], big, repeats)
             elif kids_c and (not kids_q or radius[c] >= qr[q]):
                 order = np.argsort(center[kids_c] @ self.center[q])  # the most promising is popped first
                 stack += [(q, kids_c[i]) for i in order]
             else:
                 stack += [(k, c) for k in kids_q]
 
-    def _base(self, lo: int, hi: int, ids: np.ndarray, x: np.ndarray, big: bool) -> None:
+    def _base(self, lo: int, hi: int, ids: np.ndarray, x: np.ndarray, big: bool, repeats: bool) -> None:
         q = self.exact[lo:hi]
         s = (q @ x.T) if big else (q.astype(float) @ x.T).astype(np.int64)
         s = np.where(ids[None, :] == self.ids[lo:hi, None], np.iinfo(np.int64).min, s)
@@ -133,6 +135,12 @@ class Search:
         score = np.concatenate([self.score[lo:hi][rows], s[rows]], axis=1)
         found = np.concatenate([self.found[lo:hi][rows], np.broadcast_to(ids, (len(rows), len(ids)))], axis=1)
         found = np.where(score == np.iinfo(np.int64).min, np.iinfo(np.int64).max, found)
+        if repeats:  # of each id only the largest score stays
+            by = np.lexsort((~score, found), axis=1)
+            score, found = np.take_along_axis(score, by, 1), np.take_along_axis(found, by, 1)
+            again = np.zeros(found.shape, bool)
+            again[:, 1:] = found[:, 1:] == found[:, :-1]
+            score[again], found[again] = np.iinfo(np.int64).min, np.iinfo(np.int64).max
         best = np.lexsort((found, ~score), axis=1)[:, :self.k]  # ~ reverses the order without overflow
         self.score[lo + rows] = np.take_along_axis(score, best, 1)
         self.found[lo + rows] = np.take_along_axis(found, best, 1)
@@ -168,6 +176,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, factor: float = 256.0) -> Da
     s = x.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
     n, dim = s["n"], max(1, s["dim"] or 1)
     pivots = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()  # bounded
+    pivots = list({r["vec_id"]: r for r in pivots}.values())  # a repeated id must not lift the bounds
     pid = np.array([r["vec_id"] for r in pivots], np.int64)
     pv = np.zeros((len(pivots), dim))
     for i, r in enumerate(pivots):
@@ -218,5 +227,6 @@ def _searched(blocks: DataFrame, queries: DataFrame, groups: int, dim: int, k: i
         return run
 
     found = arrow_map(pairs.select("qs", "cs"), make, "query_id long, vec_id long, score long")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.select("query_id", F.row_number().over(w).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

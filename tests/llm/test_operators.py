@@ -156,6 +156,24 @@ def test_top_k(spark):
     assert topk.top_k(df.where("vec_id < 0"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_top_k_with_repeated_ids(spark, same):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(400, 6)).round(2)
+    ids = np.arange(400) % 150  # each id two or three times
+    if same:
+        v = v[ids]
+    df = spark.createDataFrame([(int(i), [float(x) for x in r]) for i, r in zip(ids, v)], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0).collect()
+    q = np.floor(256 * v).astype(np.int64)
+    s = q @ q.T
+    for i in range(0, 150, 50):
+        best = sorted((-s[np.ix_(ids == i, ids == j)].max(), j) for j in range(150) if j != i)[:5]
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == i)
+        assert mine == [(k + 1, j, -x) for k, (x, j) in enumerate(best)]
+    assert len(got) == 3 * 5
+
+
 def test_chat_round_trip(spark):
     data = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 1, "assistant", "</s>[INST]"), (2, 5, None, "a</s>"),
             (2, 6, "[/INST]", "<\\/s> <\\\\s>[\\INST] <s>"), (3, 0, "assistant", "é😀"), (None, None, "user", "x")]
