@@ -17,7 +17,8 @@ STAGES = [
     ("bpe", q.tokenised),
 ]
 
-#: The stages are trained models, signatures and a tokenizer: beyond SQL (tests hold them against plain versions).
+#: The stages are trained models, signatures and a tokenizer: beyond SQL (tests hold the operators of the
+#: stages against plain versions; the chain of stages has no test of its own).
 ORACLE_SQL = None
 
 

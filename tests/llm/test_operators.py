@@ -218,6 +218,40 @@ def test_decontamination_in_parts_gives_the_same_rows(spark):
     assert kept(1 << 20) == kept(64)
 
 
+def test_decontamination_against_a_plain_bm25(spark):
+    rng = np.random.default_rng(6)
+    items = [[f"w{x}" for x in rng.integers(0, 40, n)] for n in (9, 14, 14, 20, 26, 30)]
+    texts = []
+    for w in items:
+        for changed in (0, 0.15, 0.3, 0.5):
+            edited = [f"w{rng.integers(0, 40)}" if rng.random() < changed else x for x in w]
+            texts.append([f"z{x}" for x in rng.integers(0, 9, rng.integers(0, 50))] + edited + [f"w{x}" for x in rng.integers(0, 40, 15)])
+    df = {t: sum(t in w for w in items) for w in items for t in w}
+    mean, stride = np.mean([len(w) for w in items]), max(map(len, items))
+
+    def impact(t, w):
+        idf = np.log(1 + (len(items) - df[t] + 0.5) / (df[t] + 0.5))
+        return idf * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean))
+
+    def share(part, passage):
+        pairs = set(zip(part, part[1:])) if len(part) > 1 else set(part)
+        return len(pairs & (set(zip(passage, passage[1:])) if len(part) > 1 else set(passage))) / len(pairs)
+
+    want = {}
+    for d, text in enumerate(texts):
+        for i, w in enumerate(items):
+            asked = len(w) - max(1, len(w) // 4)
+            for lo in range(0, len(text), stride):
+                here = text[lo:lo + 2 * stride]
+                score = sum(impact(t, w) for t in set(w) & set(here)) / sum(impact(t, w) for t in set(w))
+                if score >= 0.6 and share(w[:asked], here) >= 0.5 and share(w[asked:], here) >= 0.5:
+                    want[d, i] = max(want.get((d, i), 0), score)
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], f"{name} long, text string")
+    got = decontaminate.contaminated(frame(texts, "doc_id"), frame(items, "item_id")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == set(want) and len(got) == len(want) > 6
+    assert all(abs(r["score"] - want[r["doc_id"], r["item_id"]]) < 1e-9 for r in got)
+
+
 def test_toxicity(spark, docs):
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("bdgklmnprst"), 2)[i] + rng.choice(list("aeiou")) for i in range(2)) for _ in range(300)]
