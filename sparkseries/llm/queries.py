@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseries.llm import (
-    bpe, chat, decontaminate, langid, licenses, near_dedup, sharding, token_counts, topk, toxicity)
+    bpe, chat, decontaminate, langid, lexical, licenses, near_dedup, orc_tokens, phrases, sharding, token_counts, topk,
+    toxicity)
+from sparkseries.llm.oracle import SQL as ORACLES
 from sparkseries.llm.tables import table
 
 
@@ -63,6 +65,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orc_tokens.token_file_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 # Stages of the corpus pipeline: each takes the documents its predecessor kept.
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -99,5 +113,5 @@ def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_bpe, op3_language, op4_token_counts, op5_top_k, op6_chat,
                                    op7_decontamination, op8_toxicity, op9_licenses,
-                                   op10_sharding)}
-SQL: dict[str, str] = {}
+                                   op10_sharding, op11_token_files, op12_collocations, op13_lexical_search)}
+SQL = ORACLES

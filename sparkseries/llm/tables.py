@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +31,10 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, make: Callable[[], Callable], schema: str, last: bool = False) -> DataFrame:
     """``mapInArrow`` with state per task: ``make()`` runs once in the task and returns a function
-    from a record batch to an iterator of column dictionaries (lists or numpy arrays by name)."""
+    from a record batch to an iterator of column dictionaries (lists or numpy arrays by name).
+    With ``last`` the function is called with None after the task's last batch."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -41,7 +43,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataF
 
     def run(batches):
         f = make()
-        for b in batches:
+        for b in chain(batches, [None] if last else []):
             for cols in f(b):
                 yield pa.RecordBatch.from_arrays([pa.array(cols[n], t) for n, t in zip(names, types)], names=names)
 

@@ -97,6 +97,22 @@ class Hasher:
         return start, mix(h ^ ((end - start).astype(np.uint64) << np.uint64(56)))
 
 
+class WholeHasher(Hasher):
+    """A Hasher that never cuts a word, however long it is."""
+
+    def _cut(self, raw: np.ndarray, lo: int) -> int:
+        hi = super()._cut(raw, lo)
+        while hi < len(raw) and self.table[raw[hi - 1]] and self.table[raw[hi]]:
+            gap = np.flatnonzero(self.table[raw[hi:hi + PIECE]] == 0)
+            hi = hi + int(gap[0]) if len(gap) else min(len(raw), hi + PIECE)
+        if hi - lo > len(self.powers):
+            for name, base in (("powers", _P), ("inverse", _P_INV)):
+                p = np.full(hi - lo, base, np.uint64)
+                p[0] = 1
+                setattr(self, name, np.multiply.accumulate(p))
+        return hi
+
+
 def word_hash(hasher: Hasher, word: str) -> int:
     h, _ = hasher.words([word.encode()])
     return int(h[0])
