@@ -1,6 +1,6 @@
 """Column-level helpers: column selection, time arithmetic, frequencies, aggregations."""
 
-from sparkseries.functions.aggs import AggSpec, agg_columns, spark_agg
+from sparkseries.functions.aggs import AggSpec, spark_agg
 from sparkseries.functions.columns import (
     epoch_us,
     from_epoch_us,
@@ -11,7 +11,6 @@ from sparkseries.functions.freq import parse_freq
 
 __all__ = [
     "AggSpec",
-    "agg_columns",
     "epoch_us",
     "from_epoch_us",
     "nan_to_null",

@@ -87,8 +87,8 @@ def is_not_null_on_empty(spec: AggSpec) -> bool:
     return isinstance(spec.func, str) and spec.func in NOT_NULL_ON_EMPTY
 
 
-def agg_expr(spec: AggSpec, order: Column | None = None) -> Column:
-    """Catalyst aggregate for one spec (pandas semantics: NULLs skipped)."""
+def agg_expr(spec: AggSpec, order: Column | None = None, bigint: bool = False) -> Column:
+    """Catalyst aggregate for one spec (pandas semantics: NULLs skipped); ``bigint`` columns are summed exactly."""
     c = F.col(spec.column)
     f = spec.func
     if isinstance(f, spark_agg):
@@ -100,7 +100,8 @@ def agg_expr(spec: AggSpec, order: Column | None = None) -> Column:
     if f == "mean":
         e = F.avg(c)
     elif f == "sum":
-        e = F.coalesce(F.sum(c), F.lit(0))  # widened to the sum's own type
+        # widened to the sum's own type; a bigint sum may need more than 64 bits
+        e = F.coalesce(F.sum(c.cast("decimal(38,0)") if bigint else c), F.lit(0))
     elif f == "std":
         e = F.stddev_samp(c)
     elif f == "var":
@@ -129,7 +130,3 @@ def agg_expr(spec: AggSpec, order: Column | None = None) -> Column:
     else:  # pragma: no cover - normalize() rejects these
         raise ValueError(f)
     return e.alias(spec.out)
-
-
-def agg_columns(agg_func, columns: Sequence[str], order: Column | None = None) -> list[Column]:
-    return [agg_expr(s, order) for s in normalize(agg_func, columns)]

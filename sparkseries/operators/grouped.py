@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkseries.functions.aggs import agg_expr, normalize
 from sparkseries.operators.quantiles import grouped_quantile
@@ -35,6 +36,10 @@ def custom_aggregate(df: DataFrame, groupby: str | Sequence[str], agg_dict: dict
     return out.orderBy(*keys) if sort else out
 
 
+def _is_bigint(df: DataFrame, name: str) -> bool:
+    return name in df.columns and isinstance(df.schema[name].dataType, T.LongType)
+
+
 def aggregate_groups(src: DataFrame, keys: list[str], specs, ordering=None) -> DataFrame:
     """``groupBy(keys)`` with every spec; medians take the bounded-memory path.
 
@@ -44,7 +49,7 @@ def aggregate_groups(src: DataFrame, keys: list[str], specs, ordering=None) -> D
     """
     med = [s for s in specs if s.func == "median"]
     rest = [s for s in specs if s.func != "median"]
-    out = (src.groupBy(*keys).agg(*[agg_expr(s, ordering) for s in rest]) if rest
+    out = (src.groupBy(*keys).agg(*[agg_expr(s, ordering, _is_bigint(src, s.column)) for s in rest]) if rest
            else src.select(*keys).distinct())
     for s in med:
         out = out.join(grouped_quantile(src, keys, s.column, 0.5, s.out), keys, "left")

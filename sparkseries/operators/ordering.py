@@ -22,11 +22,8 @@ built on the chunks:
 * bounded time frames (rolling by a time offset): ``apply_time_frames``.  A
   row is also sent to the following chunks whose first timestamps lie within
   the window after it (a halo), then every chunk evaluates its own rows.
-  Two alternatives work on one row per distinct timestamp and join the
-  values back by timestamp (two more shuffles, but no copies and no per-row
-  frame re-aggregation): ``apply_time_frames_preaggregated`` for hot
-  timestamps, and ``apply_time_frames_prefix`` (prefix-sum differences) for
-  windows much wider than a chunk.
+  Only for aggregates without mergeable states; the others go through
+  ``timeframes.merged_time_frames``, which copies no rows.
 * unbounded fills (ffill/bfill/interpolate): ``apply_carry``.  Fill inside
   the chunk, then take from each chunk its last/first non-null values (one row
   per chunk), carry them across chunks on that tiny table and broadcast-join
@@ -86,6 +83,8 @@ class Chunked:
     # slots[i]: a bigint whose Spark hash lands in partition i of n_chunks;
     # None when heavy timestamps were split into sub-chunks
     slots: list[int] | None = None
+    n_nulls: int = 0  # rows whose key is NULL
+    span: int = 0  # greatest key - least key
 
     @property
     def order(self) -> list[Column]:
@@ -283,7 +282,8 @@ def chunk(df: DataFrame, ts: str, tie: Sequence[str] = (), *, rows_per_chunk: in
     n_rows, keyed, lo, hi = x.agg(F.count(F.lit(1)), F.count(KEY), F.min(KEY), F.max(KEY)).first()
     n_chunks = _target_chunks(df.sparkSession, n_rows, rows_per_chunk)
     if n_chunks <= 1:
-        return Chunked(x.withColumn(CHUNK, F.lit(0).cast("bigint")), ts, tie, n_rows, 1, [])
+        return Chunked(x.withColumn(CHUNK, F.lit(0).cast("bigint")), ts, tie, n_rows, 1, [],
+                       n_nulls=n_rows - keyed, span=hi - lo if keyed else 0)
     per = math.ceil(n_rows / n_chunks)
     bounds, heavy, most, extra = [], [], 1, 0
     if keyed:
@@ -306,7 +306,7 @@ def chunk(df: DataFrame, ts: str, tie: Sequence[str] = (), *, rows_per_chunk: in
         x = with_buckets(x, {base: F.col(KEY)}, bounds)
         cid = F.coalesce(F.col(base), F.lit(0)).cast("bigint") * F.lit(1 << SUB_BITS) + F.lit(SUB_LAST)
         return Chunked(x.withColumn(CHUNK, cid).drop(base), ts, tie, n_rows, n, bounds, heavy,
-                       slots=_slots(df.sparkSession, n))
+                       slots=_slots(df.sparkSession, n), n_nulls=nulls, span=hi - lo if keyed else 0)
     table, sub = split
     x = x.join(F.broadcast(table), F.col(KEY).eqNullSafe(F.col(START)), "left")
     x = with_buckets(x, {base: F.col(KEY)}, bounds)
@@ -423,142 +423,6 @@ def _home_and_reach(c: Chunked, df: DataFrame, width_us: int) -> DataFrame:
     return x.withColumn(DST, F.explode(F.sequence(F.col(HOME), reach))).drop(last)
 
 
-# Time-frame aggregations that decompose into per-timestamp
-# partial states (count, sum, shifted sum of squares, min, max).
-DECOMPOSABLE = ("count", "sum", "mean", "min", "max", "std", "var")
-
-
-def apply_time_frames_preaggregated(c: Chunked, cols: Sequence[str], agg: str, width_us: int,
-                                    keep: Sequence[str]) -> DataFrame:
-    """Time frames when single timestamps hold large shares of the rows.
-
-    Rows that share a timestamp are all inside each other's frame, so the frame
-    value depends only on the timestamp.  Partial states are combined per
-    distinct timestamp first (map-side, so a hot timestamp is pre-aggregated in
-    every task), the frames run over that tie-free table with the usual halo,
-    and the values are joined back by timestamp (AQE splits a skewed join
-    partition).  Sums of squares are taken around each column's mean to avoid
-    cancellation.
-    """
-    if agg not in DECOMPOSABLE:
-        raise ValueError(agg)
-    shift = {}
-    if agg in ("std", "var"):
-        row = c.df.agg(*[F.avg(F.col(x).cast("double")).alias(x) for x in cols]).first()
-        shift = {x: float(row[x] or 0.0) for x in cols}
-    parts = []
-    for i, x in enumerate(cols):
-        v = F.col(x).cast("double")
-        parts += [F.count(x).alias(f"__ss_n{i}"), F.sum(v).alias(f"__ss_s{i}"),
-                  F.min(x).alias(f"__ss_lo{i}"), F.max(x).alias(f"__ss_hi{i}")]
-        if agg in ("std", "var"):
-            y = v - F.lit(shift[x])
-            parts += [F.sum(y).alias(f"__ss_y{i}"), F.sum(y * y).alias(f"__ss_yy{i}")]
-    per_key = c.df.groupBy(KEY).agg(*parts)
-    x = _home_and_reach(c, per_key, width_us)
-    w = Window.partitionBy(DST).orderBy(F.col(KEY)).rangeBetween(-(width_us - 1), 0)
-    outs = []
-    for i, name in enumerate(cols):
-        n = F.sum(f"__ss_n{i}").over(w)
-        if agg == "count":
-            e = n
-        elif agg == "sum":
-            e = F.when(n >= 1, F.sum(f"__ss_s{i}").over(w))
-        elif agg == "mean":
-            e = F.when(n >= 1, F.sum(f"__ss_s{i}").over(w) / n)
-        elif agg == "min":
-            e = F.min(f"__ss_lo{i}").over(w)
-        elif agg == "max":
-            e = F.max(f"__ss_hi{i}").over(w)
-        else:
-            sy, syy = F.sum(f"__ss_y{i}").over(w), F.sum(f"__ss_yy{i}").over(w)
-            var = F.greatest(F.lit(0.0), syy - sy * sy / n) / (n - 1)
-            e = F.when(n >= 2, var if agg == "var" else F.sqrt(var))
-        outs.append(e.alias(f"__ss_v{i}"))
-    values = x.select(KEY, HOME, DST, *outs).filter(F.col(DST) == F.col(HOME)).drop(HOME, DST)
-    joined = c.df.select(*[k for k in keep if k not in cols], KEY).join(values, KEY, "left")
-    order_out = list(keep) + [k for k in cols if k not in keep]
-    return joined.select(*[F.col(f"__ss_v{cols.index(k)}").alias(k) if k in cols else F.col(k)
-                           for k in order_out])
-
-
-# Time-frame aggregations computable from prefix sums.
-PREFIX_AGGS = ("count", "sum", "mean", "std", "var")
-
-
-def apply_time_frames_prefix(c: Chunked, cols: Sequence[str], agg: str, width_us: int,
-                             keep: Sequence[str]) -> DataFrame:
-    """Time frames as differences of prefix sums, for windows much wider than a chunk.
-
-    The frame value of a row depends only on its timestamp ``t``:
-    ``C(t) - C(t - w)``, where ``C(x)`` sums the partial states (count, sum,
-    and for std/var the sum of squares around the column mean) of all rows
-    with key <= x.  Partial states are first combined per distinct key
-    (map-side).  Then one chunked running-sum pass runs over those keys plus one
-    *probe* per key at ``t - w`` (ordered after equal keys, so it sees them),
-    with chunk totals carried across chunks on a one-row-per-chunk table.  Each
-    probe is joined back to its key, and the keys to the rows.  The work does
-    not grow with the window width, unlike the halo plan, which copies every
-    row into all chunks its window reaches.
-    """
-    if agg not in PREFIX_AGGS:
-        raise ValueError(agg)
-    moments = agg in ("std", "var")
-    shift = {}
-    if moments:
-        # squares are summed around each column's mean to limit cancellation
-        row = c.df.agg(*[F.avg(F.col(x).cast("double")).alias(x) for x in cols]).first()
-        shift = {x: float(row[x] or 0.0) for x in cols}
-    parts = []
-    for i, x in enumerate(cols):
-        v = F.col(x).cast("double") - F.lit(shift.get(x, 0.0))
-        parts += [F.count(x).cast("double").alias(f"__ss_n{i}"),
-                  F.coalesce(F.sum(v), F.lit(0.0)).alias(f"__ss_s{i}")]
-        if moments:
-            parts += [F.coalesce(F.sum(v * v), F.lit(0.0)).alias(f"__ss_q{i}")]
-    kinds = ("n", "s", "q") if moments else ("n", "s")
-    names = [f"__ss_{k}{i}" for i in range(len(cols)) for k in kinds]
-    per_key = c.df.groupBy(KEY).agg(*parts)
-    flag = internal("probe")
-    origin = internal("origin")
-    data = per_key.select(KEY, F.lit(0).alias(flag), F.col(KEY).alias(origin), *names)
-    probes = per_key.select((F.col(KEY) - F.lit(width_us)).alias(KEY), F.lit(1).alias(flag),
-                            F.col(KEY).alias(origin), *[F.lit(0.0).alias(n) for n in names])
-    both = data.unionByName(probes)
-    both = with_buckets(both, {CHUNK: F.col(KEY)}, c.bounds)
-    both = both.withColumn(CHUNK, F.coalesce(F.col(CHUNK), F.lit(-1).cast("bigint")))
-    placed, key = c.place(both, F.col(CHUNK), by=CHUNK)
-    run = Window.partitionBy(key).orderBy(KEY, flag).rowsBetween(Window.unboundedPreceding, 0)
-    local = placed.select(KEY, flag, origin, CHUNK, *[F.sum(n).over(run).alias(n) for n in names])
-    totals = both.groupBy(CHUNK).agg(*[F.sum(n).alias(n) for n in names])
-    before = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    # one row per chunk: the broadcast side is bounded by the chunk count
-    carry = totals.select(CHUNK, *[F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias("__ss_c" + n) for n in names])
-    cum = local.join(F.broadcast(carry), CHUNK, "left").select(
-        KEY, flag, origin, *[(F.col(n) + F.coalesce(F.col("__ss_c" + n), F.lit(0.0))).alias(n) for n in names])
-    upto = cum.filter(F.col(flag) == 0).select(KEY, *names)
-    before_w = cum.filter(F.col(flag) == 1).select(F.col(origin).alias(KEY), *[F.col(n).alias("__ss_b" + n) for n in names])
-    values = upto.join(before_w, KEY)
-    outs = []
-    for i in range(len(cols)):
-        n = F.col(f"__ss_n{i}") - F.col(f"__ss_b__ss_n{i}")
-        sm = F.col(f"__ss_s{i}") - F.col(f"__ss_b__ss_s{i}")
-        if moments:
-            sq = F.col(f"__ss_q{i}") - F.col(f"__ss_b__ss_q{i}")
-            var = F.greatest(F.lit(0.0), sq - sm * sm / n) / (n - 1)
-            e = F.when(n >= 2, var if agg == "var" else F.sqrt(var))
-        else:
-            shifted_back = sm + F.lit(shift.get(cols[i], 0.0)) * n
-            e = {"count": n.cast("bigint"), "sum": F.when(n >= 1, shifted_back),
-                 "mean": F.when(n >= 1, shifted_back / n)}[agg]
-        outs.append(e.alias(f"__ss_v{i}"))
-    per_t = values.select(KEY, *outs)
-    joined = c.df.select(*[k for k in keep if k not in cols], KEY).join(per_t, KEY, "left")
-    order_out = list(keep) + [k for k in cols if k not in keep]
-    return joined.select(*[F.col(f"__ss_v{cols.index(k)}").alias(k) if k in cols else F.col(k)
-                           for k in order_out])
-
-
 # --------------------------------------------------------------------------
 # unbounded carries (ffill / bfill / interpolate)
 

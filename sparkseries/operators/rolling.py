@@ -23,6 +23,7 @@ from sparkseries.functions.aggs import spark_agg
 from sparkseries.functions.columns import resolve_columns
 from sparkseries.functions.freq import parse_freq
 from sparkseries.operators import ordering as O
+from sparkseries.operators.timeframes import MERGEABLE, merged_time_frames, narrow, plain_aggregate
 
 # Rolling aggregation names accepted by name.
 ROLLING_NAMES = ("mean", "sum", "std", "var", "min", "max", "count", "median")
@@ -61,16 +62,13 @@ def _frame_value(agg_func, col: str, frame: WindowSpec, min_count: Column | None
 
 def rolling_window(df: DataFrame, columns: Sequence[str] | None = None, window: int | str = 10,
                    agg_func="mean", *, ts: str, tie: Sequence[str] = (),
-                   rows_per_chunk: int | None = None, time_plan: str | None = None) -> DataFrame:
+                   rows_per_chunk: int | None = None) -> DataFrame:
     """Rolling aggregate of ``columns``; output: the order columns plus those columns.
 
-    Time windows use the halo plan (rows copied into the chunks their window
-    reaches) or, when single timestamps are hot, per-timestamp pre-aggregation;
-    both give the values of a plain window.  ``time_plan`` forces "halo" or
-    "preaggregate", or asks for "prefix": differences of running totals (count,
-    sum, mean, std, var), whose cost does not grow with the width but whose rounding
-    error grows with the running total, and which infinite values spoil.  It is
-    never chosen by itself.  Callables need a bounded frame: a number of rows.
+    Named aggregates over time windows merge partial states per timestamp (``timeframes``): the cost does not
+    grow with the width, and a bigint sum is exact (``decimal(38,0)``).  Where frames are short and no timestamp is hot,
+    a plain window per chunk gives the same types and values (floating sums up to the order of addition).  Median and Column expressions are evaluated per
+    chunk with the rows of the window before it copied in.  Callables need a bounded frame: a number of rows.
     """
     cols = resolve_columns(df, columns, exclude=[ts, *tie])
     if not cols:
@@ -82,18 +80,17 @@ def rolling_window(df: DataFrame, columns: Sequence[str] | None = None, window:
             raise TypeError("a pandas callable needs a window of rows; a time window may hold any number of them")
         width = parse_freq(window)
         chunked = O.chunk(base, ts, tie, rows_per_chunk=rows_per_chunk, split_ties=False)
-        named = isinstance(agg_func, str)
-        auto = time_plan is None
-        if named and agg_func in O.PREFIX_AGGS and time_plan == "prefix":
-            return O.apply_time_frames_prefix(chunked, cols, agg_func, width, keep)
-        if named and agg_func in O.DECOMPOSABLE and ((auto and chunked.heavy) or time_plan == "preaggregate"):
-            return O.apply_time_frames_preaggregated(chunked, cols, agg_func, width, keep)
+        named = isinstance(agg_func, str) and agg_func in MERGEABLE
+        if named and not narrow(chunked, width):
+            return merged_time_frames(chunked, cols, agg_func, width, keep)
 
         def out(col):
             def fn(w: WindowSpec) -> Column:
-                if agg_func == "count":
-                    return F.count(F.col(col)).over(w)
-                return _frame_value(agg_func, col, w, F.count(F.col(col)).over(w) >= 1)
+                n = F.count(F.col(col)).over(w)
+                if named:
+                    value = plain_aggregate(base, col, agg_func).over(w)
+                    return value if agg_func == "count" else F.when(n >= 1, value)
+                return _frame_value(agg_func, col, w, n >= 1)
             return fn
         return O.apply_time_frames(chunked, {c: out(c) for c in cols}, width, keep)
 

@@ -261,6 +261,14 @@ SQL: dict[str, str] = {
     "rolling_rows_udf": _rows_window("value", 10, "max(value) OVER w - min(value) OVER w", "events"),
     "rolling_time_sum": _time_window("sum", 300_000_000),
     "rolling_time_mean_1h": _time_window("avg", HOUR_US),
+    "rolling_time_wide_sum": _time_window("sum", 3 * 24 * HOUR_US),
+    "rolling_time_wide_std": _time_window("stddev_samp", 3 * 24 * HOUR_US),
+    "rolling_time_wide_max": _time_window("max", 3 * 24 * HOUR_US),
+    "bigint_sums": (
+        "WITH e AS (SELECT ts, event_type, 9000000000000000000 - user_id AS v FROM events), "
+        "f AS (SELECT ts, sum(v) OVER (ORDER BY ts RANGE BETWEEN INTERVAL '86399999999 microseconds' PRECEDING AND CURRENT ROW) "
+        "AS v FROM e) SELECT event_type, CAST(sum(v) AS VARCHAR) AS v FROM e WHERE event_type IS NOT NULL GROUP BY event_type "
+        "UNION ALL SELECT strftime(ts, '%Y-%m-%d') AS event_type, CAST(max(v) AS VARCHAR) AS v FROM f GROUP BY 1"),
     "difference": (
         f"SELECT event_id, ts, user_id, event_type, round(value - lag(value) OVER ({ORD}), 6) AS value, props "
         "FROM events"),

@@ -228,6 +228,20 @@ def q_rolling_time_mean_1h(spark, sf):
     return rounded(rolling_window(gappy(spark, sf), ["v"], "1h", "mean", ts=TS))
 
 
+def _rolling_time_wide(agg):
+    def q(spark, sf):
+        return rounded(rolling_window(gappy(spark, sf), ["v"], "3D", agg, ts=TS))
+    return q
+
+
+def q_bigint_sums(spark, sf):
+    # sums far beyond 64 bits, grouped and in time frames
+    e = events(spark, sf).select(TS, "event_id", "event_type", (F.lit(9_000_000_000_000_000_000) - F.col("user_id")).alias("v"))
+    total = custom_aggregate(e, "event_type", {"v": "sum"}).select("event_type", F.col("v").cast("string").alias("v"))
+    frames = rolling_window(e.select(TS, "v"), ["v"], "1D", "sum", ts=TS).groupBy(F.date_format(TS, "yyyy-MM-dd").alias("event_type"))
+    return total.unionByName(frames.agg(F.max("v").cast("string").alias("v")))
+
+
 def q_difference(spark, sf):
     return rounded(difference(events(spark, sf), ["value"], 1, ts=TS, tie=TIE))
 
@@ -292,6 +306,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rolling_rows_udf": q_rolling_rows_udf,
     "rolling_time_sum": q_rolling_time_sum,
     "rolling_time_mean_1h": q_rolling_time_mean_1h,
+    "rolling_time_wide_sum": _rolling_time_wide("sum"),
+    "rolling_time_wide_std": _rolling_time_wide("std"),
+    "rolling_time_wide_max": _rolling_time_wide("max"),
+    "bigint_sums": q_bigint_sums,
     "difference": q_difference,
     "lag_features": q_lag_features,
     "impute_ffill": _impute("ffill"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkseries.operators import create_lags, difference, impute_missing, rolling_window
 from sparkseries.operators import ordering as O
+from sparkseries.operators import timeframes as TF
 
 EVENTS = "/root/testdata/sf0.01/events.parquet"
 
@@ -150,17 +151,63 @@ def test_one_chunk_per_task(spark):
     assert len(per_task) == c.n_chunks and all(r["k"] == 1 for r in per_task)
 
 
-@pytest.mark.parametrize("agg", ["count", "sum", "mean"])
-@pytest.mark.parametrize("plan,width", [("prefix", "2D"), ("prefix", "7min"), ("halo", "2D"), ("preaggregate", "2D")])
-def test_time_plans_agree(gappy, agg, plan, width):
-    got = rolling_window(gappy.select("ts", "event_id", "v"), ["v"], width, agg, ts="ts", tie=["event_id"],
-                         rows_per_chunk=300, time_plan=plan)
+PLAIN = {"sum": F.sum, "count": F.count, "mean": F.avg, "std": F.stddev_samp, "var": F.var_samp, "min": F.min, "max": F.max}
+
+
+def plain_frames(df, col, agg, width_us):
     us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
-    wus = {"2D": 2 * 86400 * 10**6, "7min": 7 * 60 * 10**6}[width]
-    w = Window.orderBy(us).rangeBetween(-(wus - 1), 0)
-    fn = {"sum": F.sum, "count": F.count, "mean": F.avg}[agg]
-    val = fn("v").over(w) if agg == "count" else F.when(F.count("v").over(w) >= 1, fn("v").over(w))
-    same(got, gappy.select("ts", "event_id", val.alias("v")), key=("ts", "event_id"))
+    w = Window.orderBy(us).rangeBetween(-(width_us - 1), 0)
+    least = {"count": 0, "std": 2, "var": 2}.get(agg, 1)
+    return F.when(F.count(col).over(w) >= least, PLAIN[agg](col).over(w)).alias(col)
+
+
+@pytest.mark.parametrize("agg", sorted(PLAIN))
+@pytest.mark.parametrize("width,per", [("3D", 300), ("7min", 300)])
+def test_merged_time_frames(gappy, monkeypatch, agg, width, per):
+    monkeypatch.setattr(TF, "NARROW_ROWS", 0)
+    got = rolling_window(gappy.select("ts", "event_id", "v"), ["v"], width, agg, ts="ts", tie=["event_id"], rows_per_chunk=per)
+    us = {"3D": 3 * 86400, "7min": 7 * 60}[width] * 10**6
+    same(got, gappy.select("ts", "event_id", plain_frames(gappy, "v", agg, us)), key=("ts", "event_id"))
+
+
+@pytest.mark.parametrize("agg", ["sum", "mean", "std", "max"])
+def test_merged_frames_forget_what_left(spark, monkeypatch, agg):
+    """Huge and infinite values, a step of the level and rows without a time: nothing outside a frame shows in it."""
+    monkeypatch.setattr(TF, "NARROW_ROWS", 0)
+    t0 = datetime(2024, 1, 1)
+    rows = [(t0 + timedelta(minutes=i), i, 1e6 + i % 10) for i in range(3000)]
+    rows[5], rows[40], rows[900] = (*rows[5][:2], 1e17), (*rows[40][:2], float("inf")), (*rows[900][:2], -1e15)
+    rows += [(None, 5000 + i, float(i)) for i in range(7)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, id bigint, v double")
+    got = rolling_window(df, ["v"], "4h", agg, ts="ts", tie=["id"], rows_per_chunk=100)
+    keyed = df.where("ts is not null")
+    ref = keyed.select("ts", "id", plain_frames(keyed, "v", agg, 4 * 3600 * 10**6))
+    late = "id > 1200"  # frames after the last extreme value agree to the last digits
+    same(got.where(f"ts is not null and {late}"), ref.where(late), key=("ts", "id"))
+    a, b = ({r["id"]: r["v"] for r in d.collect()} for d in (got.where("ts is not null"), ref))
+    assert all(x == b[i] or (x != x and b[i] != b[i]) or abs(x - b[i]) <= 1e-6 * abs(b[i]) for i, x in a.items() if x is not None)
+    alone = {r["v"] for r in got.where("ts is null").collect()}
+    assert len(alone) == 1 and abs(alone.pop() - {"sum": 21.0, "mean": 3.0, "std": 2.160246899469287, "max": 6.0}[agg]) < 1e-12
+
+
+def test_time_sums_are_exact_and_typed_alike(spark):
+    """Bigint sums beyond 2**53 and 2**63; the type does not depend on a hot timestamp."""
+    t0, big = datetime(2024, 1, 1), 9007199254740993
+    rows = [(t0 + timedelta(seconds=i), i, big if i % 2 else 2**63 - 1, i % 9) for i in range(600)]
+    plain = spark.createDataFrame(rows, "ts timestamp_ntz, id bigint, v bigint, k int").withColumn("d", F.col("k").cast("decimal(9,2)"))
+    hot = plain.unionByName(plain.where("id = 7").crossJoin(spark.range(500).select("id").withColumnRenamed("id", "x")).drop("x"))
+    a = rolling_window(plain, ["v", "k", "d"], "2s", "sum", ts="ts", rows_per_chunk=100)
+    b = rolling_window(hot, ["v", "k", "d"], "2s", "sum", ts="ts", rows_per_chunk=100)
+    assert a.schema == b.schema and [f.dataType.simpleString() for f in a.schema] == [
+        "timestamp_ntz", "decimal(38,0)", "bigint", "decimal(19,2)"]
+    got = [r["v"] for r in a.orderBy("ts").collect()]
+    assert got[0] == 2**63 - 1 and set(got[1:]) == {2**63 - 1 + big}
+    at_7 = {r["v"] for r in b.where("ts = timestamp_ntz '2024-01-01 00:00:07'").collect()}
+    assert at_7 == {2**63 - 1 + 501 * big}
+    one = rolling_window(plain, ["v"], "1s", "sum", ts="ts", rows_per_chunk=100)
+    assert {int(r["v"]) for r in one.collect()} == {big, 2**63 - 1}
+    mean = rolling_window(plain, ["d"], "2s", "mean", ts="ts", rows_per_chunk=100)
+    assert mean.schema["d"].dataType.simpleString() == "decimal(13,6)"
 
 
 def test_binary_search_buckets_match_case_tree(gappy, monkeypatch):
@@ -179,17 +226,6 @@ def test_binary_search_buckets_match_case_tree(gappy, monkeypatch):
     same(got, gappy.select("ts", "event_id", F.when(F.count("v").over(w) >= 1, F.sum("v").over(w)).alias("v")))
 
 
-@pytest.mark.parametrize("agg", ["std", "var"])
-def test_prefix_plan_moments(gappy, agg):
-    got = rolling_window(gappy.select("ts", "event_id", "v"), ["v"], "2D", agg, ts="ts", tie=["event_id"],
-                         rows_per_chunk=300, time_plan="prefix")
-    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
-    w = Window.orderBy(us).rangeBetween(-(2 * 86400 * 10**6 - 1), 0)
-    fn = {"std": F.stddev_samp, "var": F.var_samp}[agg]
-    ref = gappy.select("ts", "event_id", F.when(F.count("v").over(w) >= 2, fn("v").over(w)).alias("v"))
-    same(got, ref, key=("ts", "event_id"))
-
-
 @pytest.mark.parametrize("window,per", [(50, 40), (600, 1000), (7, 300)])
 def test_edge_rows_in_blocks(gappy, monkeypatch, window, per):
     # blocks far smaller than the edge set, frames longer than a chunk
