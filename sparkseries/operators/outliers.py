@@ -7,6 +7,7 @@ flagging itself is a narrow projection: no join, no shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -32,11 +33,12 @@ def outlier_conditions(df: DataFrame, columns: Sequence[str], method: str = "zsc
                      *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
         for i, c in enumerate(cols):
             m, s = row[f"m{i}"], row[f"s{i}"]
-            if m is None or not s:
+            if m is None or not s or math.isnan(m) or math.isnan(s):  # infinite values leave no deviation to compare with
                 out[c] = F.lit(False)
             else:
-                z = F.abs((F.col(c) - F.lit(m)) / F.lit(s))
-                out[c] = F.coalesce(z > F.lit(float(threshold)), F.lit(False))
+                z = F.abs((F.col(c) - F.lit(m)) / F.lit(s)).cast("double")
+                # NaN is greater than any number to Spark, but no outlier
+                out[c] = F.coalesce((z > F.lit(float(threshold))) & ~F.isnan(z), F.lit(False))
     else:
         qs = exact_quantiles(df, cols, [0.25, 0.75])
         for c in cols:

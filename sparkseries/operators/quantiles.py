@@ -2,17 +2,16 @@
 
 ``percentile`` is exact but its buffer holds every distinct value of a
 column in one map, which does not fit at table scale.  Here the two order
-statistics around each wanted rank ``h = (n - 1) * q`` are found by
-narrowing: the rows inside a value bracket are counted per equal-width
-bucket (``BUCKETS`` per bracket, a partial aggregate whose output is at most
-``BUCKETS`` rows per bracket), the bucket holding the wanted rank becomes
-the next bracket (each rank has its own), and this repeats until a bracket holds at most
-``max_select`` rows or a single value.  Only then are the values inside a
-bracket sorted -- inside one task per bracket, a bounded group -- to pick
-the order statistics and interpolate.  The answer equals ``percentile`` /
-``numpy.quantile`` / DuckDB ``quantile_cont``.
-
-Every job collects scalars only (counts, bounds, two values per bracket).
+statistics around each wanted rank ``h = (n - 1) * q`` are found by radix
+selection: a double's 64 bits, read so that they sort like the values, are taken
+``DIGIT`` bits at a time.  A pass counts the values of every open bracket (a prefix of the
+bits) by their next digit; the digit holding the rank extends the prefix.  All columns and ranks
+share one pass, every task adds up its counts before they are shuffled (at most ``2**DIGIT``
+numbers per bracket), and 64 bits need at most six passes, however the values are spread.  A
+bracket with at most ``max_select`` rows is finished at once: its values are sorted inside one
+task, a bounded group.  The answer equals ``percentile`` / ``numpy.quantile`` / DuckDB ``quantile_cont``.
+
+Every job collects scalars only (counts per digit, two values per bracket).
 """
 
 from __future__ import annotations
@@ -22,10 +21,13 @@ import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_SELECT = 50_000
+DIGIT = 12
+#: Buckets of a bracket in the per-group form.
 BUCKETS = 4096
 
 
@@ -38,6 +40,16 @@ class _Target:
     below: int = 0  # rows with value < low
     inside: int = 0  # rows with low <= value <= high
 
+    bits: tuple[int, int] | None = None  # leading bits all values inside share: how many, which
+
+    @property
+    def key(self) -> tuple:
+        return self.col, self.bits
+
+    @property
+    def single(self) -> bool:
+        return self.low == self.high or (self.low != self.low and self.high != self.high)
+
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], *,
                     max_select: int = DEFAULT_MAX_SELECT, known: dict | None = None
@@ -64,11 +76,13 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
             wanted[(c, q)] = math.floor(h), math.ceil(h), h - math.floor(h)
             for rank in wanted[(c, q)][:2]:
                 at.setdefault((c, rank), _Target(c, rank, row[f"lo{i}"], row[f"hi{i}"], 0, n))
+    for t in at.values():
+        t.bits = _shared_bits(*[int(v) for v in ordered_bits(np.array([t.low, t.high], np.float64))])
     targets = list(at.values())
-    _narrow(d, [t for t in targets if t.low != t.high and t.inside > max_select], max_select)
+    _narrow(d, [t for t in targets if not t.single and t.inside > max_select], max_select)
     # a bracket narrowed to one value has its answer (and may hold many rows)
-    picked = _select(d, [t for t in targets if t.low != t.high])
-    value = {k: t.low if t.low == t.high else picked[id(t)] for k, t in at.items()}
+    picked = _select(d, [t for t in targets if not t.single])
+    value = {k: t.low if t.single else picked[id(t)] for k, t in at.items()}
     out: dict[tuple[str, float], float | None] = {(c, q): None for c in cols for q in probs}
     for (c, q), (lo, hi, frac) in wanted.items():
         a, b = value[(c, lo)], value[(c, hi)]
@@ -85,64 +99,97 @@ def _bucket(v: Column, lo: Column, hi: Column) -> Column:
     return F.when(v == float("inf"), BUCKETS).when(v == float("-inf"), -1).otherwise(F.coalesce(inner, F.lit(0)))
 
 
+def ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned 64-bit numbers in the same order (NaN last, both zeros alike)."""
+    bits = np.where(np.isnan(x), np.nan, x + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63))
+
+
+def _value(b: int) -> float:
+    b = b ^ (1 << 63) if b >> 63 else b ^ ((1 << 64) - 1)
+    return float(np.array([b], np.uint64).view(np.float64)[0])
+
+
+def _shared_bits(a: int, b: int) -> tuple[int, int]:
+    """(number of leading bits that everything from ``a`` to ``b`` shares, those bits)."""
+    same = 64 - (a ^ b).bit_length()
+    return same, a >> (64 - same)
+
+
+def _inside(batch, brackets):
+    """Yield (number, bits) of the values of a batch inside each bracket (column number, known bits, prefix)."""
+    bits: dict[int, np.ndarray] = {}
+    for g, (c, known, prefix) in enumerate(brackets):
+        if c not in bits:
+            bits[c] = ordered_bits(batch.column(c).drop_null().to_numpy(zero_copy_only=False))
+        b = bits[c]
+        yield g, b[b >> np.uint64(64 - known) == np.uint64(prefix)] if known else b
+
+
+def _digits(d: DataFrame, brackets: list[tuple[int, int, int]]) -> dict[int, list[tuple]]:
+    """For every bracket the next digits that occur in it, ascending: (rows, least and greatest bits)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        shape = len(brackets), 1 << DIGIT
+        counts, low, high = np.zeros(shape, np.int64), np.full(shape, 2**64 - 1, np.uint64), np.zeros(shape, np.uint64)
+        for batch in batches:
+            for g, b in _inside(batch, brackets):
+                known = brackets[g][1]
+                digit = (b >> np.uint64(max(0, 64 - known - DIGIT))).astype(np.int64) & ((1 << min(DIGIT, 64 - known)) - 1)
+                counts[g] += np.bincount(digit, minlength=1 << DIGIT)
+                np.minimum.at(low[g], digit, b)
+                np.maximum.at(high[g], digit, b)
+        at = np.nonzero(counts)
+        # shifted to signed numbers of the same order
+        lo, hi = ((x[at] ^ np.uint64(1 << 63)).view(np.int64) for x in (low, high))
+        yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(counts[at]),
+                                          pa.array(lo), pa.array(hi)], names=["g", "digit", "n", "lo", "hi"])
+
+    got = d.mapInArrow(run, "g int, digit int, n long, lo long, hi long").groupBy("g", "digit").agg(
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toArrow()
+    out: dict[int, list[tuple]] = {g: [] for g in range(len(brackets))}
+    for g, _, n, lo, hi in sorted(zip(*[got[k].to_pylist() for k in ("g", "digit", "n", "lo", "hi")])):
+        out[g].append((n, lo + (1 << 63), hi + (1 << 63)))
+    return out
+
+
 def _narrow(d: DataFrame, todo: list[_Target], max_select: int) -> None:
     """Shrink brackets until each holds at most ``max_select`` rows (or one value)."""
     while todo:
-        groups: dict[tuple, list[_Target]] = {}
+        keys = list(dict.fromkeys(t.key for t in todo))
+        digits = _digits(d, [(d.columns.index(c), *bits) for c, bits in keys])
         for t in todo:
-            groups.setdefault((t.col, t.low, t.high, t.below), []).append(t)
-        keys = list(groups)
-        entries = []
-        for g, (col, lo, hi, _) in enumerate(keys):
-            v = F.col(col)
-            b = _bucket(v, F.lit(lo), F.lit(hi))
-            entries.append(F.when(v.between(lo, hi), F.struct(F.lit(g).alias("g"), b.alias("b"), v.alias("v"))))
-        any_inside = None
-        for col, lo, hi, _ in keys:
-            c = F.col(col).between(lo, hi)
-            any_inside = c if any_inside is None else any_inside | c
-        hist = (d.filter(any_inside).select(F.explode(F.array(*entries)).alias("e"))
-                .filter(F.col("e").isNotNull())
-                .groupBy("e.g", "e.b").agg(F.count(F.lit(1)).alias("n"), F.min("e.v").alias("lo"),
-                                           F.max("e.v").alias("hi"))
-                .collect())
-        per: dict[int, list] = {}
-        for r in hist:
-            per.setdefault(r["g"], []).append((r["b"], r["n"], r["lo"], r["hi"]))
-        nxt = []
-        for g, key in enumerate(keys):
-            buckets = sorted(per.get(g, []))
-            for t in groups[key]:
-                cum = t.below
-                for _, n, lo, hi in buckets:  # the one bucket that holds the rank
-                    if cum + n > t.rank:
-                        t.low, t.high, t.below, t.inside = lo, hi, cum, n
-                        break
-                    cum += n
-                if t.low != t.high and t.inside > max_select:
-                    nxt.append(t)
-        todo = nxt
+            for n, lo, hi in digits[keys.index(t.key)]:
+                if t.below + n > t.rank:  # the digit that holds the rank
+                    break
+                t.below += n
+            t.inside, t.low, t.high, t.bits = n, _value(lo), _value(hi), _shared_bits(lo, hi)
+        todo = [t for t in todo if not t.single and t.inside > max_select]
 
 
 def _select(d: DataFrame, targets: list[_Target]) -> dict[int, float]:
     """Order statistics inside each bracket (targets sharing a bracket share a group)."""
     groups: dict[tuple, list[_Target]] = {}
     for t in targets:
-        groups.setdefault((t.col, t.low, t.high, t.below), []).append(t)
+        groups.setdefault(t.key, []).append(t)
     keys = list(groups)
     if not keys:
         return {}
-    # one (group, value) row per value inside a group's bracket
-    entries = [F.when(F.col(col).between(lo, hi), F.struct(F.lit(g).alias("g"), F.col(col).alias("v")))
-               for g, (col, lo, hi, _) in enumerate(keys)]
-    any_inside = None
-    for col, lo, hi, _ in keys:
-        c = F.col(col).between(lo, hi)
-        any_inside = c if any_inside is None else any_inside | c
-    rows = (d.filter(any_inside).select(F.explode(F.array(*entries)).alias("e"))
-            .filter(F.col("e").isNotNull()).select("e.g", "e.v"))
-    wanted = F.create_map(*[x for g, (_, _, _, below) in enumerate(keys)
-                            for x in (F.lit(g), F.array(*[F.lit(t.rank - below + 1) for t in groups[keys[g]]]))])
+    brackets = [(d.columns.index(c), *bits) for c, bits in keys]
+
+    def run(batches):  # one (group, value) row per value inside a group's bracket
+        import pyarrow as pa
+
+        for batch in batches:
+            for g, b in _inside(batch, brackets):
+                v = np.where(b >> np.uint64(63) == 1, b ^ np.uint64(1 << 63), ~b).view(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), g, np.int32)), pa.array(v)], names=["g", "v"])
+
+    rows = d.mapInArrow(run, "g int, v double")
+    wanted = F.create_map(*[x for g, k in enumerate(keys)
+                            for x in (F.lit(g), F.array(*[F.lit(t.rank - t.below + 1) for t in groups[k]]))])
     # each bracket holds at most max_select values: sort them inside one task
     # and pick the wanted ranks there; only the picked values are collected
     ranked = rows.groupBy("g").agg(F.sort_array(F.collect_list("v")).alias("s"))
@@ -151,12 +198,7 @@ def _select(d: DataFrame, targets: list[_Target]) -> dict[int, float]:
                           F.transform("pos", lambda i: F.element_at(F.col("s"), i)).alias("v")).alias("p"))
     hits = picks.select("g", F.inline("p")).collect()
     found = {(r["g"], r["rn"]): r["v"] for r in hits}
-    out = {}
-    for g, key in enumerate(keys):
-        below = key[3]
-        for t in groups[key]:
-            out[id(t)] = found[(g, t.rank - below + 1)]
-    return out
+    return {id(t): found[(g, t.rank - t.below + 1)] for g, k in enumerate(keys) for t in groups[k]}
 
 
 def grouped_quantile(df: DataFrame, keys: Sequence[str], column: str, q: float, out: str, *,

@@ -6,6 +6,7 @@ where quantiles are needed); there is never a job per column.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -67,7 +68,8 @@ def _batched_agg(df: DataFrame, exprs: list[Column], batch: int = 80) -> dict:
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation, pairwise-complete; rows ``column`` x columns.
 
-    A constant (or all-NULL) column gives NULL, also on its own diagonal.
+    A constant (or all-NULL) column gives NULL, also on its own diagonal.  Infinite
+    values and NaN are left out like NULLs, pair by pair.
     One pass finds each column's mean; a second accumulates sums of
     mean-shifted values and products over the rows where both values are
     present (shifting first avoids the cancellation of raw moment sums).
@@ -76,12 +78,13 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "column string")
+    finite = [F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")) for c in cols]
     first = _batched_agg(df, [F.count(F.lit(1)).alias("n")]
-                         + [F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]
-                         + [F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)])
+                         + [F.count(v).alias(f"n{i}") for i, v in enumerate(finite)]
+                         + [F.avg(v).alias(f"m{i}") for i, v in enumerate(finite)])
     shift = {i: float(first[f"m{i}"] or 0.0) for i in range(len(cols))}
     dense = all(first[f"n{i}"] == first["n"] for i in range(len(cols)))
-    x = {i: F.col(c).cast("double") - F.lit(shift[i]) for i, c in enumerate(cols)}
+    x = {i: v - F.lit(shift[i]) for i, v in enumerate(finite)}
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     exprs = []
     for i, j in pairs:
@@ -91,7 +94,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
                 exprs += [F.sum(x[i]).alias(f"s_{i}")]
             exprs += [F.sum(x[i] * x[j]).alias(f"p_{i}_{j}")]
         else:
-            both = F.col(cols[i]).isNotNull() & F.col(cols[j]).isNotNull()
+            both = finite[i].isNotNull() & finite[j].isNotNull()
             exprs += [F.count_if(both).alias(f"n_{i}_{j}"),
                       F.sum(F.when(both, x[i])).alias(f"a_{i}_{j}"), F.sum(F.when(both, x[j])).alias(f"b_{i}_{j}"),
                       F.sum(F.when(both, x[i] * x[i])).alias(f"aa_{i}_{j}"),
@@ -110,7 +113,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
         if not n or n < 2 or a is None:
             return None
         saa, sbb, sab = aa - a * a / n, bb - b * b / n, ab - a * b / n
-        if saa <= 0 or sbb <= 0:
+        if not (saa > 0 and sbb > 0):
             return None
         if i == j:
             return 1.0
@@ -192,6 +195,8 @@ def distributions(df: DataFrame, columns: Sequence[str] | None = None, bins: int
         lo, hi = row[f"lo{i}"], row[f"hi{i}"]
         if lo is None:
             lo, hi = 0.0, 1.0
+        elif not (math.isfinite(lo) and math.isfinite(hi)):
+            raise ValueError(f"column {cols[len(ranges)]!r} holds infinite values or NaN: it has no equal-width bins")
         elif lo == hi:
             lo, hi = lo - 0.5, hi + 0.5
         ranges.append((float(lo), float(hi)))
