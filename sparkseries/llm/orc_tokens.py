@@ -23,10 +23,12 @@ encoded whole; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import json
 import math
 import re
 import zlib
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -39,10 +41,31 @@ END_ID = 0
 PART_BYTES, LEAST_PART_BYTES = 256 << 20, 4 << 20
 STRIPE, STRIDE, BLOOM_FPP = 16 << 20, 1000, 0.01
 #: Distinct cuts of text a task remembers at a time, and characters encoded together.
-REMEMBERED, TOGETHER = 300_000, 1 << 20
+REMEMBERED, TOGETHER = 700_000, 1 << 20
+# Cuts are kept without the space they begin with; those that begin without one are marked by BARE, or begin with a line break.
+BARE = "\r"
+BARE_STARTS = ("", "\r", "\n")
+CUT = re.compile(r"(?= \S)").split
+#: One word of letters in any Unicode version.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z").match
+#: A letter and the marks behind it at the end of a cut.
+MARKED = re.compile(r"([^\n]*[A-Za-z])([.,;:!?]+)\Z").match
 SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 
 
+def byte_letters() -> list[str]:
+    """The letter by which byte-level models know each byte: printable ones of Latin-1 stand for themselves, the others
+    are numbered from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+def whole(cut: str) -> str:
+    """The text of a kept cut."""
+    return cut[1:] if cut[:1] == BARE else cut if cut[:1] == "\n" else " " + cut
+
+
 class Encoder:
     """Ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
 
@@ -62,47 +85,87 @@ class Encoder:
                      and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True))
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))).search if special else lambda t: None
-        self.cut = re.compile(r"(?= \S)").split
         self.forget()
 
     def forget(self):
+        """``known`` maps a cut to its number, ``start[number]`` is where its ids begin in ``flat``."""
         self.known: dict[str, int] = {}
-        self.flat, self.start, self.used = np.zeros(1 << 16, np.int32), [0], 0
-
-    def learn(self, cuts: list[str]):
-        for c, e in zip(cuts, self.library.encode_batch_fast(cuts, add_special_tokens=False)):
-            ids = e.ids
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.known[c] = len(self.start) - 1
-            self.start.append(self.used)
+        self.flat, self.start, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), 0
+
+    def _keep(self, cuts: list[str], ids: np.ndarray, size: np.ndarray):
+        n = len(self.known)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(cuts) >= len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.start[n + 1:n + 1 + len(cuts)] = self.used + np.cumsum(size)
+        self.used += len(ids)
+        self.known.update(zip(cuts, range(n, n + len(cuts))))
+
+    def _gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the numbered cuts one after the other, how many of them end with each cut)."""
+        size = self.start[index + 1] - self.start[index]
+        upto = np.cumsum(size)
+        return self.flat[np.repeat(self.start[index] - (upto - size), size) + np.arange(int(size.sum()))], upto
+
+    def _ask(self, cuts: list[str], together: int = 1024):
+        """Have the library encode new cuts: one plain word is one piece and goes to the model, others take the whole way."""
+        plain = [c for c in cuts if PLAIN(c)]
+        if plain:
+            tokenize, letters = self.library.model.tokenize, byte_letters()
+            space, table = letters[32], {c: "".join(letters[b] for b in chr(c).encode()) for c in range(192, 256)}
+            ids = [[t.id for t in tokenize(space + (c if c.isascii() else c.translate(table)))] for c in plain]
+            self._keep(plain, np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids]))
+        rest = [c for c in cuts if not PLAIN(c)]
+        for i in range(0, len(rest), together):
+            part = rest[i:i + together]
+            e = self.library.encode([whole(c) for c in part], is_pretokenized=True, add_special_tokens=False)
+            self._keep(part, np.array(e.ids, np.int32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
+
+    def learn(self, cuts: set[str]):
+        """Remember new cuts; a word and the marks behind it (a letter before a mark always ends a piece) are two cuts."""
+        ends = [(c, c[:k], BARE + c[k:]) for c in cuts if (m := MARKED(c)) and (k := m.start(2))]
+        asked = cuts.difference(c for c, _, _ in ends)
+        asked.update(x for _, *two in ends for x in two)
+        self._ask(list(asked.difference(self.known)))
+        if ends:
+            at = np.array([(self.known[a], self.known[b]) for _, a, b in ends], np.int64)
+            ids, upto = self._gather(at.ravel())
+            self._keep([c for c, _, _ in ends], ids, np.diff(upto[1::2], prepend=0))
+
+    def cut(self, text: str) -> list[str]:
+        """Parts of a text at whose borders a piece always begins: at a space before a non-space; where every white
+        space is a single space or line break, at all of them."""
+        if " ".join(text.split()) == text.replace("\n", " "):
+            return (BARE + text.replace("\n", " \n")).split(" ")
+        return [c[1:] if c[:1] == " " and c[1:2] not in BARE_STARTS else BARE + c for c in CUT(text) if c]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text)."""
+        if not self.cuts or any(map(self.special, texts)):  # some texts at a time
+            ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
         if len(self.known) > REMEMBERED:
             self.forget()
-        parts = [self.cut(t) if self.cuts and not self.special(t) else [t] for t in texts]
+        parts = [self.cut(t) for t in texts]
         cuts = [c for p in parts for c in p]
-        new = set(cuts).difference(self.known)
-        if new:
-            self.learn(sorted(new))
-        index = np.fromiter(map(self.known.__getitem__, cuts), np.int64, len(cuts))
-        start = np.array(self.start, np.int64)
-        size = (start[1:] - start[:-1])[index]
-        upto = np.cumsum(size)
-        at = np.repeat(start[index] - (upto - size), size) + np.arange(int(size.sum()))
+        index = np.fromiter(map(self.known.get, cuts, repeat(-1)), np.int64, len(cuts))
+        miss = np.flatnonzero(index < 0)
+        if len(miss):
+            new = [cuts[i] for i in miss]
+            self.learn(set(new))
+            index[miss] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        ids, upto = self._gather(index)
         ends = np.cumsum([len(p) for p in parts])
-        total = np.concatenate([[0], upto])[np.concatenate([[0], ends])]
-        return self.flat[at], np.diff(total)
+        return ids, np.diff(np.concatenate([[0], upto])[np.concatenate([[0], ends])])
 
 
-def together(texts: list, limit: int = TOGETHER):
+def together(texts, limit: int = TOGETHER):
     """Yield (first index, texts) with about ``limit`` characters each; null is empty."""
     first, held, size = 0, [], 0
     for i, t in enumerate(texts):
-        t = t or ""
+        t = (t.as_py() if hasattr(t, "as_py") else t) or ""
         if held and size + len(t) > limit:
             yield first, held
             first, held, size = i, [], 0
@@ -133,8 +196,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, part_byte
             import pyarrow as pa
 
             doc_ids = batch.column(0)
-            for first, texts in together(batch.column(1).to_pylist()):
-                ids, n = encoder.encode(texts)
+            for first, texts in together(batch.column(1)):
+                gc.disable()  # no cycles here, and a million small objects to look through for them
+                try:
+                    ids, n = encoder.encode(texts)
+                finally:
+                    gc.enable()
                 ids = np.insert(ids, np.cumsum(n), end_id)
                 n = n + 1
                 upto = np.cumsum(n)
