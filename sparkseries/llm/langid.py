@@ -175,9 +175,8 @@ def train(docs: DataFrame, bits: int = BITS, sample: int = SAMPLE, epochs: int =
         return run
 
     rows = arrow_map(few, make, "lang string, h long, at array<int>, counts array<float>")
-    rows = rows.limit(sample).collect()  # bounded by `sample` rows of at most 2**bits columns
-    rows = sorted(((r["h"], r["lang"], np.array(r["at"]), weigh(np.array(r["counts"]), idf[r["at"]])) for r in rows),
-                  key=lambda r: r[:2])
+    # at most `sample` rows of at most 2**bits columns, in a fixed order and as arrays: as Python numbers they take ten times the room
+    rows = _vectors(rows.orderBy("h", "lang").limit(sample).toArrow(), idf)
     if not rows:
         return None
     model = Ftrl(1 << bits, len(langs))
@@ -194,6 +193,19 @@ def train(docs: DataFrame, bits: int = BITS, sample: int = SAMPLE, epochs: int =
             "bits": bits, "lowest": lowest}
 
 
+def _vectors(got, idf: np.ndarray) -> list[tuple]:
+    """(hash, language, columns, weights) of every collected row."""
+    out = []
+    for b in got.to_batches():
+        langs, h = b.column("lang").to_pylist(), b.column("h").to_pylist()
+        lists = [b.column(n) for n in ("at", "counts")]
+        at, counts = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+        ends = np.cumsum(lists[0].value_lengths().to_numpy(zero_copy_only=False))
+        for i, (lo, hi) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)):
+            out.append((h[i], langs[i], at[lo:hi], weigh(counts[lo:hi].astype(np.float64), idf[at[lo:hi]])))
+    return out
+
+
 def predict(docs: DataFrame, model: dict | None, keep: list[str] = ("doc_id",),
             out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``keep`` columns plus the predicted language and its score, named ``out``, of every row."""
