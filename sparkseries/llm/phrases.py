@@ -40,7 +40,9 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 SAMPLE, MARGIN = 8, 1.5
 #: Bits of the bitmap: 16 for each proposed phrase within these powers of two.
 LEAST_BITS, MOST_BITS, BITS_EACH = 20, 28, 16
-BUFFER = 2_000_000
+BUFFER, GATHER = 1_000_000, 1 << 16
+#: Rows of a batch that are turned into Python texts at a time.
+ROWS = 500
 UNKNOWN = "und"
 
 # Bytes that end a piece, and bytes that separate words inside one.
@@ -163,14 +165,18 @@ class Counter:
 
 def merge(h, n, lang, m, start, size, raw):
     key = h ^ (size.astype(np.uint64) << np.uint64(48))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     s = key[order]
     at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
     one = order[at]
-    size = size[one]
+    start, size = start[one], size[one]
     upto = np.cumsum(size)
-    place = np.repeat(start[one] - (upto - size), size) + np.arange(int(size.sum()))
-    return (h[one], np.add.reduceat(n[order], at) if len(at) else n, lang[one], m[one], upto - size, size, raw[place])
+    words = np.empty(int(upto[-1]) if len(upto) else 0, np.uint8)
+    for i in range(0, len(one), GATHER):  # positions take eight times the room of the bytes
+        some = slice(i, i + GATHER)
+        lo, hi = upto[i] - size[i], upto[some][-1]
+        words[lo:hi] = raw[np.repeat(start[some] - (upto[some] - size[some]), size[some]) + np.arange(lo, hi)]
+    return (h[one], np.add.reduceat(n[order], at, dtype=np.int64) if len(at) else n, lang[one], m[one], upto - size, size, words)
 
 
 def counted(docs: DataFrame, old=None, new=None, proposed: int = 0, span: tuple[int, int] = (1, LONGEST)) -> DataFrame:
@@ -200,9 +206,13 @@ def counted(docs: DataFrame, old=None, new=None, proposed: int = 0, span: tuple[
                 left = counter.take()
                 yield from rows(left) if left is not None else ()
                 return
+            for i in range(0, batch.num_rows, ROWS):
+                yield from some(batch.slice(i, ROWS))
+
+        def some(batch):
             langs = [names.setdefault(v, len(names)) for v in batch.column(0).to_pylist()]
             for first, texts in pieces(batch.column(1).to_pylist()):
-                of = np.array(langs[first:first + len(texts)])
+                of = np.array(langs[first:first + len(texts)], np.int32)
                 w = Words(hasher, texts, seeds(list(names))[of])
                 if not len(w.hash):
                     continue
@@ -211,7 +221,7 @@ def counted(docs: DataFrame, old=None, new=None, proposed: int = 0, span: tuple[
                     if m < span[0] or not len(at):
                         continue
                     start = begin[at]
-                    counter.add(h, np.ones(len(at), np.int64), of[w.text[at]], np.full(len(at), m, np.int8), start,
+                    counter.add(h, np.ones(len(at), np.int32), of[w.text[at]], np.full(len(at), m, np.int8), start,
                                 begin[at + m] - 1 - start, low)
                 if a is None and span[0] == 1:
                     total = np.bincount(of[w.text], minlength=len(names))
@@ -226,7 +236,8 @@ def counted(docs: DataFrame, old=None, new=None, proposed: int = 0, span: tuple[
         return run
 
     parts = arrow_map(x, make, "lang string, m byte, phrase string, n long", last=True)
-    return parts.groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n"))
+    # tasks have combined already: a second hash table before the shuffle would hold nearly every entry again
+    return parts.repartition("lang", "m", "phrase").groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n"))
 
 
 def seeds(names: list[str]) -> np.ndarray:
