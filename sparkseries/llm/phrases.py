@@ -14,8 +14,10 @@ Phrases are 1 to ``LONGEST`` neighbouring words of a piece; everything is counte
 
 Tasks look the proposed set up in a bitmap of at most ``2**MOST_BITS`` bits (a Bloom filter, two probes).  Its
 size is bounded whatever the corpus; a wrong hit only has a phrase counted that need not be, and a fuller bitmap prunes less.
-Counts are combined in every task over buffers of ``BUFFER`` entries and then summed by (language, words) in Spark, so a
-hot language or phrase is one row per task.  Inside a buffer phrases are told apart by a 64-bit hash and their length.
+A counting pass comes in two halves: the first adds up 64-bit hashes alone, a third of the bytes; phrases of one hash
+share a count, so it is never too low.  The second counts by (language, words), and only phrases whose hash reached the threshold: these
+counts are exact.  Both combine in every task over bounded buffers (``HASHED``, ``BUFFER``) before the shuffle, so a hot
+language or phrase is a few rows per task.  Inside a buffer of the second half phrases are told apart by hash and length.
 
 Scores, ranks and the dropping of contained phrases are joins over frequent phrases alone.  A phrase is dropped if a longer frequent one
 that contains it occurs as often; as counts only fall with growing length it is enough to look one word further.
@@ -43,6 +45,8 @@ LEAST_BITS, MOST_BITS, BITS_EACH = 20, 28, 16
 BUFFER, GATHER = 1_000_000, 1 << 16
 #: Rows of a batch that are turned into Python texts at a time.
 ROWS = 500
+#: Hashes that a task combines before it passes them on.
+HASHED = 3_000_000
 UNKNOWN = "und"
 
 # Bytes that end a piece, and bytes that separate words inside one.
@@ -179,16 +183,16 @@ def merge(h, n, lang, m, start, size, raw):
     return (h[one], np.add.reduceat(n[order], at, dtype=np.int64) if len(at) else n, lang[one], m[one], upto - size, size, words)
 
 
-def counted(docs: DataFrame, old=None, new=None, proposed: int = 0, span: tuple[int, int] = (1, LONGEST)) -> DataFrame:
-    """(lang, m, phrase, n): exact counts of the phrases of ``span`` words that the bitmaps let through; m = 0 counts
-    all words of a language.  ``old`` and ``new`` are broadcast bitmaps (words, bits)."""
+def counted(docs: DataFrame, old=None, new=None, proposed: int = 0, span: tuple[int, int] = (1, LONGEST), only=None) -> DataFrame:
+    """(lang, m, phrase, n): exact counts of the phrases of ``span`` words that the bitmaps let through (and whose hash is
+    in ``only``); m = 0 counts all words of a language.  ``old``, ``new`` and ``only`` are broadcast bitmaps (words, bits)."""
     x = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
 
     def make():
         import pyarrow as pa
 
         hasher, counter = word_hasher(), Counter()
-        a, b = known(old), known(new)
+        a, b, wanted = known(old), known(new), known(only)
         names: dict[str, int] = {}
 
         def rows(entries, step=1 << 16):
@@ -218,6 +222,9 @@ def counted(docs: DataFrame, old=None, new=None, proposed: int = 0, span: tuple[
                     continue
                 low, begin = normal(w)
                 for m, at, h in levels(w, a, b, proposed, span[1]):
+                    if wanted is not None:
+                        ok = wanted.has(h)
+                        at, h = at[ok], h[ok]
                     if m < span[0] or not len(at):
                         continue
                     start = begin[at]
@@ -240,6 +247,70 @@ def counted(docs: DataFrame, old=None, new=None, proposed: int = 0, span: tuple[
     return parts.repartition("lang", "m", "phrase").groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n"))
 
 
+def hashed(docs: DataFrame, new=None, proposed: int = 0, span: tuple[int, int] = (1, LONGEST)) -> DataFrame:
+    """(h, n): the counts of ``counted`` by hash alone, in a third of the room.  Different phrases of one hash are
+    added together, so no count is too low."""
+    x = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
+
+    def make():
+        hasher, b = word_hasher(), known(new)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = [0]
+
+        def shrink():
+            h, n = (np.concatenate([p[i] for p in held]) for i in range(2))
+            order = np.argsort(h)
+            h, n = h[order], n[order]
+            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            held[:] = [(h[at], np.add.reduceat(n, at))]
+            size[0] = len(at)
+
+        def take():
+            h, n = held.pop()
+            size[0] = 0
+            for i in range(0, len(h), GATHER):
+                yield {"h": h[i:i + GATHER].view(np.int64), "n": n[i:i + GATHER]}
+
+        def run(batch):
+            if batch is None:
+                if held:
+                    shrink()
+                    yield from take()
+                return
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                langs = part.column(0).to_pylist()
+                names = sorted(set(langs))
+                of = np.searchsorted(names, langs)
+                for first, texts in pieces(part.column(1).to_pylist()):
+                    w = Words(hasher, texts, seeds(names)[of[first:first + len(texts)]])
+                    for m, _, h in levels(w, None, b, proposed, span[1]):
+                        if m >= span[0] and len(h):
+                            u, n = np.unique(h, return_counts=True)
+                            held.append((u, n))
+                            size[0] += len(u)
+                    if size[0] > HASHED:
+                        shrink()
+                        if size[0] > HASHED // 2:
+                            yield from take()
+
+        return run
+
+    parts = arrow_map(x, make, "h long, n long", last=True)
+    return parts.repartition("h").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def decided(docs: DataFrame, least: int, old=None, new=None, proposed: int = 0, span: tuple[int, int] = (1, LONGEST)) -> DataFrame:
+    """``counted`` phrases with n >= ``least``, and the words of each language (m = 0).  The first pass counts by hash; only
+    phrases whose hash reaches ``least`` are counted again by their words, exactly."""
+    only = None
+    if old is None:
+        often = written(hashed(docs, new, proposed, span).where(F.col("n") >= least).select("h"), "hashes")
+        bits = size_bits(often.count())
+        only = docs.sparkSession.sparkContext.broadcast((bitmap(often, bits), bits))
+    return counted(docs, old, new, proposed, span, only).where((F.col("n") >= least) | (F.col("m") == 0))
+
+
 def seeds(names: list[str]) -> np.ndarray:
     """One hash for each language, whatever its characters."""
     return np.array([int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little") for t in names], np.uint64)
@@ -271,13 +342,14 @@ def phrase_hashes(hasher: Hasher, batch):
 
 
 def bitmap(phrases: DataFrame, bits: int) -> np.ndarray:
-    """The bits of (lang, m, phrase) rows: or-ed in Spark, at most ``2**bits / 64`` rows come to the driver."""
+    """The bits of (lang, m, phrase) or (h) rows: or-ed in Spark, at most ``2**bits / 64`` rows come to the driver."""
+    given = phrases.columns == ["h"]
 
     def make():
         hasher = word_hasher()
 
         def run(batch):
-            for _, _, h in phrase_hashes(hasher, batch):
+            for h in [batch.column(0).to_numpy().view(np.uint64)] if given else (x[2] for x in phrase_hashes(hasher, batch)):
                 at = np.concatenate(list(Bitmap(None, bits).places(h)))
                 word, back = np.unique(at >> 6, return_inverse=True)
                 mask = np.zeros(len(word), np.uint64)
@@ -286,7 +358,7 @@ def bitmap(phrases: DataFrame, bits: int) -> np.ndarray:
 
         return run
 
-    masks = arrow_map(phrases.select("lang", "m", "phrase"), make, "word long, mask long")
+    masks = arrow_map(phrases if given else phrases.select("lang", "m", "phrase"), make, "word long, mask long")
     got = masks.groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
     out = np.zeros((1 << bits) >> 6, np.uint64)
     out[got["word"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
@@ -304,9 +376,10 @@ def proposals(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE) -> Data
     x = written(x, "sample")
     mean = least / sample
     low = max(2, math.floor(mean - MARGIN * math.sqrt(mean)))
-    short = written(counted(x, span=(1, 2)).where((F.col("m") > 0) & (F.col("n") >= low)).drop("n"), "proposed")
+    short = written(decided(x, low, span=(1, 2)).where("m > 0").drop("n"), "proposed")
     bits = size_bits(short.count())
-    long = counted(x, new=spark.sparkContext.broadcast((bitmap(short, bits), bits)), proposed=2, span=(3, LONGEST)).where(F.col("n") >= low).drop("n")
+    sent = spark.sparkContext.broadcast((bitmap(short, bits), bits))
+    long = decided(x, low, new=sent, proposed=2, span=(3, LONGEST)).drop("n")
     return short.unionByName(written(long, "proposed"))
 
 
@@ -318,8 +391,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE)
     old, new = None, spark.sparkContext.broadcast((bitmap(first, bits), bits))
     out = None
     while True:
-        keep = (F.col("n") >= least) | (F.col("m") == 0)
-        found = written(counted(docs, old, new, proposed=LONGEST).where(keep), "counted")
+        found = written(decided(docs, least, old, new, proposed=LONGEST), "counted")
         out = found if out is None else out.unionByName(found)
         failed = failures(found, new)
         if failed.isEmpty():
