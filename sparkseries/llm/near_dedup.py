@@ -245,7 +245,11 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     _, of = classes(docs, similarity)
     heads = written(of.select("head").distinct().select(F.col("head.first_id").alias("__id"), F.col("head.node").alias("__node")),
                     "heads")
-    x = docs.withColumn("__n", F.unhex(F.md5(F.col("text").cast("binary"))))
-    kept = x.join(heads, [F.col("__n") == F.col("__node"), F.col("doc_id").eqNullSafe(F.col("__id"))], "left_semi")
-    kept = kept.dropDuplicates(["__n", "doc_id"])
-    return kept.unionByName(x.where(F.col("__n").isNull())).drop("__n")
+    n = "__n"  # a name that the caller's columns leave free
+    while n in docs.columns:
+        n = "_" + n
+    heads = heads.withColumnsRenamed({"__id": f"{n}id", "__node": f"{n}ode"})
+    x = docs.withColumn(n, F.unhex(F.md5(F.col("text").cast("binary"))))
+    kept = x.join(heads, [x[n] == heads[f"{n}ode"], x["doc_id"].eqNullSafe(heads[f"{n}id"])], "left_semi")
+    kept = kept.dropDuplicates([n, "doc_id"])
+    return kept.unionByName(x.where(F.col(n).isNull())).drop(n)

@@ -51,6 +51,9 @@ def test_near_duplicates(docs, none):
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r["class_id"] for r in got.values()})
     assert near_dedup.near_duplicates(none).count() == 0
+    clash = docs.withColumn("__n", F.lit(7)).withColumn("__id", F.lit(1)).withColumn("__node", F.lit("x"))
+    kept = near_dedup.keep_one(clash)
+    assert kept.columns == clash.columns and {r["__n"] for r in kept.collect()} == {7}
 
 
 def test_bagminhash_estimates_weighted_jaccard():
