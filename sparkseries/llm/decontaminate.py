@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseries.llm.tables import arrow_map, written
+from sparkseries.llm.tables import arrow_map, free, written
 from sparkseries.llm.text import Hasher, mix, pieces
 
 K1, B = 1.2, 0.75
@@ -212,6 +212,6 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
                 kept = b.filter(pa.array(~bad))
                 yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
 
-        docs = docs.select("*", F.col("text").alias("__text")).mapInArrow(run, docs.schema)
+        docs = docs.select("*", F.col("text").alias(free(docs, "__text"))).mapInArrow(run, docs.schema)
         docs = docs if alone else written(docs, "clean")
     return docs

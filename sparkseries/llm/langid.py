@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseries.llm.tables import arrow_map, fold, held_out
+from sparkseries.llm.tables import arrow_map, fold, free, held_out
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -213,7 +213,7 @@ def predict(docs: DataFrame, model: dict | None, keep: list[str] = ("doc_id",),
     from pyspark.sql import types as T
 
     keep = list(keep)
-    x = docs.select(*keep, F.col("text").alias("__text"))
+    x = docs.select(*keep, F.col("text").alias(free(docs, "__text")))
     schema = T.StructType([*x.schema.fields[:-1], T.StructField(out[0], T.StringType()),
                            T.StructField(out[1], T.DoubleType())])
 

@@ -5,6 +5,30 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 
 SQL: dict[str, str] = {}
 
+# one row per id (the operator keeps one of several), vectors with a null or non-finite component left out
+SQL["op5_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT
+    NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON
+    q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 5
+"""
+
+# the plain form does not read back where a turn holds the end mark or a role the mark after roles
+SQL["op6_chat"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+    SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) x(turn, role)),
+m AS (SELECT *, contains(role || ' ' || text, '</s>') OR contains(role, '[/INST]') AS clash,
+    len(regexp_extract_all(role, '[\[<]\\*(/?INST\]|/?s>)')) + len(regexp_extract_all(text, '[\[<]\\*(/?INST\]|/?s>)'))
+    AS marks FROM t),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS
+    said, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+    sum(length(role) + length(text) + 17) AS chars, bool_or(clash) AS clash, sum(marks) AS marks FROM m GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+    (chars + CASE WHEN clash THEN marks + 3 ELSE 0 END)::BIGINT AS formatted_chars, true AS round_trip FROM c
+"""
+
 SQL["op12_collocations"] = rf"""
 WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) AS
     piece FROM documents),

@@ -9,7 +9,7 @@ from sparkseries.llm import (
     bpe, chat, decontaminate, langid, lexical, licenses, near_dedup, orc_tokens, phrases, sharding, token_counts, topk,
     toxicity)
 from sparkseries.llm.oracle import SQL as ORACLES
-from sparkseries.llm.tables import table
+from sparkseries.llm.tables import free, table
 
 
 def vocabulary(name: str) -> str:
@@ -85,15 +85,17 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     model = langid.train(docs)
     if model is None:
         return docs.where(F.coalesce(F.col("text").rlike(langid.LETTER), F.lit(False)))
-    pred = langid.predict(docs, model, docs.columns, out=("__lang", "__score"))
-    known = (F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= langid.least_score(model))
-    return pred.where(known).drop("__lang", "__score")
+    lang, score = free(docs, "__lang"), free(docs, "__score")
+    pred = langid.predict(docs, model, docs.columns, out=(lang, score))
+    known = (F.col(lang) != langid.UNKNOWN) & (F.col(score) >= langid.least_score(model))
+    return pred.where(known).drop(lang, score)
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the toxicity threshold."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, docs.columns, out="__score").where(F.col("__score") < toxicity.THRESHOLD).drop("__score")
+    score = free(docs, "__score")
+    return toxicity.score(docs, model, docs.columns, out=score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

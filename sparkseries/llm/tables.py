@@ -31,6 +31,14 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable], schema: str, last: bool = False) -> DataFrame:
     """``mapInArrow`` with state per task: ``make()`` runs once in the task and returns a function
     from a record batch to an iterator of column dictionaries (lists or numpy arrays by name).

@@ -122,6 +122,20 @@ def test_language_stage(spark):
     assert sorted(r["doc_id"] for r in queries.keep_identified(spark, none, None).collect()) == [-4, -3, -2, -1, *ids]
 
 
+def test_stages_keep_columns_with_any_name(spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = spark.createDataFrame([(i, t, "en" if i % 2 else "de") for i, t in enumerate([BASE, item, BASE + " a", BASE + " b"] * 9)],
+                               "doc_id long, text string, lang string")
+    for name in ("__text", "___text", "__lang", "__score", "__SCORE_", "margin"):
+        df = df.withColumn(name, F.lit(7))
+    kept = decontaminate.clean_rows(df, bench)
+    assert kept.columns == df.columns and kept.count() == 27 and {r["__text"] for r in kept.collect()} == {7}
+    assert queries.free(df, "__text") == "____text" and queries.free(df, "__Score") == "___Score"
+    kept = queries.keep_identified(spark, df, None)
+    assert kept.columns == df.columns and {(r["__text"], r["__lang"], r["__score"]) for r in kept.collect()} <= {(7, 7, 7)}
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(docs, rule):
     import tiktoken
