@@ -7,9 +7,10 @@ from sparkseries.sources.parquet import (
     detect_time_column,
     export_parquet,
     export_roundtrip,
+    load_days,
     load_series,
     parquet_schema,
 )
 
 __all__ = ["Series", "column_info", "data_info", "detect_time_column", "export_parquet",
-           "export_roundtrip", "load_series", "parquet_schema"]
+           "export_roundtrip", "load_days", "load_series", "parquet_schema"]

@@ -85,32 +85,47 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
-def _nanos_columns(path: str) -> list[str]:
-    import glob
-    import os
-
-    import pyarrow.parquet as pq
-
-    files = [path] if os.path.isfile(path) else sorted(glob.glob(os.path.join(path, "**", "*.parquet"),
-                                                                 recursive=True))
+def _nanos_columns(df: DataFrame) -> dict[str, T.DataType]:
+    """Nanosecond columns and their timestamp types, from one footer read through Spark's own file system."""
+    spark = df.sparkSession
+    files = df.inputFiles()
     if not files:
-        return []
-    schema = pq.read_schema(files[0])
-    return [f.name for f in schema if str(f.type).startswith("timestamp[ns")]
+        return {}
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files[0]))
+    source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, spark._jsc.hadoopConfiguration())
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+    try:
+        found = {}
+        for field in reader.getFooter().getFileMetaData().getSchema().getFields():
+            kind = str(field.getLogicalTypeAnnotation()) if field.isPrimitive() else ""
+            if kind.startswith("TIMESTAMP(NANOS"):
+                found[field.getName()] = T.TimestampType() if kind.endswith("true)") else T.TimestampNTZType()
+        return found
+    finally:
+        reader.close()
 
 
 def _read_nanos(spark: SparkSession, path: str) -> DataFrame:
     """Nanosecond timestamps: read as epoch-ns longs and truncate to µs.
 
     Spark refuses ``TIMESTAMP(NANOS)`` unless the session reads them as longs;
-    that flag is session-wide and stays set for this session.
+    that flag is session-wide and stays set for this session, since readers need it when the plan runs.
+    The footers of all files are compared (in tasks): a column that is nanoseconds in one file and
+    microseconds in another raises, as its longs could not be told apart.  Instants (UTC-adjusted) stay instants.
     """
     spark.conf.set(NANOS_CONF, "true")
-    df = spark.read.parquet(path)
-    ns_cols = _nanos_columns(path)
+    try:
+        df = spark.read.option("mergeSchema", "true").parquet(path)
+    except Exception as e:
+        if "MERGE" in str(e):
+            raise ValueError(f"{path}: files differ in the type of a column: {e}") from e
+        raise
+    ns = _nanos_columns(df)
+    # floor, so that times before 1970 are cut towards the past like later ones
     return df.select(*[
-        from_epoch_us(F.expr(f"`{c}` div 1000"), T.TimestampNTZType()).alias(c)
-        if c in ns_cols else F.col(c) for c in df.columns])
+        from_epoch_us(F.expr(f"(`{c}` - pmod(`{c}`, 1000)) div 1000"), ns[c]).alias(c)
+        if c in ns else F.col(c) for c in df.columns])
 
 
 def load_series(spark: SparkSession, path: str, *, time_column: str | None = None) -> Series:
@@ -164,23 +179,36 @@ def data_info(df: DataFrame, ts: str) -> DataFrame:
     """One row: ``n_rows, n_columns, start_ts, end_ts, duration_us, frequency_us`` (S4).
 
     ``frequency_us`` is the common step when the timestamps are exactly an
-    evenly spaced grid (every gap equal), else NULL.
+    evenly spaced grid (every gap equal), else NULL.  Only where count and extremes allow a grid is the time column read
+    again: its places on the grid are marked in bitmaps of 32,768 places, filled in every task before they
+    are shuffled (one bit per row instead of one row per time).
     """
     us = epoch_us(df, ts)
-    base = df.agg(F.count(F.lit(1)).alias("n_rows"), F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"),
-                  F.min(us).alias("lo"), F.max(us).alias("hi"))
-    r = base.first()
+    r = df.agg(F.count(F.lit(1)).alias("n_rows"), F.min(us).alias("lo"), F.max(us).alias("hi")).first()
     freq = None
     n, lo, hi = r["n_rows"], r["lo"], r["hi"]
     if n and n > 1 and lo is not None and hi > lo and (hi - lo) % (n - 1) == 0:
         step = (hi - lo) // (n - 1)
-        chk = df.agg(F.count_if(F.pmod(us - F.lit(lo), F.lit(step)) != 0).alias("off"),
-                     F.count_distinct(us).alias("nd")).first()
+        at = df.select((us - F.lit(lo)).alias("d")).select("d", F.expr(f"d div {step}L + 1").alias("place"))
+        maps = at.groupBy(F.bitmap_bucket_number("place")).agg(
+            F.count_if(F.col("d") % F.lit(step) != 0).alias("off"),
+            F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("place"))).alias("nd"))
+        chk = maps.agg(F.sum("off").alias("off"), F.sum("nd").alias("nd")).first()
         if chk["off"] == 0 and chk["nd"] == n:
             freq = step
-    return base.select(
-        F.col("n_rows"), F.lit(len(df.columns)).cast("bigint").alias("n_columns"),
-        "start_ts", "end_ts", (F.col("hi") - F.col("lo")).alias("duration_us"),
+
+    def time(value) -> Column:
+        kind = df.schema[ts].dataType
+        if isinstance(kind, T.IntegralType):
+            return F.lit(value).cast(kind)
+        if isinstance(kind, T.DateType):
+            return F.timestamp_micros(F.lit(value).cast("bigint")).cast("date")
+        return from_epoch_us(F.lit(value).cast("bigint"), kind)
+
+    duration = None if lo is None else hi - lo
+    return df.sparkSession.range(1).select(
+        F.lit(n).cast("bigint").alias("n_rows"), F.lit(len(df.columns)).cast("bigint").alias("n_columns"),
+        time(lo).alias("start_ts"), time(hi).alias("end_ts"), F.lit(duration).cast("bigint").alias("duration_us"),
         F.lit(freq).cast("bigint").alias("frequency_us"))
 
 
@@ -190,23 +218,45 @@ def column_info(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, column string, dtype string")
 
 
-def export_parquet(df: DataFrame, path: str, *, partition_by_day: str | None = None) -> str:
+def export_parquet(df: DataFrame, path: str, *, partition_by_day: str | None = None,
+                   rows_per_file: int = 5_000_000) -> str:
     """Write (overwrite) as Parquet; the time axis stays an ordinary column (S5).
 
-    ``partition_by_day=ts`` adds a ``{ts}_date`` partition column so readers
-    that filter on it prune whole directories.
+    ``partition_by_day=ts`` adds a ``{ts}_date`` partition column.  Rows are laid out by ranges of (day, time, row
+    hash) and sorted, so a task writes few days, a day with very many rows -- also rows without a
+    time, or of one instant -- is shared by several tasks, and row groups hold narrow time ranges.  Files
+    hold at most ``rows_per_file`` rows.  :func:`load_days` prunes folders and row groups.
     """
     w = df
     if partition_by_day:
-        w = df.withColumn(f"{partition_by_day}_date", F.to_date(F.col(partition_by_day)))
-        w.write.mode("overwrite").partitionBy(f"{partition_by_day}_date").parquet(path)
+        ts, day = partition_by_day, f"{partition_by_day}_date"
+        if day in df.columns:
+            raise ValueError(f"the frame already has a column {day!r}")
+        w = df.withColumn(day, F.to_date(F.col(ts)))
+        w = w.repartitionByRange(F.col(day), F.col(ts), F.xxhash64(*[F.col(c) for c in df.columns]))
+        w = w.sortWithinPartitions(day, ts)
+        w.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(day).parquet(path)
     else:
         w.write.mode("overwrite").parquet(path)
     return path
 
 
-def export_roundtrip(spark: SparkSession, df: DataFrame) -> Series:
-    """Write to the shared scratch folder and load it back."""
-    path = scratch_path(spark, "export")
+def load_days(spark: SparkSession, path: str, start, end, *, ts: str) -> Series:
+    """Rows with ``start <= ts <= end`` of an export partitioned by day, without its day column.
+
+    The days become partition filters (other folders are not listed in the scan), the times pushed filters.
+    """
+    from sparkseries.operators.select import filter_time_range, time_literal
+
+    day = f"{ts}_date"
+    df = nan_to_null(_read(spark, path))
+    kind = df.schema[ts].dataType
+    days = F.col(day).between(F.to_date(time_literal(start, kind)), F.to_date(time_literal(end, kind)))
+    return Series(filter_time_range(df.filter(days), start, end, ts=ts).drop(day), ts)
+
+
+def export_roundtrip(spark: SparkSession, df: DataFrame, path: str | None = None) -> Series:
+    """Write to ``path`` (default: a new place in the shared scratch folder) and load it back."""
+    path = path or scratch_path(spark, "export")
     export_parquet(df, path)
     return load_series(spark, path)
