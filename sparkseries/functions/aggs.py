@@ -9,6 +9,8 @@ Callables come in two kinds:
 * :func:`spark_agg` wraps ``Column -> Column`` (e.g. ``F.max(c) - F.min(c)``):
   it stays a Catalyst aggregate with partial (map-side) aggregation and is the
   form grouped and bucketed aggregations accept.
+* :class:`merged_agg` is a Python aggregate given as four functions on a small state.  Tasks add their rows to one
+  state per group, and only states are shuffled and merged, so groups of any size are fine.
 * a plain Python callable taking a pandas Series.  It can only be evaluated on
   a whole group at once, so it is accepted where the group is bounded (rolling
   frames of a fixed row count); grouped/bucketed aggregations reject it, since
@@ -32,6 +34,31 @@ class spark_agg:  # noqa: N801 - used like a function
     name: str = "custom"
 
 
+@dataclass(frozen=True)
+class merged_agg:  # noqa: N801 - used like a function
+    """A Python aggregate whose partial results merge, for grouped and bucketed aggregation.
+
+    ``start()`` gives the state of no rows, ``add(state, values)`` the state after a numpy array of non-NULL values
+    (never empty, of one group, in no particular order), ``merge(a, b)`` that of both, ``finish(state)`` a number or
+    None.  States are pickled and have to stay small whatever the number of rows.
+    """
+
+    start: Callable
+    add: Callable
+    merge: Callable
+    finish: Callable
+    name: str = "custom"
+
+
+@dataclass(frozen=True)
+class block_agg:  # noqa: N801 - used like a function
+    """A rolling function evaluated on many frames at once: ``fn`` maps a float64 array (frames x window, rows in
+    time order, read-only) to one number per frame.  It sees full frames without NULLs only."""
+
+    fn: Callable
+    name: str = "custom"
+
+
 # Aggregation names understood by name, and those whose value on
 # an empty group is not NULL (pandas gives 0 for these, and 1 for prod).
 AGG_NAMES = ("mean", "sum", "std", "var", "min", "max", "count", "size", "median",
@@ -49,13 +76,13 @@ class AggSpec:
     def fname(self) -> str:
         if isinstance(self.func, str):
             return self.func
-        if isinstance(self.func, spark_agg):
+        if isinstance(self.func, (spark_agg, merged_agg)):
             return self.func.name
         return getattr(self.func, "__name__", "custom")
 
     @property
     def is_pandas(self) -> bool:
-        return not isinstance(self.func, (str, spark_agg)) and callable(self.func)
+        return not isinstance(self.func, (str, spark_agg, merged_agg)) and callable(self.func)
 
 
 def _fname(f) -> str:
@@ -78,7 +105,7 @@ def normalize(agg_func, columns: Sequence[str]) -> list[AggSpec]:
     for s in specs:
         if isinstance(s.func, str) and s.func not in AGG_NAMES:
             raise ValueError(f"unknown aggregation {s.func!r}; known: {AGG_NAMES}")
-        if not isinstance(s.func, str) and not callable(s.func) and not isinstance(s.func, spark_agg):
+        if not isinstance(s.func, str) and not callable(s.func) and not isinstance(s.func, (spark_agg, merged_agg)):
             raise TypeError(f"aggregation for {s.column!r} must be a name or callable")
     return specs
 
@@ -96,7 +123,7 @@ def agg_expr(spec: AggSpec, order: Column | None = None, bigint: bool = False) -
     if spec.is_pandas:
         raise TypeError(
             f"a pandas callable for {spec.column!r} would gather each whole group in one "
-            "task; wrap a Column expression in spark_agg(...) instead")
+            "task; wrap a Column expression in spark_agg(...) or give the four functions of merged_agg(...)")
     if f == "mean":
         e = F.avg(c)
     elif f == "sum":

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkseries.functions.aggs import agg_expr, normalize
+from sparkseries.functions.aggs import agg_expr, merged_agg, normalize
+from sparkseries.operators.merged import merge_groups
 from sparkseries.operators.quantiles import grouped_quantile
 
 
@@ -45,12 +46,18 @@ def aggregate_groups(src: DataFrame, keys: list[str], specs, ordering=None) -> D
 
     Spark's exact ``percentile`` would merge all distinct values of a group in
     one task, so each median is computed by :func:`grouped_quantile` and joined
-    on the keys (both sides have one row per group).
+    on the keys (both sides have one row per group).  Python aggregates are merged
+    from partial states (:func:`merge_groups`) and joined likewise.
     """
     med = [s for s in specs if s.func == "median"]
-    rest = [s for s in specs if s.func != "median"]
+    own = [s for s in specs if isinstance(s.func, merged_agg)]
+    rest = [s for s in specs if s.func != "median" and s not in own]
+    if own and not med and not rest:
+        return merge_groups(src, keys, own)
     out = (src.groupBy(*keys).agg(*[agg_expr(s, ordering, _is_bigint(src, s.column)) for s in rest]) if rest
            else src.select(*keys).distinct())
     for s in med:
         out = out.join(grouped_quantile(src, keys, s.column, 0.5, s.out), keys, "left")
+    if own:
+        out = out.join(merge_groups(src, keys, own), keys, "left")
     return out.select(*keys, *[s.out for s in specs])

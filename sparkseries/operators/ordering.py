@@ -66,6 +66,8 @@ MIN_ROWS_PER_CHUNK = 1_000
 GRID, PIECES = 4096, 64
 # Rows of the edge set that one task evaluates (more if a frame is longer).
 EDGE_BLOCK = 100_000
+# Numbers (frames x window) that one call of a block function may have to hold.
+BLOCK_CELLS = 4_000_000
 
 
 @dataclass
@@ -338,7 +340,63 @@ class RowOutput:
     post: int = 0
 
 
-def apply_row_frames(c: Chunked, outputs: Sequence[RowOutput], keep: Sequence[str]) -> DataFrame:
+def _block_values(d: DataFrame, segment: str, columns: dict[str, str], n: int, fn: Callable) -> DataFrame:
+    """``d``, whose partitions hold whole segments in order, plus for every (column, output) of ``columns`` the value of
+    ``fn`` over the last ``n`` rows of the segment: NULL where there are fewer, or one of them is NULL."""
+    schema = T.StructType([*d.schema.fields, *[T.StructField(o, T.DoubleType()) for o in columns.values()]])
+
+    def run(batches):
+        import pyarrow as pa
+
+        at = np.empty(0, np.int64)  # the last n - 1 rows of the batches before: their segments, values and NULLs
+        tails = {s: (np.empty(0), np.empty(0, bool)) for s in columns}
+        for b in batches:
+            seg = b.column(b.schema.get_field_index(segment)).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            seg = np.concatenate([at, seg])
+            full = np.arange(len(at), len(seg))
+            full = full[full >= n - 1]
+            full = full[seg[full - n + 1] == seg[full]]
+            outs = []
+            for s in columns:
+                col = b.column(b.schema.get_field_index(s))
+                v = np.concatenate([tails[s][0], col.cast(pa.float64()).to_numpy(zero_copy_only=False)])
+                null = np.concatenate([tails[s][1], col.is_null().to_numpy(zero_copy_only=False)])
+                before = np.concatenate([[0], np.cumsum(null)])
+                good = full[before[full + 1] == before[full - n + 1]]
+                got = np.full(len(seg), np.nan)
+                step = max(1, BLOCK_CELLS // n)
+                for i in range(0, len(good), step):
+                    part = good[i:i + step]
+                    first = part[0] - n + 1
+                    frames = np.lib.stride_tricks.sliding_window_view(v[first:part[-1] + 1], n)
+                    got[part] = fn(frames[part - n + 1 - first] if len(frames) > len(part) else frames)
+                known = np.zeros(len(seg), bool)
+                known[good] = True
+                outs.append(pa.array(got[len(at):], pa.float64(), mask=~known[len(at):]))
+                tails[s] = v[len(v) - min(n - 1, len(v)):], null[len(v) - min(n - 1, len(v)):]
+            at = seg[len(seg) - min(n - 1, len(seg)):]
+            yield pa.RecordBatch.from_arrays([*b.columns, *outs], names=[*b.schema.names, *columns.values()])
+
+    return d.mapInArrow(run, schema)
+
+
+def apply_block_frames(c: Chunked, columns: Sequence[str], n: int, fn: Callable, keep: Sequence[str]) -> DataFrame:
+    """``fn`` over the last ``n`` rows of every row, for many frames per call (:class:`block_agg`).
+
+    Chunks stream through their tasks as Arrow batches; a task keeps the last ``n - 1`` rows of a batch for the next and
+    looks at all frames through one strided view.  The first ``n - 1`` rows of a chunk are evaluated over
+    the edge rows, as in :func:`apply_row_frames`.
+    """
+    outs = {s: internal(f"out_{i}") for i, s in enumerate(columns)}
+
+    def evaluate(d: DataFrame, w: WindowSpec, segment: str, order: Sequence[Column]) -> DataFrame:
+        return _block_values(d.sortWithinPartitions(segment, *order), segment, outs, n, fn)
+
+    return apply_row_frames(c, [RowOutput(s, None, pre=n - 1) for s in columns], keep, evaluate)
+
+
+def apply_row_frames(c: Chunked, outputs: Sequence[RowOutput], keep: Sequence[str],
+                     evaluate: Callable | None = None) -> DataFrame:
     """Evaluate row-frame outputs per chunk and fix up rows near chunk edges.
 
     With ``P`` = the longest look-back and ``Q`` = the longest look-ahead, a
@@ -349,7 +407,8 @@ def apply_row_frames(c: Chunked, outputs: Sequence[RowOutput], keep: Sequence[st
     set in global order is exact for zone rows.  Rows outside the zone keep
     their chunk-local values.  Edge rows are numbered through their chunks'
     counts and evaluated in blocks of at least ``P + Q`` numbers; the last ``P``
-    and first ``Q`` rows of a block are copied to its neighbours.
+    and first ``Q`` rows of a block are copied to its neighbours.  ``evaluate(d, window, segment, order)`` may
+    stand in for the outputs' window functions.
     """
     x, key = c.place(c.df)
     wl = c.local_window(key)
@@ -358,9 +417,11 @@ def apply_row_frames(c: Chunked, outputs: Sequence[RowOutput], keep: Sequence[st
     order_out = list(keep) + [o.name for o in outputs if o.name not in keep]
     tmp = {o.name: internal("out_" + str(i)) for i, o in enumerate(outputs)}
 
-    def evaluate(d: DataFrame, w: WindowSpec) -> DataFrame:
-        got = d.select(*src, RN, CNT, *[o.fn(w).alias(tmp[o.name]) for o in outputs])
-        return got
+    def by_window(d: DataFrame, w: WindowSpec, segment: str, order: Sequence[Column]) -> DataFrame:
+        more = [k for k in (HOME, BLOCK) if k in d.columns]
+        return d.select(*src, RN, CNT, *more, *[o.fn(w).alias(tmp[o.name]) for o in outputs])
+
+    evaluate = evaluate or by_window
 
     def project(d: DataFrame) -> DataFrame:
         cols = {o.name: F.col(tmp[o.name]).alias(o.name) for o in outputs}
@@ -369,7 +430,7 @@ def apply_row_frames(c: Chunked, outputs: Sequence[RowOutput], keep: Sequence[st
     pre = max([o.pre for o in outputs] + [0])
     post = max([o.post for o in outputs] + [0])
     if c.n_chunks <= 1 or pre + post == 0:
-        return project(evaluate(x, wl))
+        return project(evaluate(x, wl, key, c.order))
     zone = (F.col(RN) <= pre) | (F.col(RN) > F.col(CNT) - post)
     reach = pre + post
     edge = x.filter((F.col(RN) <= reach) | (F.col(RN) > F.col(CNT) - reach))
@@ -384,8 +445,10 @@ def apply_row_frames(c: Chunked, outputs: Sequence[RowOutput], keep: Sequence[st
     edge = edge.withColumn(HOME, home).withColumn(BLOCK, F.explode(F.sequence(
         home - (at < post).cast("bigint"), home + (at >= size - pre).cast("bigint"))))
     wg = Window.partitionBy(BLOCK).orderBy(POS)
-    inner = project(evaluate(x, wl).filter(~zone))
-    fixed = edge.select(*src, RN, CNT, HOME, BLOCK, *[o.fn(wg).alias(tmp[o.name]) for o in outputs])
+    inner = project(evaluate(x, wl, key, c.order).filter(~zone))
+    if evaluate is not by_window:  # a window brings the rows of a block together by itself
+        edge = edge.repartition(BLOCK)
+    fixed = evaluate(edge, wg, BLOCK, [F.col(POS)])
     return inner.unionByName(project(fixed.filter(zone & (F.col(BLOCK) == F.col(HOME)))))
 
 

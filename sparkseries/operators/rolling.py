@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import DataFrame
 
-from sparkseries.functions.aggs import spark_agg
+from sparkseries.functions.aggs import block_agg, spark_agg
 from sparkseries.functions.columns import resolve_columns
 from sparkseries.functions.freq import parse_freq
 from sparkseries.operators import ordering as O
@@ -69,6 +69,7 @@ def rolling_window(df: DataFrame, columns: Sequence[str] | None = None, window:
     grow with the width, and a bigint sum is exact (``decimal(38,0)``).  Where frames are short and no timestamp is hot,
     a plain window per chunk gives the same types and values (floating sums up to the order of addition).  Median and Column expressions are evaluated per
     chunk with the rows of the window before it copied in.  Callables need a bounded frame: a number of rows.
+    :class:`block_agg` evaluates many row frames per Python call; a pandas callable is called once per row (slow).
     """
     cols = resolve_columns(df, columns, exclude=[ts, *tie])
     if not cols:
@@ -76,8 +77,8 @@ def rolling_window(df: DataFrame, columns: Sequence[str] | None = None, window:
     keep = [ts, *[t for t in tie if t not in cols], *cols]
     base = df.select(*dict.fromkeys(keep))
     if isinstance(window, str):
-        if callable(agg_func) and not isinstance(agg_func, spark_agg):
-            raise TypeError("a pandas callable needs a window of rows; a time window may hold any number of them")
+        if isinstance(agg_func, block_agg) or (callable(agg_func) and not isinstance(agg_func, spark_agg)):
+            raise TypeError("a Python callable needs a window of rows; a time window may hold any number of them")
         width = parse_freq(window)
         chunked = O.chunk(base, ts, tie, rows_per_chunk=rows_per_chunk, split_ties=False)
         named = isinstance(agg_func, str) and agg_func in MERGEABLE
@@ -98,6 +99,8 @@ def rolling_window(df: DataFrame, columns: Sequence[str] | None = None, window:
     if n < 1:
         raise ValueError("window must be >= 1")
     chunked = O.chunk(base, ts, tie, rows_per_chunk=rows_per_chunk)
+    if isinstance(agg_func, block_agg):
+        return O.apply_block_frames(chunked, cols, n, agg_func.fn, keep)
 
     def row_out(col):
         def fn(w: WindowSpec) -> Column:

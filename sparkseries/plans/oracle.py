@@ -197,6 +197,13 @@ SQL: dict[str, str] = {
         "AS n_columns, t0 AS start_ts, t1 AS end_ts, hi - lo AS duration_us, "
         "CASE WHEN step IS NOT NULL AND nd = n AND (SELECT k FROM o) = 0 THEN step END AS frequency_us FROM s"),
     "export_roundtrip": "SELECT * FROM events",
+    "export_partitioned": (
+        f"SELECT * REPLACE (round(value, 6) AS value) FROM events WHERE ts BETWEEN {_ts_lit(RANGE_START)} AND {_ts_lit(RANGE_END)}"),
+    "data_info_regular": (
+        "WITH g AS (SELECT TIMESTAMP '2024-01-01' + to_seconds(event_id) AS ts FROM events) SELECT count(*) AS n_rows, "
+        "2::BIGINT AS n_columns, min(ts) AS start_ts, max(ts) AS end_ts, epoch_us(max(ts)) - epoch_us(min(ts)) AS duration_us, "
+        "CASE WHEN count(DISTINCT ts) = count(*) AND epoch_us(max(ts)) - epoch_us(min(ts)) = (count(*) - 1) * 1000000 "
+        "THEN 1000000::BIGINT END AS frequency_us FROM g"),
     "tail_rows": "SELECT ts, event_id, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000",
     "resample_mean": (
         f"SELECT {_bucket(HOUR_US)} AS ts, round(avg(event_id), 6) AS event_id, "
@@ -252,6 +259,15 @@ SQL: dict[str, str] = {
     "custom_aggregate_expr": (
         "SELECT event_type, round(max(value) - min(value), 6) AS value FROM events "
         "WHERE event_type IS NOT NULL GROUP BY 1"),
+    "custom_aggregate_merged": (
+        "WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC NULLS LAST) AS k FROM events) "
+        "SELECT event_type, round(avg(value) FILTER (WHERE k <= 10), 6) AS value_top10, count(value) AS value_count FROM r "
+        "WHERE event_type IS NOT NULL GROUP BY 1"),
+    "resample_merged": (
+        f"WITH b AS (SELECT {_bucket(6 * HOUR_US)} AS t, value FROM events WHERE value IS NOT NULL), "
+        "r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY value DESC) AS k FROM b) "
+        "SELECT t AS ts, round(avg(value), 6) AS value FROM r WHERE k <= 5 GROUP BY 1"),
+    "rolling_rows_blocks": f"WITH {GAPPY} " + _rows_window("v", 4, "max(v) OVER w - min(v) OVER w", "g"),
     "rolling_rows_mean": _rows_window("value", 10, "avg(value) OVER w", "events"),
     "rolling_rows_std": f"WITH {GAPPY} " + _rows_window("v", 10, "stddev_samp(v) OVER w", "g"),
     "rolling_rows_count": (

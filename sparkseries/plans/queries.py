@@ -14,12 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkseries.functions.aggs import spark_agg
+from sparkseries.functions.aggs import block_agg, merged_agg, spark_agg
 from sparkseries.operators import (
     basic_stats,
     correlation_matrix,
@@ -41,10 +42,13 @@ from sparkseries.sources import (
     column_info,
     data_info,
     detect_time_column,
+    export_parquet,
     export_roundtrip,
+    load_days,
     load_series,
     parquet_schema,
 )
+from sparkseries.session import scratch_path
 
 TS = "ts"
 TIE = ("event_id",)
@@ -82,6 +86,13 @@ def _value_range(s: pd.Series) -> float:
     return float(s.max() - s.min())
 
 
+def _top_mean(k: int) -> merged_agg:
+    """Mean of the ``k`` largest values: a Python aggregate whose state is those values."""
+    def largest(a, b):
+        return np.sort(np.concatenate([a, b]))[-k:]
+    return merged_agg(lambda: np.empty(0), largest, largest, lambda s: float(s.mean()) if len(s) else None, f"top{k}")
+
+
 def _range_expr():
     return spark_agg(lambda c: F.max(c) - F.min(c), "range")
 
@@ -118,6 +129,18 @@ def q_export_roundtrip(spark, sf):
     return rounded(export_roundtrip(spark, events(spark, sf)).df)
 
 
+def q_export_partitioned(spark, sf):
+    path = export_parquet(events(spark, sf), scratch_path(spark, "export"), partition_by_day=TS)
+    return rounded(load_days(spark, path, RANGE_START, RANGE_END, ts=TS).df)
+
+
+def q_data_info_regular(spark, sf):
+    # one row a second in order of the ids: an evenly spaced grid as long as the table
+    e = events(spark, sf)
+    grid = e.select(F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, event_id)").alias(TS), "value")
+    return data_info(grid, TS)
+
+
 def q_tail_rows(spark, sf):
     return tail_rows(events(spark, sf), ts=TS, tie=TIE, columns=["value"], n=1000)
 
@@ -192,6 +215,14 @@ def q_custom_aggregate_expr(spark, sf):
     return rounded(custom_aggregate(events(spark, sf), "event_type", {"value": _range_expr()}))
 
 
+def q_custom_aggregate_merged(spark, sf):
+    return rounded(custom_aggregate(events(spark, sf), "event_type", {"value": [_top_mean(10), "count"]}))
+
+
+def q_resample_merged(spark, sf):
+    return rounded(resample(events(spark, sf), "6H", {"value": _top_mean(5)}, ts=TS))
+
+
 def q_column_info(spark, sf):
     return column_info(events(spark, sf))
 
@@ -220,6 +251,11 @@ def q_rolling_rows_udf(spark, sf):
     return rounded(rolling_window(events(spark, sf), ["value"], 10, _value_range, ts=TS, tie=TIE))
 
 
+def q_rolling_rows_blocks(spark, sf):
+    spread = block_agg(lambda frames: frames.max(axis=1) - frames.min(axis=1), "range")
+    return rounded(rolling_window(gappy(spark, sf), ["v"], 4, spread, ts=TS, tie=TIE))
+
+
 def q_rolling_time_sum(spark, sf):
     return rounded(rolling_window(gappy(spark, sf), ["v"], "5min", "sum", ts=TS))
 
@@ -281,6 +317,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parquet_schema": q_parquet_schema,
     "data_info": q_data_info,
     "export_roundtrip": q_export_roundtrip,
+    "export_partitioned": q_export_partitioned,
+    "data_info_regular": q_data_info_regular,
     "tail_rows": q_tail_rows,
     "column_info": q_column_info,
     "two_valued_quantiles": q_two_valued_quantiles,
@@ -300,10 +338,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "custom_aggregate": q_custom_aggregate,
     "custom_aggregate_multi": q_custom_aggregate_multi,
     "custom_aggregate_expr": q_custom_aggregate_expr,
+    "custom_aggregate_merged": q_custom_aggregate_merged,
+    "resample_merged": q_resample_merged,
     "rolling_rows_mean": q_rolling_rows_mean,
     "rolling_rows_std": q_rolling_rows_std,
     "rolling_rows_count": q_rolling_rows_count,
     "rolling_rows_udf": q_rolling_rows_udf,
+    "rolling_rows_blocks": q_rolling_rows_blocks,
     "rolling_time_sum": q_rolling_time_sum,
     "rolling_time_mean_1h": q_rolling_time_mean_1h,
     "rolling_time_wide_sum": _rolling_time_wide("sum"),
