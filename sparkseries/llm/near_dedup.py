@@ -11,13 +11,15 @@ similarity ``sum min / sum max`` of counts is at least 0.8, and classes are the
    Points come in order of arrival, so a process stops at the largest value still needed.
 2. *Banding.*  ``BANDS`` bands of ``ROWS`` components are the keys of candidate buckets: two texts of similarity
    0.8 miss each other in all of them with probability below 1e-4.
-3. *Verification.*  In every bucket a hash deals the texts to rounds: about ``FIRST`` of them (all, in a small bucket)
-   to the first, ``GROWTH`` times as many to each further one.  In its round a text is compared with all members of
-   other classes in the bucket, the classes are joined along the links, and the text leaves the bucket.  Buckets whose
-   remaining texts are of one class are closed.  So every pair of a bucket is decided, most of them by already being in one class:
-   a bucket of n copies needs about n comparisons, and nothing lists its pairs.  There is no cap on buckets,
-   candidates or rounds.  A comparison first looks at the sizes (exact) and at the agreement of 2-bit codes of the signatures
-   (a link of exactly 0.8 fails this with probability below 1e-8, at six standard deviations); what remains is verified by exact multiset overlap.
+3. *Verification.*  A bucket of at most ``SMALL`` texts has its pairs listed.  In a larger one a hash gives every text a place;
+   first about one text is compared with all others, then the places are cut into blocks of at most ``BLOCK`` texts (fewer,
+   if the bucket holds long texts) and ever more blocks (1, then ``GROWTH`` times as many) are compared with all blocks.  After each round
+   the classes are joined along the links, the compared texts leave the bucket, and buckets whose remaining texts are of one
+   class are closed.  So every pair of a bucket is decided, most of them by already being in one class: a bucket of n copies
+   needs about n comparisons.  Two blocks meet inside one task: what arrives there is the texts of both, what leaves it is
+   a forest of links, never the pairs.  There is no cap on buckets, candidates or rounds.  A comparison first looks at
+   the sizes (exact) and at the agreement of 2-bit codes of the signatures (a link of exactly 0.8 fails this with probability
+   below 1e-8, at six standard deviations); what remains is verified by exact multiset overlap.
 
 Equal texts are one node from the start (by MD5), so a group of exact copies costs one signature's worth
 of rows.  Nothing of this is collected on the driver.
@@ -45,7 +47,9 @@ BANDS, ROWS = 25, 5
 #: Signature components: the first BANDS * ROWS make the bands, all of them the estimate.
 M = 384
 CODES = M // 32  # 2-bit codes in longs
-FIRST, GROWTH = 1, 8
+SMALL, GROWTH = 8, 8
+#: Texts of a block, and shingles of a block if a bucket holds long texts.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 21
 
 
 def bag(texts: list, hasher: Hasher, k: int = SHINGLE):
@@ -155,6 +159,12 @@ def bags(texts: DataFrame) -> DataFrame:
     return arrow_map(texts, make, "node binary, bag array<long>")
 
 
+def most_different(similarity: float) -> int:
+    """In how many 2-bit codes a link may differ, at six standard deviations."""
+    p = similarity + (1 - similarity) / 4
+    return M - math.floor(M * p - 6 * math.sqrt(M * p * (1 - p)))
+
+
 def candidates(members: DataFrame, due, similarity: float) -> DataFrame:
     """Pairs (a, b) of a bucket with a text whose turn it is, of different classes, that sizes and codes allow
     to be links; each pair comes from the first bucket it shares."""
@@ -166,13 +176,11 @@ def candidates(members: DataFrame, due, similarity: float) -> DataFrame:
     for c in codes:  # a component differs if either of its two bits does
         d = F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))
         differ = differ + F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    p = similarity + (1 - similarity) / 4
-    most = M - math.floor(M * p - 6 * math.sqrt(M * p * (1 - p)))
     earlier = F.exists(F.sequence(F.lit(0), F.lit(BANDS - 1)),
                        lambda i: (i < a["band"]) & (F.get("keys_a", i) == F.get("keys_b", i)))
     ok = ((F.col("label_a") != F.col("label_b")) & (~F.col("due_b") | (F.col("node_a") < F.col("node_b")))
           & (F.least("size_a", "size_b") >= F.lit(similarity - 1e-9) * F.greatest("size_a", "size_b"))
-          & (differ <= most) & ~earlier)
+          & (differ <= most_different(similarity)) & ~earlier)
     pairs = a.join(b, [a["band"] == b["band"], a["key"] == b["key"], ok])
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
@@ -185,6 +193,86 @@ def links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return x.where(F.col("both") >= F.lit(similarity) * (F.size("bag_a") + F.size("bag_b") - F.col("both"))).select("a", "b")
 
 
+def met(members: DataFrame, lo: int, hi: int) -> DataFrame:
+    """The members of every bucket once for each pair of blocks (i, j) they take part in, where block i is
+    one of those due now (``lo`` to ``hi - 1``) and j is any block from i on."""
+    none = F.array().cast("array<long>")
+    upto = lambda a, b: F.when(b >= a, F.sequence(a, b)).otherwise(none)
+    own, last = F.col("own"), F.floor((F.col("n") - 1) / F.col("block"))
+    first = F.lit(lo).cast("long")
+    before = F.transform(upto(first, F.least(own, F.lit(hi - 1))), lambda i: F.struct(i.alias("i"), own.alias("j")))
+    after = F.transform(F.when(own < hi, upto(own + 1, last)).otherwise(none), lambda j: F.struct(own.alias("i"), j.alias("j")))
+    return members.withColumn("meet", F.explode(F.concat(before, after))).select("*", "meet.i", "meet.j").drop("meet")
+
+
+def block_links(members: DataFrame, sets: DataFrame, lo: int, hi: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join all classes which texts of the due blocks connect: a forest for each pair of blocks."""
+    import pyarrow as pa
+
+    most, by = most_different(similarity), ["band", "key", "i", "j"]
+
+    def survivors(t):
+        """The texts with a partner that sizes and codes allow, each with the places of its partners."""
+        n, band = t.num_rows, t["band"][0].as_py()
+        own, size = t["own"].to_numpy(), t["size"].to_numpy()
+        label = np.unique(np.array(t["label"].to_pylist(), dtype="S16"), return_inverse=True)[1]
+        code = np.stack([t[f"c{c}"].to_numpy() for c in range(CODES)], axis=1).view(np.uint64)
+        keys = t["keys"].combine_chunks().flatten().to_numpy().reshape(n, BANDS)[:, :band]
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        partners: list = [[]] * n
+        used = np.zeros(n, bool)
+        for at in range(0, len(left), 32):
+            a = left[at:at + 32]
+            x = code[a][:, None] ^ code[right][None]
+            differ = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=2)
+            small, large = np.minimum.outer(size[a], size[right]), np.maximum.outer(size[a], size[right])
+            ok = (differ <= most) & (label[a][:, None] != label[right]) & (small >= (similarity - 1e-9) * large)
+            if i == j:
+                ok &= a[:, None] < right
+            x, y = np.nonzero(ok)
+            ok[x, y] = ~(keys[a[x]] == keys[right[y]]).any(axis=1)  # decided in an earlier bucket
+            for k, row in zip(a, ok):
+                if row.any():
+                    partners[k] = right[row]
+                    used[k] = used[right[row]] = True
+        at = np.flatnonzero(used)
+        return pa.table({**{c: t[c].take(pa.array(at)) for c in (*by, "node", "label")}, "at": pa.array(at, pa.int32()),
+                         "partners": pa.array([partners[k] for k in at], pa.list_(pa.int32()))})
+
+    def forest(t):
+        order = np.argsort(t["at"].to_numpy())
+        t = t.take(pa.array(order))
+        node, at = t["node"].to_pylist(), t["at"].to_numpy()
+        root = np.unique(np.array(t["label"].to_pylist(), dtype="S16"), return_inverse=True)[1]
+        lists = t["bag"].combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        start = np.cumsum(size) - size
+        word = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+        mark = np.zeros(int(word.max(initial=-1)) + 1, np.int64)
+        a, b = [], []
+        for k, partners in enumerate(t["partners"].combine_chunks()):
+            to = np.searchsorted(at, np.array(partners.as_py(), np.int64))
+            to = to[root[to] != root[k]]
+            if not len(to):
+                continue
+            own = word[start[k]:start[k] + size[k]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[word], start)[to]
+            mark[own] = 0
+            for x in to[both >= similarity * (size[k] + size[to] - both)]:
+                if root[x] != root[k]:
+                    root[root == root[x]] = root[k]
+                    a.append(min(node[k], node[x]))
+                    b.append(max(node[k], node[x]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    x = met(members, lo, hi).select(*by, "own", "node", "label", "size", "keys", *[f"c{c}" for c in range(CODES)])
+    x = x.groupBy(*by).applyInArrow(survivors, "band int, key int, i long, j long, node binary, label binary, at int, "
+                                    "partners array<int>")
+    return x.join(sets, "node").groupBy(*by).applyInArrow(forest, "a binary, b binary")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of every row of ``docs``, and for every node the head of its class: the smallest
     (doc_id, node) of the class."""
@@ -192,10 +280,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     nodes = rows.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in rows.columns[2:]])
     nodes = written(nodes, "nodes")
-    members = nodes.where("keys is not null").select("node", F.posexplode("keys").alias("band", "key"))
-    shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    left = members.join(shared, ["band", "key"])
-    largest = shared.agg(F.max("n")).first()[0] or 1
+    members = nodes.where("keys is not null").select("node", "size", F.posexplode("keys").alias("band", "key"))
+    fit = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_SHINGLES) / F.max("size"))))
+    shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), fit.cast("long").alias("block")).where("n > 1")
+    left = members.drop("size").join(shared, ["band", "key"])
     left = written(left.join(nodes.drop("first_id"), "node"), "members")
     labels = written(left.select("node").distinct().withColumn("label", F.col("node")), "labels")
     # the shingles of candidate texts, each text once
@@ -204,23 +292,28 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     texts = docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
     texts = texts.join(wanted, [F.col("node") == F.col("__node"), F.col("doc_id").eqNullSafe(F.col("first_id"))], "left_semi")
     sets = written(bags(texts.select("node", "text")).dropDuplicates(["node"]), "bags")
-    # a text's turn in a bucket of n: the round in which FIRST * GROWTH**round / n exceeds its hash
+    # a text's place in a bucket of n, and the block it falls in
     place = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / (1 << 40) * F.col("n")
-    reach = FIRST
+    left = left.withColumn("own", F.floor(place / F.col("block")))
+    alone = (F.col("n") <= SMALL) | (place < 1)
+    lo, hi = 0, 0
     while True:
-        due = place < reach
         tagged = left.join(labels, "node")
         open_ = tagged.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
         tagged = written(tagged.join(open_.where("lo <> hi").drop("lo", "hi"), ["band", "key"]), "open")
         dropped(left)
         if tagged.isEmpty():
             break
-        found = written(links(candidates(tagged, due, similarity), sets, similarity), "links")
+        if hi == 0:
+            found = links(candidates(tagged, alone, similarity), sets, similarity)
+            left = tagged.where(~alone)
+        else:
+            found = block_links(tagged, sets, lo, hi, similarity)
+            left = tagged.where(F.col("own") >= hi)
+        found = written(found, "links")
         labels = relabel(labels, found)
         dropped(found)
-        if reach >= largest:
-            break
-        left, reach = tagged.where(~due).drop("label"), reach * GROWTH
+        left, lo, hi = left.drop("label"), hi, max(1, hi * GROWTH)
     # every node's class is named by the smallest id among the class's texts
     first = nodes.select("node", "first_id").join(labels, "node", "left")
     first = first.select("node", "first_id", F.coalesce("label", "node").alias("label"))

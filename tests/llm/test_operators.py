@@ -56,6 +56,35 @@ def test_near_duplicates(docs, none):
     assert kept.columns == clash.columns and {r["__n"] for r in kept.collect()} == {7}
 
 
+def test_near_duplicates_of_a_large_bucket(spark, monkeypatch):
+    """Hundreds of texts share buckets, at similarities from 0.3 to 1, over several blocks and rounds."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    rng = np.random.default_rng(3)
+    texts = []
+    for family in range(2):
+        words = [f"w{family}x{i}" for i in range(120)]
+        for _ in range(240):
+            w = list(words)
+            for at in rng.integers(0, 120, rng.integers(0, 9)):
+                w[at] = f"z{rng.integers(0, 10 ** 9)}"
+            texts.append(" ".join(w))
+    texts += [" ".join(words * 30)] * 2 + [" ".join(words * 30 + ["end"])]
+    got = rows(near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)))
+    bags = []
+    for t in texts:
+        w = t.split()
+        bags.append(Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4)))
+    label = list(range(len(texts)))
+    for i, x in enumerate(bags):
+        for j in range(i):
+            both = sum((x & bags[j]).values()) if label[i] != label[j] else 0
+            if both and both >= 0.8 * (sum(x.values()) + sum(bags[j].values()) - both):
+                lo, hi = sorted((label[i], label[j]))
+                label = [lo if c == hi else c for c in label]
+    assert len(set(label)) > 20 and max(Counter(label).values()) > 50
+    assert [got[i]["class_id"] for i in range(len(texts))] == label
+
+
 def test_bagminhash_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     key = rng.integers(1, 2**63, 60).astype(np.uint64)
