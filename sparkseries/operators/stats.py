@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,9 @@ from sparkseries.operators.quantiles import exact_quantiles
 # Statistic rows of basic_stats, in their output order.
 BASIC_STATS = ("count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
+#: Rows multiplied at once by correlation_matrix.
+GRAM_ROWS = 4096
+
 
 def _rows(agg_row: DataFrame, structs: list[Column]) -> DataFrame:
     """Turn a one-row aggregate into rows, one per struct."""
@@ -53,15 +57,66 @@ def basic_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def _batched_agg(df: DataFrame, exprs: list[Column], batch: int = 80) -> dict:
-    """Evaluate many aggregates as a few one-row jobs.
+def _finite(batch) -> tuple[np.ndarray, np.ndarray]:
+    """(values with 0 for what is missing, NaN or infinite; 1.0 where a value is there), rows x columns."""
+    v = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(np.float64)
+    there = np.isfinite(v)
+    return np.where(there, v, 0.0), there.astype(np.float64)
+
+
+def _shifts(d: DataFrame) -> np.ndarray:
+    """About the mean of every column's finite values (0 where there is none)."""
+    k = len(d.columns)
+
+    def run(batches):
+        import pyarrow as pa
+
+        n, mean = np.zeros(k), np.zeros(k)
+        for batch in batches:
+            v, there = _finite(batch)
+            for at in range(0, len(v), GRAM_ROWS):
+                w = there[at:at + GRAM_ROWS].sum(axis=0)
+                n += w
+                with np.errstate(over="ignore", invalid="ignore"):
+                    mean += np.where(w > 0, (v[at:at + GRAM_ROWS].sum(axis=0) - w * mean) / np.maximum(n, 1), 0.0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(n), pa.array(mean)],
+                                         names=["i", "n", "mean"])
+
+    rows = d.mapInArrow(run, "i int, n double, mean double").where("n > 0").groupBy("i").agg(
+        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean")).collect()
+    out = np.zeros(k)
+    for r in rows:
+        out[r["i"]] = r["mean"] if math.isfinite(r["mean"]) else 0.0
+    return out
+
 
-    Batches keep each aggregate under Spark's whole-stage-codegen field limit,
-    so every job stays compiled instead of falling back to interpretation.
-    """
-    out: dict = {}
-    for i in range(0, len(exprs), batch):
-        out.update(df.agg(*exprs[i:i + batch]).first().asDict())
+def _grams(d: DataFrame, shift: np.ndarray) -> dict[str, np.ndarray]:
+    """Columns x columns sums over the rows where both columns are present: how many (n), of the shifted values of
+    the first (a), of their squares (aa) and of the products (ab)."""
+    k = len(d.columns)
+    names = ["n", "a", "aa", "ab"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros((4, k, k))
+        for batch in batches:
+            v, there = _finite(batch)
+            for at in range(0, len(v), GRAM_ROWS):
+                w = there[at:at + GRAM_ROWS]
+                x = (v[at:at + GRAM_ROWS] - shift) * w
+                with np.errstate(over="ignore", invalid="ignore"):
+                    total += w.T @ w, x.T @ w, (x * x).T @ w, x.T @ x
+        for i in range(k):  # one row of each matrix at a time
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, i, np.int32)), pa.array(np.arange(k, dtype=np.int32)),
+                                              *[pa.array(m[i]) for m in total]], names=["i", "j", *names])
+
+    got = d.mapInArrow(run, "i int, j int, n double, a double, aa double, ab double").groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in names]).toArrow()
+    out = {}
+    for c in names:
+        out[c] = np.zeros((k, k))
+        out[c][got["i"].to_numpy(), got["j"].to_numpy()] = got[c].to_numpy()
     return out
 
 
@@ -70,56 +125,23 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
 
     A constant (or all-NULL) column gives NULL, also on its own diagonal.  Infinite
     values and NaN are left out like NULLs, pair by pair.
-    One pass finds each column's mean; a second accumulates sums of
-    mean-shifted values and products over the rows where both values are
-    present (shifting first avoids the cancellation of raw moment sums).
+    Two scans for any number of columns: the first finds about the mean of each column; in the second every
+    task adds up products of blocks of rows, of mean-shifted values (no cancellation of raw moment sums) and
+    of the masks of what is present, and only these columns x columns sums are shuffled.
     """
     cols = resolve_columns(df, columns)
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "column string")
-    finite = [F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")) for c in cols]
-    first = _batched_agg(df, [F.count(F.lit(1)).alias("n")]
-                         + [F.count(v).alias(f"n{i}") for i, v in enumerate(finite)]
-                         + [F.avg(v).alias(f"m{i}") for i, v in enumerate(finite)])
-    shift = {i: float(first[f"m{i}"] or 0.0) for i in range(len(cols))}
-    dense = all(first[f"n{i}"] == first["n"] for i in range(len(cols)))
-    x = {i: v - F.lit(shift[i]) for i, v in enumerate(finite)}
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    exprs = []
-    for i, j in pairs:
-        if dense:
-            # no NULLs anywhere: every pair is complete, share the per-column sums
-            if i == j:
-                exprs += [F.sum(x[i]).alias(f"s_{i}")]
-            exprs += [F.sum(x[i] * x[j]).alias(f"p_{i}_{j}")]
-        else:
-            both = finite[i].isNotNull() & finite[j].isNotNull()
-            exprs += [F.count_if(both).alias(f"n_{i}_{j}"),
-                      F.sum(F.when(both, x[i])).alias(f"a_{i}_{j}"), F.sum(F.when(both, x[j])).alias(f"b_{i}_{j}"),
-                      F.sum(F.when(both, x[i] * x[i])).alias(f"aa_{i}_{j}"),
-                      F.sum(F.when(both, x[j] * x[j])).alias(f"bb_{i}_{j}"),
-                      F.sum(F.when(both, x[i] * x[j])).alias(f"ab_{i}_{j}")]
-    sums = _batched_agg(df, exprs)
-
-    def moments(i: int, j: int):
-        if dense:
-            n = first["n"]
-            return (n, sums[f"s_{i}"], sums[f"s_{j}"], sums[f"p_{i}_{i}"], sums[f"p_{j}_{j}"], sums[f"p_{i}_{j}"])
-        return tuple(sums[f"{k}_{i}_{j}"] for k in ("n", "a", "b", "aa", "bb", "ab"))
-
-    def corr(i: int, j: int):
-        n, a, b, aa, bb, ab = moments(min(i, j), max(i, j))
-        if not n or n < 2 or a is None:
-            return None
-        saa, sbb, sab = aa - a * a / n, bb - b * b / n, ab - a * b / n
-        if not (saa > 0 and sbb > 0):
-            return None
-        if i == j:
-            return 1.0
-        return max(-1.0, min(1.0, sab / (saa * sbb) ** 0.5))
-
-    rows = [tuple([c] + [corr(i, j) for j in range(len(cols))]) for i, c in enumerate(cols)]
+    d = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    m = _grams(d, _shifts(d))
+    with np.errstate(all="ignore"):
+        n = np.where(m["n"] < 2, np.nan, m["n"])
+        within = m["aa"] - m["a"] ** 2 / n  # of the first column of the pair; the transpose has the second
+        r = (m["ab"] - m["a"] * m["a"].T / n) / np.sqrt(within * within.T)
+        r = np.where((within > 0) & (within.T > 0), np.clip(r, -1.0, 1.0), np.nan)
+    np.fill_diagonal(r, np.where(np.isnan(np.diag(r)), np.nan, 1.0))
+    rows = [(c, *[None if math.isnan(x) else float(x) for x in r[i]]) for i, c in enumerate(cols)]
     schema = ", ".join(["`column` string"] + [f"`{c}` double" for c in cols])
     return spark.createDataFrame(rows, schema)
 
