@@ -143,7 +143,7 @@ def agg_expr(spec: AggSpec, order: Column | None = None, bigint: bool = False) -
         e = F.count(F.lit(1))
     elif f == "median":
         # exact, but one group's distinct values meet in one task; grouped and
-        # bucketed aggregations route medians to quantiles.grouped_quantile
+        # bucketed aggregations route medians to quantiles.grouped_quantiles
         e = F.percentile(c, F.lit(0.5))
     elif f == "nunique":
         e = F.count_distinct(c)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from sparkseries.functions.aggs import agg_expr, merged_agg, normalize
 from sparkseries.operators.merged import merge_groups
-from sparkseries.operators.quantiles import grouped_quantile
+from sparkseries.operators.quantiles import grouped_quantiles
 
 
 def custom_aggregate(df: DataFrame, groupby: str | Sequence[str], agg_dict: dict, *,
@@ -45,7 +45,7 @@ def aggregate_groups(src: DataFrame, keys: list[str], specs, ordering=None) -> D
     """``groupBy(keys)`` with every spec; medians take the bounded-memory path.
 
     Spark's exact ``percentile`` would merge all distinct values of a group in
-    one task, so each median is computed by :func:`grouped_quantile` and joined
+    one task, so all medians are computed by :func:`grouped_quantiles` and joined
     on the keys (both sides have one row per group).  Python aggregates are merged
     from partial states (:func:`merge_groups`) and joined likewise.
     """
@@ -56,8 +56,8 @@ def aggregate_groups(src: DataFrame, keys: list[str], specs, ordering=None) -> D
         return merge_groups(src, keys, own)
     out = (src.groupBy(*keys).agg(*[agg_expr(s, ordering, _is_bigint(src, s.column)) for s in rest]) if rest
            else src.select(*keys).distinct())
-    for s in med:
-        out = out.join(grouped_quantile(src, keys, s.column, 0.5, s.out), keys, "left")
+    if med:
+        out = out.join(grouped_quantiles(src, keys, [(s.column, 0.5, s.out) for s in med]), keys, "left")
     if own:
         out = out.join(merge_groups(src, keys, own), keys, "left")
     return out.select(*keys, *[s.out for s in specs])

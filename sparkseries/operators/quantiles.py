@@ -17,18 +17,18 @@ Every job collects scalars only (counts per digit, two values per bracket).
 from __future__ import annotations
 
 import math
-import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_MAX_SELECT = 50_000
 DIGIT = 12
-#: Buckets of a bracket in the per-group form.
-BUCKETS = 4096
+#: Bracket tables (per-group form) up to this size are broadcast; beyond it both sides are salted.
+BROADCAST_BYTES, SALTS = 8 << 20, 64
 
 
 @dataclass
@@ -90,15 +90,6 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     return out
 
 
-def _bucket(v: Column, lo: Column, hi: Column) -> Column:
-    """Bucket of ``v`` in its bracket: infinite values have buckets of their own, finite ones are spread over
-    equal widths (halved, so that the width of the widest bracket is finite too)."""
-    top = F.lit(sys.float_info.max)
-    a, b = F.greatest(lo, -top) / 2, F.least(hi, top) / 2
-    inner = F.when(a < b, F.least(((v / 2 - a) / (b - a) * F.lit(float(BUCKETS))).cast("int"), F.lit(BUCKETS - 1)))
-    return F.when(v == float("inf"), BUCKETS).when(v == float("-inf"), -1).otherwise(F.coalesce(inner, F.lit(0)))
-
-
 def ordered_bits(x: np.ndarray) -> np.ndarray:
     """Doubles as unsigned 64-bit numbers in the same order (NaN last, both zeros alike)."""
     bits = np.where(np.isnan(x), np.nan, x + 0.0).view(np.uint64)
@@ -203,55 +194,121 @@ def _select(d: DataFrame, targets: list[_Target]) -> dict[int, float]:
 
 def grouped_quantile(df: DataFrame, keys: Sequence[str], column: str, q: float, out: str, *,
                      max_select: int = DEFAULT_MAX_SELECT) -> DataFrame:
-    """Exact linear-interpolated quantile of ``column`` per group: ``keys..., out``.
+    """Exact linear-interpolated quantile of ``column`` per group: ``keys..., out``, NULL where a group has no value."""
+    res = grouped_quantiles(df, keys, [(column, q, out)], max_select=max_select)
+    groups = df.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)]).distinct()
+    same = [groups[f"__{i}"].eqNullSafe(res[k]) for i, k in enumerate(keys)]
+    return groups.join(res, same, "left").select(*[F.col(f"__{i}").alias(k) for i, k in enumerate(keys)], out)
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    """Doubles as signed longs in the same order."""
+    return (ordered_bits(x) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _doubles(x: np.ndarray) -> np.ndarray:
+    """The inverse of ``_signed``."""
+    return np.where(x < 0, ~x ^ np.int64(-2**63), x).view(np.float64)
+
+
+def _values_in(d: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
+    """Every value of ``d`` once for each bracket (``by``, lo, hi, below) that holds it.
+
+    A bracket table of checked size is broadcast.  A larger one is repeated for every salt and a row takes the salt
+    of its input partition, so that a hot group is spread over ``SALTS`` tasks.
+    """
+    long_keys = [F.coalesce(F.octet_length(k), F.lit(0)) for k, t in brackets.dtypes if t in ("string", "binary")]
+    size = brackets.agg(F.sum(sum(long_keys, F.lit(16 * len(brackets.columns)))).alias("n")).first()["n"] or 0
+    b = brackets.select(*[F.col(k).alias(f"b_{k}") for k in by], "lo", "hi", "below")
+    on = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in by]
+    if size <= BROADCAST_BYTES:
+        b = F.broadcast(b)
+    else:
+        d = d.withColumn("salt", F.spark_partition_id() % SALTS)
+        b = b.withColumn("b_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        on.append(F.col("salt") == F.col("b_salt"))
+    return d.join(b, [*on, F.col("v").between(F.col("lo"), F.col("hi"))]).select(*by, "lo", "hi", "below", "v")
+
+
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], wanted: Sequence[tuple[str, float, str]], *,
+                      max_select: int = DEFAULT_MAX_SELECT) -> DataFrame:
+    """Exact linear-interpolated quantiles per group, all ``(column, q, out)`` in one loop: ``keys..., outs...``.
 
     The per-group form of :func:`exact_quantiles`, without ever holding a
-    group in one task: every group's bracket lives in a table (one row per
-    group), each round joins it to the rows, counts values per (group, bucket)
-    with map-side partial aggregation -- so a hot group is spread over
-    ``BUCKETS`` buckets -- and narrows every bracket with a window over at most
-    ``BUCKETS`` rows per group.  When each open bracket holds at most
-    ``max_select`` rows, those rows are ranked per group and the two order
-    statistics interpolated.  The bracket table is checkpointed to the shared
-    folder between rounds.  Groups whose values are all NULL get NULL.
+    group in one task.  The brackets of all groups, columns and ranks live in a table written to the shared folder.
+    Each round meets it with the values, counts them by the next ``DIGIT`` bits behind what a bracket's values share --
+    added up in every task, at most ``2**DIGIT`` counts per bracket -- and keeps the digit that holds the
+    rank; six rounds suffice for any values.  Brackets of at most ``max_select`` rows are sorted, each
+    inside one task.  Groups without a value in any of the columns are left out.
     """
-    from sparkseries.session import shared_dir
+    from sparkseries.session import materialized
+
+    import pyarrow as pa
 
-    spark = df.sparkSession
-    shared_dir(spark)  # make sure checkpoint() has a shared folder
     keys = list(keys)
-    d = df.select(*keys, F.col(column).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    h = (F.col("n") - 1) * F.lit(float(q))
-    stats = (d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
-             .withColumn("frac", h - F.floor(h)))
-    # one bracket per group and wanted rank (one or two of them)
-    ranks = F.array_distinct(F.array(F.floor(h).cast("bigint"), F.ceil(h).cast("bigint")))
-    g = stats.select(*keys, F.posexplode(ranks).alias("__t", "r"), "frac", "lo", "hi",
-                     F.lit(0).cast("bigint").alias("below"), F.col("n").alias("inside"))
-    by = [*keys, "__t"]
-    open_ = (F.col("lo") < F.col("hi")) & (F.col("inside") > max_select)
-    while g.filter(open_).limit(1).count():
-        act = g.filter(open_)
-        j = d.join(act.select(*by, "lo", "hi"), keys).filter(F.col("__v").between(F.col("lo"), F.col("hi")))
-        hist = j.groupBy(*by, _bucket(F.col("__v"), F.col("lo"), F.col("hi")).alias("b")).agg(
-            F.count(F.lit(1)).alias("c"), F.min("__v").alias("mn"), F.max("__v").alias("mx"))
-        w = Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-        hist = (hist.join(act.select(*by, "below", "r"), by)
-                .withColumn("start", F.col("below") + F.coalesce(F.sum("c").over(w), F.lit(0)))
-                .filter((F.col("start") <= F.col("r")) & (F.col("r") < F.col("start") + F.col("c"))))
-        step = hist.select(*by, F.col("mn").alias("lo2"), F.col("mx").alias("hi2"), F.col("start").alias("below2"),
-                           F.col("c").alias("inside2"))
-        g = (g.join(step, by, "left")
-             .select(*by, "r", "frac", *[F.coalesce(f"{c}2", c).alias(c) for c in ("lo", "hi", "below", "inside")])
-             .checkpoint())
-    # rank the few rows left inside each open bracket
-    rest = g.filter(F.col("lo") < F.col("hi"))
-    j = d.join(rest.select(*by, "lo", "hi", "below", "r"), keys).filter(F.col("__v").between(F.col("lo"), F.col("hi")))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("__v")) + F.col("below") - 1
-    picks = j.withColumn("rank", rank).filter(F.col("rank") == F.col("r")).select(*by, F.col("__v").alias("p"))
-    found = g.join(picks, by, "left").withColumn("x", F.coalesce("p", "lo"))
-    ends = found.groupBy(*keys).agg(F.first("frac").alias("frac"), F.min_by("x", "r").alias("a"), F.max_by("x", "r").alias("z"))
-    same = (F.col("frac") == 0) | (F.col("a") == F.col("z"))
-    res = ends.select(*keys, F.when(same, F.col("a")).otherwise(F.col("a") + (F.col("z") - F.col("a")) * F.col("frac")).alias(out))
-    # groups without any non-NULL value
-    return df.select(*keys).distinct().join(res, keys, "left")
+    names = [f"k{i}" for i in range(len(keys))]
+    cols = list(dict.fromkeys(c for c, _, _ in wanted))
+    x = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)],
+                  *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
+    values = [f"v{i}" for i in range(len(cols))]
+    key_fields = x.schema.fields[:len(keys)]
+
+    def to_bits(batches):
+        for batch in batches:
+            out = [batch.column(n) for n in names]
+            for v in (batch.column(c) for c in values):
+                bits = _signed(v.to_numpy(zero_copy_only=False).astype(np.float64))
+                out.append(pa.array(bits, mask=v.is_null().to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays(out, names=names + values)
+
+    d = x.mapInArrow(to_bits, T.StructType(key_fields + [T.StructField(c, T.LongType()) for c in values]))
+    d = d.select(*names, F.posexplode(F.array(*values)).alias("c", "v")).where("v is not null")
+    by = [*names, "c"]
+    # one bracket per group and wanted rank (one or two for each quantile)
+    targets = F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), F.lit(float(q)).alias("q"))
+                                  for t, (c, q, _) in enumerate(wanted) if c == col]) for col in cols])
+    g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("inside"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    g = g.select("*", F.inline(F.get(targets, F.col("c")))).withColumn("h", (F.col("inside") - 1) * F.col("q"))
+    ranks = F.array_distinct(F.array(F.floor("h").cast("long"), F.ceil("h").cast("long")))
+    rest = ["t", "u", "r", "frac"]
+    g = g.withColumn("frac", F.col("h") - F.floor("h")).select("*", F.posexplode(ranks).alias("u", "r"))
+    g = materialized(g.select(*by, *rest, "lo", "hi", F.lit(0).cast("long").alias("below"), "inside"), "brackets")
+    bracket = [*by, "lo", "hi", "below"]
+
+    def back(found: DataFrame, act: DataFrame) -> DataFrame:
+        """The rows of ``act`` with what was found in their brackets."""
+        f = found.withColumnsRenamed({c: f"f_{c}" for c in bracket})
+        return act.join(f, [F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in bracket]).drop(*[f"f_{c}" for c in bracket])
+
+    wide = (F.col("lo") < F.col("hi")) & (F.col("inside") > max_select)
+    while not g.where(wide).isEmpty():
+        act = g.where(wide)
+        j = _values_in(d, act.select(*bracket).distinct(), by)
+        digit = F.expr(f"shiftright(v, greatest(0, length(bin(lo ^ hi)) - {DIGIT}))")
+        hist = j.groupBy(*bracket, digit.alias("digit")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+        w = Window.partitionBy(*bracket).orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
+        hist = hist.withColumn("start", F.col("below") + F.coalesce(F.sum("n").over(w), F.lit(0))).drop("digit")
+        step = back(hist, act).where((F.col("start") <= F.col("r")) & (F.col("r") < F.col("start") + F.col("n")))
+        step = step.select(*by, *rest, F.col("least").alias("lo"), F.col("most").alias("hi"),
+                           F.col("start").alias("below"), F.col("n").alias("inside"))
+        g = materialized(g.where(~wide).unionByName(step), "brackets")
+    # sort the few values left inside each bracket
+    act = g.where("lo < hi")
+    lists = _values_in(d, act.select(*bracket).distinct(), by).groupBy(*bracket).agg(F.sort_array(F.collect_list("v")).alias("s"))
+    at = (F.col("r") - F.col("below") + 1).cast("int")
+    found = back(lists, act).select(*names, *rest, F.element_at("s", at).alias("x"))
+    found = found.unionByName(g.where("lo = hi").select(*names, *rest, F.col("lo").alias("x")))
+    ends = found.groupBy(*names, "t").agg(F.first("frac").alias("frac"), F.min_by("x", "u").alias("a"), F.max_by("x", "u").alias("z"))
+
+    def between(batches):
+        for batch in batches:
+            frac = batch.column("frac").to_numpy()
+            a, z = (_doubles(batch.column(c).to_numpy()) for c in ("a", "z"))
+            with np.errstate(all="ignore"):
+                v = np.where((frac == 0) | (a == z), a, a + (z - a) * frac)
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in [*names, "t"]], pa.array(v)], names=[*names, "t", "v"])
+
+    done = ends.mapInArrow(between, T.StructType(key_fields + [T.StructField("t", T.IntegerType()), T.StructField("v", T.DoubleType())]))
+    return done.groupBy(*[F.col(n).alias(k) for n, k in zip(names, keys)]).agg(
+        *[F.max(F.when(F.col("t") == t, F.col("v"))).alias(out) for t, (_, _, out) in enumerate(wanted)])
