@@ -211,15 +211,21 @@ def _doubles(x: np.ndarray) -> np.ndarray:
     return np.where(x < 0, ~x ^ np.int64(-2**63), x).view(np.float64)
 
 
-def _values_in(d: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
-    """Every value of ``d`` once for each bracket (``by``, lo, hi, below) that holds it.
+def _table_size(g: DataFrame, by: list[str], rows) -> tuple[int, int]:
+    """Number and bytes of the ``rows`` of a bracket table."""
+    texts = [F.coalesce(F.octet_length(k), F.lit(0)) for k, t in g.dtypes if k in by and t in ("string", "binary")]
+    one = g.where(rows).agg(F.count(F.lit(1)).alias("n"), F.sum(sum(texts, F.lit(16 * len(g.columns)))).alias("size")).first()
+    return one["n"], one["size"] or 0
+
+
+def _values_in(d: DataFrame, brackets: DataFrame, by: list[str], size: int) -> DataFrame:
+    """Every value of ``d`` once for each bracket (``by``, lo, hi, below) that holds it, and its next ``DIGIT`` bits.
 
     A bracket table of checked size is broadcast.  A larger one is repeated for every salt and a row takes the salt
     of its input partition, so that a hot group is spread over ``SALTS`` tasks.
     """
-    long_keys = [F.coalesce(F.octet_length(k), F.lit(0)) for k, t in brackets.dtypes if t in ("string", "binary")]
-    size = brackets.agg(F.sum(sum(long_keys, F.lit(16 * len(brackets.columns)))).alias("n")).first()["n"] or 0
-    b = brackets.select(*[F.col(k).alias(f"b_{k}") for k in by], "lo", "hi", "below")
+    b = brackets.select(*[F.col(k).alias(f"b_{k}") for k in by], "lo", "hi", "below",
+                        F.expr(f"greatest(0, length(bin(lo ^ hi)) - {DIGIT})").alias("shift"))
     on = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in by]
     if size <= BROADCAST_BYTES:
         b = F.broadcast(b)
@@ -227,7 +233,8 @@ def _values_in(d: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
         d = d.withColumn("salt", F.spark_partition_id() % SALTS)
         b = b.withColumn("b_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         on.append(F.col("salt") == F.col("b_salt"))
-    return d.join(b, [*on, F.col("v").between(F.col("lo"), F.col("hi"))]).select(*by, "lo", "hi", "below", "v")
+    return d.join(b, [*on, F.col("v").between(F.col("lo"), F.col("hi"))]).select(
+        *by, "lo", "hi", "below", "v", F.expr("shiftright(v, shift)").alias("digit"))
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], wanted: Sequence[tuple[str, float, str]], *,
@@ -281,11 +288,13 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], wanted: Sequence[tuple
         return act.join(f, [F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in bracket]).drop(*[f"f_{c}" for c in bracket])
 
     wide = (F.col("lo") < F.col("hi")) & (F.col("inside") > max_select)
-    while not g.where(wide).isEmpty():
+    while True:
+        many, size = _table_size(g, by, wide)
+        if not many:
+            break
         act = g.where(wide)
-        j = _values_in(d, act.select(*bracket).distinct(), by)
-        digit = F.expr(f"shiftright(v, greatest(0, length(bin(lo ^ hi)) - {DIGIT}))")
-        hist = j.groupBy(*bracket, digit.alias("digit")).agg(
+        j = _values_in(d, act.select(*bracket).distinct(), by, size)
+        hist = j.groupBy(*bracket, "digit").agg(
             F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
         w = Window.partitionBy(*bracket).orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
         hist = hist.withColumn("start", F.col("below") + F.coalesce(F.sum("n").over(w), F.lit(0))).drop("digit")
@@ -295,7 +304,8 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], wanted: Sequence[tuple
         g = materialized(g.where(~wide).unionByName(step), "brackets")
     # sort the few values left inside each bracket
     act = g.where("lo < hi")
-    lists = _values_in(d, act.select(*bracket).distinct(), by).groupBy(*bracket).agg(F.sort_array(F.collect_list("v")).alias("s"))
+    size = _table_size(g, by, F.col("lo") < F.col("hi"))[1]
+    lists = _values_in(d, act.select(*bracket).distinct(), by, size).groupBy(*bracket).agg(F.sort_array(F.collect_list("v")).alias("s"))
     at = (F.col("r") - F.col("below") + 1).cast("int")
     found = back(lists, act).select(*names, *rest, F.element_at("s", at).alias("x"))
     found = found.unionByName(g.where("lo = hi").select(*names, *rest, F.col("lo").alias("x")))
