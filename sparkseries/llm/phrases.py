@@ -14,7 +14,7 @@ Phrases are 1 to ``LONGEST`` neighbouring words of a piece; everything is counte
 
 Tasks look the proposed set up in a bitmap of at most ``2**MOST_BITS`` bits (a Bloom filter, two probes).  Its
 size is bounded whatever the corpus; a wrong hit only has a phrase counted that need not be, and a fuller bitmap prunes less.
-A counting pass comes in two halves: the first adds up 64-bit hashes alone, a third of the bytes; phrases of one hash
+A counting pass comes in two halves: the first adds up hashes alone (40 bits, as sorted gaps), a tenth of the bytes; phrases of one hash
 share a count, so it is never too low.  The second counts by (language, words), and only phrases whose hash reached the threshold: these
 counts are exact.  Both combine in every task over bounded buffers (``HASHED``, ``BUFFER``) before the shuffle, so a hot
 language or phrase is a few rows per task.  Inside a buffer of the second half phrases are told apart by hash and length.
@@ -47,6 +47,8 @@ BUFFER, GATHER = 1_000_000, 1 << 16
 ROWS = 500
 #: Hashes that a task combines before it passes them on.
 HASHED = 3_000_000
+#: Hashes are told apart by their upper bits in the counts by hash; the first of these bits are the range that is shuffled as one.
+KEPT_BITS, RANGE_BITS = 40, 12
 UNKNOWN = "und"
 
 # Bytes that end a piece, and bytes that separate words inside one.
@@ -223,7 +225,7 @@ def counted(docs: DataFrame, old=None, new=None, proposed: int = 0, span: tuple[
                 low, begin = normal(w)
                 for m, at, h in levels(w, a, b, proposed, span[1]):
                     if wanted is not None:
-                        ok = wanted.has(h)
+                        ok = wanted.has(kept(h))
                         at, h = at[ok], h[ok]
                     if m < span[0] or not len(at):
                         continue
@@ -247,10 +249,41 @@ def counted(docs: DataFrame, old=None, new=None, proposed: int = 0, span: tuple[
     return parts.repartition("lang", "m", "phrase").groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n"))
 
 
-def hashed(docs: DataFrame, new=None, proposed: int = 0, span: tuple[int, int] = (1, LONGEST)) -> DataFrame:
-    """(h, n): the counts of ``counted`` by hash alone, in a third of the room.  Different phrases of one hash are
-    added together, so no count is too low."""
+def kept(h: np.ndarray) -> np.ndarray:
+    """The hashes with all but their upper ``KEPT_BITS`` bits cleared."""
+    shift = np.uint64(64 - KEPT_BITS)
+    return h >> shift << shift
+
+
+def shorten(x: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """The numbers of every run ``x[first:end]`` in the fewest bytes each that hold the run's greatest."""
+    b = x.astype("<u8").view(np.uint8).reshape(-1, 8)
+    most = np.maximum.reduceat(x, first)
+    width = sum((most >= np.uint64(1 << 8 * i)).astype(int) for i in range(1, 8)) + 1
+    return [b[lo:hi, :w].tobytes() for lo, hi, w in zip(first.tolist(), end.tolist(), width.tolist())]
+
+
+def widen(raw: bytes, size: int) -> np.ndarray:
+    """The ``size`` numbers of one run of ``shorten``."""
+    out = np.zeros((size, 8), np.uint8)
+    out[:, :len(raw) // size] = np.frombuffer(raw, np.uint8).reshape(size, -1)
+    return out.view("<u8").ravel()
+
+
+def added(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in ascending order with their total counts."""
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[at], np.add.reduceat(n, at)
+
+
+def hashed(docs: DataFrame, new=None, proposed: int = 0, span: tuple[int, int] = (1, LONGEST), least: int = 1) -> DataFrame:
+    """(h, n): the counts of ``counted`` by hash alone (``kept``), those of at least ``least``.  Different phrases of one
+    hash are added together, so no count is too low.  A task passes on its hashes range by range, ascending, as the gaps
+    between them, in about a third of the room of single rows; ranges are added up one after the other."""
     x = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
+    rest, low = np.uint64(64 - RANGE_BITS), np.uint64(64 - KEPT_BITS)
 
     def make():
         hasher, b = word_hasher(), known(new)
@@ -258,18 +291,19 @@ def hashed(docs: DataFrame, new=None, proposed: int = 0, span: tuple[int, int] =
         size = [0]
 
         def shrink():
-            h, n = (np.concatenate([p[i] for p in held]) for i in range(2))
-            order = np.argsort(h)
-            h, n = h[order], n[order]
-            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            held[:] = [(h[at], np.add.reduceat(n, at))]
-            size[0] = len(at)
+            held[:] = [added(*(np.concatenate([p[i] for p in held]) for i in range(2)))]
+            size[0] = len(held[0][0])
 
         def take():
             h, n = held.pop()
             size[0] = 0
-            for i in range(0, len(h), GATHER):
-                yield {"h": h[i:i + GATHER].view(np.int64), "n": n[i:i + GATHER]}
+            part = h >> rest
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            end = np.append(first[1:], len(h))
+            gaps = (h - (part << rest)) >> low
+            gaps[1:] -= np.where(part[1:] == part[:-1], gaps[:-1], np.uint64(0))
+            yield {"part": part[first].astype(np.int32), "size": (end - first).astype(np.int32),
+                   "gaps": shorten(gaps, first, end), "counts": shorten(n.astype(np.uint64), first, end)}
 
         def run(batch):
             if batch is None:
@@ -286,7 +320,7 @@ def hashed(docs: DataFrame, new=None, proposed: int = 0, span: tuple[int, int] =
                     w = Words(hasher, texts, seeds(names)[of[first:first + len(texts)]])
                     for m, _, h in levels(w, None, b, proposed, span[1]):
                         if m >= span[0] and len(h):
-                            u, n = np.unique(h, return_counts=True)
+                            u, n = np.unique(kept(h), return_counts=True)
                             held.append((u, n))
                             size[0] += len(u)
                     if size[0] > HASHED:
@@ -296,8 +330,31 @@ def hashed(docs: DataFrame, new=None, proposed: int = 0, span: tuple[int, int] =
 
         return run
 
-    parts = arrow_map(x, make, "h long, n long", last=True)
-    return parts.repartition("h").groupBy("h").agg(F.sum("n").alias("n"))
+    def merge_ranges():
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now = [None]
+
+        def total():
+            h, n = added(*(np.concatenate([p[i] for p in held]) for i in range(2)))
+            held.clear()
+            ok = n >= least
+            yield {"h": h[ok].view(np.int64), "n": n[ok]}
+
+        def run(batch):
+            for part, size, gaps, counts in zip(*(c.to_pylist() for c in batch.columns)) if batch is not None else ():
+                if part != now[0] and held:
+                    yield from total()
+                now[0] = part
+                h = (np.cumsum(widen(gaps, size)) << low) + (np.uint64(part) << rest)
+                held.append((h, widen(counts, size).view(np.int64)))
+            if batch is None and held:
+                yield from total()
+
+        return run
+
+    parts = arrow_map(x, make, "part int, size int, gaps binary, counts binary", last=True)
+    parts = parts.repartition("part").sortWithinPartitions("part")
+    return arrow_map(parts, merge_ranges, "h long, n long", last=True)
 
 
 def decided(docs: DataFrame, least: int, old=None, new=None, proposed: int = 0, span: tuple[int, int] = (1, LONGEST)) -> DataFrame:
@@ -305,7 +362,7 @@ def decided(docs: DataFrame, least: int, old=None, new=None, proposed: int = 0,
     phrases whose hash reaches ``least`` are counted again by their words, exactly."""
     only = None
     if old is None:
-        often = written(hashed(docs, new, proposed, span).where(F.col("n") >= least).select("h"), "hashes")
+        often = written(hashed(docs, new, proposed, span, least).select("h"), "hashes")
         bits = size_bits(often.count())
         only = docs.sparkSession.sparkContext.broadcast((bitmap(often, bits), bits))
     return counted(docs, old, new, proposed, span, only).where((F.col("n") >= least) | (F.col("m") == 0))

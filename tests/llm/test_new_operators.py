@@ -163,6 +163,36 @@ def test_small_buffers_and_full_bitmaps(docs, corpus, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == plain_collocations(corpus, 6, 2000)
 
 
+@pytest.mark.parametrize("buffer", [300, 3_000_000])
+def test_hashes_leave_tasks_packed(docs, corpus, monkeypatch, buffer):
+    """The counts by hash are those of the phrases; a task passes on ranges of hashes, not one row for each."""
+    monkeypatch.setattr(phrases, "HASHED", buffer)
+    counts = Counter()
+    for _, text, lang, *_ in corpus:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            counts.update((lang or "und", tuple(w[i:i + m])) for m in (1, 2) for i in range(len(w) - m + 1))
+    h, n = zip(*phrases.hashed(docs, span=(1, 2)).collect())
+    assert len(set(h)) == len(h) and sorted(n) == sorted(counts.values())
+    assert all(x % (1 << 64 - phrases.KEPT_BITS) == 0 for x in h)
+    often = phrases.hashed(docs, span=(1, 2), least=9).collect()
+    assert sorted(often) == sorted((a, b) for a, b in zip(h, n) if b >= 9)
+    rng = np.random.default_rng(1)
+    h = phrases.kept(np.unique(rng.integers(0, 1 << 64, 300_000, np.uint64)))
+    part = h >> np.uint64(64 - phrases.RANGE_BITS)
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    gaps = (h >> np.uint64(64 - phrases.KEPT_BITS)) % np.uint64(1 << phrases.KEPT_BITS - phrases.RANGE_BITS)
+    gaps[1:] -= np.where(part[1:] == part[:-1], gaps[:-1], np.uint64(0))
+    end = np.append(first[1:], len(h))
+    packed = phrases.shorten(gaps, first, end)
+    assert sum(map(len, packed)) < 4 * len(h)
+    assert all((phrases.widen(b, int(hi - lo)) == gaps[lo:hi]).all() for b, lo, hi in zip(packed, first, end))
+    odd = np.array([0, 255, 256, 1 << 40, (1 << 64) - 1, 7], np.uint64)
+    for b, x in zip(phrases.shorten(odd, np.array([0, 2, 3, 5]), np.array([2, 3, 5, 6])), np.split(odd, [2, 3, 5])):
+        assert phrases.widen(b, len(x)).tolist() == x.tolist()
+
+
 def test_scores_beyond_64_bits(spark):
     big = 4_000_000_000_000
     row = spark.sql(f"select cast({big} as decimal(19,0)) * cast({big * 10} as decimal(18,0)) * 1000bd "
