@@ -55,6 +55,8 @@ THRESHOLD = 0.7
 #: so many symbols (two letters are looked past from one symbol more).
 REPEATED, SHORTEST, LONGEST = 3, 4, 32
 SLICE = 1 << 19  # symbols handled at a time
+#: Words whose dense rows the driver holds at a time, and subsequences of a block of the kernel matrix.
+BLOCK, COLUMNS = 500, 4096
 _OFFSETS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 _SYMBOL_BITS = 6
 
@@ -198,24 +200,44 @@ class Kernel:
         m[w[ok], at[ok]] = v[ok]
         return m, columns
 
+    def gram(self, names: list[str]) -> np.ndarray:
+        """Kernel values between all names, added up over blocks of their codes."""
+        (w, c, v), n = self.sparse(names)
+        columns, at = np.unique(c, return_inverse=True)
+        out = np.zeros((n, n), np.float32)
+        for i in range(0, len(columns), COLUMNS):
+            ok = (at >= i) & (at < i + COLUMNS)
+            m = np.zeros((n, min(COLUMNS, len(columns) - i)), np.float32)
+            m[w[ok], at[ok] - i] = v[ok]
+            out += m @ m.T
+        return out
+
 
 def squared_hinge(z: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float, steps: int = 60) -> np.ndarray:
     """Linear machine with bias, by Newton steps with backtracking on the primal:
-    min reg/2 |w|^2 + sum weight * max(0, 1 - y f)^2 / 2."""
-    x = np.hstack([z, np.ones((len(z), 1), z.dtype)]).astype(np.float64)
-    ridge = np.full(x.shape[1], reg)
+    min reg/2 |w|^2 + sum weight * max(0, 1 - y f)^2 / 2.  Beside ``z`` only ``BLOCK`` of its rows are held."""
+    ridge = np.full(z.shape[1] + 1, reg)
     ridge[-1] = 1e-6
 
+    def gaps(w):
+        return np.maximum(0, 1 - y * (z @ w[:-1] + w[-1]))
+
     def loss(w):
-        gap = np.maximum(0, 1 - y * (x @ w))
+        gap = gaps(w)
         return (ridge * w * w).sum() / 2 + (weight * gap * gap).sum() / 2
 
-    w = np.zeros(x.shape[1])
+    w = np.zeros(z.shape[1] + 1)
     now = loss(w)
     for _ in range(steps):
-        active = y * (x @ w) < 1
-        s = weight[active][:, None] * x[active]
-        step = np.linalg.solve(x[active].T @ s + np.diag(ridge), s.T @ y[active]) - w
+        active = np.flatnonzero(gaps(w) > 0)
+        square, right = np.diag(ridge), np.zeros(len(w))
+        for i in range(0, len(active), BLOCK):
+            part = active[i:i + BLOCK]
+            x = np.hstack([z[part], np.ones((len(part), 1))])
+            s = weight[part][:, None] * x
+            square += x.T @ s
+            right += s.T @ y[part]
+        step = np.linalg.solve(square, right) - w
         size = 1.0
         while size > 1e-6 and loss(w + size * step) > now:
             size /= 2
@@ -420,8 +442,7 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, landmarks: int
     kernel = Kernel(Words())
 
     def landmarks_of(names: list[str], count: int) -> list[str]:
-        m, _ = kernel.dense(names)
-        return [names[i] for i in farthest_first(m @ m.T, count)]
+        return [names[i] for i in farthest_first(kernel.gram(names), count)]
 
     marks = (landmarks_of(telling[:1500], landmarks // 2) + landmarks_of([r["word"] for r in near[:600]], landmarks // 4)
              + landmarks_of(plain[:600], landmarks // 4))
@@ -432,11 +453,13 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, landmarks: int
 
     def fit(names: list[str], pos: np.ndarray, neg: np.ndarray) -> tuple[np.ndarray, float]:
         """The machine on words with a weight for either side, folded into subsequence weights."""
-        z = np.concatenate([kernel.dense(names[i:i + 2000], columns)[0] @ lm.T for i in range(0, len(names), 2000)])
-        z = z @ whiten
         p, n = np.flatnonzero(pos), np.flatnonzero(neg)
+        names = [names[i] for i in (*p, *n)]
+        z = np.empty((len(names), whiten.shape[1]))
+        for i in range(0, len(names), BLOCK):
+            z[i:i + BLOCK] = kernel.dense(names[i:i + BLOCK], columns)[0] @ lm.T @ whiten
         y = np.concatenate([np.ones(len(p)), -np.ones(len(n))])
-        w = squared_hinge(np.concatenate([z[p], z[n]]), y, np.concatenate([pos[p], neg[n]]), reg=RIDGE)
+        w = squared_hinge(z, y, np.concatenate([pos[p], neg[n]]), reg=RIDGE)
         folded = np.zeros(1 << 3 * _SYMBOL_BITS)
         folded[columns] = (whiten @ w[:-1]) @ lm
         return folded, float(w[-1])
@@ -484,10 +507,10 @@ def subsequence_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return run
 
     sums = arrow_map(counts.select("word", "toxic", "clean"), make, "code int, toxic double, clean double")
-    rows = sums.groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
+    # at most 2**18 codes, as arrays: as Python rows they take ten times the room
+    rows = sums.groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
     t, c = np.zeros(1 << 3 * _SYMBOL_BITS), np.zeros(1 << 3 * _SYMBOL_BITS)
-    for r in rows:  # at most 2**18 codes
-        t[r["code"]], c[r["code"]] = r["toxic"], r["clean"]
+    t[rows["code"].to_numpy()], c[rows["code"].to_numpy()] = rows["toxic"].to_numpy(), rows["clean"].to_numpy()
     return t, c
 
 

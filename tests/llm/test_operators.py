@@ -317,6 +317,28 @@ def test_toxicity(spark, docs):
     assert {r["score"] for r in toxicity.classify(docs.select("doc_id", "text"), lab.where("toxic = 0")).collect()} == {0.0}
 
 
+def test_toxicity_fit_holds_no_copies():
+    """Beside its matrix the fit on the driver holds only blocks of rows, and finds the least loss."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    z, weight = rng.normal(size=(12_000, 64)), rng.uniform(0.5, 2, 12_000)
+    y = np.sign(z[:, 0] + 0.5 * z[:, 1] + rng.normal(size=12_000))
+    tracemalloc.start()
+    w = toxicity.squared_hinge(z, y, weight, reg=1.0)
+    most = tracemalloc.get_traced_memory()[1]
+    names = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 12)) for _ in range(400)]
+    kernel = toxicity.Kernel(toxicity.Words())
+    tracemalloc.stop()
+    assert most < 0.5 * z.nbytes
+    x = np.hstack([z, np.ones((len(z), 1))])
+    gap = np.maximum(0, 1 - y * (x @ w))
+    slope = np.append(np.ones(64), 1e-6) * w - x.T @ (weight * gap * y)
+    assert np.abs(slope).max() < 1e-3
+    m, _ = kernel.dense(names)
+    assert m.shape[1] > toxicity.COLUMNS and np.allclose(kernel.gram(names), m @ m.T, atol=1e-5)
+
+
 def test_toxicity_with_inserted_letters(spark):
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("bdgklmnprst"), 2)[i] + rng.choice(list("aeiou")) for i in range(2)) for _ in range(300)]
