@@ -255,9 +255,9 @@ def _encode(docs: DataFrame, vocabulary: str, schema: str, finish) -> DataFrame:
 
         def run(batch):
             doc_ids, texts, size = [], [], 0
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):  # never all texts of a batch as Python's
                 doc_ids.append(i)
-                texts.append(t or "")
+                texts.append(t.as_py() or "")
                 size += len(texts[-1])
                 if size >= GROUP_BYTES:
                     yield group(doc_ids, texts)

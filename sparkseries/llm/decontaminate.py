@@ -170,7 +170,7 @@ def matches(docs: DataFrame, index: Index) -> DataFrame:
 
         def run(batch):
             ids = batch.column(0).to_pylist()
-            for start, texts in pieces(batch.column(1).to_pylist()):
+            for start, texts in pieces(batch.column(1)):
                 h, first = hasher.words(texts)
                 best: dict[tuple[int, int], tuple] = {}
                 for t, i, *found in index.search(h, first):
@@ -205,7 +205,7 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
             hasher = Hasher()
             for b in batches:
                 bad = np.zeros(b.num_rows, bool)
-                for start, texts in pieces(b.column(b.num_columns - 1).to_pylist()):
+                for start, texts in pieces(b.column(b.num_columns - 1)):
                     h, first = hasher.words(texts)
                     for t, *_ in index.search(h, first):
                         bad[start + t] = True

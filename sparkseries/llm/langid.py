@@ -124,8 +124,8 @@ def document_frequencies(learn: DataFrame, bits: int = BITS) -> tuple[int, np.nd
 
         def run(batch):
             df, n = np.zeros(grams.size, np.int64), 0
-            for t in batch.column(0).to_pylist():
-                at, _ = grams(t)
+            for t in batch.column(0):
+                at, _ = grams(t.as_py())
                 df[at] += 1
                 n += len(at) > 0
             k = np.flatnonzero(df)
@@ -224,8 +224,8 @@ def predict(docs: DataFrame, model: dict | None, keep: list[str] = ("doc_id",),
             w[model["used"]] = model["w"]
         for b in batches:
             lang, score = [], []
-            for t in b.column(len(keep)).to_pylist():
-                at, counts = grams(t) if model is not None else ((), ())
+            for t in b.column(len(keep)):
+                at, counts = grams(t.as_py()) if model is not None else ((), ())
                 if not len(at):
                     lang.append(UNKNOWN)
                     score.append(0.0)

@@ -123,7 +123,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
         def run(batch):
             ids, nodes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, texts in pieces(batch.column(2).to_pylist()):
+            for i, texts in pieces(batch.column(2)):
                 doc, key, count = bag(texts, hasher)
                 sig = signatures(doc, key, count, len(texts))
                 size = np.bincount(doc, count, len(texts)).astype(np.int64)
@@ -146,7 +146,7 @@ def bags(texts: DataFrame) -> DataFrame:
 
         def run(batch):
             nodes = batch.column(0).to_pylist()
-            for i, part in pieces(batch.column(1).to_pylist()):
+            for i, part in pieces(batch.column(1)):
                 doc, key, count = bag(part, hasher)
                 n = np.repeat(np.arange(len(key)), count)
                 nth = np.arange(len(n)) - np.repeat(np.cumsum(count) - count, count)

@@ -33,10 +33,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def pieces(texts: list, limit: int = PIECE):
-    """Yield (first index, list of UTF-8 bytes) with about ``limit`` bytes each; null is empty."""
+    """Yield (first index, list of UTF-8 bytes) with about ``limit`` bytes each; null is empty.  Texts may be an Arrow column."""
     first, held, size = 0, [], 0
     for i, t in enumerate(texts):
-        b = (t or "").encode("utf-8", "replace")
+        b = ((t.as_py() if hasattr(t, "as_py") else t) or "").encode("utf-8", "replace")
         if held and size + len(b) > limit:
             yield first, held
             first, held, size = i, [], 0

@@ -91,10 +91,10 @@ class Words:
 
     def groups(self, texts: list):
         """Yield (indices of texts, texts) of about ``SLICE`` symbols; a longer text comes in parts cut
-        at white space, all with its index."""
+        at white space, all with its index.  An Arrow column is turned into Python's texts group by group."""
         idx, held, size = [], [], 0
         for i, t in enumerate(texts):
-            t = (t or "").lower()
+            t = ((t.as_py() if hasattr(t, "as_py") else t) or "").lower()
             at = 0
             while True:
                 end = at + SLICE // 2
@@ -376,7 +376,7 @@ def word_counts(sample: DataFrame) -> DataFrame:
         def run(batch):
             seen: dict[str, list[int]] = {}
             toxic = batch.column(1).to_pylist()
-            for idx, part in words.groups(batch.column(0).to_pylist()):
+            for idx, part in words.groups(batch.column(0)):
                 sym, first, text, h = words.split(part)
                 key = mix(h + mix(text.astype(np.uint64)))
                 for k in np.unique(key, return_index=True)[1]:
@@ -559,7 +559,7 @@ def text_margins(texts: DataFrame, beta: np.ndarray, bias: float, known: list[st
         full[used] = vals
         scorer = Scorer(full, bias, known)
         for b in batches:
-            m = scorer.margins(b.column(len(keep)).to_pylist())
+            m = scorer.margins(b.column(len(keep)))
             yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(m, pa.float64())], names=[*keep, "margin"])
 
     return texts.select(*keep, "text").mapInArrow(run, schema)

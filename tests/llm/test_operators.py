@@ -339,6 +339,32 @@ def test_toxicity_fit_holds_no_copies():
     assert m.shape[1] > toxicity.COLUMNS and np.allclose(kernel.gram(names), m @ m.T, atol=1e-5)
 
 
+def test_texts_of_a_batch_are_read_group_by_group(monkeypatch):
+    """A task never holds all texts of an Arrow batch as Python's."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from sparkseries.llm.text import pieces
+
+    words = [c * 100 for c in "abcdefg"]
+    texts = [None, "", *(" ".join(words[(i + k) % 7] for k in range(100)) for i in range(3000))]
+    batch = pa.record_batch({"doc_id": list(range(len(texts))), "text": texts})
+    monkeypatch.setattr(bpe, "arrow_map", lambda df, make, schema: make)
+    encode = bpe.encode_digests(SimpleNamespace(select=lambda *names: None), vocabulary("word_bpe_49k.json"))()
+    first = lambda groups: next(iter(groups))
+    for run in (encode, lambda b: toxicity.Words().groups(b.column(1)), lambda b: pieces(b.column(1))):
+        tracemalloc.start()
+        first(run(batch))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < batch.nbytes / 2
+    assert [t for _, part in pieces(batch.column(1)) for t in part] == [(t or "").encode() for t in texts]
+    held = [(i, t) for at, part in toxicity.Words().groups(batch.column(1)) for i, t in zip(at, part)]
+    assert held == [(i, t or "") for i, t in enumerate(texts)]
+
+
 def test_toxicity_with_inserted_letters(spark):
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("bdgklmnprst"), 2)[i] + rng.choice(list("aeiou")) for i in range(2)) for _ in range(300)]
