@@ -48,8 +48,8 @@ BARE_STARTS = ("", "\r", "\n")
 CUT = re.compile(r"(?= \S)").split
 #: One word of letters in any Unicode version.
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z").match
-#: A letter and the marks behind it at the end of a cut.
-MARKED = re.compile(r"([^\n]*[A-Za-z])([.,;:!?]+)\Z").match
+#: A letter and the marks behind it at the end of a cut (not the apostrophe, which may begin a contraction).
+MARKED = re.compile(r"([^\n]*[A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~]+)\Z").match
 SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 
 
@@ -111,13 +111,14 @@ class Encoder:
 
     def _ask(self, cuts: list[str], together: int = 1024):
         """Have the library encode new cuts: one plain word is one piece and goes to the model, others take the whole way."""
-        plain = [c for c in cuts if PLAIN(c)]
+        plain, rest = [], []
+        for c in cuts:
+            (plain if PLAIN(c) else rest).append(c)
         if plain:
             tokenize, letters = self.library.model.tokenize, byte_letters()
             space, table = letters[32], {c: "".join(letters[b] for b in chr(c).encode()) for c in range(192, 256)}
             ids = [[t.id for t in tokenize(space + (c if c.isascii() else c.translate(table)))] for c in plain]
             self._keep(plain, np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids]))
-        rest = [c for c in cuts if not PLAIN(c)]
         for i in range(0, len(rest), together):
             part = rest[i:i + together]
             e = self.library.encode([whole(c) for c in part], is_pretokenized=True, add_special_tokens=False)

@@ -193,6 +193,21 @@ def test_hashes_leave_tasks_packed(docs, corpus, monkeypatch, buffer):
         assert phrases.widen(b, len(x)).tolist() == x.tolist()
 
 
+def test_words_before_any_marks_are_encoded_alone():
+    """The library sees a word and its marks once each, whatever marks (but apostrophes) stand behind it."""
+    from tokenizers import Tokenizer
+
+    encoder, library = orc_tokens.Encoder(vocabulary("byte_bpe_50k.json")), Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    marks = [m for m in map(chr, range(33, 127)) if not m.isalnum()]
+    texts = [f"{w}{m} {w}{m}{m}.{m} it's{m} {w}'{m} {w}{m}s {w}{m}'s \n{w}{m}" for w in ("abcqxz", "schönqxé", "q1é") for m in marks]
+    ids, n = encoder.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [
+        library.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder.forget()
+    encoder.encode(["x plain*** größé_$"])
+    assert {"plain", "plain***", "größé", orc_tokens.BARE + "***", orc_tokens.BARE + "_$"} <= set(encoder.known)
+
+
 def test_scores_beyond_64_bits(spark):
     big = 4_000_000_000_000
     row = spark.sql(f"select cast({big} as decimal(19,0)) * cast({big * 10} as decimal(18,0)) * 1000bd "
