@@ -14,7 +14,7 @@ Phrases are 1 to ``LONGEST`` neighbouring words of a piece; everything is counte
 
 Tasks look the proposed set up in a bitmap of at most ``2**MOST_BITS`` bits (a Bloom filter, two probes).  Its
 size is bounded whatever the corpus; a wrong hit only has a phrase counted that need not be, and a fuller bitmap prunes less.
-A counting pass comes in two halves: the first adds up hashes alone (40 bits, as sorted gaps), a tenth of the bytes; phrases of one hash
+A counting pass comes in two halves: the first adds up hashes alone (40 bits, as sorted gaps), in far fewer bytes; phrases of one hash
 share a count, so it is never too low.  The second counts by (language, words), and only phrases whose hash reached the threshold: these
 counts are exact.  Both combine in every task over bounded buffers (``HASHED``, ``BUFFER``) before the shuffle, so a hot
 language or phrase is a few rows per task.  Inside a buffer of the second half phrases are told apart by hash and length.
