@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseries.llm.tables import arrow_map, free, written
+from sparkseries.llm.tables import arrow_map, free, slices, written
 from sparkseries.llm.text import Hasher, mix, pieces
 
 K1, B = 1.2, 0.75
@@ -200,18 +200,21 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     before the next part is read."""
     import pyarrow as pa
 
+    names, width = docs.columns, len(docs.columns)
+    place = names.index("text") if "text" in names else width  # a text goes to the task once
     for index, alone in build_indexes(benchmark, **options):
         def run(batches, index=index):
             hasher = Hasher()
-            for b in batches:
+            for b in (s for batch in batches for s in slices(batch, place)):
                 bad = np.zeros(b.num_rows, bool)
-                for start, texts in pieces(b.column(b.num_columns - 1)):
+                for start, texts in pieces(b.column(place)):
                     h, first = hasher.words(texts)
                     for t, *_ in index.search(h, first):
                         bad[start + t] = True
                 kept = b.filter(pa.array(~bad))
-                yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
+                yield pa.RecordBatch.from_arrays(kept.columns[:width], names=kept.schema.names[:width])
 
-        docs = docs.select("*", F.col("text").alias(free(docs, "__text"))).mapInArrow(run, docs.schema)
+        sent = docs if "text" in names else docs.select("*", F.col("text").alias(free(docs, "__text")))
+        docs = sent.mapInArrow(run, docs.schema)
         docs = docs if alone else written(docs, "clean")
     return docs

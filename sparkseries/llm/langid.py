@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseries.llm.tables import arrow_map, fold, free, held_out
+from sparkseries.llm.tables import arrow_map, fold, free, held_out, slices
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -213,8 +213,9 @@ def predict(docs: DataFrame, model: dict | None, keep: list[str] = ("doc_id",),
     from pyspark.sql import types as T
 
     keep = list(keep)
-    x = docs.select(*keep, F.col("text").alias(free(docs, "__text")))
-    schema = T.StructType([*x.schema.fields[:-1], T.StructField(out[0], T.StringType()),
+    x = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias(free(docs, "__text")))
+    place = keep.index("text") if "text" in keep else len(keep)  # a text goes to the task once
+    schema = T.StructType([*x.schema.fields[:len(keep)], T.StructField(out[0], T.StringType()),
                            T.StructField(out[1], T.DoubleType())])
 
     def run(batches):
@@ -222,9 +223,9 @@ def predict(docs: DataFrame, model: dict | None, keep: list[str] = ("doc_id",),
             grams = Grams(model["bits"])
             w = np.zeros((grams.size, len(model["langs"])), np.float32)
             w[model["used"]] = model["w"]
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, place)):
             lang, score = [], []
-            for t in b.column(len(keep)):
+            for t in b.column(place):
                 at, counts = grams(t.as_py()) if model is not None else ((), ())
                 if not len(at):
                     lang.append(UNKNOWN)

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from sparkseries.session import scratch_path
 
+#: Bytes of text in a slice of a record batch.
+SLICE = 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -58,6 +61,18 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable], schema: str, last: bo
     return df.mapInArrow(run, schema)
 
 
+def slices(batch, at: int, limit: int = SLICE):
+    """Yield slices of a record batch with about ``limit`` bytes of text in column ``at`` each: what leaves a task
+    slice by slice takes little room in the task and in the JVM that reads it."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.flatnonzero(np.diff(np.cumsum(size) // limit, prepend=-1)).tolist()
+    for lo, hi in zip(first, [*first[1:], batch.num_rows]):
+        yield batch.slice(lo, hi - lo)
+
+
 def fold(doc_id) -> F.Column:
     """crc32 of the id's decimal text, modulo 3 (null for a null id); 1 marks held-out rows."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3

@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseries.llm.tables import arrow_map, dropped, fold, held_out, written
+from sparkseries.llm.tables import arrow_map, dropped, fold, held_out, slices, written
 from sparkseries.llm.text import mix
 
 #: Bound of the labelled texts the classifier is fitted on.
@@ -544,12 +544,14 @@ def score_words(words: DataFrame, beta: np.ndarray, bias: float) -> DataFrame:
     return text_margins(words.withColumn("text", F.col("word")), beta, bias)
 
 
-def text_margins(texts: DataFrame, beta: np.ndarray, bias: float, known: list[str] = ()) -> DataFrame:
-    """All columns of ``texts`` but ``text``, with ``margin``."""
+def text_margins(texts: DataFrame, beta: np.ndarray, bias: float, known: list[str] = (), text: str = "text") -> DataFrame:
+    """All columns of ``texts`` but ``text``, with the ``margin`` of the texts in column ``text``, which may be named
+    otherwise and then stays."""
     import pyarrow as pa
     from pyspark.sql import types as T
 
     keep = [c for c in texts.columns if c != "text"]
+    place = keep.index(text) if text in keep else len(keep)
     used = np.flatnonzero(beta)
     vals = beta[used].astype(np.float32)
     schema = T.StructType([*texts.select(*keep).schema.fields, T.StructField("margin", T.DoubleType())])
@@ -558,11 +560,11 @@ def text_margins(texts: DataFrame, beta: np.ndarray, bias: float, known: list[st
         full = np.zeros(1 << 3 * _SYMBOL_BITS, np.float32)
         full[used] = vals
         scorer = Scorer(full, bias, known)
-        for b in batches:
-            m = scorer.margins(b.column(len(keep)))
+        for b in (s for batch in batches for s in slices(batch, place)):
+            m = scorer.margins(b.column(place))
             yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(m, pa.float64())], names=[*keep, "margin"])
 
-    return texts.select(*keep, "text").mapInArrow(run, schema)
+    return texts.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, model: dict | None, keep: list[str] = ("doc_id",), out: str = "score") -> DataFrame:
@@ -573,8 +575,9 @@ def score(docs: DataFrame, model: dict | None, keep: list[str] = ("doc_id",), ou
     beta = np.zeros(1 << 3 * _SYMBOL_BITS, np.float32)
     beta[model["used"]] = model["beta"]
     names = [f"__{i}" for i in range(len(keep))]  # the caller's columns may be called anything
-    x = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col("text"))
-    x = text_margins(x, beta, model["bias"], model["known"])
+    text = names[keep.index("text")] if "text" in keep else "text"  # a text goes to the task once
+    x = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], *([] if text in names else [F.col("text")]))
+    x = text_margins(x, beta, model["bias"], model["known"], text)
     p = 1 / (1 + F.exp(-(F.lit(model["slope"]) * F.col("margin") + F.lit(model["offset"]))))
     return x.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], p.alias(out))
 

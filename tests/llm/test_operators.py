@@ -365,6 +365,32 @@ def test_texts_of_a_batch_are_read_group_by_group(monkeypatch):
     assert held == [(i, t or "") for i, t in enumerate(texts)]
 
 
+def test_stages_send_a_text_once_and_return_slices(spark, tmp_path):
+    """Language, toxicity and decontamination send each text to the tasks once; rows come back in slices of the batch."""
+    import pyarrow as pa
+
+    from sparkseries.llm.tables import slices
+
+    rows = [("s", t, i) for i, t in enumerate([*TEXTS, "what is the tallest mountain? it is mount everest by far"])]
+    spark.createDataFrame(rows, "source string, text string, doc_id long").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    benchmark = spark.createDataFrame([(1, "what is the tallest mountain? it is mount everest")], "item_id long, text string")
+    model = {"used": np.array([1]), "beta": np.ones(1, np.float32), "bias": -1.0, "known": [], "slope": 1.0, "offset": 0.0}
+    for x in (langid.predict(docs, None, docs.columns), toxicity.score(docs, model, docs.columns, out="s"),
+              decontaminate.clean_rows(docs, benchmark)):
+        sent = x._jdf.queryExecution().optimizedPlan().toString().partition("MapInArrow")[2].split("\n")[1]
+        assert sent.count("text#") == 1, sent
+        assert x.columns[:3] == docs.columns
+        assert {tuple(r)[:3] for r in x.collect()} in (set(rows), set(rows[:-1]))
+    assert x.count() == len(rows) - 1
+    texts = [None, "", "é" * 30, "x" * 500, *("y" * (i % 50) for i in range(400)), None]
+    batch = pa.record_batch({"n": list(range(len(texts))), "text": texts})
+    parts = list(slices(batch, 1, 100))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and len(parts) > 50
+    assert all(sum(len(t.encode()) for t in p.column(1).to_pylist()[1:] if t) <= 100 for p in parts)
+    assert list(slices(batch.slice(0, 0), 1)) == []
+
+
 def test_toxicity_with_inserted_letters(spark):
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("bdgklmnprst"), 2)[i] + rng.choice(list("aeiou")) for i in range(2)) for _ in range(300)]
